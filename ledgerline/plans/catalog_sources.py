@@ -1 +1,124 @@
-"""(filled in below)"""
+"""Source and sink queries. Each writes a text copy of data Spark derives
+from the driver tables into the shared folder and scans it back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import PRESET_A
+from ..operators import reports as R
+from ..operators.clean import require_column, with_optional
+from ..operators.features import features
+from ..session import scratch_path
+from ..sources import text as X
+from ..sources.deals import DEALS_COLUMNS, deals
+from . import sql as Q
+from .registry import register
+
+_TEXT_COLS = "deal_id, year, month, investor, amount, share_size, party, sector, subsector, country, region"
+
+
+def _raw_copy(spark, sf) -> str:
+    """Export the deals view with the raw headers (verbatim values)."""
+    d = deals(spark, sf)
+    raw = d.toDF(*X.RAW_HEADERS)
+    return X.write_csv(raw, scratch_path(spark, "deals-csv"))
+
+
+_S1_SQL = Q.with_deals(
+    f"""SELECT {_TEXT_COLS}, NULLIF(ltrim(bri), '') AS bri, NULLIF(ltrim(greenfield), '') AS greenfield FROM deals""")
+
+
+@register("scan_deals_csv", _S1_SQL)
+def q_scan_deals_csv(spark, sf):
+    """S1+S4+S5: CSV scan (all text, blanks after delimiters skipped), header
+    normalisation, canonical rename, typed projection."""
+    path = _raw_copy(spark, sf)
+    raw = X.scan_csv(spark, path, X.RAW_HEADERS)
+    return X.type_deals(X.rename_columns(X.normalize_headers(raw)))
+
+
+@register("scan_all_string", Q.with_deals("""SELECT CAST(deal_id AS VARCHAR) AS deal_id, CAST(year AS VARCHAR) AS year,
+  investor, CAST(amount AS VARCHAR) AS amount, sector FROM deals"""))
+def q_scan_all_string(spark, sf):
+    """S3: every column as text."""
+    path = _raw_copy(spark, sf)
+    raw = X.rename_columns(X.normalize_headers(X.scan_csv(spark, path, X.RAW_HEADERS)))
+    return raw.select("deal_id", "year", "investor", "amount", "sector")
+
+
+@register("normalize_headers", Q.with_deals(f"SELECT {_TEXT_COLS} FROM deals"))
+def q_normalize_headers(spark, sf):
+    """S4 (R rule: white-space runs -> '.') then S5 with the dotted names."""
+    path = _raw_copy(spark, sf)
+    raw = X.normalize_headers(X.scan_csv(spark, path, X.RAW_HEADERS), rule="r")
+    m = {X.normalize_header(h, "r"): X.CANONICAL[X.normalize_header(h)] for h in X.RAW_HEADERS}
+    return X.type_deals(X.rename_columns(raw, m)).select(*[c.strip() for c in _TEXT_COLS.split(",")])
+
+
+@register("rename_columns", Q.with_deals("SELECT deal_id, investor, amount, greenfield FROM deals"))
+def q_rename_columns(spark, sf):
+    """Source names -> canonical names (verbatim parquet copy, no text step)."""
+    d = deals(spark, sf).toDF(*[X.normalize_header(h) for h in X.RAW_HEADERS])
+    return X.rename_columns(d).select("deal_id", "investor", "amount", "greenfield")
+
+
+@register("scan_ragged_csv", Q.with_deals("""SELECT deal_id,
+  CASE WHEN greenfield IS NULL THEN investor ELSE investor || ',' || country END AS investor, amount,
+  sector, NULLIF(ltrim(bri), '') AS bri, NULLIF(ltrim(greenfield), '') AS greenfield,
+  CASE WHEN greenfield IS NULL THEN -1 ELSE 1 END AS _ragged FROM deals"""))
+def q_scan_ragged_csv(spark, sf):
+    """A hand-written export: where the deal type is known the investor field
+    holds an unquoted comma (one surplus field); where it is unknown the trailing
+    field is omitted (short row). The line parser folds the surplus back and pads
+    the short rows."""
+    d = deals(spark, sf)
+    names = ["deal_id", "amount", "investor", "sector", "bri", "greenfield"]
+    line = F.concat_ws(",", F.col("deal_id").cast("string"), F.col("amount").cast("string"),
+                       F.when(F.col("greenfield").isNull(), F.col("investor"))
+                       .otherwise(F.concat(F.col("investor"), F.lit(","), F.col("country"))), "sector", "bri",
+                       F.col("greenfield"))
+    path = scratch_path(spark, "ragged")
+    d.select(line.alias("value")).write.mode("overwrite").text(path)
+    r = X.scan_ragged_csv(spark, path, names, fold_index=3)
+    return r.select(F.col("deal_id").cast("long").alias("deal_id"), "investor",
+                    F.col("amount").cast("double").alias("amount"), "sector", "bri", "greenfield", "_ragged")
+
+
+@register("require_column", Q.with_deals("SELECT deal_id, amount, CAST(NULL AS INT) AS share_size FROM deals"))
+def q_require_column(spark, sf):
+    """The amount column is required; an absent optional column is NULL."""
+    d = require_column(deals(spark, sf).drop("share_size"), "amount")
+    return with_optional(d, "share_size", "int").select("deal_id", "amount", "share_size")
+
+
+_SECT = Q.phases_values(PRESET_A)
+
+
+@register("sink_report", Q.with_tagged(
+    "SELECT p.label AS phase, sector, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total "
+    "FROM tagged JOIN phases p ON year BETWEEN p.lo AND p.hi GROUP BY 1, 2", PRESET_A, _SECT))
+def q_sink_report(spark, sf):
+    """A report written as CSV with header and read back."""
+    rep = R.sector_total_by_phase(features(spark, sf, PRESET_A), PRESET_A)
+    path = X.write_csv(rep, scratch_path(spark, "report"))
+    back = X.scan_csv(spark, path, ["phase", "sector", "total"])
+    return back.select("phase", "sector", F.col("total").cast("double").alias("total"))
+
+
+@register("sink_text_summary", Q.with_tagged("""
+SELECT phase, parameter, value FROM (UNPIVOT (
+  SELECT phase, CAST(count(*) AS DOUBLE) AS n_obs, round(avg(log_amount), 6) AS mean_log,
+         CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total FROM tagged GROUP BY phase)
+  ON n_obs, mean_log, total INTO NAME parameter VALUE value)"""))
+def q_sink_text_summary(spark, sf):
+    """S8 (re-aimed): a summary as a (key, parameter, value) table, written as parquet
+    and read back."""
+    summ = R.phase_summary(features(spark, sf, PRESET_A))
+    t = X.as_parameter_table(summ, ["phase"])
+    path = X.write_parquet(t, scratch_path(spark, "summary"))
+    return spark.read.parquet(path)
+
+
+# keep the deals column list importable for tests
+__all__ = ["DEALS_COLUMNS"]
