@@ -1 +1,306 @@
-"""(filled in below)"""
+"""Inference and distribution queries. Statistics expressible in SQL
+have an oracle; tail probabilities (t, F) are reported by companion ``*_tests``
+queries, checked in tests/ against identities and known values."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import PRESET_A, PRESET_B
+from ..operators import inference as I
+from ..operators import reports as R
+from ..operators.clean import cap_outliers, clean_rows_r
+from ..operators.features import features
+from ..sources.deals import deals
+from . import sql as Q
+from .registry import register
+
+PA, PB = PRESET_A, PRESET_B
+
+
+def feat(spark, sf):
+    return features(spark, sf, PA)
+
+
+def _r(df, digits=6, skip=()):
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(c)
+                       for c, t in df.dtypes])
+
+
+def _ols_sql(z: str) -> str:
+    return f"""SELECT phase, 'year * {z}' AS interaction, 1 - ssr / sst AS r2,
+       1 - (ssr / sst) * (n_obs - 1) / (n_obs - k) AS r2_adj,
+       ((sst - ssr) / (k - 1)) / (ssr / (n_obs - k)) AS f_stat, k - 1 AS df_model, n_obs - k AS df_resid, n_obs, k,
+       -2 * (-n_obs / 2.0 * (ln(2 * pi()) + ln(ssr / n_obs) + 1)) + 2 * k AS aic,
+       -2 * (-n_obs / 2.0 * (ln(2 * pi()) + ln(ssr / n_obs) + 1)) + k * ln(n_obs) AS bic
+FROM (SELECT l.phase, sum(l.n) AS n_obs, count(*) AS n_levels,
+        sum(CASE WHEN sxx > 0 THEN syy - sxy * sxy / sxx ELSE syy END) AS ssr,
+        CAST(sum(CASE WHEN sxx > 0 THEN 2 ELSE 1 END) AS BIGINT) AS k, max(t.sst) AS sst
+      FROM (SELECT phase, {z}, count(*) AS n, regr_sxx(log_amount, year) AS sxx, regr_sxy(log_amount, year) AS sxy,
+                   regr_syy(log_amount, year) AS syy FROM tagged GROUP BY 1, 2) l
+      JOIN (SELECT phase, regr_syy(log_amount, year) AS sst FROM tagged GROUP BY 1) t ON t.phase = l.phase
+      GROUP BY l.phase)
+WHERE n_obs >= 50 AND n_levels >= 2 AND NOT starts_with(phase, 'Fora')"""
+
+
+def _round_sql(inner: str, cols: dict[str, int]) -> str:
+    sel = ", ".join(f"round({c}, {d}) AS {c}" if d is not None else c for c, d in cols.items())
+    return f"SELECT {sel} FROM ({inner})"
+
+
+_OLS_COLS = {"phase": None, "interaction": None, "r2": 6, "r2_adj": 6, "f_stat": 4, "df_model": None,
+             "df_resid": None, "n_obs": None, "k": None, "aic": 4, "bic": 4}
+
+
+@register("ols_interaction", Q.with_tagged(_round_sql(
+    _ols_sql("sector") + " UNION ALL " + _ols_sql("region"), _OLS_COLS)))
+def q_ols_interaction(spark, sf):
+    """Per phase, log amount ~ year * C(sector) and * C(region) as grouped
+    sufficient statistics (fit measures)."""
+    f = feat(spark, sf)
+    out = I.ols_interaction(f, "phase", "sector").unionByName(I.ols_interaction(f, "phase", "region"))
+    return out.select(*[F.round(c, d).alias(c) if d else F.col(c) for c, d in _OLS_COLS.items()])
+
+
+@register("ols_interaction_tests")
+def q_ols_interaction_tests(spark, sf):
+    """T1 (tests): F p-value and count of coefficients with p < 0.1."""
+    f = feat(spark, sf)
+    return I.ols_interaction_tests(f, "phase", "sector").unionByName(I.ols_interaction_tests(f, "phase", "region"))
+
+
+@register("rank_models", Q.with_tagged(f"""
+SELECT phase, interaction, r2, CAST(row_number() OVER (ORDER BY r2 DESC, phase, interaction) AS INT) AS "rank"
+FROM ({_round_sql(_ols_sql("sector") + " UNION ALL " + _ols_sql("region"), _OLS_COLS)})"""))
+def q_rank_models(spark, sf):
+    """Interaction fits ordered by R^2 (descending)."""
+    from pyspark.sql import Window
+    f = feat(spark, sf)
+    o = I.ols_interaction(f, "phase", "sector").unionByName(I.ols_interaction(f, "phase", "region"))
+    o = o.select("phase", "interaction", F.round("r2", 6).alias("r2"))
+    return o.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("r2"), "phase", "interaction")).cast("int"))
+
+
+@register("best_model", Q.with_tagged(f"""
+SELECT arg_max(phase || ' / ' || interaction, r2) AS best, max(r2) AS r2
+FROM ({_round_sql(_ols_sql("sector") + " UNION ALL " + _ols_sql("region"), _OLS_COLS)})"""))
+def q_best_model(spark, sf):
+    """Arg-max of R^2 over the fits (max_by)."""
+    f = feat(spark, sf)
+    o = I.ols_interaction(f, "phase", "sector").unionByName(I.ols_interaction(f, "phase", "region"))
+    o = o.select(F.concat_ws(" / ", "phase", "interaction").alias("label"), F.round("r2", 6).alias("r2"))
+    return o.agg(F.max_by("label", "r2").alias("best"), F.max("r2").alias("r2"))
+
+
+def _med_sql(m: str) -> str:
+    return f"""SELECT phase, 'year -> {m} -> log_amount' AS model, n_obs, a, b, cp, c, sxx, smm, syy, sxy, smy, sxm, det
+FROM (SELECT phase, count(*) AS n_obs, regr_sxx(log_amount, year) AS sxx, regr_sxx(log_amount, {m}) AS smm,
+        regr_syy(log_amount, year) AS syy, regr_sxy(log_amount, year) AS sxy, regr_sxy(log_amount, {m}) AS smy,
+        regr_sxy({m}, year) AS sxm,
+        regr_sxy({m}, year) / regr_sxx(log_amount, year) AS a, regr_sxy(log_amount, year) / regr_sxx(log_amount, year) AS c,
+        regr_sxx(log_amount, year) * regr_sxx(log_amount, {m}) - regr_sxy({m}, year) * regr_sxy({m}, year) AS det,
+        (regr_sxx(log_amount, {m}) * regr_sxy(log_amount, year) - regr_sxy({m}, year) * regr_sxy(log_amount, {m}))
+          / (regr_sxx(log_amount, year) * regr_sxx(log_amount, {m}) - regr_sxy({m}, year) * regr_sxy({m}, year)) AS cp,
+        (regr_sxx(log_amount, year) * regr_sxy(log_amount, {m}) - regr_sxy({m}, year) * regr_sxy(log_amount, year))
+          / (regr_sxx(log_amount, year) * regr_sxx(log_amount, {m}) - regr_sxy({m}, year) * regr_sxy({m}, year)) AS b
+      FROM feat GROUP BY phase)"""
+
+
+_MED_COLS = ["a_coef", "b_coef", "c_prime_coef", "c_coef", "acme", "ade", "total_effect", "prop_mediated",
+             "a_t", "b_t", "c_prime_t", "c_t"]
+
+
+@register("mediation_effects", Q.with_features(f"""
+SELECT phase, model, n_obs, round(a, 6) AS a_coef, round(b, 6) AS b_coef, round(cp, 6) AS c_prime_coef,
+  round(c, 6) AS c_coef, round(a * b, 6) AS acme, round(cp, 6) AS ade, round(c, 6) AS total_effect,
+  round(CASE WHEN c <> 0 THEN a * b / c END, 6) AS prop_mediated,
+  round(a / sqrt(((smm - a * sxm) / (n_obs - 2)) / sxx), 4) AS a_t,
+  round(b / sqrt(((syy - cp * sxy - b * smy) / (n_obs - 3)) * sxx / det), 4) AS b_t,
+  round(cp / sqrt(((syy - cp * sxy - b * smy) / (n_obs - 3)) * smm / det), 4) AS c_prime_t,
+  round(c / sqrt(((syy - c * sxy) / (n_obs - 2)) / sxx), 4) AS c_t
+FROM ({_med_sql('sector_code')} UNION ALL {_med_sql('region_code')})"""))
+def q_mediation_effects(spark, sf):
+    """T2 (coefficients): year -> sector/region code -> log amount per phase."""
+    f = feat(spark, sf)
+    e = I.mediation_effects(f, "phase", "year", "sector_code", "log_amount").unionByName(
+        I.mediation_effects(f, "phase", "year", "region_code", "log_amount"))
+    return e.select("phase", "model", "n_obs",
+                    *[F.round(c, 4 if c.endswith("_t") else 6).alias(c) for c in _MED_COLS])
+
+
+@register("mediation")
+def q_mediation(spark, sf):
+    """T2 (report): effects, p-values, significance filter."""
+    return I.mediation(feat(spark, sf), "phase", "year", ["sector_code", "region_code"], "log_amount",
+                       PA.min_phase_rows, PA.min_mediation_rows)
+
+
+def _welch_sql(col: str, label: str) -> str:
+    return f"""SELECT '{label}' AS test, g1 AS group_1, g2 AS group_2, round(m1 - m2, 6) AS mean_diff,
+  round(sqrt(v1 / n1 + v2 / n2), 6) AS se, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t,
+  round(power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)), 6) AS dof,
+  round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1 - 3 / (4 * (n1 + n2) - 9.0)), 6) AS hedges_g,
+  n1 + n2 AS n_obs
+FROM (SELECT min(g) AS g1, max(g) AS g2, arg_min(n, g) AS n1, arg_max(n, g) AS n2, arg_min(m, g) AS m1,
+             arg_max(m, g) AS m2, arg_min(v, g) AS v1, arg_max(v, g) AS v2
+      FROM (SELECT {col} AS g, count(amount) AS n, avg(amount) AS m, var_samp(amount) AS v FROM capped GROUP BY 1))"""
+
+
+_CAPPED = "capped AS (SELECT *, CASE WHEN lower(trim(bri)) IN ('1', 'bri', 'y', 'yes', 'sim', 'true') THEN 'BRI' ELSE 'Others' END AS bri_group FROM tagged WHERE amount <= 300000)"
+
+
+def _capped(spark, sf):
+    from ..functions.scalar import is_bri
+    return cap_outliers(feat(spark, sf), PA.amount_cap).withColumn("bri_group", is_bri("bri"))
+
+
+@register("welch_ttest", Q.with_tagged(
+    _welch_sql("deal_type", "deal_type") + " UNION ALL " + _welch_sql("bri_group", "bri"), PA, _CAPPED))
+def q_welch_ttest(spark, sf):
+    """Welch t, dof and Hedges g for deal type and BRI groups (amount <= cap)."""
+    c = _capped(spark, sf)
+    a = I.welch_ttest(c, "deal_type", "amount").withColumn("test", F.lit("deal_type"))
+    b = I.welch_ttest(c, "bri_group", "amount").withColumn("test", F.lit("bri"))
+    return _r(a.unionByName(b))
+
+
+@register("welch_ttest_tests")
+def q_welch_ttest_tests(spark, sf):
+    """T3 (tests): p-value and 95% interval of the mean difference."""
+    c = _capped(spark, sf)
+    return I.welch_ttest_tests(c, "deal_type", "amount").unionByName(I.welch_ttest_tests(c, "bri_group", "amount"))
+
+
+@register("group_means_bri", Q.with_tagged(
+    "SELECT bri_group, round(avg(amount), 6) AS mean, count(*) AS n FROM capped GROUP BY 1", PA, _CAPPED))
+def q_group_means_bri(spark, sf):
+    """A11 on the BRI groups (amount <= cap)."""
+    return R.group_means(_capped(spark, sf), "bri_group")
+
+
+@register("welch_anova", Q.with_tagged("""
+SELECT round(a0 / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1.0) * lam), 6) AS f_stat, CAST(k - 1 AS DOUBLE) AS df1,
+       round((k * k - 1.0) / (3 * lam), 6) AS df2, k AS n_groups
+FROM (SELECT count(*) AS k, sum(w * power(mean - mu, 2)) AS a0, sum(power(1 - w / ww, 2) / (n - 1)) AS lam
+      FROM (SELECT *, sum(w) OVER () AS ww, sum(w * mean) OVER () / sum(w) OVER () AS mu
+            FROM (SELECT year, count(amount) AS n, avg(amount) AS mean, n / var_samp(amount) AS w
+                  FROM tagged GROUP BY year HAVING count(amount) >= 2 AND var_samp(amount) > 0)))"""))
+def q_welch_anova(spark, sf):
+    """T4: Welch one-way ANOVA of amount across years."""
+    return _r(I.welch_anova(feat(spark, sf), "year", "amount"), skip=("df1",))
+
+
+@register("welch_anova_tests")
+def q_welch_anova_tests(spark, sf):
+    return I.welch_anova_tests(feat(spark, sf), "year", "amount")
+
+
+@register("pairwise_groups", Q.with_tagged("""
+SELECT a.year AS group_a, b.year AS group_b, round(b.mean - a.mean, 6) AS mean_diff,
+  round((b.mean - a.mean) / sqrt(a.var / a.n + b.var / b.n), 6) AS t,
+  round(power(a.var / a.n + b.var / b.n, 2) / (power(a.var / a.n, 2) / (a.n - 1) + power(b.var / b.n, 2) / (b.n - 1)), 6) AS dof
+FROM g a JOIN g b ON a.year < b.year""", PA,
+                                         "g AS (SELECT year, count(amount) AS n, avg(amount) AS mean, var_samp(amount) AS var FROM tagged GROUP BY year HAVING count(amount) >= 2)"))
+def q_pairwise_groups(spark, sf):
+    """T5: pairwise Welch t between years."""
+    return _r(I.pairwise_groups(feat(spark, sf), "year", "amount"))
+
+
+@register("pairwise_groups_tests")
+def q_pairwise_groups_tests(spark, sf):
+    return I.pairwise_groups_tests(feat(spark, sf), "year", "amount")
+
+
+@register("outlier_tags", Q.with_tagged("""
+SELECT t.deal_id, t.year, t.amount FROM tagged t JOIN
+  (SELECT year, quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3 FROM tagged GROUP BY year) q
+  ON q.year = t.year
+WHERE t.amount < q1 - 1.5 * (q3 - q1) OR t.amount > q3 + 1.5 * (q3 - q1)"""))
+def q_outlier_tags(spark, sf):
+    """Tukey outliers of amount within each year."""
+    return I.outlier_tags(feat(spark, sf), "year", "amount", accuracy=PA.sketch_accuracy)
+
+
+@register("box_summary", Q.with_tagged("""
+SELECT t.deal_type, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
+  min(CASE WHEN amount >= q1 - 1.5 * (q3 - q1) AND amount <= q3 + 1.5 * (q3 - q1) THEN amount END) AS whisker_lo,
+  max(CASE WHEN amount >= q1 - 1.5 * (q3 - q1) AND amount <= q3 + 1.5 * (q3 - q1) THEN amount END) AS whisker_hi,
+  count(*) AS n
+FROM tagged t JOIN (SELECT deal_type, quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.5) AS med,
+                           quantile_cont(amount, 0.75) AS q3 FROM tagged GROUP BY 1) q ON q.deal_type = t.deal_type
+GROUP BY t.deal_type, q1, med, q3"""))
+def q_box_summary(spark, sf):
+    """Quartiles and whiskers per deal type."""
+    b = I.box_summary(feat(spark, sf), "deal_type", "amount", PA.sketch_accuracy)
+    return b.select("deal_type", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")], "whisker_lo",
+                    "whisker_hi", "n")
+
+
+def _hist_sql(col: str, bins: int) -> str:
+    return f"""SELECT '{col}' AS variable, bin, round(lo + bin * (hi - lo) / {bins}, 6) AS edge, count(*) AS count FROM (
+  SELECT CASE WHEN hi > lo THEN CAST(least(floor(({col} - lo) / ((hi - lo) / {bins})), {bins - 1}) AS INT) ELSE 0 END AS bin, lo, hi
+  FROM tagged, (SELECT min({col}) AS lo, max({col}) AS hi FROM tagged)) GROUP BY bin, lo, hi"""
+
+
+@register("histogram", Q.with_tagged(_hist_sql("amount", 100) + " UNION ALL " + _hist_sql("log_amount", 50)))
+def q_histogram(spark, sf):
+    """100 equal bins of amount and 50 of log amount (non-empty bins)."""
+    f = feat(spark, sf)
+    a = I.histogram(f, "amount", 100).withColumn("variable", F.lit("amount"))
+    b = I.histogram(f, "log_amount", 50).withColumn("variable", F.lit("log_amount"))
+    return a.unionByName(b).withColumn("edge", F.round("edge", 6))
+
+
+_RPH = Q.phases_values(PB)
+
+
+@register("phase_histogram_ttest", Q.with_deals("""
+SELECT replace(replace(p.label, 'Going_Global', 'Going Global '), '.0', '') AS phase, count(amount) AS n,
+  round(avg(amount), 6) AS mean, round(stddev_samp(amount), 6) AS sd,
+  round(avg(amount) / (stddev_samp(amount) / sqrt(count(amount))), 6) AS t
+FROM deals JOIN phases p ON year BETWEEN p.lo AND p.hi
+WHERE amount IS NOT NULL AND year IS NOT NULL AND amount > 0 AND amount <= 320000
+GROUP BY 1""", _RPH))
+def q_phase_histogram_ttest(spark, sf):
+    """Per R phase (capped 0 < amount <= cap), one-sample t of the mean."""
+    from ..functions.scalar import phase_label_text
+    d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True)
+    j = R.phase_range_join(d.select("year", "amount"), PB).withColumn("phase", phase_label_text("phase_label"))
+    return _r(I.one_sample_t(j, "phase", "amount"))
+
+
+@register("phase_histogram", Q.with_deals("""
+SELECT phase, bin, round(lo + bin * (hi - lo) / 30, 6) AS edge, count(*) AS count FROM (
+  SELECT phase, CASE WHEN hi > lo THEN CAST(least(floor((amount - lo) / ((hi - lo) / 30)), 29) AS INT) ELSE 0 END AS bin, lo, hi
+  FROM (SELECT p.label AS phase, amount, min(amount) OVER (PARTITION BY p.label) AS lo,
+               max(amount) OVER (PARTITION BY p.label) AS hi
+        FROM deals JOIN phases p ON year BETWEEN p.lo AND p.hi
+        WHERE amount IS NOT NULL AND year IS NOT NULL AND amount > 0 AND amount <= 320000))
+GROUP BY phase, bin, lo, hi""", _RPH))
+def q_phase_histogram(spark, sf):
+    """Per R phase histogram (30 bins)."""
+    d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True)
+    j = R.phase_range_join(d.select("year", "amount"), PB).withColumnRenamed("phase_label", "phase")
+    return I.histogram(j, "amount", 30, group="phase").withColumn("edge", F.round("edge", 6))
+
+
+@register("grouped_density", Q.with_deals("""
+SELECT region, j AS grid_index, round(lo + (j + 0.5) * step, 4) AS x, round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight,
+       round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))) / (n * bw * sqrt(2 * pi())), 12) AS density
+FROM (SELECT cells.region, cell, c, n, bw, step, lo, unnest(range(greatest(cell - m, 0), least(cell + m, 511) + 1)) AS j
+      FROM (SELECT d.region, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
+            FROM dr d JOIN st ON st.region = d.region GROUP BY 1, 2) cells
+      JOIN st ON st.region = cells.region)
+GROUP BY region, j, n, bw, step, lo""", """
+dr AS (SELECT region, amount FROM deals WHERE amount IS NOT NULL AND year IS NOT NULL AND amount > 0 AND amount <= 320000),
+st0 AS (SELECT region, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
+        0.9 * least(stddev_samp(amount), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34)
+          * power(count(amount), -0.2) AS bw FROM dr GROUP BY region),
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step, CAST(ceil(4 * bw / ((mx - mn + 6 * bw) / 512)) AS INT) AS m
+       FROM st0 WHERE bw > 0)"""))
+def q_grouped_density(spark, sf):
+    """Kernel density of amount per region (R density rules, 0 < amount <= cap)."""
+    d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True)
+    k = I.grouped_density(d, "region", "amount", accuracy=PA.sketch_accuracy)
+    return k.select("region", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"),
+                    F.round("density", 12).alias("density"))
