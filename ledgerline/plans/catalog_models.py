@@ -1 +1,262 @@
-"""(filled in below)"""
+"""Preparation, metric, model, many-series and causal queries."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..config import PRESET_A
+from ..operators import models as MD
+from ..operators import prep as P
+from ..operators import series as SE
+from ..operators.clean import complete_cases
+from ..operators.features import features
+from ..sources.deals import table
+from . import sql as Q
+from .registry import register
+
+PA = PRESET_A
+
+
+def feat(spark, sf):
+    return features(spark, sf, PA)
+
+
+def _r(df, digits=6):
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_M1_NUM = ["year", "roll_std_2", "sector_blend"]
+
+
+def _scaled_sql(cols):
+    med = ", ".join(f"quantile_cont({c}, 0.5) AS {c}_med" for c in cols)
+    imp = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), (SELECT {c}_med FROM med)) AS {c}" for c in cols)
+    out = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in cols)
+    return med, imp, out
+
+
+@register("prep_linear", Q.with_features(f"""
+SELECT deal_id, {_scaled_sql(_M1_NUM)[2]},
+  CAST(deal_type = 'Greenfield' AS INT) AS "deal_type=Greenfield", CAST(deal_type = 'M&A' AS INT) AS "deal_type=M&A",
+  CAST(phase = 'p1' AS INT) AS "phase=p1", CAST(phase = 'p2' AS INT) AS "phase=p2", CAST(phase = 'p3' AS INT) AS "phase=p3"
+FROM (SELECT deal_id, deal_type, phase, {_scaled_sql(_M1_NUM)[1]} FROM feat)""", PA,
+                                           f"med AS (SELECT {_scaled_sql(_M1_NUM)[0]} FROM feat)"))
+def q_prep_linear(spark, sf):
+    """M1: median impute + standardise (population std), one-hot of the levels."""
+    f = feat(spark, sf)
+    ns, lv = P.fit_numeric(f, _M1_NUM), P.fit_levels(f, ["deal_type", "phase"])
+    return _r(P.prep_linear(f, ns, lv, ["deal_id"]))
+
+
+_M2_CAT = ["sector", "region", "deal_type", "phase", "post_policy"]
+
+
+@register("prep_tree", Q.with_features(f"""
+SELECT deal_id, {_scaled_sql(_M1_NUM)[2]}, {", ".join(f"CAST(dense_rank() OVER (ORDER BY CAST({c} AS VARCHAR)) - 1 AS INT) AS {c}_ord" for c in _M2_CAT)}
+FROM (SELECT deal_id, {", ".join(_M2_CAT)}, {_scaled_sql(_M1_NUM)[1]} FROM feat)""", PA,
+                                         f"med AS (SELECT {_scaled_sql(_M1_NUM)[0]} FROM feat)"))
+def q_prep_tree(spark, sf):
+    """M2: median impute + standardise, ordinal codes (unseen -> -1)."""
+    f = feat(spark, sf)
+    ns, lv = P.fit_numeric(f, _M1_NUM), P.fit_levels(f, _M2_CAT)
+    return _r(P.prep_tree(f, ns, lv, ["deal_id"]))
+
+
+@register("split_stratified", Q.with_features("""
+SELECT adaptive_target, count(*) AS n, CAST(sum(CASE WHEN r < round(0.3 * cnt) THEN 1 ELSE 0 END) AS BIGINT) AS n_test
+FROM (SELECT adaptive_target, row_number() OVER (PARTITION BY adaptive_target ORDER BY deal_id) - 1 AS r,
+             count(*) OVER (PARTITION BY adaptive_target) AS cnt FROM feat)
+GROUP BY adaptive_target"""))
+def q_split_stratified(spark, sf):
+    """M3: exact per-class 70/30 split (deterministic hash order); class sizes."""
+    s = P.split_stratified(feat(spark, sf), "adaptive_target")
+    return s.groupBy("adaptive_target").agg(F.count(F.lit(1)).alias("n"), F.sum("is_test").cast("long").alias("n_test"))
+
+
+@register("folds_stratified", Q.with_features("""
+SELECT adaptive_target, fold, count(*) AS n FROM (
+  SELECT adaptive_target, CAST((row_number() OVER (PARTITION BY adaptive_target ORDER BY deal_id) - 1) % 5 AS INT) AS fold
+  FROM feat) GROUP BY 1, 2"""))
+def q_folds_stratified(spark, sf):
+    """M4: 5 stratified folds; per class and fold sizes."""
+    s = P.folds_stratified(feat(spark, sf), "adaptive_target", 5)
+    return s.groupBy("adaptive_target", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("folds_expanding", Q.with_features("""
+SELECT deal_id, position,
+  CASE WHEN rel >= 0 AND floor(rel / ts) >= uf THEN CAST(floor(rel / ts) AS INT) END AS test_fold,
+  CASE WHEN greatest(CASE WHEN rel < 0 THEN 0 ELSE floor(rel / ts) + 1 END, uf) < 5
+       THEN CAST(greatest(CASE WHEN rel < 0 THEN 0 ELSE floor(rel / ts) + 1 END, uf) AS INT) END AS first_train_fold
+FROM (SELECT deal_id, position, ts, position - (n - 5 * ts) AS rel, greatest(ceil((20 - (n - 5 * ts)) / ts), 0) AS uf
+      FROM (SELECT deal_id, row_number() OVER (ORDER BY year, deal_id) - 1 AS position, count(*) OVER () AS n,
+                   floor(count(*) OVER () / 6) AS ts FROM feat))"""))
+def q_folds_expanding(spark, sf):
+    """M5: expanding-window folds on (year, deal_id) order."""
+    return P.folds_expanding(feat(spark, sf), 5).select("deal_id", "position", "test_fold", "first_train_fold")
+
+
+@register("mape_rmse", Q.with_features("""
+SELECT phase, round(sqrt(avg(power(log_amount - sector_blend, 2))), 6) AS rmse_log,
+  round(avg(abs(exp(log_amount) - greatest(exp(sector_blend), 0.1)) / greatest(exp(log_amount), 1.0)) * 100, 6) AS mape,
+  count(*) AS n FROM feat GROUP BY phase"""))
+def q_mape_rmse(spark, sf):
+    """M7 on the group-mean baseline prediction of log amount, per phase."""
+    m = P.regression_metrics(feat(spark, sf), "log_amount", "sector_blend", ["phase"])
+    return _r(m)
+
+
+_LAB = "lab AS (SELECT l.doc_id, l.quality, CAST(d.n_chars AS DOUBLE) / max(d.n_chars) OVER () AS score FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
+
+
+def _lab(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    j = lab.join(docs, "doc_id")
+    mx = j.agg(F.max("n_chars").alias("_mx"))
+    return j.join(F.broadcast(mx), F.lit(True)).select("doc_id", "quality",
+                                                       (F.col("n_chars").cast("double") / F.col("_mx")).alias("score"))
+
+
+@register("roc_auc", f"""WITH {_LAB}
+SELECT round((sum(CASE WHEN quality = 1 THEN r END) - p * (p + 1) / 2.0) / (p * (n - p)), 9) AS auc,
+       round(avg(CASE WHEN (score > 0.5) = (quality = 1) THEN 1.0 ELSE 0.0 END), 9) AS accuracy
+FROM (SELECT quality, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r,
+             sum(quality) OVER () AS p, count(*) OVER () AS n FROM lab)
+GROUP BY p, n""")
+def q_roc_auc(spark, sf):
+    """M9: rank AUC (ties half) and accuracy at 0.5 of a length score for the
+    document quality label."""
+    d = _lab(spark, sf)
+    auc = P.roc_auc(d, "quality", "score")
+    acc = P.accuracy(d.withColumn("pred", (F.col("score") > 0.5).cast("int")), "quality", "pred")
+    return auc.join(acc, F.lit(True)).select(F.round("auc", 9).alias("auc"), F.round("accuracy", 9).alias("accuracy"))
+
+
+_EDGES = " + ".join(f"CAST(score > {repr(e)} AS INT)" for e in P.CAL_EDGES)
+
+
+@register("calibration_curve", f"""WITH {_LAB}
+SELECT {_EDGES} AS bin, round(avg(score), 9) AS prob_pred, round(avg(CAST(quality AS DOUBLE)), 9) AS prob_true,
+       count(*) AS n FROM lab GROUP BY 1""")
+def q_calibration_curve(spark, sf):
+    """M10"""
+    c = P.calibration_curve(_lab(spark, sf), "quality", "score")
+    return c.select("bin", F.round("prob_pred", 9).alias("prob_pred"), F.round("prob_true", 9).alias("prob_true"), "n")
+
+
+@register("pr_curve", f"""WITH {_LAB}
+SELECT score AS threshold, tp, fp, round(tp / (tp + fp), 9) AS precision, round(tp / pp, 9) AS recall FROM (
+  SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER w - pos AS pos_above, sum(pos) OVER () AS pp
+  FROM (SELECT score, sum(quality) AS pos, sum(1 - quality) AS neg FROM lab GROUP BY score)
+  WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE pos_above < pp""")
+def q_pr_curve(spark, sf):
+    """M11"""
+    c = P.pr_curve(_lab(spark, sf), "quality", "score")
+    return c.select("threshold", "tp", "fp", F.round("precision", 9).alias("precision"),
+                    F.round("recall", 9).alias("recall"))
+
+
+@register("class_weight", Q.with_features("""
+SELECT adaptive_target, n, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS weight
+FROM (SELECT adaptive_target, count(*) AS n FROM feat GROUP BY 1)"""))
+def q_class_weight(spark, sf):
+    """Balanced class weights of the adaptive target."""
+    w = P.class_weight(feat(spark, sf), "adaptive_target")
+    return w.select("adaptive_target", "n", F.round("weight", 9).alias("weight"))
+
+
+@register("tune_regression")
+def q_tune_regression(spark, sf):
+    """M6: expanding-window search of boosted trees and forests for log amount."""
+    s, _ = MD.tune_regression(feat(spark, sf))
+    return s
+
+
+@register("tune_classification")
+def q_tune_classification(spark, sf):
+    """M8: stratified search of tree classifiers for the adaptive target."""
+    s, _ = MD.tune_classification(feat(spark, sf))
+    return s
+
+
+@register("feature_attribution")
+def q_feature_attribution(spark, sf):
+    """Refit a boosted regressor on all complete rows, per-row additive path
+    attributions, features ranked by mean |phi|."""
+    from pyspark.ml.regression import GBTRegressor
+    f = complete_cases(feat(spark, sf), ["log_amount"])
+    full, = MD.design(f, [], P.ML_NUMERIC, P.ML_CATEGORICAL, "log_amount", ["deal_id"])
+    model = GBTRegressor(featuresCol="features", labelCol="label", maxDepth=3, maxIter=20, stepSize=0.1,
+                         seed=42).fit(full)
+    names = list(P.ML_NUMERIC) + [f"{c}_ord" for c in P.ML_CATEGORICAL]
+    phi = MD.attributions(full, model, names, list(model.treeWeights))
+    from pyspark.sql import Window
+    imp = phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
+    return imp.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs_phi"), "feature")).cast("int"))
+
+
+def _series(spark, sf):
+    return SE.monthly_series(feat(spark, sf), "country")
+
+
+@register("future_spine", Q.with_tagged("""
+SELECT country, CAST(s + 1 AS INT) AS step, make_date(y0 + s, 12, 31) AS ds FROM (
+  SELECT country, CASE WHEN last >= make_date(year(last), 12, 31) THEN year(last) + 1 ELSE year(last) END AS y0
+  FROM (SELECT country, max(make_date(year, month, 1)) AS last FROM tagged GROUP BY country)),
+  range(5) t(s)"""))
+def q_future_spine(spark, sf):
+    """Next five year-end dates per series."""
+    return SE.future_spine(_series(spark, sf), "country")
+
+
+@register("forecast_arima_many")
+def q_forecast_arima_many(spark, sf):
+    """G1: ARIMA(1,1,1) per nation on monthly log totals, 5 steps with interval."""
+    return SE.forecast_arima_many(_series(spark, sf), "country")
+
+
+@register("arima_fit_many")
+def q_arima_fit_many(spark, sf):
+    """G1 (fit table): parameters and information criteria per nation."""
+    return SE.arima_fit_many(_series(spark, sf), "country")
+
+
+@register("forecast_trend_season_many")
+def q_forecast_trend_season_many(spark, sf):
+    """Trend + yearly seasonality per nation, history and 5 year-end forecasts."""
+    s = _series(spark, sf)
+    return SE.forecast_trend_season_many(s, SE.future_spine(s, "country"), "country")
+
+
+@register("seasonal_components")
+def q_seasonal_components(spark, sf):
+    """Trend and seasonal component columns of G2."""
+    s = _series(spark, sf)
+    return SE.forecast_trend_season_many(s, SE.future_spine(s, "country"), "country").select(
+        "country", "ds", "trend", "yearly", "is_forecast")
+
+
+@register("regime_switch_many")
+def q_regime_switch_many(spark, sf):
+    """Two-regime smoothed probabilities per nation and month."""
+    _, p = SE.regime_switch_many(_series(spark, sf), "country")
+    return p
+
+
+@register("regime_fit_many")
+def q_regime_fit_many(spark, sf):
+    """G4 (fit table): regime means, deviations, persistence and log-likelihood."""
+    f, _ = SE.regime_switch_many(_series(spark, sf), "country")
+    return f
+
+
+@register("dml_effect")
+def q_dml_effect(spark, sf):
+    """Cross-fitted effect of the post-policy flag on log amount."""
+    return MD.dml_effect(feat(spark, sf))
+
+
+
