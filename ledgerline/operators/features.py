@@ -18,7 +18,7 @@ from ..config import Preset
 from ..functions import scalar as S
 from ..session import shared_dir
 from .clean import clean_rows, with_optional
-from .ordered import exact_quantiles, ordered_features
+from .ordered import exact_quantiles, key_bounds, ordered_features
 
 CATEGORY_COLUMNS = ["sector", "region", "investor", "deal_type", "phase", "subsector", "country"]
 CODED_COLUMNS = ["sector", "region", "deal_type", "phase", "subsector"]
@@ -72,21 +72,69 @@ def adaptive_target(df: DataFrame, value: str = "amount", q: float = 0.7, out: s
     return df.join(qy, "year", "left").withColumn(out, (F.col(value) > F.col("_qy")).cast("int")).drop("_qy")
 
 
+_SMALL: list[DataFrame] = []
+
+
+def _small(df: DataFrame) -> DataFrame:
+    df = df.cache()
+    df.count()
+    _SMALL.append(df)
+    return df
+
+
+def release_small() -> None:
+    while _SMALL:
+        _SMALL.pop().unpersist()
+
+
+def category_summaries(t: DataFrame, cols: list[str], value: str) -> DataFrame:
+    """One pass (GROUPING SETS) over the rows: per level of each column, and over
+    all rows, the mean of ``value``. Output (column_name, level, mean) with
+    column_name NULL for the all-rows set; one row per level (small)."""
+    g = t.groupingSets([[c] for c in cols] + [[]], *cols).agg(
+        F.avg(value).alias("mean"), F.grouping_id().alias("_gid"))
+    n = len(cols)
+    name = F.lit(None).cast("string")
+    level = F.lit(None).cast("string")
+    for i, c in enumerate(cols):
+        gid = (1 << n) - 1 - (1 << (n - 1 - i))   # only column i grouped
+        name = F.when(F.col("_gid") == gid, F.lit(c)).otherwise(name)
+        level = F.when(F.col("_gid") == gid, F.col(c).cast("string")).otherwise(level)
+    return g.select(name.alias("column_name"), level.alias("level"), "mean")
+
+
 def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
-    """Lazy plan of the whole feature table (see module docstring). Every small
-    table below is derived from the same tagged rows ``t`` and joined onto ``t``
-    once, so the plan stays linear in the number of features."""
+    """Lazy plan of the whole feature table (see module docstring). The small
+    tables are derived from the tagged rows ``t`` in three passes (block cut
+    points; global + per-year exact quantiles on one stacked stream; all
+    per-category means and level sets in one GROUPING SETS aggregation) and joined
+    onto ``t`` once each."""
     t = tag(clean_rows(deals, preset), preset)
     acc = preset.sketch_accuracy
-    gq = exact_quantiles(t, [], "amount", {"_med": 0.5, "_q70": 0.7}, acc)        # one row
-    yq = exact_quantiles(t, ["year"], "amount", {"_qy": 0.7}, acc)                # one row per year
-    glob = t.agg(F.avg("log_amount").alias("_glob"))                              # one row
-    sm = t.groupBy("sector").agg(F.avg("log_amount").alias("_sm"))
-    rm = t.groupBy("region").agg(F.avg("log_amount").alias("_rm"))
+    bounds = key_bounds(t.select("deal_id"), "deal_id", preset.order_blocks)
+    stacked = t.select(F.col("year").cast("long").alias("_k"), "amount").unionByName(
+        t.select(F.lit(-1).cast("long").alias("_k"), "amount"))
+    # small tables (one row per year / per level): cached once so the wide plan
+    # reads them from memory instead of re-deriving them per join; their measured
+    # in-memory size then drives the broadcast decision.
+    qq = _small(exact_quantiles(stacked, ["_k"], "amount", {"_med": 0.5, "_q70": 0.7}, acc))
+    gq = qq.where("_k = -1").select("_med", "_q70")                                   # one row
+    yq = qq.where("_k <> -1").select(F.col("_k").cast("int").alias("year"), F.col("_q70").alias("_qy"))
+    cs = _small(category_summaries(t, list(dict.fromkeys(["sector", "region"] + CODED_COLUMNS)), "log_amount"))
+    glob = cs.where(F.col("column_name").isNull()).select(F.col("mean").alias("_glob"))  # one row
     d = (t.join(F.broadcast(gq), F.lit(True), "left").join(F.broadcast(glob), F.lit(True), "left")
-         .join(yq, "year", "left").join(sm, "sector", "left").join(rm, "region", "left"))
+         .join(yq, "year", "left"))
     for c in CODED_COLUMNS:
-        d = d.join(level_codes(t, c), c, "left")
+        lv = cs.where(F.col("column_name") == c).select(
+            F.col("level").alias(c), "mean",
+            (F.dense_rank().over(Window.orderBy("level")) - 1).cast("int").alias(f"{c}_code"))
+        if c == "sector":
+            lv = lv.withColumnRenamed("mean", "_sm")
+        elif c == "region":
+            lv = lv.withColumnRenamed("mean", "_rm")
+        else:
+            lv = lv.drop("mean")
+        d = d.join(lv, c, "left")
     d = d.select(
         *[c for c in d.columns if not c.startswith("_")],
         (F.col("amount") > F.col("_med")).cast("int").alias("high_value"),
@@ -97,7 +145,8 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
         (F.col("sector_code") * F.col("year")).alias("sector_year_int"),
         (F.col("region_code") * F.col("post_policy")).alias("region_policy_int"),
     )
-    return ordered_features(d, "sector", "amount", "post_policy", (2, 3), n_blocks=preset.order_blocks)
+    return ordered_features(d, "sector", "amount", "post_policy", (2, 3), n_blocks=preset.order_blocks,
+                            bounds=bounds, narrow=t)
 
 
 def features(spark: SparkSession, sf_dir: str, preset: Preset) -> DataFrame:
@@ -109,5 +158,6 @@ def features(spark: SparkSession, sf_dir: str, preset: Preset) -> DataFrame:
     if path is None:
         path = f"{shared_dir(spark)}/features-{preset.name}-{abs(hash(key)) % 10**10}"
         build_features(deals_table(spark, sf_dir), preset).write.mode("overwrite").partitionBy("year").parquet(path)
+        release_small()
         _MATERIALISED[key] = path
     return spark.read.parquet(path)

@@ -37,7 +37,8 @@ def block_of(key: str, bounds: list) -> Column:
 
 
 def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(2, 3), n_blocks: int = 16,
-                     order=("year", "deal_id"), prefix: str = "roll", count_out: str = "policy_cumulative") -> DataFrame:
+                     order=("year", "deal_id"), prefix: str = "roll", count_out: str = "policy_cumulative",
+                     bounds: list | None = None, narrow: DataFrame | None = None) -> DataFrame:
     """Add, in one shuffle of the rows:
 
     * ``{prefix}_mean_{k}`` / ``{prefix}_std_{k}``: mean and sample std of ``value``
@@ -51,10 +52,16 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
     rows of each chunk need rows of earlier chunks: they are recomputed on the small
     table of chunk heads and tails (<= 2(k-1) rows per chunk). The running count adds
     a prefix offset from the small table of per-(year, block) counts.
+
+    ``bounds`` (block cut points) and ``narrow`` (a frame with the same rows holding
+    at least the order columns and ``flag``, e.g. the table before its dimension
+    joins) let the caller keep those side computations off the wide plan.
     """
     ocol, key = order
     h = max(windows) - 1
-    bounds = key_bounds(df, key, n_blocks)
+    if bounds is None:
+        bounds = key_bounds(df.select(key), key, n_blocks)
+    narrow = df if narrow is None else narrow
     d = df.withColumn("_blk", block_of(key, bounds))
     base_cols = [c for c in d.columns if c != "_blk"]
     out_cols = [f"{prefix}_{s}_{k}" for k in windows for s in ("mean", "std")]
@@ -81,7 +88,8 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
     fixed = (edge.select(*base_cols, "_blk", "_loc", "_rn", *stats(w_grp))
              .where(F.col("_rn") <= h).select(*base_cols, "_blk", "_loc", *out_cols))
     # small table: one row per (year, block) -> exclusive prefix sums
-    per = d.groupBy(ocol, "_blk").agg(F.sum(F.col(flag).cast("long")).alias("_c"))
+    per = (narrow.select(ocol, key, flag).withColumn("_blk", block_of(key, bounds))
+           .groupBy(ocol, "_blk").agg(F.sum(F.col(flag).cast("long")).alias("_c")))
     wp = Window.orderBy(ocol, "_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select(ocol, "_blk", F.coalesce(F.sum("_c").over(wp), F.lit(0)).alias("_off"))
     return (body.unionByName(fixed).join(offs, [ocol, "_blk"])
