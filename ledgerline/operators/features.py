@@ -18,7 +18,7 @@ from ..config import Preset
 from ..functions import scalar as S
 from ..session import shared_dir
 from .clean import clean_rows, with_optional
-from .ordered import exact_quantiles, key_bounds, ordered_features
+from .ordered import exact_quantiles, ordered_features
 
 CATEGORY_COLUMNS = ["sector", "region", "investor", "deal_type", "phase", "subsector", "country"]
 CODED_COLUMNS = ["sector", "region", "deal_type", "phase", "subsector"]
@@ -105,13 +105,12 @@ def category_summaries(t: DataFrame, cols: list[str], value: str) -> DataFrame:
 
 def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
     """Lazy plan of the whole feature table (see module docstring). The small
-    tables are derived from the tagged rows ``t`` in three passes (block cut
-    points; global + per-year exact quantiles on one stacked stream; all
-    per-category means and level sets in one GROUPING SETS aggregation) and joined
-    onto ``t`` once each."""
+    tables are derived from the tagged rows ``t`` (global + per-year exact
+    quantiles on one stacked stream; all per-category means and level sets in one
+    GROUPING SETS aggregation; per-year block cut points) and joined onto ``t``
+    once each."""
     t = tag(clean_rows(deals, preset), preset)
     acc = preset.sketch_accuracy
-    bounds = key_bounds(t.select("deal_id"), "deal_id", preset.order_blocks)
     stacked = t.select(F.col("year").cast("long").alias("_k"), "amount").unionByName(
         t.select(F.lit(-1).cast("long").alias("_k"), "amount"))
     # small tables (one row per year / per level): cached once so the wide plan
@@ -145,8 +144,7 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
         (F.col("sector_code") * F.col("year")).alias("sector_year_int"),
         (F.col("region_code") * F.col("post_policy")).alias("region_policy_int"),
     )
-    return ordered_features(d, "sector", "amount", "post_policy", (2, 3), n_blocks=preset.order_blocks,
-                            bounds=bounds, narrow=t)
+    return ordered_features(d, "sector", "amount", "post_policy", (2, 3), n_blocks=preset.order_blocks, narrow=t)
 
 
 def features(spark: SparkSession, sf_dir: str, preset: Preset) -> DataFrame:

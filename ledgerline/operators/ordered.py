@@ -26,6 +26,23 @@ def key_bounds(df: DataFrame, key: str, n: int, accuracy: int = 10000) -> list:
     return bounds
 
 
+def group_bounds(df: DataFrame, group: str, key: str, n: int, accuracy: int = 10000) -> DataFrame:
+    """Per ``group`` value, ``n - 1`` cut points of ``key`` (small: one row per
+    group value), so a group holding a large share of the rows is still cut
+    into ``n`` balanced blocks."""
+    if n <= 1:
+        kt = dict(df.dtypes)[key]
+        return df.select(group).distinct().withColumn("_bounds", F.array().cast(f"array<{kt}>"))
+    probs = [i / n for i in range(1, n)]
+    return df.groupBy(group).agg(F.array_sort(F.array_distinct(
+        F.approx_percentile(key, probs, accuracy))).alias("_bounds"))
+
+
+def block_in(key: str, bounds_col: str = "_bounds") -> Column:
+    """0-based block of ``key`` given a per-row array of ascending cut points."""
+    return F.size(F.filter(F.col(bounds_col), lambda b: b <= F.col(key)))
+
+
 def block_of(key: str, bounds: list) -> Column:
     """0-based block index of ``key`` given ascending cut points (codegen CASE chain)."""
     if not bounds:
@@ -38,7 +55,7 @@ def block_of(key: str, bounds: list) -> Column:
 
 def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(2, 3), n_blocks: int = 16,
                      order=("year", "deal_id"), prefix: str = "roll", count_out: str = "policy_cumulative",
-                     bounds: list | None = None, narrow: DataFrame | None = None) -> DataFrame:
+                     narrow: DataFrame | None = None) -> DataFrame:
     """Add, in one shuffle of the rows:
 
     * ``{prefix}_mean_{k}`` / ``{prefix}_std_{k}``: mean and sample std of ``value``
@@ -53,16 +70,17 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
     table of chunk heads and tails (<= 2(k-1) rows per chunk). The running count adds
     a prefix offset from the small table of per-(year, block) counts.
 
-    ``bounds`` (block cut points) and ``narrow`` (a frame with the same rows holding
-    at least the order columns and ``flag``, e.g. the table before its dimension
-    joins) let the caller keep those side computations off the wide plan.
+    Block cut points are computed per year (a year holding a third of the rows is
+    still cut into ``n_blocks`` balanced blocks). ``narrow`` (a frame with the same
+    rows holding at least the order columns and ``flag``, e.g. the table before its
+    dimension joins) keeps the side computations off the wide plan.
     """
     ocol, key = order
     h = max(windows) - 1
-    if bounds is None:
-        bounds = key_bounds(df.select(key), key, n_blocks)
     narrow = df if narrow is None else narrow
-    d = df.withColumn("_blk", block_of(key, bounds))
+    gb = group_bounds(narrow.select(ocol, key), ocol, key, n_blocks).cache()
+    gb.count()
+    d = df.join(F.broadcast(gb), ocol).withColumn("_blk", block_in(key)).drop("_bounds")
     base_cols = [c for c in d.columns if c != "_blk"]
     out_cols = [f"{prefix}_{s}_{k}" for k in windows for s in ("mean", "std")]
 
@@ -88,7 +106,7 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
     fixed = (edge.select(*base_cols, "_blk", "_loc", "_rn", *stats(w_grp))
              .where(F.col("_rn") <= h).select(*base_cols, "_blk", "_loc", *out_cols))
     # small table: one row per (year, block) -> exclusive prefix sums
-    per = (narrow.select(ocol, key, flag).withColumn("_blk", block_of(key, bounds))
+    per = (narrow.select(ocol, key, flag).join(F.broadcast(gb), ocol).withColumn("_blk", block_in(key))
            .groupBy(ocol, "_blk").agg(F.sum(F.col(flag).cast("long")).alias("_c")))
     wp = Window.orderBy(ocol, "_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select(ocol, "_blk", F.coalesce(F.sum("_c").over(wp), F.lit(0)).alias("_off"))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import block_of, exact_quantiles, key_bounds
+from .ordered import block_in, block_of, exact_quantiles, group_bounds, key_bounds
 
 ML_NUMERIC = ["year", "roll_mean_2", "roll_mean_3", "roll_std_2", "roll_std_3", "policy_cumulative",
               "policy_interaction", "sector_blend", "region_blend", "phase_1", "phase_2", "phase_3",
@@ -112,10 +112,11 @@ def folds_stratified(df: DataFrame, label: str, k: int = 5, key: str = "deal_id"
 
 
 def row_index(df: DataFrame, order=("year", "deal_id"), out: str = "position", n_blocks: int = 16) -> DataFrame:
-    """0-based global position in (year, key) order (two-phase, no global sort)."""
+    """0-based global position in (year, key) order (two-phase, no global sort;
+    block cut points per year)."""
     ocol, key = order
-    bounds = key_bounds(df, key, n_blocks)
-    d = df.withColumn("_blk", block_of(key, bounds))
+    gb = group_bounds(df.select(ocol, key), ocol, key, n_blocks)
+    d = df.join(F.broadcast(gb), ocol).withColumn("_blk", block_in(key)).drop("_bounds")
     per = d.groupBy(ocol, "_blk").agg(F.count(F.lit(1)).alias("_c"))
     offs = per.select(ocol, "_blk", F.coalesce(F.sum("_c").over(
         Window.orderBy(ocol, "_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import HHI_BAND_LABELS, HHI_BANDS, MONTH_NAMES, Preset
 from ..functions import scalar as S
-from .ordered import exact_quantiles, key_bounds, block_of
+from .ordered import exact_quantiles
 
 
 def money_sum(col: str = "amount", alias: str = "total"):
@@ -301,15 +301,12 @@ def share_of_total(f: DataFrame, group: str = "sector") -> DataFrame:
 
 
 def top5_per_group(f: DataFrame, group: str, value: str = "amount", n: int = 5) -> DataFrame:
-    """The ``n`` largest values per group (deal id breaks ties). The window is
-    partitioned by group over pre-filtered candidates: each task first keeps only
-    its local top ``n`` per group, so a hot group ships at most n rows per task."""
+    """The ``n`` largest values per group (deal id breaks ties). The
+    ``row_number() <= n`` filter lets Spark insert a partial WindowGroupLimit before
+    the shuffle, so a hot group ships at most n rows per map task."""
     w = Window.partitionBy(group).orderBy(F.desc(value), F.asc("deal_id"))
-    local = f.select(group, "deal_id", value).withColumn("_p", F.spark_partition_id())
-    pre = local.withColumn("_r", F.row_number().over(
-        Window.partitionBy(group, "_p").orderBy(F.desc(value), F.asc("deal_id")))).where(F.col("_r") <= n)
-    return pre.drop("_p", "_r").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n) \
-        .withColumn("rank", F.col("rank").cast("int"))
+    return (f.select(group, "deal_id", value).withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("int")))
 
 
 def donut_label_position(f: DataFrame) -> DataFrame:
@@ -332,16 +329,12 @@ def category_code_table(f: DataFrame, cols: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- sorts / sets
 def row_positions(f: DataFrame, n_blocks: int = 16) -> DataFrame:
-    """L1: global position of each deal in (year, deal_id) order, computed as
-    per-(year, block) counts -> prefix offsets + in-block row number (no global
-    single-partition sort of the rows)."""
-    bounds = key_bounds(f, "deal_id", n_blocks)
-    d = f.select("deal_id", "year").withColumn("_blk", block_of("deal_id", bounds))
-    per = d.groupBy("year", "_blk").agg(F.count(F.lit(1)).alias("_c"))
-    offs = per.select("year", "_blk", F.coalesce(F.sum("_c").over(
-        Window.orderBy("year", "_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    loc = d.withColumn("_rn", F.row_number().over(Window.partitionBy("year", "_blk").orderBy("deal_id")))
-    return loc.join(offs, ["year", "_blk"]).select("deal_id", "year", (F.col("_off") + F.col("_rn")).alias("position"))
+    """L1: global position (1-based) of each deal in (year, deal_id) order:
+    per-(year, block) counts -> prefix offsets + in-block row number (blocks cut
+    per year; no global single-partition sort of the rows)."""
+    from .prep import row_index
+    return row_index(f.select("deal_id", "year"), ("year", "deal_id"), "position", n_blocks).select(
+        "deal_id", "year", (F.col("position") + 1).alias("position"))
 
 
 def calendar_order(f: DataFrame) -> DataFrame:
