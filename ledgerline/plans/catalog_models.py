@@ -260,3 +260,26 @@ def q_dml_effect(spark, sf):
 
 
 
+
+
+@register("mape", Q.with_features("""
+SELECT phase, round(avg(abs(exp(log_amount) - greatest(exp(sector_blend), 0.1)) / greatest(exp(log_amount), 1.0)) * 100, 6) AS mape
+FROM feat GROUP BY phase"""))
+def q_mape(spark, sf):
+    """M7 (MAPE on the original scale) of the group-mean baseline, per phase."""
+    return _r(P.regression_metrics(feat(spark, sf), "log_amount", "sector_blend", ["phase"]).select("phase", "mape"))
+
+
+@register("rmse_log", Q.with_features(
+    "SELECT phase, round(sqrt(avg(power(log_amount - sector_blend, 2))), 6) AS rmse_log FROM feat GROUP BY phase"))
+def q_rmse_log(spark, sf):
+    """M7 (RMSE on the log scale) of the group-mean baseline, per phase."""
+    return _r(P.regression_metrics(feat(spark, sf), "log_amount", "sector_blend", ["phase"]).select("phase", "rmse_log"))
+
+
+@register("accuracy", f"""WITH {_LAB}
+SELECT round(avg(CASE WHEN (score > 0.5) = (quality = 1) THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM lab""")
+def q_accuracy(spark, sf):
+    """M9: share of correct predictions at the 0.5 threshold."""
+    d = _lab(spark, sf).withColumn("pred", (F.col("score") > 0.5).cast("int"))
+    return P.accuracy(d, "quality", "pred").select(F.round("accuracy", 9).alias("accuracy"))

@@ -554,3 +554,73 @@ def q_prune_ml_columns(spark, sf):
     from ..operators.clean import prune_columns
     f = prune_columns(feat(spark, sf), ["deal_id", "year", "sector", "region", "roll_mean_3", "log_amount"])
     return f.withColumn("roll_mean_3", F.round("roll_mean_3", 6)).withColumn("log_amount", F.round("log_amount", 6))
+
+
+# ---------------------------------------------------------------- ordered features
+@register("rolling_mean", Q.with_features(
+    "SELECT deal_id, sector, round(roll_mean_2, 6) AS roll_mean_2, round(roll_mean_3, 6) AS roll_mean_3 FROM feat"))
+def q_rolling_mean(spark, sf):
+    """Per-sector mean of the last 2 / 3 deals in (year, deal_id) order."""
+    f = feat(spark, sf)
+    return f.select("deal_id", "sector", F.round("roll_mean_2", 6).alias("roll_mean_2"),
+                    F.round("roll_mean_3", 6).alias("roll_mean_3"))
+
+
+@register("rolling_std", Q.with_features(
+    "SELECT deal_id, sector, round(roll_std_2, 6) AS roll_std_2, round(roll_std_3, 6) AS roll_std_3 FROM feat"))
+def q_rolling_std(spark, sf):
+    """Per-sector sample std of the last 2 / 3 deals (NULL on a sector's first deal)."""
+    f = feat(spark, sf)
+    return f.select("deal_id", "sector", F.round("roll_std_2", 6).alias("roll_std_2"),
+                    F.round("roll_std_3", 6).alias("roll_std_3"))
+
+
+@register("policy_cumulative", Q.with_features("SELECT deal_id, year, policy_cumulative FROM feat"))
+def q_policy_cumulative(spark, sf):
+    """Running count of post-policy deals over the whole ordered table."""
+    return feat(spark, sf).select("deal_id", "year", "policy_cumulative")
+
+
+@register("group_mean_blend", Q.with_features(
+    "SELECT deal_id, round(sector_blend, 6) AS sector_blend, round(region_blend, 6) AS region_blend FROM feat"))
+def q_group_mean_blend(spark, sf):
+    """W4 (D2 fixed: the region blend uses the region mean)."""
+    f = feat(spark, sf)
+    return f.select("deal_id", F.round("sector_blend", 6).alias("sector_blend"),
+                    F.round("region_blend", 6).alias("region_blend"))
+
+
+@register("adaptive_target", Q.with_features("SELECT deal_id, year, amount, adaptive_target FROM feat"))
+def q_adaptive_target(spark, sf):
+    """1 if the amount is above its own year's exact 0.70 quantile."""
+    return feat(spark, sf).select("deal_id", "year", "amount", "adaptive_target")
+
+
+_DESC_ALL = ["column_name", "count", "unique", "top", "freq", "mean", "std", "min", "q25", "q50", "q75", "max"]
+
+
+@register("describe_all", Q.with_features(f"""
+SELECT column_name, count(x) AS count, CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top,
+       CAST(NULL AS BIGINT) AS freq, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS min,
+       round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50,
+       round(quantile_cont(x, 0.75), 6) AS q75, max(x) AS max
+FROM (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _NUM)} FROM feat)
+      ON {', '.join(_NUM)} INTO NAME column_name VALUE x)
+GROUP BY column_name
+UNION ALL
+SELECT column_name, sum(c), count(*), first(v ORDER BY c DESC, v), max(c), NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM (SELECT column_name, v, count(*) AS c FROM
+      (UNPIVOT (SELECT {', '.join(_CAT)} FROM feat) ON {', '.join(_CAT)} INTO NAME column_name VALUE v)
+      WHERE v IS NOT NULL GROUP BY 1, 2)
+GROUP BY column_name"""))
+def q_describe_all(spark, sf):
+    """Summary of every column (numeric and text statistics side by side)."""
+    f = feat(spark, sf)
+    num = R.describe_numeric(f, _NUM, PA.sketch_accuracy)
+    cat = R.describe_categorical(f, _CAT)
+    num = num.select("column_name", "count", F.lit(None).cast("bigint").alias("unique"),
+                     F.lit(None).cast("string").alias("top"), F.lit(None).cast("bigint").alias("freq"),
+                     "mean", "std", "min", "q25", "q50", "q75", "max")
+    cat = cat.select("column_name", "count", "unique", "top", "freq",
+                     *[F.lit(None).cast("double").alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+    return num.unionByName(cat).select(*_DESC_ALL)
