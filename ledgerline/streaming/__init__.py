@@ -1,0 +1,6 @@
+"""Streaming operators: none.
+
+The analysis this engine re-expresses reads every input once as a batch file; it
+has no stream, socket, incremental source, watermark, session or state. No
+streaming operator is invented here; batch DataFrames cover every operator.
+"""
