@@ -36,9 +36,9 @@ class Preset:
     min_mediation_rows: int = 80
     # fixed-size block count used to split hot sort groups (rolling windows, prefix sums)
     order_blocks: int = 16
-    # quantile engine: exact two-pass (sketch bracket + local pick) is always exact;
-    # accuracy of the bracketing sketch
-    sketch_accuracy: int = 20000
+    # exact quantiles: accuracy of the bracketing sketch (refinement rounds then cap
+    # the values one task collects, see operators.ordered.exact_quantiles)
+    sketch_accuracy: int = 2000
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     @property

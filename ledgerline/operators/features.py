@@ -66,7 +66,7 @@ def group_mean_blend(df: DataFrame, group: str, value: str, out: str, w_group: f
 
 
 def adaptive_target(df: DataFrame, value: str = "amount", q: float = 0.7, out: str = "adaptive_target",
-                    accuracy: int = 100000) -> DataFrame:
+                    accuracy: int = 2000) -> DataFrame:
     """1 if the value is strictly above its own year's exact q-quantile."""
     qy = exact_quantiles(df, ["year"], value, {"_qy": q}, accuracy)
     return df.join(qy, "year", "left").withColumn(out, (F.col(value) > F.col("_qy")).cast("int")).drop("_qy")

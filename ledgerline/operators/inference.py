@@ -234,7 +234,7 @@ def pairwise_groups_tests(df: DataFrame, group: str, value: str, alpha: float =
 
 
 # ------------------------------------------------------------------ T6-T7
-def box_summary(df: DataFrame, group: str, value: str, accuracy: int = 100000) -> DataFrame:
+def box_summary(df: DataFrame, group: str, value: str, accuracy: int = 2000) -> DataFrame:
     """Quartiles (exact, linear) and Tukey whiskers (most extreme values inside
     the 1.5 IQR fences) per group."""
     q = exact_quantiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, accuracy)
@@ -246,7 +246,7 @@ def box_summary(df: DataFrame, group: str, value: str, accuracy: int = 100000) -
         F.count(F.lit(1)).alias("n"))
 
 
-def outlier_tags(df: DataFrame, group: str, value: str, key: str = "deal_id", accuracy: int = 100000) -> DataFrame:
+def outlier_tags(df: DataFrame, group: str, value: str, key: str = "deal_id", accuracy: int = 2000) -> DataFrame:
     """Rows outside the Tukey fences of their group."""
     q = exact_quantiles(df, [group], value, {"q1": 0.25, "q3": 0.75}, accuracy)
     iqr = F.col("q3") - F.col("q1")
@@ -276,7 +276,7 @@ def one_sample_t(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def grouped_density(df: DataFrame, group: str, value: str, grid: int = 512, cut: float = 3.0,
-                    accuracy: int = 100000) -> DataFrame:
+                    accuracy: int = 2000) -> DataFrame:
     """Gaussian kernel density per group on a ``grid``-point grid spanning
     [min - cut*bw, max + cut*bw], bw = 0.9 * min(sd, IQR/1.34) * n^-1/5.
 

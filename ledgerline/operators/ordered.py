@@ -114,19 +114,78 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
             .withColumn(count_out, F.col("_off") + F.col("_loc")).drop("_blk", "_off", "_loc"))
 
 
+def _bracket_counts(base: DataFrame, st: DataFrame, gk: list[str], nq: int) -> DataFrame:
+    """Per group and target: rows below / at / strictly inside / at the top of the bracket."""
+    x = F.col("_x")
+    aggs = []
+    for i in range(nq):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        aggs += [F.count_if(x < lo).alias(f"_lt{i}"), F.count_if(x == lo).alias(f"_eqlo{i}"),
+                 F.count_if((x > lo) & (x < hi)).alias(f"_in{i}"), F.count_if((x == hi) & (hi != lo)).alias(f"_eqhi{i}")]
+    return base.join(F.broadcast(st), gk).groupBy(*gk).agg(*aggs)
+
+
+def _refine(base: DataFrame, st: DataFrame, cnt: DataFrame, gk: list[str], qs: list[float], cap: int,
+            buckets: int) -> DataFrame:
+    """Narrow every bracket that still holds more than ``cap`` inside values: count
+    the inside values in ``buckets`` equal-width buckets, keep the bucket(s) holding
+    the two target ranks plus one bucket of margin on each side."""
+    s = st.join(cnt, gk)
+    x = F.col("_x")
+    parts = []
+    for i, q in enumerate(qs):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        w = (hi - lo) / buckets
+        b = F.least(F.floor((x - lo) / w), F.lit(buckets - 1)).cast("int")
+        t = (base.join(F.broadcast(s.where(F.col(f"_in{i}") > cap).select(*gk, f"_lo{i}", f"_hi{i}")), gk)
+             .where((x > lo) & (x < hi)).groupBy(*gk, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+             .withColumn("_q", F.lit(i)))
+        parts.append(t)
+    h = parts[0]
+    for p in parts[1:]:
+        h = h.unionByName(p)
+    wcum = Window.partitionBy(*gk, "_q").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumn("_before", F.coalesce(F.sum("_c").over(wcum), F.lit(0)))
+    rows = []
+    for i, q in enumerate(qs):
+        k = F.floor(F.lit(q) * (F.col("_n") - 1))
+        t0 = k - F.col(f"_lt{i}") - F.col(f"_eqlo{i}")          # 0-based rank among inside values
+        hit = (h.where(F.col("_q") == i).join(s.select(*gk, "_n", f"_lt{i}", f"_eqlo{i}", f"_in{i}"), gk)
+               .withColumn("_t0", t0).withColumn("_t1", F.least(t0 + 1, F.col(f"_in{i}") - 1))
+               .where((F.col("_before") + F.col("_c") > F.col("_t0")) & (F.col("_before") <= F.col("_t1")))
+               .groupBy(*gk).agg(F.min("_b").alias(f"_bl{i}"), F.max("_b").alias(f"_bh{i}")))
+        rows.append(hit)
+    out = s.select(*gk, "_n", *[c for i in range(len(qs)) for c in (f"_lo{i}", f"_hi{i}")])
+    for i, hit in enumerate(rows):
+        out = out.join(hit, gk, "left")
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        w = (hi - lo) / buckets
+        new_lo = F.when(F.col(f"_bl{i}").isNull(), lo).otherwise(
+            F.greatest(lo, lo + (F.col(f"_bl{i}") - 1) * w))
+        new_hi = F.when(F.col(f"_bh{i}").isNull(), hi).otherwise(
+            F.least(hi, lo + (F.col(f"_bh{i}") + 2) * w))
+        out = out.withColumn(f"_lo{i}", new_lo).withColumn(f"_hi{i}", new_hi).drop(f"_bl{i}", f"_bh{i}")
+    return out
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-                    accuracy: int = 100000) -> DataFrame:
+                    accuracy: int = 2000, max_collect: int = 200_000, buckets: int = 1024,
+                    max_rounds: int = 8) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas/DuckDB ``quantile_cont``) per group,
-    without holding a group's values in one task.
-
-    Pass 1: per group, count, min, max and a sketch bracket ``[lo, hi]`` around each
-    target rank (rank error of the sketch <= n/accuracy; the bracket is 3x that, so
-    it keeps >= 2n/accuracy ranks of margin). Groups with n <= 10*accuracy use
-    ``[min, max]`` as the bracket instead (they are small enough to pick from whole).
-    Pass 2: per group, counts below/at the bracket ends and the values strictly
-    inside it (at most max(10*accuracy, ~6n/accuracy) values) -> the two order
-    statistics -> interpolate. NULL/NaN values are ignored.
-    Output: keys + one column per entry of ``qs``.
+    with bounded per-task memory whatever the group size.
+
+    1. One aggregation: count, min, max and one sketch per group
+       (``approx_percentile``, rank error <= n/accuracy) bracketing every target rank
+       with 3x margin; groups with n <= 10*accuracy take [min, max] instead.
+    2. Count, per group and target, the rows below / equal to the bracket ends /
+       strictly inside. While some bracket still holds more than ``max_collect``
+       inside values, narrow it: an equal-width ``buckets`` histogram of the inside
+       values locates the target ranks (kept with one bucket of margin). Each round
+       is a pass over the value column; only small per-group results reach the driver.
+    3. Collect the (<= max_collect) inside values per group and target, sort them,
+       pick the two order statistics by rank arithmetic (values equal to the bracket
+       ends are counted, never collected) and interpolate.
+    NULL/NaN values are ignored. Output: keys + one column per entry of ``qs``.
     """
     eps = 3.0 / accuracy
     gk = list(keys) if keys else ["_g"]
@@ -135,17 +194,28 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
         base = base.withColumn("_g", F.lit(0))
     base = base.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     names = list(qs)
+    qv = [qs[n] for n in names]
     small = 10 * accuracy
-    sk_aggs = [F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")]
-    for i, nm in enumerate(names):
-        q = qs[nm]
-        sk_aggs.append(F.approx_percentile("_x", max(q - eps, 0.0), accuracy).alias(f"_lo{i}"))
-        sk_aggs.append(F.approx_percentile("_x", min(q + eps, 1.0), accuracy).alias(f"_hi{i}"))
-    sk = base.groupBy(*gk).agg(*sk_aggs)
-    sk = sk.select(*gk, "_n", *[c for i in range(len(names)) for c in (
-        F.when(F.col("_n") <= small, F.col("_min")).otherwise(F.col(f"_lo{i}")).alias(f"_lo{i}"),
-        F.when(F.col("_n") <= small, F.col("_max")).otherwise(F.col(f"_hi{i}")).alias(f"_hi{i}"))])
-    j = base.join(sk, gk)
+    probs = []
+    for q in qv:
+        probs += [max(q - eps, 0.0), min(q + eps, 1.0)]
+    sk = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
+                               F.approx_percentile("_x", probs, accuracy).alias("_p"))
+    st = sk.select(*gk, "_n", *[c for i in range(len(names)) for c in (
+        F.when(F.col("_n") <= small, F.col("_min")).otherwise(F.col("_p")[2 * i]).alias(f"_lo{i}"),
+        F.when(F.col("_n") <= small, F.col("_max")).otherwise(F.col("_p")[2 * i + 1]).alias(f"_hi{i}"))])
+    from ..session import shared_dir
+    shared_dir(df.sparkSession)  # checkpoints go to the shared folder
+    st = st.cache()
+    st.count()
+    for _ in range(max_rounds):
+        cnt = _bracket_counts(base, st, gk, len(names)).checkpoint(eager=True)
+        top = cnt.agg(F.max(F.greatest(*[F.col(f"_in{i}") for i in range(len(names))], F.lit(0)))).first()[0]
+        if top is None or top <= max_collect:
+            break
+        # small per-group state; checkpointing cuts its lineage so later rounds plan in constant time
+        st = _refine(base, st, cnt, gk, qv, max_collect, buckets).checkpoint(eager=True)
+    j = base.join(F.broadcast(st), gk)
     aggs = [F.first("_n").alias("_n")]
     for i, _ in enumerate(names):
         lo, hi, x = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col("_x")
@@ -165,7 +235,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
         mid = F.col(f"_mid{i}")
         m = F.size(mid)
 
-        def at(jrel: Column) -> Column:
+        def at(jrel: Column, i=i, eqlo=eqlo, eqhi=eqhi, mid=mid, m=m) -> Column:
             return (F.when(jrel < 0, F.lit(None).cast("double"))
                     .when(jrel < eqlo, F.col(f"_lo{i}"))
                     .when(jrel < eqlo + m, F.element_at(mid, (jrel - eqlo + 1).cast("int")))
@@ -175,4 +245,5 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
         vk = at(jk)
         vk1 = F.when(frac > 0, at(jk + 1)).otherwise(vk)
         outs.append((vk + frac * (vk1 - vk)).alias(nm))
-    return g.select(*[F.col(k) for k in keys], *outs)
+    res = g.select(*[F.col(k) for k in keys], *outs)
+    return res

@@ -22,7 +22,7 @@ ML_CATEGORICAL = ["sector", "region", "deal_type", "phase", "post_policy"]
 
 
 # ------------------------------------------------------------------ M1/M2
-def fit_numeric(df: DataFrame, cols: list[str], accuracy: int = 100000) -> dict:
+def fit_numeric(df: DataFrame, cols: list[str], accuracy: int = 2000) -> dict:
     """Exact medians (imputation) then mean / population std of the imputed column."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "col", "x")
     med = {r["col"]: r["m"] for r in exact_quantiles(long, ["col"], "x", {"m": 0.5}, accuracy).collect()}

@@ -158,7 +158,7 @@ def group_means(f: DataFrame, group: str, value: str = "amount") -> DataFrame:
     return f.groupBy(group).agg(F.round(F.avg(value), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def describe_numeric(f: DataFrame, cols: list[str], accuracy: int = 100000) -> DataFrame:
+def describe_numeric(f: DataFrame, cols: list[str], accuracy: int = 2000) -> DataFrame:
     """A12 (numeric part): count, mean, std (ddof 1), min, 25/50/75 %, max for every
     column, in one pass over the rows unpivoted to (column, value) + the exact
     quantile operator keyed by column."""
@@ -230,14 +230,14 @@ def phase_bin_share_r(deals_r: DataFrame, preset: Preset) -> DataFrame:
     return g.withColumn("phase", S.phase_label_text_r2("phase"))
 
 
-def target_balance(f: DataFrame, accuracy: int = 100000) -> DataFrame:
+def target_balance(f: DataFrame, accuracy: int = 2000) -> DataFrame:
     """Percent of high-value deals and the exact median amount."""
     pct = f.agg(F.round(F.avg("high_value") * 100, 6).alias("pct_high"))
     med = exact_quantiles(f, [], "amount", {"median_amount": 0.5}, accuracy)
     return pct.join(med, F.lit(True)).select("pct_high", F.round("median_amount", 6).alias("median_amount"))
 
 
-def exact_quantile_report(f: DataFrame, accuracy: int = 100000) -> DataFrame:
+def exact_quantile_report(f: DataFrame, accuracy: int = 2000) -> DataFrame:
     """Per-year 0.70 and 0.50 quantiles and the global ones (year NULL)."""
     per = exact_quantiles(f, ["year"], "amount", {"q50": 0.5, "q70": 0.7}, accuracy)
     glob = exact_quantiles(f, [], "amount", {"q50": 0.5, "q70": 0.7}, accuracy).select(

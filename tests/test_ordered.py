@@ -54,3 +54,18 @@ def test_exact_quantiles(spark, accuracy):
             assert got.loc[key, nm] == pytest.approx(np.quantile(sub["v"], q), rel=1e-12, abs=1e-12)
     glob = exact_quantiles(df, [], "v", {"m": 0.5}, accuracy).first()["m"]
     assert glob == pytest.approx(np.quantile(vals, 0.5))
+
+
+@pytest.mark.parametrize("cap", [1, 50])
+def test_exact_quantiles_refinement_rounds(spark, cap):
+    """Force the bucket-refinement rounds (tiny sketch, tiny collect cap)."""
+    rng = np.random.default_rng(9)
+    vals = np.concatenate([rng.lognormal(3, 1, 4000), np.full(1500, 20.0), rng.integers(0, 3, 500).astype(float)])
+    g = np.where(np.arange(len(vals)) % 4 == 0, "a", "b")
+    pdf = pd.DataFrame({"g": g, "v": vals})
+    df = spark.createDataFrame(pdf)
+    qs = {"q05": 0.05, "q50": 0.5, "q70": 0.7, "q999": 0.999}
+    got = exact_quantiles(df, ["g"], "v", qs, accuracy=10, max_collect=cap, buckets=8).toPandas().set_index("g")
+    for key, sub in pdf.groupby("g"):
+        for nm, q in qs.items():
+            assert got.loc[key, nm] == pytest.approx(np.quantile(sub["v"], q), rel=1e-12, abs=1e-12)
