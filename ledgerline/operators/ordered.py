@@ -55,13 +55,17 @@ def block_of(key: str, bounds: list) -> Column:
 
 def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(2, 3), n_blocks: int = 16,
                      order=("year", "deal_id"), prefix: str = "roll", count_out: str = "policy_cumulative",
-                     narrow: DataFrame | None = None) -> DataFrame:
+                     narrow: DataFrame | None = None, lagged: bool = True) -> DataFrame:
     """Add, in one shuffle of the rows:
 
     * ``{prefix}_mean_{k}`` / ``{prefix}_std_{k}``: mean and sample std of ``value``
       over the last ``k`` rows of ``group`` in deal order (current row included,
       fewer rows at the start; std NULL on one row);
-    * ``count_out``: running sum of the 0/1 ``flag`` over the whole table in deal order.
+    * ``count_out``: running sum of the 0/1 ``flag`` over the whole table in deal order;
+    * with ``lagged``, ``{prefix}_lag_mean_{k}`` / ``{prefix}_lag_std_{k}``: the same
+      statistics over the ``k`` rows *before* the current one (current value
+      excluded, so the feature does not contain the target; NULL on a group's
+      first row).
 
     Rows are hash-partitioned once by ``(year, block)``; the per-group chunks
     ``(group, year, block)`` and the running count's ``(year, block)`` both live inside
@@ -76,13 +80,15 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
     dimension joins) keeps the side computations off the wide plan.
     """
     ocol, key = order
-    h = max(windows) - 1
+    h = max(windows) if lagged else max(windows) - 1
     narrow = df if narrow is None else narrow
     gb = group_bounds(narrow.select(ocol, key), ocol, key, n_blocks).cache()
     gb.count()
     d = df.join(F.broadcast(gb), ocol).withColumn("_blk", block_in(key)).drop("_bounds")
     base_cols = [c for c in d.columns if c != "_blk"]
     out_cols = [f"{prefix}_{s}_{k}" for k in windows for s in ("mean", "std")]
+    if lagged:
+        out_cols += [f"{prefix}_lag_{s}_{k}" for k in windows for s in ("mean", "std")]
 
     def stats(w) -> list[Column]:
         cols = []
@@ -90,6 +96,11 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
             f = w.rowsBetween(-(k - 1), 0)
             cols.append(F.avg(value).over(f).alias(f"{prefix}_mean_{k}"))
             cols.append(F.stddev_samp(value).over(f).alias(f"{prefix}_std_{k}"))
+        if lagged:
+            for k in windows:
+                f = w.rowsBetween(-k, -1)
+                cols.append(F.avg(value).over(f).alias(f"{prefix}_lag_mean_{k}"))
+                cols.append(F.stddev_samp(value).over(f).alias(f"{prefix}_lag_std_{k}"))
         return cols
 
     w_yb = Window.partitionBy(ocol, "_blk").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)

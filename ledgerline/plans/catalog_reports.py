@@ -624,3 +624,13 @@ def q_describe_all(spark, sf):
     cat = cat.select("column_name", "count", "unique", "top", "freq",
                      *[F.lit(None).cast("double").alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
     return num.unionByName(cat).select(*_DESC_ALL)
+
+
+@register("rolling_lagged", Q.with_features(
+    "SELECT deal_id, sector, round(roll_lag_mean_2, 6) AS roll_lag_mean_2, round(roll_lag_std_2, 6) AS roll_lag_std_2, "
+    "round(roll_lag_mean_3, 6) AS roll_lag_mean_3, round(roll_lag_std_3, 6) AS roll_lag_std_3 FROM feat"))
+def q_rolling_lagged(spark, sf):
+    """W1/W2 without the current deal (D11): statistics of the previous 2 / 3 deals."""
+    f = feat(spark, sf)
+    return f.select("deal_id", "sector", *[F.round(c, 6).alias(c) for c in (
+        "roll_lag_mean_2", "roll_lag_std_2", "roll_lag_mean_3", "roll_lag_std_3")])

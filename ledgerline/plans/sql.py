@@ -79,6 +79,10 @@ def features(p: Preset = PRESET_A) -> str:
         w = f"OVER (PARTITION BY sector ORDER BY year, deal_id ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
         roll.append(f"avg(amount) {w} AS roll_mean_{k}")
         roll.append(f"stddev_samp(amount) {w} AS roll_std_{k}")
+    for k in (2, 3):
+        w = f"OVER (PARTITION BY sector ORDER BY year, deal_id ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
+        roll.append(f"avg(amount) {w} AS roll_lag_mean_{k}")
+        roll.append(f"stddev_samp(amount) {w} AS roll_lag_std_{k}")
     return f"""feat0 AS (SELECT *, {codes},
        CAST(amount > quantile_cont(amount, 0.5) OVER () AS INT) AS high_value,
        CAST(amount > quantile_cont(amount, 0.7) OVER () AS INT) AS high_value_70,

@@ -36,6 +36,14 @@ def test_ordered_features_match_brute_force(spark, blocks):
         np.testing.assert_allclose(out[f"roll_std_{k}"].to_numpy(float), s.loc[srt.index].to_numpy(float),
                                    rtol=1e-9, equal_nan=True)
     np.testing.assert_array_equal(out["policy_cumulative"].to_numpy(), srt["post"].cumsum().to_numpy())
+    for k in (2, 3):
+        g = srt.groupby("sector")["amount"]
+        lm = g.transform(lambda s: s.shift(1).rolling(k, min_periods=1).mean())
+        ls = g.transform(lambda s: s.shift(1).rolling(k, min_periods=1).std())
+        np.testing.assert_allclose(out[f"roll_lag_mean_{k}"].to_numpy(float), lm.to_numpy(float), rtol=1e-12,
+                                   equal_nan=True)
+        np.testing.assert_allclose(out[f"roll_lag_std_{k}"].to_numpy(float), ls.to_numpy(float), rtol=1e-9,
+                                   equal_nan=True)
     assert np.isnan(out.loc[pdf.loc[0, "deal_id"], "roll_std_2"])
 
 
