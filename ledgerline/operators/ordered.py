@@ -166,7 +166,7 @@ def _refine(base: DataFrame, st: DataFrame, cnt: DataFrame, gk: list[str], qs: l
                .where((F.col("_before") + F.col("_c") > F.col("_t0")) & (F.col("_before") <= F.col("_t1")))
                .groupBy(*gk).agg(F.min("_b").alias(f"_bl{i}"), F.max("_b").alias(f"_bh{i}")))
         rows.append(hit)
-    out = s.select(*gk, "_n", *[c for i in range(len(qs)) for c in (f"_lo{i}", f"_hi{i}")])
+    out = s.select(*gk, "_n", "_min", "_max", *[c for i in range(len(qs)) for c in (f"_lo{i}", f"_hi{i}")])
     for i, hit in enumerate(rows):
         out = out.join(hit, gk, "left")
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
@@ -212,7 +212,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
         probs += [max(q - eps, 0.0), min(q + eps, 1.0)]
     sk = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
                                F.approx_percentile("_x", probs, accuracy).alias("_p"))
-    st = sk.select(*gk, "_n", *[c for i in range(len(names)) for c in (
+    st = sk.select(*gk, "_n", "_min", "_max", *[c for i in range(len(names)) for c in (
         F.when(F.col("_n") <= small, F.col("_min")).otherwise(F.col("_p")[2 * i]).alias(f"_lo{i}"),
         F.when(F.col("_n") <= small, F.col("_max")).otherwise(F.col("_p")[2 * i + 1]).alias(f"_hi{i}"))])
     from ..session import shared_dir
@@ -221,8 +221,30 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     st.count()
     for _ in range(max_rounds):
         cnt = _bracket_counts(base, st, gk, len(names)).checkpoint(eager=True)
-        top = cnt.agg(F.max(F.greatest(*[F.col(f"_in{i}") for i in range(len(names))], F.lit(0)))).first()[0]
-        if top is None or top <= max_collect:
+        # containment: both target ranks must lie inside [lt, lt + eqlo + in + eqhi)
+        j = st.join(cnt, gk)
+        miss = []
+        for i, q in enumerate(qv):
+            k = F.floor(F.lit(q) * (F.col("_n") - 1))
+            k1 = F.least(k + 1, F.col("_n") - 1)
+            top_rank = F.col(f"_lt{i}") + F.col(f"_eqlo{i}") + F.col(f"_in{i}") + F.col(f"_eqhi{i}")
+            miss.append((k < F.col(f"_lt{i}")) | (k1 >= top_rank))
+        flags = j.select(*gk, *[m.alias(f"_miss{i}") for i, m in enumerate(miss)],
+                         *[F.col(f"_in{i}") for i in range(len(names))])
+        agg = flags.agg(F.max(F.greatest(*[F.col(f"_in{i}") for i in range(len(names))], F.lit(0))).alias("top"),
+                        F.max(F.greatest(*[F.col(f"_miss{i}").cast("int") for i in range(len(names))], F.lit(0))).alias("miss")
+                        ).first()
+        if agg["miss"]:
+            # a bracket missed its rank (sketch bound violated): widen it to [min, max] and recount
+            fl = flags.select(*gk, *[f"_miss{i}" for i in range(len(names))])
+            w = st.join(fl, gk, "left")
+            for i in range(len(names)):
+                mi = F.coalesce(F.col(f"_miss{i}"), F.lit(False))
+                w = w.withColumn(f"_lo{i}", F.when(mi, F.col("_min")).otherwise(F.col(f"_lo{i}"))) \
+                     .withColumn(f"_hi{i}", F.when(mi, F.col("_max")).otherwise(F.col(f"_hi{i}")))
+            st = w.select(*st.columns).checkpoint(eager=True)
+            continue
+        if agg["top"] is None or agg["top"] <= max_collect:
             break
         # small per-group state; checkpointing cuts its lineage so later rounds plan in constant time
         st = _refine(base, st, cnt, gk, qv, max_collect, buckets).checkpoint(eager=True)

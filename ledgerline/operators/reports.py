@@ -260,17 +260,12 @@ def year_range(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- joins
 def left_join_country_totals(f: DataFrame, nation: DataFrame, preset: Preset) -> DataFrame:
     """J1 (D8 fixed: both sides mapped to one key): every dimension country, per
-    phase, with its total or NULL ("no data"). One left join per fixed phase."""
-    dim = nation.select(S.map_country("n_name").alias("country_mapped")).distinct()
-    tot = country_total_by_phase(f, preset)
-    parts = []
-    for p in preset.phases:
-        t = tot.where(F.col("phase") == p.label).drop("phase")
-        parts.append(dim.join(t, "country_mapped", "left").withColumn("phase", F.lit(p.label)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    phase, with its total or NULL ("no data"). The dimension is expanded by the
+    fixed phase labels (a generator, no join) and left-joined to the totals once."""
+    labels = F.array(*[F.lit(p.label) for p in preset.phases])
+    grid = nation.select(S.map_country("n_name").alias("country_mapped")).distinct().select(
+        "country_mapped", F.explode(labels).alias("phase"))
+    return grid.join(country_total_by_phase(f, preset), ["country_mapped", "phase"], "left")
 
 
 def group_stat_join_back(f: DataFrame, group: str = "sector", value: str = "amount") -> DataFrame:

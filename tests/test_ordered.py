@@ -77,3 +77,21 @@ def test_exact_quantiles_refinement_rounds(spark, cap):
     for key, sub in pdf.groupby("g"):
         for nm, q in qs.items():
             assert got.loc[key, nm] == pytest.approx(np.quantile(sub["v"], q), rel=1e-12, abs=1e-12)
+
+
+def test_exact_quantiles_recovers_from_bad_bracket(spark, monkeypatch):
+    """If the sketch bracket misses the target rank, the bracket is widened and refined."""
+    from ledgerline.operators import ordered as O
+    real = F.approx_percentile
+
+    def wrong(col, probs, acc):  # brackets far from the target
+        return F.array(*[F.lit(1e9) for _ in probs])
+    monkeypatch.setattr(O.F, "approx_percentile", wrong)
+    try:
+        rng = np.random.default_rng(1)
+        vals = rng.normal(0, 1, 3000)
+        df = spark.createDataFrame(pd.DataFrame({"g": "a", "v": vals}))
+        got = O.exact_quantiles(df, ["g"], "v", {"m": 0.5}, accuracy=10, max_collect=100, buckets=16).first()["m"]
+    finally:
+        monkeypatch.setattr(O.F, "approx_percentile", real)
+    assert got == pytest.approx(np.quantile(vals, 0.5), rel=1e-12)
