@@ -75,6 +75,9 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _MATERIALISED.get(key)
     if path is None:
         path = f"{shared_dir(spark)}/deals-{abs(hash(key)) % 10**10}"
-        (deals_frame(spark, sf_dir).write.mode("overwrite").partitionBy("year").parquet(path))
+        # rebalance by year: AQE sizes the write partitions (a hot year is split, small
+        # years are coalesced), so each task writes few, large files per year.
+        (deals_frame(spark, sf_dir).hint("rebalance", "year")
+         .write.mode("overwrite").partitionBy("year").parquet(path))
         _MATERIALISED[key] = path
     return spark.read.parquet(path).select(*DEALS_COLUMNS)
