@@ -337,7 +337,7 @@ def calendar_order(f: DataFrame) -> DataFrame:
     the fixed calendar with the observed levels)."""
     present = f.select(S.month_name("month").alias("month_name")).distinct()
     cal = f.sparkSession.createDataFrame([(m,) for m in MONTH_NAMES], "month_name string")
-    return cal.intersect(present).select("month_name", S.calendar_position("month_name").alias("position"))
+    return cal.intersect(present).select("month_name", S.calendar_position("month_name").cast("int").alias("position"))
 
 
 def dummy_encode(f: DataFrame, col: str, keep: list[str]) -> DataFrame:

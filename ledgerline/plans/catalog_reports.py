@@ -311,7 +311,7 @@ def q_describe_numeric(spark, sf):
 
 
 @register("describe_categorical", Q.with_features(f"""
-SELECT column_name, sum(c) AS count, count(*) AS "unique", first(v ORDER BY c DESC, v) AS top, max(c) AS freq
+SELECT column_name, CAST(sum(c) AS BIGINT) AS count, count(*) AS "unique", first(v ORDER BY c DESC, v) AS top, max(c) AS freq
 FROM (SELECT column_name, v, count(*) AS c FROM
       (UNPIVOT (SELECT {', '.join(_CAT)} FROM feat) ON {', '.join(_CAT)} INTO NAME column_name VALUE v)
       WHERE v IS NOT NULL GROUP BY 1, 2)
@@ -462,7 +462,7 @@ def q_calendar_order(spark, sf):
     from ..functions import scalar as S
     f = feat(spark, sf)
     return f.select(S.month_name("month").alias("month_name")).distinct().select(
-        "month_name", S.calendar_position("month_name").alias("position"))
+        "month_name", S.calendar_position("month_name").cast("int").alias("position"))
 
 
 @register("level_intersection", Q.with_tagged(f"""
@@ -608,7 +608,7 @@ FROM (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _NUM)} F
       ON {', '.join(_NUM)} INTO NAME column_name VALUE x)
 GROUP BY column_name
 UNION ALL
-SELECT column_name, sum(c), count(*), first(v ORDER BY c DESC, v), max(c), NULL, NULL, NULL, NULL, NULL, NULL, NULL
+SELECT column_name, CAST(sum(c) AS BIGINT), count(*), first(v ORDER BY c DESC, v), max(c), NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM (SELECT column_name, v, count(*) AS c FROM
       (UNPIVOT (SELECT {', '.join(_CAT)} FROM feat) ON {', '.join(_CAT)} INTO NAME column_name VALUE v)
       WHERE v IS NOT NULL GROUP BY 1, 2)

@@ -33,7 +33,7 @@ def _ols_sql(z: str) -> str:
        ((sst - ssr) / (k - 1)) / (ssr / (n_obs - k)) AS f_stat, k - 1 AS df_model, n_obs - k AS df_resid, n_obs, k,
        -2 * (-n_obs / 2.0 * (ln(2 * pi()) + ln(ssr / n_obs) + 1)) + 2 * k AS aic,
        -2 * (-n_obs / 2.0 * (ln(2 * pi()) + ln(ssr / n_obs) + 1)) + k * ln(n_obs) AS bic
-FROM (SELECT l.phase, sum(l.n) AS n_obs, count(*) AS n_levels,
+FROM (SELECT l.phase, CAST(sum(l.n) AS BIGINT) AS n_obs, count(*) AS n_levels,
         sum(CASE WHEN sxx > 0 THEN syy - sxy * sxy / sxx ELSE syy END) AS ssr,
         CAST(sum(CASE WHEN sxx > 0 THEN 2 ELSE 1 END) AS BIGINT) AS k, max(t.sst) AS sst
       FROM (SELECT phase, {z}, count(*) AS n, regr_sxx(log_amount, year) AS sxx, regr_sxy(log_amount, year) AS sxy,
@@ -285,7 +285,7 @@ def q_phase_histogram(spark, sf):
 
 
 @register("grouped_density", Q.with_deals("""
-SELECT region, j AS grid_index, round(lo + (j + 0.5) * step, 4) AS x, round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight,
+SELECT region, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x, round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))) / (n * bw * sqrt(2 * pi())), 12) AS density
 FROM (SELECT cells.region, cell, c, n, bw, step, lo, unnest(range(greatest(cell - m, 0), least(cell + m, 511) + 1)) AS j
       FROM (SELECT d.region, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c

@@ -90,7 +90,7 @@ def features(p: Preset = PRESET_A) -> str:
        0.7 * avg(log_amount) OVER (PARTITION BY sector) + 0.3 * avg(log_amount) OVER () AS sector_blend,
        0.7 * avg(log_amount) OVER (PARTITION BY region) + 0.3 * avg(log_amount) OVER () AS region_blend,
        {', '.join(roll)},
-       sum(post_policy) OVER (ORDER BY year, deal_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS policy_cumulative
+       CAST(sum(post_policy) OVER (ORDER BY year, deal_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS policy_cumulative
   FROM tagged),
 feat AS (SELECT *, sector_code * year AS sector_year_int, region_code * post_policy AS region_policy_int FROM feat0)"""
 
