@@ -228,9 +228,16 @@ def pairwise_groups(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def pairwise_groups_tests(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
-    p = pairwise_groups(df, group, value)
-    return p.withColumn("p_value", dist.t_pvalue(F.col("t"), F.col("dof"))) \
-        .withColumn("significant", F.col("p_value") < alpha)
+    """T5 (tests): Welch p-value per pair and its Holm adjustment over all pairs
+    (step-down: sorted p times (m - rank + 1), running maximum, capped at 1); the
+    pair table has one row per pair of groups, so the ordering window is small."""
+    p = pairwise_groups(df, group, value).withColumn("p_value", dist.t_pvalue(F.col("t"), F.col("dof")))
+    order = Window.orderBy("p_value", "group_a", "group_b")
+    m = F.count(F.lit(1)).over(Window.partitionBy())
+    p = p.withColumn("_r", F.row_number().over(order)).withColumn("_m", m)
+    p = p.withColumn("_s", F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col("p_value")))
+    p = p.withColumn("p_holm", F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return p.drop("_r", "_m", "_s").withColumn("significant", F.col("p_holm") < alpha)
 
 
 # ------------------------------------------------------------------ T6-T7
@@ -275,6 +282,12 @@ def one_sample_t(df: DataFrame, group: str, value: str) -> DataFrame:
         .withColumn("t", F.col("mean") / (F.col("sd") / F.sqrt("n")))
 
 
+def one_sample_t_tests(df: DataFrame, group: str, value: str) -> DataFrame:
+    """T9 (tests): two-sided p-value of the one-sample t against 0."""
+    t = one_sample_t(df, group, value)
+    return t.withColumn("p_value", dist.t_pvalue(F.col("t"), F.col("n") - 1))
+
+
 def grouped_density(df: DataFrame, group: str, value: str, grid: int = 512, cut: float = 3.0,
                     accuracy: int = 2000) -> DataFrame:
     """Gaussian kernel density per group on a ``grid``-point grid spanning

@@ -269,6 +269,15 @@ def q_phase_histogram_ttest(spark, sf):
     return _r(I.one_sample_t(j, "phase", "amount"))
 
 
+@register("phase_histogram_ttest_tests")
+def q_phase_histogram_ttest_tests(spark, sf):
+    """T9 (tests): p-value of the per-phase one-sample t."""
+    from ..functions.scalar import phase_label_text
+    d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True)
+    j = R.phase_range_join(d.select("year", "amount"), PB).withColumn("phase", phase_label_text("phase_label"))
+    return I.one_sample_t_tests(j, "phase", "amount")
+
+
 @register("phase_histogram", Q.with_deals("""
 SELECT phase, bin, round(lo + bin * (hi - lo) / 30, 6) AS edge, count(*) AS count FROM (
   SELECT phase, CASE WHEN hi > lo THEN CAST(least(floor((amount - lo) / ((hi - lo) / 30)), 29) AS INT) ELSE 0 END AS bin, lo, hi

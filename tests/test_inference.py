@@ -112,3 +112,14 @@ def test_density_integrates_to_one(spark):
         sub = sub.sort_values("x")
         step = np.diff(sub["x"]).min()
         assert (sub["density"].sum() * step) == pytest.approx(1.0, abs=0.01)
+
+
+def test_holm_adjustment(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": np.repeat(["a", "b", "c", "d"], 40),
+                        "v": np.concatenate([rng.normal(m, 1, 40) for m in (0, 0.2, 0.8, 1.5)])})
+    t = I.pairwise_groups_tests(spark.createDataFrame(pdf), "g", "v").toPandas().sort_values("p_value")
+    p = t["p_value"].to_numpy()
+    m = len(p)
+    holm = np.minimum(1, np.maximum.accumulate((m - np.arange(m)) * p))
+    np.testing.assert_allclose(t["p_holm"].to_numpy(), holm)
