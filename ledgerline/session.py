@@ -16,6 +16,16 @@ from pyspark.sql import SparkSession
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
+def _default_driver_memory() -> str:
+    """About 60% of physical memory, at most 16g (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        gb = max(1, min(16, int(total * 0.6 / 2**30)))
+        return f"{gb}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def build_session(master: str | None = None, app: str = "ledgerline", shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
     master = master or os.environ.get("LEDGERLINE_MASTER") or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
@@ -27,7 +37,7 @@ def build_session(master: str | None = None, app: str = "ledgerline", shuffle_pa
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-         .config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEM", "16g")))
+         .config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEM") or _default_driver_memory()))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
