@@ -67,12 +67,14 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
       excluded, so the feature does not contain the target; NULL on a group's
       first row).
 
-    Rows are hash-partitioned once by ``(year, block)``; the per-group chunks
-    ``(group, year, block)`` and the running count's ``(year, block)`` both live inside
-    one such partition, so both windows reuse that exchange. Only the first ``k - 1``
-    rows of each chunk need rows of earlier chunks: they are recomputed on the small
-    table of chunk heads and tails (<= 2(k-1) rows per chunk). The running count adds
-    a prefix offset from the small table of per-(year, block) counts.
+    The wide rows are hash-partitioned once by ``(year, block)``; the per-group
+    chunks ``(group, year, block)`` and the running count's ``(year, block)`` both
+    live inside one such partition, so both windows use that one exchange. Only the
+    first ``k - 1`` (``k`` when lagged) rows of each chunk need rows of earlier
+    chunks: a narrow pass (key, order, group, value) finds every chunk's heads and
+    tails and recomputes the heads' statistics on that small table (<= 2h rows per
+    chunk), joined back by key. The running count adds a prefix offset from the
+    small table of per-(year, block) counts.
 
     Block cut points are computed per year (a year holding a third of the rows is
     still cut into ``n_blocks`` balanced blocks). ``narrow`` (a frame with the same
@@ -103,26 +105,33 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
                 cols.append(F.stddev_samp(value).over(f).alias(f"{prefix}_lag_std_{k}"))
         return cols
 
-    w_yb = Window.partitionBy(ocol, "_blk").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    # 1) narrow pass (group, order, key, value): chunk heads and tails -> exact
+    #    statistics for the first h rows of every chunk. Small (<= 2h rows per chunk).
     w_chunk = Window.partitionBy(group, ocol, "_blk").orderBy(ocol, key)
     w_all = Window.partitionBy(group, ocol, "_blk")
-    wd = (d.repartition(ocol, "_blk")
-          .select(*base_cols, "_blk", F.sum(F.col(flag).cast("long")).over(w_yb).alias("_loc"))
-          .select(*base_cols, "_blk", "_loc", *stats(w_chunk),
-                  F.row_number().over(w_chunk).alias("_rn"), F.count(F.lit(1)).over(w_all).alias("_cnt")))
-    body = wd.where(F.col("_rn") > h).select(*base_cols, "_blk", "_loc", *out_cols)
-    edge = wd.where((F.col("_rn") <= h) | (F.col("_rn") > F.col("_cnt") - h)).select(
-        *base_cols, "_blk", "_loc", "_rn")
+    nb = narrow.select(group, ocol, key, value, flag).join(F.broadcast(gb), ocol) \
+        .withColumn("_blk", block_in(key)).drop("_bounds")
+    nw = nb.select(group, ocol, key, value, F.row_number().over(w_chunk).alias("_rn"),
+                   F.count(F.lit(1)).over(w_all).alias("_cnt"))
+    edge = nw.where((F.col("_rn") <= h) | (F.col("_rn") > F.col("_cnt") - h))
     w_grp = Window.partitionBy(group).orderBy(ocol, key)
-    fixed = (edge.select(*base_cols, "_blk", "_loc", "_rn", *stats(w_grp))
-             .where(F.col("_rn") <= h).select(*base_cols, "_blk", "_loc", *out_cols))
-    # small table: one row per (year, block) -> exclusive prefix sums
-    per = (narrow.select(ocol, key, flag).join(F.broadcast(gb), ocol).withColumn("_blk", block_in(key))
-           .groupBy(ocol, "_blk").agg(F.sum(F.col(flag).cast("long")).alias("_c")))
+    fixed = (edge.select(key, "_rn", *stats(w_grp)).where(F.col("_rn") <= h)
+             .select(key, *[F.col(c).alias(f"_f_{c}") for c in out_cols])).cache()
+    fixed.count()
+    # small table: one row per (year, block) -> exclusive prefix sums of the flag
+    per = nb.groupBy(ocol, "_blk").agg(F.sum(F.col(flag).cast("long")).alias("_c"))
     wp = Window.orderBy(ocol, "_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select(ocol, "_blk", F.coalesce(F.sum("_c").over(wp), F.lit(0)).alias("_off"))
-    return (body.unionByName(fixed).join(offs, [ocol, "_blk"])
-            .withColumn(count_out, F.col("_off") + F.col("_loc")).drop("_blk", "_off", "_loc"))
+    # 2) the single shuffle of the wide rows: in-chunk statistics and in-block running
+    #    sum; the first h rows of each chunk take the fixed values (small join).
+    w_yb = Window.partitionBy(ocol, "_blk").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    wd = (d.repartition(ocol, "_blk")
+          .select(*base_cols, "_blk", F.sum(F.col(flag).cast("long")).over(w_yb).alias("_loc"))
+          .select(*base_cols, "_blk", "_loc", *stats(w_chunk), F.row_number().over(w_chunk).alias("_rn")))
+    out = wd.join(fixed, key, "left").join(offs, [ocol, "_blk"])
+    return out.select(*base_cols,
+                      *[F.when(F.col("_rn") <= h, F.col(f"_f_{c}")).otherwise(F.col(c)).alias(c) for c in out_cols],
+                      (F.col("_off") + F.col("_loc")).alias(count_out))
 
 
 def _bracket_counts(base: DataFrame, st: DataFrame, gk: list[str], nq: int) -> DataFrame:
