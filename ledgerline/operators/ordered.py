@@ -188,13 +188,51 @@ def _refine(base: DataFrame, st: DataFrame, cnt: DataFrame, gk: list[str], qs: l
     return out
 
 
+def _narrow_brackets(base: DataFrame, st: DataFrame, gk: list[str], names: list[str], qv: list[float],
+                     max_collect: int, buckets: int, max_rounds: int) -> DataFrame:
+    """Step 2 of :func:`exact_quantiles`: verify that each bracket contains its
+    target ranks (widen a miss to [min, max]) and refine brackets until each holds
+    at most ``max_collect`` inside values."""
+    for _ in range(max_rounds):
+        cnt = _bracket_counts(base, st, gk, len(names)).checkpoint(eager=True)
+        # containment: both target ranks must lie inside [lt, lt + eqlo + in + eqhi)
+        j = st.join(cnt, gk)
+        miss = []
+        for i, q in enumerate(qv):
+            k = F.floor(F.lit(q) * (F.col("_n") - 1))
+            k1 = F.least(k + 1, F.col("_n") - 1)
+            top_rank = F.col(f"_lt{i}") + F.col(f"_eqlo{i}") + F.col(f"_in{i}") + F.col(f"_eqhi{i}")
+            miss.append((k < F.col(f"_lt{i}")) | (k1 >= top_rank))
+        flags = j.select(*gk, *[m.alias(f"_miss{i}") for i, m in enumerate(miss)],
+                         *[F.col(f"_in{i}") for i in range(len(names))])
+        agg = flags.agg(F.max(F.greatest(*[F.col(f"_in{i}") for i in range(len(names))], F.lit(0))).alias("top"),
+                        F.max(F.greatest(*[F.col(f"_miss{i}").cast("int") for i in range(len(names))], F.lit(0))).alias("miss")
+                        ).first()
+        if agg["miss"]:
+            # a bracket missed its rank (sketch bound violated): widen it to [min, max] and recount
+            fl = flags.select(*gk, *[f"_miss{i}" for i in range(len(names))])
+            w = st.join(fl, gk, "left")
+            for i in range(len(names)):
+                mi = F.coalesce(F.col(f"_miss{i}"), F.lit(False))
+                w = w.withColumn(f"_lo{i}", F.when(mi, F.col("_min")).otherwise(F.col(f"_lo{i}"))) \
+                     .withColumn(f"_hi{i}", F.when(mi, F.col("_max")).otherwise(F.col(f"_hi{i}")))
+            st = w.select(*st.columns).checkpoint(eager=True)
+            continue
+        if agg["top"] is None or agg["top"] <= max_collect:
+            break
+        # small per-group state; checkpointing cuts its lineage so later rounds plan in constant time
+        st = _refine(base, st, cnt, gk, qv, max_collect, buckets).checkpoint(eager=True)
+    return st
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
                     accuracy: int = 2000, max_collect: int = 200_000, buckets: int = 1024,
                     max_rounds: int = 8) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas/DuckDB ``quantile_cont``) per group,
     with bounded per-task memory whatever the group size.
 
-    1. One aggregation: count, min, max and one sketch per group
+    0. One aggregation: count, min, max per group. If no group exceeds
+       ``max_collect`` rows, every group is picked from whole (skip to 3).
+    1. One aggregation: one sketch per group
        (``approx_percentile``, rank error <= n/accuracy) bracketing every target rank
        with 3x margin; groups with n <= 10*accuracy take [min, max] instead.
     2. Count, per group and target, the rows below / equal to the bracket ends /
@@ -219,44 +257,23 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     probs = []
     for q in qv:
         probs += [max(q - eps, 0.0), min(q + eps, 1.0)]
-    sk = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-                               F.approx_percentile("_x", probs, accuracy).alias("_p"))
-    st = sk.select(*gk, "_n", "_min", "_max", *[c for i in range(len(names)) for c in (
-        F.when(F.col("_n") <= small, F.col("_min")).otherwise(F.col("_p")[2 * i]).alias(f"_lo{i}"),
-        F.when(F.col("_n") <= small, F.col("_max")).otherwise(F.col("_p")[2 * i + 1]).alias(f"_hi{i}"))])
     from ..session import shared_dir
     shared_dir(df.sparkSession)  # checkpoints go to the shared folder
-    st = st.cache()
-    st.count()
-    for _ in range(max_rounds):
-        cnt = _bracket_counts(base, st, gk, len(names)).checkpoint(eager=True)
-        # containment: both target ranks must lie inside [lt, lt + eqlo + in + eqhi)
-        j = st.join(cnt, gk)
-        miss = []
-        for i, q in enumerate(qv):
-            k = F.floor(F.lit(q) * (F.col("_n") - 1))
-            k1 = F.least(k + 1, F.col("_n") - 1)
-            top_rank = F.col(f"_lt{i}") + F.col(f"_eqlo{i}") + F.col(f"_in{i}") + F.col(f"_eqhi{i}")
-            miss.append((k < F.col(f"_lt{i}")) | (k1 >= top_rank))
-        flags = j.select(*gk, *[m.alias(f"_miss{i}") for i, m in enumerate(miss)],
-                         *[F.col(f"_in{i}") for i in range(len(names))])
-        agg = flags.agg(F.max(F.greatest(*[F.col(f"_in{i}") for i in range(len(names))], F.lit(0))).alias("top"),
-                        F.max(F.greatest(*[F.col(f"_miss{i}").cast("int") for i in range(len(names))], F.lit(0))).alias("miss")
-                        ).first()
-        if agg["miss"]:
-            # a bracket missed its rank (sketch bound violated): widen it to [min, max] and recount
-            fl = flags.select(*gk, *[f"_miss{i}" for i in range(len(names))])
-            w = st.join(fl, gk, "left")
-            for i in range(len(names)):
-                mi = F.coalesce(F.col(f"_miss{i}"), F.lit(False))
-                w = w.withColumn(f"_lo{i}", F.when(mi, F.col("_min")).otherwise(F.col(f"_lo{i}"))) \
-                     .withColumn(f"_hi{i}", F.when(mi, F.col("_max")).otherwise(F.col(f"_hi{i}")))
-            st = w.select(*st.columns).checkpoint(eager=True)
-            continue
-        if agg["top"] is None or agg["top"] <= max_collect:
-            break
-        # small per-group state; checkpointing cuts its lineage so later rounds plan in constant time
-        st = _refine(base, st, cnt, gk, qv, max_collect, buckets).checkpoint(eager=True)
+    sizes = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"),
+                                  F.max("_x").alias("_max")).cache()
+    max_n = sizes.agg(F.max("_n")).first()[0] or 0
+    if max_n <= max_collect:
+        # every group is small enough to be picked from whole: bracket = [min, max]
+        st = sizes.select(*gk, "_n", "_min", "_max", *[c for i in range(len(names)) for c in (
+            F.col("_min").alias(f"_lo{i}"), F.col("_max").alias(f"_hi{i}"))])
+    else:
+        sk = base.groupBy(*gk).agg(F.approx_percentile("_x", probs, accuracy).alias("_p")).join(sizes, gk)
+        st = sk.select(*gk, "_n", "_min", "_max", *[c for i in range(len(names)) for c in (
+            F.when(F.col("_n") <= small, F.col("_min")).otherwise(F.col("_p")[2 * i]).alias(f"_lo{i}"),
+            F.when(F.col("_n") <= small, F.col("_max")).otherwise(F.col("_p")[2 * i + 1]).alias(f"_hi{i}"))])
+        st = st.cache()
+        st.count()
+        st = _narrow_brackets(base, st, gk, names, qv, max_collect, buckets, max_rounds)
     j = base.join(F.broadcast(st), gk)
     aggs = [F.first("_n").alias("_n")]
     for i, _ in enumerate(names):
