@@ -8,7 +8,7 @@ the brute-force definition of what the Spark side computes in chunks).
 
 from __future__ import annotations
 
-from ..config import (BRI_TOKENS, GREENFIELD_TOKENS, MISSING_TOKENS, PRESET_A, Preset)
+from ..config import GREENFIELD_TOKENS, MISSING_TOKENS, PRESET_A, Preset
 
 
 def _list(vals) -> str:
