@@ -95,3 +95,20 @@ def test_exact_quantiles_recovers_from_bad_bracket(spark, monkeypatch):
     finally:
         monkeypatch.setattr(O.F, "approx_percentile", real)
     assert got == pytest.approx(np.quantile(vals, 0.5), rel=1e-12)
+
+
+def test_hot_year_is_split_into_balanced_blocks(spark):
+    """A year holding most rows is cut into ~n equal blocks by its own cut points."""
+    from ledgerline.operators.ordered import block_in, group_bounds
+    rng = np.random.default_rng(5)
+    n = 20000
+    year = np.where(rng.random(n) < 0.6, 2003, rng.choice([2001, 2002, 2004], n))
+    pdf = pd.DataFrame({"deal_id": rng.permutation(n), "year": year,
+                        "sector": np.where(rng.random(n) < 0.7, "hot", "other")})
+    df = spark.createDataFrame(pdf)
+    gb = group_bounds(df, "year", "deal_id", 16)
+    sizes = (df.join(gb, "year").withColumn("_blk", block_in("deal_id")).groupBy("year", "_blk").count()
+             .toPandas())
+    hot = sizes[sizes["year"] == 2003]["count"]
+    assert len(hot) == 16
+    assert hot.max() <= 1.3 * (pdf["year"] == 2003).sum() / 16
