@@ -21,13 +21,15 @@ from pyspark.sql import types as T
 
 from . import prep as P
 
+# Small default grids (each setting x fold is one distributed fit); pass larger
+# grids for real searches.
 REG_GRID = {
     "gbt": [{"maxDepth": 3, "maxIter": 20, "stepSize": 0.1}, {"maxDepth": 5, "maxIter": 20, "stepSize": 0.1}],
-    "rf": [{"maxDepth": 5, "numTrees": 20}, {"maxDepth": 8, "numTrees": 20}],
+    "rf": [{"maxDepth": 8, "numTrees": 20}],
 }
 CLF_GRID = {
-    "gbt": [{"maxDepth": 3, "maxIter": 20, "stepSize": 0.1}, {"maxDepth": 5, "maxIter": 20, "stepSize": 0.1}],
-    "gbt_weighted": [{"maxDepth": 3, "maxIter": 20, "stepSize": 0.1}],
+    "gbt": [{"maxDepth": 4, "maxIter": 20, "stepSize": 0.1}],
+    "gbt_weighted": [{"maxDepth": 4, "maxIter": 20, "stepSize": 0.1}],
     "rf": [{"maxDepth": 8, "numTrees": 20}],
 }
 
@@ -63,7 +65,7 @@ def design(train: DataFrame, other: list[DataFrame], num: list[str], cat: list[s
 
 
 def tune_regression(df: DataFrame, target: str = "log_amount", num=None, cat=None, n_splits: int = 5,
-                    grid: dict | None = None, parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
+                    grid: dict | None = None, parallelism: int = 6) -> tuple[DataFrame, DataFrame]:
     """M6: expanding-window search. For every setting, pooled out-of-fold
     predictions over the usable folds -> RMSE(log) and MAPE (M7); best = lowest
     MAPE (D3 fixed: minimised). Returns (summary, best out-of-fold predictions)."""
@@ -72,10 +74,15 @@ def tune_regression(df: DataFrame, target: str = "log_amount", num=None, cat=Non
     d = d.persist()
     usable = sorted(r[0] for r in d.select("test_fold").where("test_fold IS NOT NULL").distinct().collect())
     splits = []
-    for i in usable:
+    def fold_design(i):
         tr = d.where(F.col("first_train_fold") <= i)
         te = d.where(F.col("test_fold") == i)
-        splits.append((i, *design(tr, [te], num, cat, target, ["deal_id", "position"])))
+        tr, te = design(tr, [te], num, cat, target, ["deal_id", "position"])
+        return i, tr.select("deal_id", "label", "features").persist(), te.select("deal_id", "label", "features").persist()
+
+    with ThreadPoolExecutor(max(1, parallelism)) as ex:
+        splits = list(ex.map(fold_design, usable))
+    cached = [x for _, tr, te in splits for x in (tr, te)]
     settings = [(name, p) for name, ps in grid.items() for p in ps]
 
     def run(setting):
@@ -97,12 +104,14 @@ def tune_regression(df: DataFrame, target: str = "log_amount", num=None, cat=Non
     summary = spark.createDataFrame(
         [r + (k == best,) for k, r in enumerate(rows)],
         "model string, params string, rmse_log double, mape double, n_oof long, is_best boolean")
+    for c in cached:
+        c.unpersist()
     d.unpersist()
     return summary, results[best][3]
 
 
 def tune_classification(df: DataFrame, target: str = "adaptive_target", num=None, cat=None, k: int = 5,
-                        grid: dict | None = None, parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
+                        grid: dict | None = None, parallelism: int = 6) -> tuple[DataFrame, DataFrame]:
     """M8: stratified 70/30 split (M3), stratified k folds on the training part (M4),
     search by mean fold ROC-AUC (M9), refit of each family's best on the whole
     training part, held-out accuracy and AUC. Returns (summary, test predictions of
@@ -111,14 +120,18 @@ def tune_classification(df: DataFrame, target: str = "adaptive_target", num=None
     d = P.split_stratified(df.where(F.col(target).isNotNull()), target)
     w = P.class_weight(d.where("is_test = 0"), target).select(target, "weight")
     d = d.join(F.broadcast(w), target).persist()
-    train = P.folds_stratified(d.where("is_test = 0"), target, k)
+    train = P.folds_stratified(d.where("is_test = 0"), target, k).persist()
     test = d.where("is_test = 1")
     keep = ["deal_id", "weight"]
-    folds = []
-    for i in range(k):
+    def fold_design(i):
         tr, te = design(train.where(F.col("fold") != i), [train.where(F.col("fold") == i)], num, cat, target,
                         keep)
-        folds.append((tr, te))
+        return (tr.select("deal_id", "weight", "label", "features").persist(),
+                te.select("deal_id", "weight", "label", "features").persist())
+
+    with ThreadPoolExecutor(max(1, parallelism)) as ex:
+        folds = list(ex.map(fold_design, range(k)))
+    cached = [train] + [x for pair in folds for x in pair]
     settings = [(name, p) for name, ps in grid.items() for p in ps]
 
     def prob(model, data):
@@ -153,6 +166,8 @@ def tune_classification(df: DataFrame, target: str = "adaptive_target", num=None
     summary = spark.createDataFrame([r + (i == best,) for i, r in enumerate(rows)],
                                     "model string, params string, cv_auc double, accuracy double, roc_auc double, "
                                     "is_best boolean")
+    for c in cached:
+        c.unpersist()
     d.unpersist()
     return summary, preds[rows[best][0]]
 
