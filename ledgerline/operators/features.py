@@ -18,6 +18,7 @@ from ..config import Preset
 from ..functions import scalar as S
 from ..session import shared_dir
 from .clean import clean_rows, with_optional
+from .common import scalars
 from .ordered import exact_quantiles, ordered_features
 
 CATEGORY_COLUMNS = ["sector", "region", "investor", "deal_type", "phase", "subsector", "country"]
@@ -59,10 +60,10 @@ def tag(df: DataFrame, preset: Preset) -> DataFrame:
 def group_mean_blend(df: DataFrame, group: str, value: str, out: str, w_group: float = 0.7) -> DataFrame:
     """W * mean(value | group) + (1 - w) * global mean(value)."""
     gm = df.groupBy(group).agg(F.avg(value).alias("_gm"))
-    glob = df.agg(F.avg(value).alias("_glob"))
-    return (df.join(gm, group, "left").join(F.broadcast(glob), F.lit(True), "left")
-            .withColumn(out, w_group * F.col("_gm") + (1 - w_group) * F.col("_glob"))
-            .drop("_gm", "_glob"))
+    glob = scalars(df.agg(F.avg(value).alias("g")))["g"]
+    return (df.join(gm, group, "left")
+            .withColumn(out, w_group * F.col("_gm") + (1 - w_group) * F.lit(glob).cast("double"))
+            .drop("_gm"))
 
 
 def adaptive_target(df: DataFrame, value: str = "amount", q: float = 0.7, out: str = "adaptive_target",
@@ -117,12 +118,12 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
     # reads them from memory instead of re-deriving them per join; their measured
     # in-memory size then drives the broadcast decision.
     qq = _small(exact_quantiles(stacked, ["_k"], "amount", {"_med": 0.5, "_q70": 0.7}, acc))
-    gq = qq.where("_k = -1").select("_med", "_q70")                                   # one row
+    gq = scalars(qq.where("_k = -1").select("_med", "_q70"))                         # two numbers
     yq = qq.where("_k <> -1").select(F.col("_k").cast("int").alias("year"), F.col("_q70").alias("_qy"))
     cs = _small(category_summaries(t, list(dict.fromkeys(["sector", "region"] + CODED_COLUMNS)), "log_amount"))
-    glob = cs.where(F.col("column_name").isNull()).select(F.col("mean").alias("_glob"))  # one row
-    d = (t.join(F.broadcast(gq), F.lit(True), "left").join(F.broadcast(glob), F.lit(True), "left")
-         .join(yq, "year", "left"))
+    glob = scalars(cs.where(F.col("column_name").isNull()).select("mean"))["mean"]    # one number
+    d = (t.withColumn("_med", F.lit(gq["_med"]).cast("double")).withColumn("_q70", F.lit(gq["_q70"]).cast("double"))
+         .withColumn("_glob", F.lit(glob).cast("double")).join(yq, "year", "left"))
     for c in CODED_COLUMNS:
         lv = cs.where(F.col("column_name") == c).select(
             F.col("level").alias(c), "mean",

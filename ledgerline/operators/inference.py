@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from .common import scalars
 from .ordered import exact_quantiles
 
 LN2PI = math.log(2 * math.pi)
@@ -166,9 +167,11 @@ def welch_ttest(df: DataFrame, group: str, value: str) -> DataFrame:
     group.) Exactly two levels are expected."""
     mo = group_moments(df, group, value)
     r = mo.withColumn("r", F.row_number().over(Window.orderBy(group)))
-    g1 = r.where("r = 1").select(*[F.col(c).alias(f"{c}1") for c in (group, "n", "mean", "var")])
-    g2 = r.where("r = 2").select(*[F.col(c).alias(f"{c}2") for c in (group, "n", "mean", "var")])
-    j = g1.join(g2, F.lit(True))
+    # the two group rows side by side (pivot on the group's rank, no join)
+    j = r.where("r <= 2").groupBy().pivot("r", [1, 2]).agg(
+        F.first(group).alias("g"), F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("var").alias("var"))
+    j = j.select(*[F.col(f"{i}_{c}").alias(f"{c if c != 'g' else group}{i}") for i in (1, 2)
+                   for c in ("g", "n", "mean", "var")])
     n1, n2, m1, m2, v1, v2 = (F.col(c) for c in ("n1", "n2", "mean1", "mean2", "var1", "var2"))
     se = F.sqrt(v1 / n1 + v2 / n2)
     dof = (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1))
@@ -194,9 +197,10 @@ def welch_anova(df: DataFrame, group: str, value: str) -> DataFrame:
     mo = group_moments(df, group, value).where("n >= 2 AND var > 0")
     w = F.col("n") / F.col("var")
     t = mo.select("*", w.alias("w"))
-    agg = t.agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("wsum"),
-                (F.sum(F.col("w") * F.col("mean"))).alias("wm"))
-    j = t.join(agg, F.lit(True)).withColumn("mu", F.col("wm") / F.col("wsum"))
+    sc = scalars(t.agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("wsum"),
+                       (F.sum(F.col("w") * F.col("mean"))).alias("wm")))
+    j = t.withColumn("k", F.lit(sc["k"]).cast("long")).withColumn("wsum", F.lit(sc["wsum"]).cast("double")) \
+        .withColumn("mu", F.lit(sc["wm"]).cast("double") / F.col("wsum"))
     s = j.groupBy("k", "wsum").agg(
         F.sum(F.col("w") * (F.col("mean") - F.col("mu")) ** 2).alias("A0"),
         F.sum((1 - F.col("w") / F.col("wsum")) ** 2 / (F.col("n") - 1)).alias("lam"))
@@ -267,7 +271,11 @@ def histogram(df: DataFrame, value: str, bins: int, group: str | None = None) ->
     """Equal-width bins over [min, max] (last bin closed); non-empty bins only."""
     keys = [group] if group else []
     mm = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    j = df.select(*keys, value).join(mm, keys) if keys else df.select(value).join(F.broadcast(mm), F.lit(True))
+    if keys:
+        j = df.select(*keys, value).join(mm, keys)
+    else:
+        sc = scalars(mm)
+        j = df.select(value, F.lit(sc["lo"]).cast("double").alias("lo"), F.lit(sc["hi"]).cast("double").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
     b = F.when(F.col("hi") > F.col("lo"), b).otherwise(F.lit(0))

@@ -211,9 +211,11 @@ def dml_effect(df: DataFrame, outcome: str = "log_amount", treatment: str = "pos
 
 def residual_effect(r: DataFrame) -> DataFrame:
     """G5 final stage on a residual table (ry, rt): one aggregation."""
-    s = r.agg(F.sum(F.col("rt") * F.col("ry")).alias("sty"), F.sum(F.col("rt") ** 2).alias("stt"),
-              F.count(F.lit(1)).alias("n"))
-    j = r.join(F.broadcast(s), F.lit(True)).withColumn("theta", F.col("sty") / F.col("stt"))
+    from .common import scalars
+    s = scalars(r.agg(F.sum(F.col("rt") * F.col("ry")).alias("sty"), F.sum(F.col("rt") ** 2).alias("stt"),
+                      F.count(F.lit(1)).alias("n")))
+    j = r.select("*", F.lit(s["sty"] / s["stt"]).cast("double").alias("theta"),
+                 F.lit(s["stt"]).cast("double").alias("stt"), F.lit(s["n"]).cast("long").alias("n"))
     v = j.groupBy("theta", "stt", "n").agg(F.sum((F.col("rt") ** 2) * (F.col("ry") - F.col("theta") * F.col("rt")) ** 2)
                                            .alias("meat"))
     se = F.sqrt(F.col("meat")) / F.col("stt")

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import scalars
 from .ordered import block_in, block_of, exact_quantiles, group_bounds, key_bounds
 
 # Model inputs. The rolling statistics are the lagged ones (previous deals only):
@@ -139,8 +140,8 @@ def folds_expanding(df: DataFrame, n_splits: int = 5, min_train: int = 20, order
     Folds whose training window is shorter than ``min_train`` are marked unusable
     via ``first_train_fold`` / ``test_fold`` staying within usable folds only."""
     d = row_index(df, order, "position", n_blocks)
-    n = d.agg(F.count(F.lit(1)).alias("_n"))
-    j = d.join(F.broadcast(n), F.lit(True))
+    n = scalars(d.agg(F.count(F.lit(1)).alias("n")))["n"]
+    j = d.withColumn("_n", F.lit(n).cast("long"))
     ts = F.floor(F.col("_n") / (n_splits + 1))
     # fold i test block = [n - (n_splits - i) * ts, n - (n_splits - i - 1) * ts)
     start0 = F.col("_n") - n_splits * ts
@@ -203,11 +204,11 @@ def roc_auc(pred: DataFrame, label: str, score: str, group: list[str] | None = N
         return s.groupBy(*group).agg(
             (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
     p = _desc_prefix(score_groups(pred, label, score))
-    tot = p.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    neg_below = F.col("N") - F.col("neg_above") - F.col("neg")
-    return p.join(F.broadcast(tot), F.lit(True)).groupBy("P", "N").agg(
-        F.sum(F.col("pos") * (neg_below + F.col("neg") / 2)).alias("_s")).select(
-        (F.col("_s") / (F.col("P") * F.col("N"))).alias("auc"))
+    p = p.cache()
+    tot = scalars(p.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
+    P_, N_ = float(tot["P"] or 0), float(tot["N"] or 0)
+    neg_below = F.lit(N_) - F.col("neg_above") - F.col("neg")
+    return p.agg((F.sum(F.col("pos") * (neg_below + F.col("neg") / 2)) / F.lit(P_ * N_)).alias("auc"))
 
 
 def accuracy(pred: DataFrame, label: str, predicted: str) -> DataFrame:
@@ -232,9 +233,10 @@ def pr_curve(pred: DataFrame, label: str, score: str) -> DataFrame:
     """Precision and recall at every distinct score threshold (score >= t),
     down to the first threshold that reaches full recall."""
     p = _desc_prefix(score_groups(pred, label, score))
-    tot = p.agg(F.sum("pos").alias("P"))
+    p = p.cache()
+    P_ = scalars(p.agg(F.sum("pos").alias("P")))["P"]
     tp = F.col("pos_above") + F.col("pos")
     fp = F.col("neg_above") + F.col("neg")
-    return p.join(F.broadcast(tot), F.lit(True)).where(F.col("pos_above") < F.col("P")).select(
+    return p.withColumn("P", F.lit(P_).cast("long")).where(F.col("pos_above") < F.col("P")).select(
         F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
         (tp / (tp + fp)).alias("precision"), (tp / F.col("P")).alias("recall"))

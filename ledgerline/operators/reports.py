@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import HHI_BAND_LABELS, HHI_BANDS, MONTH_NAMES, Preset
 from ..functions import scalar as S
+from .common import scalars
 from .ordered import exact_quantiles
 
 
@@ -48,9 +49,11 @@ def investor_counts_by_phase(f: DataFrame, preset: Preset, top: int | None = Non
         F.count(F.lit(1)).alias("n"))
     r = c.withColumn("rank", F.row_number().over(
         Window.partitionBy("phase_label").orderBy(F.desc("n"), F.asc("investor")))).where(F.col("rank") <= top)
-    ext = r.agg(F.min("n").alias("global_min"), F.max("n").alias("global_max"))
-    return r.join(F.broadcast(ext), F.lit(True), "left").withColumnRenamed("phase_label", "phase") \
-        .withColumn("rank", F.col("rank").cast("int"))
+    r = r.cache()
+    ext = scalars(r.agg(F.min("n").alias("global_min"), F.max("n").alias("global_max")))
+    return (r.withColumn("global_min", F.lit(ext["global_min"]).cast("bigint"))
+            .withColumn("global_max", F.lit(ext["global_max"]).cast("bigint"))
+            .withColumnRenamed("phase_label", "phase").withColumn("rank", F.col("rank").cast("int")))
 
 
 def sector_total_by_phase(f: DataFrame, preset: Preset) -> DataFrame:
@@ -84,9 +87,8 @@ def country_phase_extremes(f: DataFrame, preset: Preset) -> DataFrame:
     """Max over (mapped country x year bin) sums; min over raw amounts."""
     b = (f.select(S.map_country("country").alias("c"), S.bin_year("year", preset).alias("ybin"), "amount")
          .groupBy("c", "ybin").agg(money_sum()))
-    mx = b.agg(F.max("total").alias("max_bin_total"))
-    mn = f.agg(F.min("amount").alias("min_amount"))
-    return mx.join(mn, F.lit(True))
+    mn = scalars(f.agg(F.min("amount").alias("m")))["m"]
+    return b.agg(F.max("total").alias("max_bin_total")).withColumn("min_amount", F.lit(mn).cast("double"))
 
 
 def sector_subsector_rollup(f: DataFrame, preset: Preset) -> DataFrame:
@@ -232,9 +234,9 @@ def phase_bin_share_r(deals_r: DataFrame, preset: Preset) -> DataFrame:
 
 def target_balance(f: DataFrame, accuracy: int = 2000) -> DataFrame:
     """Percent of high-value deals and the exact median amount."""
-    pct = f.agg(F.round(F.avg("high_value") * 100, 6).alias("pct_high"))
-    med = exact_quantiles(f, [], "amount", {"median_amount": 0.5}, accuracy)
-    return pct.join(med, F.lit(True)).select("pct_high", F.round("median_amount", 6).alias("median_amount"))
+    med = scalars(exact_quantiles(f, [], "amount", {"m": 0.5}, accuracy))["m"]
+    return f.agg(F.round(F.avg("high_value") * 100, 6).alias("pct_high")).withColumn(
+        "median_amount", F.round(F.lit(med).cast("double"), 6))
 
 
 def exact_quantile_report(f: DataFrame, accuracy: int = 2000) -> DataFrame:
@@ -252,9 +254,10 @@ def distinct_levels(f: DataFrame, cols: list[str]) -> DataFrame:
 
 def year_range(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     """Rows before/after cleaning, rows removed, min/max year kept."""
-    a = raw.agg(F.count(F.lit(1)).alias("rows_in"))
+    n_in = scalars(raw.agg(F.count(F.lit(1)).alias("n")))["n"]
     b = cleaned.agg(F.count(F.lit(1)).alias("rows_out"), F.min("year").alias("min_year"), F.max("year").alias("max_year"))
-    return a.join(b, F.lit(True)).withColumn("rows_removed", F.col("rows_in") - F.col("rows_out"))
+    return b.withColumn("rows_in", F.lit(n_in).cast("bigint")).withColumn("rows_removed",
+                                                                         F.col("rows_in") - F.col("rows_out"))
 
 
 # ---------------------------------------------------------------- joins

@@ -9,6 +9,7 @@ from ..operators import models as MD
 from ..operators import prep as P
 from ..operators import series as SE
 from ..operators.clean import complete_cases
+from ..operators.common import scalars
 from ..operators.features import features
 from ..sources.deals import table
 from . import sql as Q
@@ -113,9 +114,8 @@ def _lab(spark, sf):
     lab = table(spark, sf, "labels").select("doc_id", "quality")
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
     j = lab.join(docs, "doc_id")
-    mx = j.agg(F.max("n_chars").alias("_mx"))
-    return j.join(F.broadcast(mx), F.lit(True)).select("doc_id", "quality",
-                                                       (F.col("n_chars").cast("double") / F.col("_mx")).alias("score"))
+    mx = scalars(j.agg(F.max("n_chars").alias("mx")))["mx"]
+    return j.select("doc_id", "quality", (F.col("n_chars").cast("double") / F.lit(float(mx))).alias("score"))
 
 
 @register("roc_auc", f"""WITH {_LAB}
@@ -129,8 +129,8 @@ def q_roc_auc(spark, sf):
     document quality label."""
     d = _lab(spark, sf)
     auc = P.roc_auc(d, "quality", "score")
-    acc = P.accuracy(d.withColumn("pred", (F.col("score") > 0.5).cast("int")), "quality", "pred")
-    return auc.join(acc, F.lit(True)).select(F.round("auc", 9).alias("auc"), F.round("accuracy", 9).alias("accuracy"))
+    acc = scalars(P.accuracy(d.withColumn("pred", (F.col("score") > 0.5).cast("int")), "quality", "pred"))["accuracy"]
+    return auc.select(F.round("auc", 9).alias("auc"), F.round(F.lit(acc), 9).alias("accuracy"))
 
 
 _EDGES = " + ".join(f"CAST(score > {repr(e)} AS INT)" for e in P.CAL_EDGES)
