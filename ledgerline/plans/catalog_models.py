@@ -188,6 +188,7 @@ def q_feature_attribution(spark, sf):
     from pyspark.ml.regression import GBTRegressor
     f = complete_cases(feat(spark, sf), ["log_amount"])
     full, = MD.design(f, [], P.ML_NUMERIC, P.ML_CATEGORICAL, "log_amount", ["deal_id"])
+    full = full.select("deal_id", "label", "features").persist()  # read by the fit and the attribution pass
     model = GBTRegressor(featuresCol="features", labelCol="label", maxDepth=3, maxIter=20, stepSize=0.1,
                          seed=42).fit(full)
     names = list(P.ML_NUMERIC) + [f"{c}_ord" for c in P.ML_CATEGORICAL]
