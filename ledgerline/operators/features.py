@@ -3,10 +3,12 @@
 Built once per (session, data, preset) and written to the shared folder; every
 report reads it (column pruning + year-partition pruning apply to that read).
 
-Full-data shuffles: one (rows hash-partitioned by (year, key block) for the
-chunked rolling window and the running count). Everything else is an aggregation with map-side partial aggregation whose
-small result is joined back (AQE turns those joins into broadcast hash joins once
-it has measured them).
+Wide-row shuffles: one (rows hash-partitioned by (year, key block) for the
+chunked rolling windows and the running count). Side passes read a few narrow
+columns: global/per-year exact quantiles, one GROUPING SETS aggregation for all
+per-category means and level sets, per-year block cut points, and the chunk
+heads/tails. Their small results are joined back (AQE broadcasts them once it has
+measured them) or folded in as literals.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from ..functions import scalar as S
 from ..session import shared_dir
 from .clean import clean_rows, with_optional
 from .common import scalars
-from .ordered import exact_quantiles, ordered_features
+from .ordered import exact_quantiles, ordered_features, release_cached
 
 CATEGORY_COLUMNS = ["sector", "region", "investor", "deal_type", "phase", "subsector", "country"]
 CODED_COLUMNS = ["sector", "region", "deal_type", "phase", "subsector"]
@@ -158,5 +160,6 @@ def features(spark: SparkSession, sf_dir: str, preset: Preset) -> DataFrame:
         path = f"{shared_dir(spark)}/features-{preset.name}-{abs(hash(key)) % 10**10}"
         build_features(deals_table(spark, sf_dir), preset).write.mode("overwrite").partitionBy("year").parquet(path)
         release_small()
+        release_cached()
         _MATERIALISED[key] = path
     return spark.read.parquet(path)

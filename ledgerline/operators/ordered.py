@@ -15,6 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_CACHED: list[DataFrame] = []
+
+
+def release_cached() -> None:
+    """Unpersist the small tables cached by :func:`ordered_features`."""
+    while _CACHED:
+        _CACHED.pop().unpersist()
+
 
 def key_bounds(df: DataFrame, key: str, n: int, accuracy: int = 10000) -> list:
     """``n - 1`` ascending cut points splitting ``key`` into ~equal blocks."""
@@ -86,6 +94,7 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
     narrow = df if narrow is None else narrow
     gb = group_bounds(narrow.select(ocol, key), ocol, key, n_blocks).cache()
     gb.count()
+    _CACHED.append(gb)
     d = df.join(F.broadcast(gb), ocol).withColumn("_blk", block_in(key)).drop("_bounds")
     base_cols = [c for c in d.columns if c != "_blk"]
     out_cols = [f"{prefix}_{s}_{k}" for k in windows for s in ("mean", "std")]
@@ -118,6 +127,7 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
     fixed = (edge.select(key, "_rn", *stats(w_grp)).where(F.col("_rn") <= h)
              .select(key, *[F.col(c).alias(f"_f_{c}") for c in out_cols])).cache()
     fixed.count()
+    _CACHED.append(fixed)
     # small table: one row per (year, block) -> exclusive prefix sums of the flag
     per = nb.groupBy(ocol, "_blk").agg(F.sum(F.col(flag).cast("long")).alias("_c"))
     wp = Window.orderBy(ocol, "_blk").rowsBetween(Window.unboundedPreceding, -1)
