@@ -188,21 +188,29 @@ def dml_effect(df: DataFrame, outcome: str = "log_amount", treatment: str = "pos
     num, cat = num or CAUSAL_CONTROLS_NUM, cat or CAUSAL_CONTROLS_CAT
     d = df.where(F.col(outcome).isNotNull() & F.col(treatment).isNotNull())
     d = d.withColumn("_fold", F.pmod(F.xxhash64("deal_id", F.lit(seed)), F.lit(k)).cast("int")).persist()
-    res = None
-    for i in range(k):
+
+    def fold(i):
         tr, te = design(d.where(F.col("_fold") != i), [d.where(F.col("_fold") == i)], num, cat, outcome,
                         ["deal_id", treatment])
-        my = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=50, minInstancesPerNode=10,
-                                   seed=seed).fit(tr)
+        tr = tr.select("deal_id", treatment, "label", "features").persist()
         trt = tr.withColumn("label", F.col(treatment).cast("double"))
-        mt = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=50, minInstancesPerNode=10,
-                                    seed=seed).fit(trt)
+        with ThreadPoolExecutor(2) as ex:  # outcome and treatment nuisances fit concurrently
+            fy = ex.submit(RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=50,
+                                                 minInstancesPerNode=10, seed=seed).fit, tr)
+            ft = ex.submit(RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=50,
+                                                  minInstancesPerNode=10, seed=seed).fit, trt)
+            my, mt = fy.result(), ft.result()
         py = my.transform(te).select("deal_id", F.col("label").alias("y"), F.col("prediction").alias("y_hat"),
                                      F.col(treatment).cast("double").alias("t"))
         pt = mt.transform(te.withColumn("label", F.col(treatment).cast("double"))).select(
             "deal_id", vector_to_array("probability")[1].alias("t_hat"))
-        r = py.join(pt, "deal_id")
-        res = r if res is None else res.unionByName(r)
+        return py.join(pt, "deal_id")
+
+    with ThreadPoolExecutor(max(1, k)) as ex:
+        parts = list(ex.map(fold, range(k)))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
     r = res.select((F.col("y") - F.col("y_hat")).alias("ry"), (F.col("t") - F.col("t_hat")).alias("rt"))
     out = residual_effect(r)
     d.unpersist()
