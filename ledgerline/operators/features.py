@@ -13,6 +13,8 @@ measured them) or folded in as literals.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from ..functions import scalar as S
 from ..session import shared_dir
 from .clean import clean_rows, with_optional
 from .common import scalars
-from .ordered import exact_quantiles, ordered_features, release_cached
+from .ordered import exact_quantiles, group_bounds, ordered_features, release_cached
 
 CATEGORY_COLUMNS = ["sector", "region", "investor", "deal_type", "phase", "subsector", "country"]
 CODED_COLUMNS = ["sector", "region", "deal_type", "phase", "subsector"]
@@ -118,11 +120,17 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
         t.select(F.lit(-1).cast("long").alias("_k"), "amount"))
     # small tables (one row per year / per level): cached once so the wide plan
     # reads them from memory instead of re-deriving them per join; their measured
-    # in-memory size then drives the broadcast decision.
-    qq = _small(exact_quantiles(stacked, ["_k"], "amount", {"_med": 0.5, "_q70": 0.7}, acc))
+    # in-memory size then drives the broadcast decision. The three side passes are
+    # independent jobs and are submitted concurrently.
+    cols = list(dict.fromkeys(["sector", "region"] + CODED_COLUMNS))
+    with ThreadPoolExecutor(3) as ex:
+        f_qq = ex.submit(lambda: _small(exact_quantiles(stacked, ["_k"], "amount", {"_med": 0.5, "_q70": 0.7}, acc)))
+        f_cs = ex.submit(lambda: _small(category_summaries(t, cols, "log_amount")))
+        f_gb = ex.submit(lambda: _small(group_bounds(t.select("year", "deal_id"), "year", "deal_id",
+                                                     preset.order_blocks)))
+        qq, cs, gb = f_qq.result(), f_cs.result(), f_gb.result()
     gq = scalars(qq.where("_k = -1").select("_med", "_q70"))                         # two numbers
     yq = qq.where("_k <> -1").select(F.col("_k").cast("int").alias("year"), F.col("_q70").alias("_qy"))
-    cs = _small(category_summaries(t, list(dict.fromkeys(["sector", "region"] + CODED_COLUMNS)), "log_amount"))
     glob = scalars(cs.where(F.col("column_name").isNull()).select("mean"))["mean"]    # one number
     d = (t.withColumn("_med", F.lit(gq["_med"]).cast("double")).withColumn("_q70", F.lit(gq["_q70"]).cast("double"))
          .withColumn("_glob", F.lit(glob).cast("double")).join(yq, "year", "left"))
@@ -147,7 +155,8 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
         (F.col("sector_code") * F.col("year")).alias("sector_year_int"),
         (F.col("region_code") * F.col("post_policy")).alias("region_policy_int"),
     )
-    return ordered_features(d, "sector", "amount", "post_policy", (2, 3), n_blocks=preset.order_blocks, narrow=t)
+    return ordered_features(d, "sector", "amount", "post_policy", (2, 3), n_blocks=preset.order_blocks, narrow=t,
+                            bounds_table=gb)
 
 
 def features(spark: SparkSession, sf_dir: str, preset: Preset) -> DataFrame:

@@ -63,7 +63,8 @@ def block_of(key: str, bounds: list) -> Column:
 
 def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(2, 3), n_blocks: int = 16,
                      order=("year", "deal_id"), prefix: str = "roll", count_out: str = "policy_cumulative",
-                     narrow: DataFrame | None = None, lagged: bool = True) -> DataFrame:
+                     narrow: DataFrame | None = None, lagged: bool = True,
+                     bounds_table: DataFrame | None = None) -> DataFrame:
     """Add, in one shuffle of the rows:
 
     * ``{prefix}_mean_{k}`` / ``{prefix}_std_{k}``: mean and sample std of ``value``
@@ -92,9 +93,12 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
     ocol, key = order
     h = max(windows) if lagged else max(windows) - 1
     narrow = df if narrow is None else narrow
-    gb = group_bounds(narrow.select(ocol, key), ocol, key, n_blocks).cache()
-    gb.count()
-    _CACHED.append(gb)
+    if bounds_table is None:
+        gb = group_bounds(narrow.select(ocol, key), ocol, key, n_blocks).cache()
+        gb.count()
+        _CACHED.append(gb)
+    else:
+        gb = bounds_table
     d = df.join(F.broadcast(gb), ocol).withColumn("_blk", block_in(key)).drop("_bounds")
     base_cols = [c for c in d.columns if c != "_blk"]
     out_cols = [f"{prefix}_{s}_{k}" for k in windows for s in ("mean", "std")]
