@@ -97,7 +97,8 @@ def category_summaries(t: DataFrame, cols: list[str], value: str) -> DataFrame:
     all rows, the mean of ``value``. Output (column_name, level, mean) with
     column_name NULL for the all-rows set; one row per level (small)."""
     g = t.groupingSets([[c] for c in cols] + [[]], *cols).agg(
-        F.avg(value).alias("mean"), F.grouping_id().alias("_gid"))
+        F.avg(value).alias("mean"), F.sum(value).alias("total"), F.count(value).alias("n"),
+        F.grouping_id().alias("_gid"))
     n = len(cols)
     name = F.lit(None).cast("string")
     level = F.lit(None).cast("string")
@@ -105,7 +106,7 @@ def category_summaries(t: DataFrame, cols: list[str], value: str) -> DataFrame:
         gid = (1 << n) - 1 - (1 << (n - 1 - i))   # only column i grouped
         name = F.when(F.col("_gid") == gid, F.lit(c)).otherwise(name)
         level = F.when(F.col("_gid") == gid, F.col(c).cast("string")).otherwise(level)
-    return g.select(name.alias("column_name"), level.alias("level"), "mean")
+    return g.select(name.alias("column_name"), level.alias("level"), "mean", "total", "n")
 
 
 def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
@@ -131,17 +132,19 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
         qq, cs, gb = f_qq.result(), f_cs.result(), f_gb.result()
     gq = scalars(qq.where("_k = -1").select("_med", "_q70"))                         # two numbers
     yq = qq.where("_k <> -1").select(F.col("_k").cast("int").alias("year"), F.col("_q70").alias("_qy"))
-    glob = scalars(cs.where(F.col("column_name").isNull()).select("mean"))["mean"]    # one number
+    gl = scalars(cs.where(F.col("column_name").isNull()).select("mean", "total", "n"))  # three numbers
+    glob = gl["mean"]
     d = (t.withColumn("_med", F.lit(gq["_med"]).cast("double")).withColumn("_q70", F.lit(gq["_q70"]).cast("double"))
          .withColumn("_glob", F.lit(glob).cast("double")).join(yq, "year", "left"))
     for c in CODED_COLUMNS:
         lv = cs.where(F.col("column_name") == c).select(
             F.col("level").alias(c), "mean",
             (F.dense_rank().over(Window.orderBy("level")) - 1).cast("int").alias(f"{c}_code"))
-        if c == "sector":
-            lv = lv.withColumnRenamed("mean", "_sm")
-        elif c == "region":
-            lv = lv.withColumnRenamed("mean", "_rm")
+        if c in ("sector", "region"):
+            p = "_s" if c == "sector" else "_r"
+            tot = cs.where(F.col("column_name") == c).select(F.col("level").alias(c), F.col("total").alias(f"{p}t"),
+                                                              F.col("n").alias(f"{p}n"))
+            lv = lv.withColumnRenamed("mean", f"{p}m").join(tot, c)
         else:
             lv = lv.drop("mean")
         d = d.join(lv, c, "left")
@@ -152,6 +155,11 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
         (F.col("amount") > F.col("_qy")).cast("int").alias("adaptive_target"),
         (0.7 * F.col("_sm") + 0.3 * F.col("_glob")).alias("sector_blend"),
         (0.7 * F.col("_rm") + 0.3 * F.col("_glob")).alias("region_blend"),
+        # leave-one-out versions (the row's own value excluded from both means; D11)
+        (0.7 * (F.col("_st") - F.col("log_amount")) / F.when(F.col("_sn") > 1, F.col("_sn") - 1)
+         + 0.3 * (F.lit(gl["total"]) - F.col("log_amount")) / F.lit(max(gl["n"] - 1, 1))).alias("sector_blend_loo"),
+        (0.7 * (F.col("_rt") - F.col("log_amount")) / F.when(F.col("_rn") > 1, F.col("_rn") - 1)
+         + 0.3 * (F.lit(gl["total"]) - F.col("log_amount")) / F.lit(max(gl["n"] - 1, 1))).alias("region_blend_loo"),
         (F.col("sector_code") * F.col("year")).alias("sector_year_int"),
         (F.col("region_code") * F.col("post_policy")).alias("region_policy_int"),
     )

@@ -173,8 +173,8 @@ def tune_classification(df: DataFrame, target: str = "adaptive_target", num=None
 
 
 # ------------------------------------------------------------------ G5
-CAUSAL_CONTROLS_NUM = ["roll_lag_mean_2", "roll_lag_mean_3", "roll_lag_std_2", "roll_lag_std_3", "sector_blend",
-                       "region_blend"]
+CAUSAL_CONTROLS_NUM = ["roll_lag_mean_2", "roll_lag_mean_3", "roll_lag_std_2", "roll_lag_std_3", "sector_blend_loo",
+                       "region_blend_loo"]
 CAUSAL_CONTROLS_CAT = ["sector", "region", "deal_type"]
 
 

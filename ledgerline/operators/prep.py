@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from .common import scalars
 from .ordered import block_in, block_of, exact_quantiles, group_bounds, key_bounds
 
-# Model inputs. The rolling statistics are the lagged ones (previous deals only):
-# the unlagged ones contain the target amount itself (D11). ML_NUMERIC_AS_SOURCE
+# Model inputs. The rolling statistics are the lagged ones (previous deals only) and
+# the group-mean blends leave the row out: the source's versions contain the target
+# amount itself (D11). ML_NUMERIC_AS_SOURCE
 # keeps the source's leaky list for comparison.
 ML_NUMERIC = ["year", "roll_lag_mean_2", "roll_lag_mean_3", "roll_lag_std_2", "roll_lag_std_3", "policy_cumulative",
-              "policy_interaction", "sector_blend", "region_blend", "phase_1", "phase_2", "phase_3",
+              "policy_interaction", "sector_blend_loo", "region_blend_loo", "phase_1", "phase_2", "phase_3",
               "sector_year_int", "region_policy_int"]
 ML_NUMERIC_AS_SOURCE = ["year", "roll_mean_2", "roll_mean_3", "roll_std_2", "roll_std_3", "policy_cumulative",
                         "policy_interaction", "sector_blend", "region_blend", "phase_1", "phase_2", "phase_3",

@@ -634,3 +634,13 @@ def q_rolling_lagged(spark, sf):
     f = feat(spark, sf)
     return f.select("deal_id", "sector", *[F.round(c, 6).alias(c) for c in (
         "roll_lag_mean_2", "roll_lag_std_2", "roll_lag_mean_3", "roll_lag_std_3")])
+
+
+@register("group_mean_blend_loo", Q.with_features(
+    "SELECT deal_id, round(sector_blend_loo, 6) AS sector_blend_loo, round(region_blend_loo, 6) AS region_blend_loo "
+    "FROM feat"))
+def q_group_mean_blend_loo(spark, sf):
+    """W4 without the row itself (D11): leave-one-out group and global means."""
+    f = feat(spark, sf)
+    return f.select("deal_id", F.round("sector_blend_loo", 6).alias("sector_blend_loo"),
+                    F.round("region_blend_loo", 6).alias("region_blend_loo"))

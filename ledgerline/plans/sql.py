@@ -89,6 +89,10 @@ def features(p: Preset = PRESET_A) -> str:
        CAST(amount > quantile_cont(amount, 0.7) OVER (PARTITION BY year) AS INT) AS adaptive_target,
        0.7 * avg(log_amount) OVER (PARTITION BY sector) + 0.3 * avg(log_amount) OVER () AS sector_blend,
        0.7 * avg(log_amount) OVER (PARTITION BY region) + 0.3 * avg(log_amount) OVER () AS region_blend,
+       0.7 * (sum(log_amount) OVER (PARTITION BY sector) - log_amount) / NULLIF(count(*) OVER (PARTITION BY sector) - 1, 0)
+         + 0.3 * (sum(log_amount) OVER () - log_amount) / (count(*) OVER () - 1) AS sector_blend_loo,
+       0.7 * (sum(log_amount) OVER (PARTITION BY region) - log_amount) / NULLIF(count(*) OVER (PARTITION BY region) - 1, 0)
+         + 0.3 * (sum(log_amount) OVER () - log_amount) / (count(*) OVER () - 1) AS region_blend_loo,
        {', '.join(roll)},
        CAST(sum(post_policy) OVER (ORDER BY year, deal_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS policy_cumulative
   FROM tagged),
