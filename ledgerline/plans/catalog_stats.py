@@ -313,3 +313,27 @@ def q_grouped_density(spark, sf):
     k = I.grouped_density(d, "region", "amount", accuracy=PA.sketch_accuracy)
     return k.select("region", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"),
                     F.round("density", 12).alias("density"))
+
+
+@register("grouped_density_year_log10", Q.with_tagged("""
+SELECT year, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 6) AS x,
+       round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight,
+       round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))) / (n * bw * sqrt(2 * pi())), 9) AS density
+FROM (SELECT cells.year, cell, c, n, bw, step, lo, unnest(range(greatest(cell - m, 0), least(cell + m, 511) + 1)) AS j
+      FROM (SELECT d.year, CAST(least(floor((v - lo) / step), 511) AS INT) AS cell, count(*) AS c
+            FROM dr d JOIN st ON st.year = d.year GROUP BY 1, 2) cells
+      JOIN st ON st.year = cells.year)
+GROUP BY year, j, n, bw, step, lo""", PA, """
+dr AS (SELECT year, log10(amount) AS v FROM tagged WHERE amount > 0),
+st0 AS (SELECT year, count(v) AS n, min(v) AS mn, max(v) AS mx,
+        0.9 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34)
+          * power(count(v), -0.2) AS bw FROM dr GROUP BY year),
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step, CAST(ceil(4 * bw / ((mx - mn + 6 * bw) / 512)) AS INT) AS m
+       FROM st0 WHERE bw > 0)"""))
+def q_grouped_density_year_log10(spark, sf):
+    """T10/P5 (ridgeline variant): density of log10 amount per year (positive amounts)."""
+    from ..operators.clean import positive_log10
+    d = positive_log10(feat(spark, sf)).select("year", F.col("log10_amount").alias("v"))
+    k = I.grouped_density(d, "year", "v", accuracy=PA.sketch_accuracy)
+    return k.select("year", "grid_index", F.round("x", 6).alias("x"), F.round("weight", 6).alias("weight"),
+                    F.round("density", 9).alias("density"))
