@@ -337,3 +337,39 @@ def q_grouped_density_year_log10(spark, sf):
     k = I.grouped_density(d, "year", "v", accuracy=PA.sketch_accuracy)
     return k.select("year", "grid_index", F.round("x", 6).alias("x"), F.round("weight", 6).alias("weight"),
                     F.round("density", 9).alias("density"))
+
+
+_DENS_VARS = ["subsector", "region", "month", "sector", "bri_group"]
+
+
+@register("grouped_density_r", Q.with_deals("""
+SELECT gkey, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x,
+       round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight
+FROM (SELECT cells.gkey, cell, c, n, bw, step, lo, unnest(range(greatest(cell - m, 0), least(cell + m, 511) + 1)) AS j
+      FROM (SELECT d.gkey, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
+            FROM dr d JOIN st ON st.gkey = d.gkey GROUP BY 1, 2) cells
+      JOIN st ON st.gkey = cells.gkey)
+GROUP BY gkey, j, n, bw, step, lo""", """
+base AS (SELECT amount, COALESCE(subsector, 'Unknown') AS subsector, COALESCE(region, 'Unknown') AS region,
+                COALESCE(monthname(make_date(2000, month, 1)), 'Unknown') AS month, COALESCE(sector, 'Unknown') AS sector,
+                CASE WHEN lower(trim(bri)) IN ('1', 'bri', 'y', 'yes', 'sim', 'true') THEN 'BRI' ELSE 'Others' END AS bri_group
+         FROM deals WHERE amount IS NOT NULL AND year IS NOT NULL AND amount > 0 AND amount <= 320000),
+dr AS (SELECT variable || '=' || level AS gkey, amount FROM
+       (UNPIVOT base ON subsector, region, month, sector, bri_group INTO NAME variable VALUE level)),
+st0 AS (SELECT gkey, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
+        0.9 * least(stddev_samp(amount), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34)
+          * power(count(amount), -0.2) AS bw FROM dr GROUP BY gkey),
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step, CAST(ceil(4 * bw / ((mx - mn + 6 * bw) / 512)) AS INT) AS m
+       FROM st0 WHERE bw > 0)"""))
+def q_grouped_density_r(spark, sf):
+    """T10 (R rules, all grouping variables in one pass): rows unpivoted to
+    (variable, level) keys, then one kernel density per key on 0 < amount <= cap."""
+    from ..functions.scalar import is_bri, month_name, unknown_level
+    d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True)
+    base = d.select("amount", *[unknown_level(c).alias(c) for c in ("subsector", "region")],
+                    unknown_level(month_name("month")).alias("month"), unknown_level("sector").alias("sector"),
+                    is_bri("bri").alias("bri_group"))
+    long = base.unpivot(["amount"], _DENS_VARS, "variable", "level").select(
+        F.concat_ws("=", "variable", "level").alias("gkey"), "amount")
+    k = I.grouped_density(long, "gkey", "amount", accuracy=PA.sketch_accuracy)
+    return k.select("gkey", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"))
