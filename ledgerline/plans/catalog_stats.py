@@ -373,3 +373,29 @@ def q_grouped_density_r(spark, sf):
         F.concat_ws("=", "variable", "level").alias("gkey"), "amount")
     k = I.grouped_density(long, "gkey", "amount", accuracy=PA.sketch_accuracy)
     return k.select("gkey", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"))
+
+
+@register("grouped_density_top_parties", Q.with_deals("""
+SELECT party, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x,
+       round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight
+FROM (SELECT cells.party, cell, c, n, bw, step, lo, unnest(range(greatest(cell - m, 0), least(cell + m, 511) + 1)) AS j
+      FROM (SELECT d.party, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
+            FROM dr d JOIN st ON st.party = d.party GROUP BY 1, 2) cells
+      JOIN st ON st.party = cells.party)
+GROUP BY party, j, n, bw, step, lo""", """
+filt AS (SELECT party, amount FROM deals WHERE amount IS NOT NULL AND year IS NOT NULL AND amount > 0 AND amount <= 320000),
+tp AS (SELECT party FROM (SELECT party, rank() OVER (ORDER BY count(*) DESC) AS r FROM filt GROUP BY party) WHERE r <= 25),
+dr AS (SELECT party, amount FROM filt WHERE party IN (SELECT party FROM tp)),
+st0 AS (SELECT party, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
+        0.9 * least(stddev_samp(amount), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34)
+          * power(count(amount), -0.2) AS bw FROM dr GROUP BY party),
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step, CAST(ceil(4 * bw / ((mx - mn + 6 * bw) / 512)) AS INT) AS m
+       FROM st0 WHERE bw > 0)"""))
+def q_grouped_density_top_parties(spark, sf):
+    """T10 + P6/W8 (R rules): density of amount for the top-25 counter-parties by
+    deal count (ties kept), on 0 < amount <= cap."""
+    d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True).select("party", "amount")
+    top = R.top_n_with_ties(d, "party", 25).select("party")
+    kept = d.join(top, "party", "left_semi")
+    k = I.grouped_density(kept, "party", "amount", accuracy=PA.sketch_accuracy)
+    return k.select("party", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"))
