@@ -399,3 +399,30 @@ def q_grouped_density_top_parties(spark, sf):
     kept = d.join(top, "party", "left_semi")
     k = I.grouped_density(kept, "party", "amount", accuracy=PA.sketch_accuracy)
     return k.select("party", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"))
+
+
+@register("grouped_density_top_shares", Q.with_deals("""
+SELECT share_size, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x,
+       round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight
+FROM (SELECT cells.share_size, cell, c, n, bw, step, lo, unnest(range(greatest(cell - m, 0), least(cell + m, 511) + 1)) AS j
+      FROM (SELECT d.share_size, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
+            FROM dr d JOIN st ON st.share_size = d.share_size GROUP BY 1, 2) cells
+      JOIN st ON st.share_size = cells.share_size)
+GROUP BY share_size, j, n, bw, step, lo""", """
+filt AS (SELECT share_size, amount FROM deals WHERE amount IS NOT NULL AND year IS NOT NULL AND amount > 0 AND amount <= 320000),
+tp AS (SELECT share_size FROM (SELECT share_size, rank() OVER (ORDER BY count(*) DESC) AS r FROM filt GROUP BY share_size)
+       WHERE r <= 30),
+dr AS (SELECT share_size, amount FROM filt WHERE share_size IN (SELECT share_size FROM tp)),
+st0 AS (SELECT share_size, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
+        0.9 * least(stddev_samp(amount), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34)
+          * power(count(amount), -0.2) AS bw FROM dr GROUP BY share_size),
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step, CAST(ceil(4 * bw / ((mx - mn + 6 * bw) / 512)) AS INT) AS m
+       FROM st0 WHERE bw > 0)"""))
+def q_grouped_density_top_shares(spark, sf):
+    """T10 + W8 (R rules): density of amount for the 30 most frequent share sizes
+    (ties kept), on 0 < amount <= cap."""
+    d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True).select("share_size", "amount")
+    top = R.top_n_with_ties(d, "share_size", 30).select("share_size")
+    kept = d.join(top, "share_size", "left_semi")
+    k = I.grouped_density(kept, "share_size", "amount", accuracy=PA.sketch_accuracy)
+    return k.select("share_size", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"))
