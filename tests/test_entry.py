@@ -22,7 +22,8 @@ def test_entry_and_keys(spark):
 
 
 @pytest.mark.parametrize("key", ["sector_hhi_by_phase", "exact_quantile", "describe_numeric", "ols_interaction",
-                                 "roc_auc", "share_bin_totals", "scan_ragged_csv", "folds_expanding"])
+                                 "roc_auc", "share_bin_totals", "scan_ragged_csv", "folds_expanding",
+                                 "grouped_density_r", "rolling_lagged", "group_mean_blend_loo"])
 def test_oracle_sample(spark, key):
     import __spark_entry__ as E
     from oracle_check import TABLES, rows_of
