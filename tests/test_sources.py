@@ -27,3 +27,16 @@ def test_ragged_lines(spark):
 def test_header_rules():
     assert X.normalize_header(" Quantity in Millions ") == "Quantity_in_Millions"
     assert X.normalize_header("Share  Size", "r") == "Share.Size"
+
+
+def test_csv_round_trip_types_and_empty_text(spark):
+    from pyspark.sql import functions as F
+    rows = [(1, 2001, 3, "inv a", "$1,250.50", "45%", "", "S", "ss", "C", "R", " bri ", "G")]
+    raw = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(13))).toDF(*X.RAW_HEADERS)
+    raw = raw.withColumn("deal_id", F.col("deal_id").cast("string"))
+    path = X.write_csv(raw, scratch_path(spark, "rt"))
+    back = X.type_deals(X.rename_columns(X.normalize_headers(X.scan_csv(spark, path, X.RAW_HEADERS)))).first()
+    assert back["deal_id"] == 1 and back["year"] == 2001 and back["month"] == 3
+    assert back["amount"] == 1250.5 and back["share_size"] == 45
+    assert back["party"] is None          # empty text -> NULL
+    assert back["bri"] == "bri "          # blanks after the delimiter skipped
