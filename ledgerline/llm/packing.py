@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import binary_texts, materialize, python_tasks, table
 
 CAPACITY, END_ID = 1024, 2
-#: Lengths above this are large; at most so many equal-cardinality groups of them.
-SMALL, GROUPS = CAPACITY // 8, 256
+#: Lengths above this are large. Plans are tried with so many equal-cardinality groups of them, and with configurations
+#: of two that leave so much room at most (the capacity: always the largest that fits).
+SMALL, GROUPS, SLACKS = CAPACITY // 8, (64, 256, CAPACITY - CAPACITY // 8), (0, 4, 16, 64, CAPACITY)
 #: Rows of one length that one ranking task takes.
 RANK_ROWS = 1_000_000
 
@@ -105,7 +106,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
 # ---- plan on the histogram of lengths --------------------------------------------------------------------------
 
-def linear_groups(counts: dict[int, int], groups: int = GROUPS) -> list[tuple[int, list[tuple[int, int]]]]:
+def linear_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Large lengths, longest first, in groups of about equal cardinality: (rounded-up length, [(length, items)])."""
     size = max(1, -(-sum(counts.values()) // groups))
     out: list[tuple[int, list]] = []
@@ -125,7 +126,23 @@ def linear_groups(counts: dict[int, int], groups: int = GROUPS) -> list[tuple[in
     return list(merged.items())
 
 
-def fullest(sizes: list[int], left: list[int], first: int, capacity: int) -> list[int]:
+def configuration(sizes: list[int], left: list[int], first: int, capacity: int, slack: int) -> dict[int, int]:
+    """A configuration that holds one of size ``first``: number by size.
+
+    The largest size that fits is added as long as that leaves at most ``slack``, or if ``slack`` is the capacity; else
+    the fullest configuration of all is found.
+    """
+    room, number, tried = capacity - sizes[first], {first: 1}, {first: 1}
+    for i in range(first, len(sizes)):
+        while sizes[i] <= room and left[i] > tried.get(i, 0):
+            tried[i] = tried.get(i, 0) + 1
+            room -= sizes[i]
+            if room <= slack and sum(tried.values()) == 2:
+                return tried
+    return tried if slack >= capacity or not room else fullest(sizes, left, first, capacity, number)
+
+
+def fullest(sizes: list[int], left: list[int], first: int, capacity: int, number: dict[int, int]) -> dict[int, int]:
     """Numbers of each size in the fullest configuration that holds one of size ``first`` (a bounded knapsack)."""
     room = capacity - sizes[first]
     reach = np.zeros(room + 1, bool)
@@ -144,17 +161,23 @@ def fullest(sizes: list[int], left: list[int], first: int, capacity: int) -> lis
             reach = reach | more
         if reach[room]:
             break
-    number = [0] * len(sizes)
-    number[first] = 1
     at = int(np.flatnonzero(reach)[-1])
     for i, new in reversed(steps):
         if at and new[at]:
-            number[i] += 1
+            number[i] = number.get(i, 0) + 1
             at -= sizes[i]
     return number
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL) -> list[tuple[int, int, int, int, int]]:
+    """The plan with the fewest sequences over some numbers of groups and some slacks of a configuration."""
+    def sequences(slots):
+        return max((s[2] + s[3] for s in slots), default=0)
+
+    return min((one_plan(histogram, capacity, small, g, s) for g in GROUPS for s in SLACKS), key=sequences)
+
+
+def one_plan(histogram: dict[int, int], capacity: int, small: int, groups: int, slack: int) -> list[tuple[int, int, int, int, int]]:
     """Slots (length, first rank, items, first sequence, offset): items of a length by rank go to consecutive sequences.
 
     Large lengths are grouped and rounded up; the largest size left takes its fullest configuration as often as supply
@@ -168,10 +191,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL
     runs: list[tuple[int, list[int]]] = []  # identical sequences: how many, lengths inside
     for first in range(len(sizes)):
         while left[first]:
-            number = fullest(sizes, left, first, capacity)
-            slots = [i for i, n in enumerate(number) for _ in range(n)]
-            times = min(left[i] // n for i, n in enumerate(number) if n)
-            for i, n in enumerate(number):
+            number = configuration(sizes, left, first, capacity, slack)
+            slots = [i for i, n in sorted(number.items()) for _ in range(n)]
+            times = min(left[i] // n for i, n in number.items())
+            for i, n in number.items():
                 left[i] -= n * times
             while times:  # substitute actual lengths, in stretches in which no slot changes its length
                 wants = defaultdict(int)
@@ -280,7 +303,7 @@ def assign(pieces: DataFrame, slots: list[tuple[int, int, int, int, int]]) -> Da
     return pieces.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0 in its sequence).
 
     Null and empty texts are one piece with the end id alone. Repeated rows are packed each. A null doc_id stays null.
@@ -293,7 +316,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = materialize(token_pieces(docs, path, capacity, end_id), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
-    return assign(ranked(pieces, max(histogram.values(), default=0)), plan(histogram, capacity, capacity // 8, groups))
+    return assign(ranked(pieces, max(histogram.values(), default=0)), plan(histogram, capacity, capacity // 8))
 
 
 def op2_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
