@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import neighbours, packing, sharding, simhash, tokencount
+from . import langid, neighbours, packing, sharding, simhash, tokencount
 
 QUERIES: dict[str, Callable] = {
     "op2_linear_grouping_packing": packing.op2_linear_grouping_packing,
     "op6_pretoken_counts": tokencount.op6_pretoken_counts,
     "op7_virtual_slot_sharding": sharding.op7_virtual_slot_sharding,
     "op8_block_matrix_neighbours": neighbours.op8_block_matrix_neighbours,
+    "op9_byte_gru_language": langid.op9_byte_gru_language,
     "op10_golay_simhash": simhash.op10_golay_simhash,
 }
 
