@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, langid, neighbours, packing, sharding, simhash, substrings, tokencount
+from . import decontaminate, htmltext, langid, neighbours, packing, sharding, simhash, substrings, tokencount, urlfilter
 
 QUERIES: dict[str, Callable] = {
+    "op1_template_extraction": htmltext.op1_template_extraction,
     "op2_linear_grouping_packing": packing.op2_linear_grouping_packing,
     "op3_string_tiling_decontamination": decontaminate.op3_string_tiling_decontamination,
+    "op4_boosted_url_filter": urlfilter.op4_boosted_url_filter,
     "op5_paragraph_minhash": substrings.op5_paragraph_minhash,
     "op6_pretoken_counts": tokencount.op6_pretoken_counts,
     "op7_virtual_slot_sharding": sharding.op7_virtual_slot_sharding,

@@ -22,8 +22,9 @@ CHUNK = 4 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[i for i in range(128) if not chr(i).isalnum()]] = True
-#: Characters beyond ASCII that also part words: general punctuation, spaces and the usual quotation marks.
-_OTHER = re.compile("[ ¡«·»¿ -⁯　-〃〈-】！，？]")
+#: Ranges of characters beyond ASCII that also part words: spaces, quotation marks, general and full-width punctuation.
+_PUNCTUATION = ((0xA0, 0xA1), (0xAB, 0xAB), (0xBB, 0xBB), (0xBF, 0xBF), (0x2000, 0x206F), (0x3000, 0x3003), (0x3008, 0x3011), (0xFF01, 0xFF0F))
+_OTHER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _PUNCTUATION) + "]")
 
 
 def plain(raw: bytes) -> bytes:
