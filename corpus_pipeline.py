@@ -5,17 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import materialize, table
+from ledgerline.llm.decontaminate import without_contaminated
+from ledgerline.llm.langid import accepted
+from ledgerline.llm.packing import pack
 from ledgerline.llm.simhash import keep_one_per_group
+from ledgerline.llm.substrings import remove_repeats
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the byte network can tell; texts without a letter go."""
+    return accepted(docs.select(*DOCUMENT_COLUMNS))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup with the operator's shingle length and bit distance; one document of each group stays."""
-    return keep_one_per_group(docs).select(*DOCUMENT_COLUMNS)
+    """SimHash near-dedup with 3-word shingles and at most 2 differing bits; the smallest doc_id of each group stays."""
+    return keep_one_per_group(docs.select(*DOCUMENT_COLUMNS))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; documents with nothing left go."""
+    return remove_repeats(docs.select(*DOCUMENT_COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_contaminated(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, each with its sequence and place."""
+    return pack(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+STAGES = [("language_id", language_id), ("simhash_near_dedup", near_dedup), ("substring_dedup", substring_dedup),
+          ("benchmark_decontamination", decontamination), ("best_fit_packing", packing)]
 
 #: No stage can be stated in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

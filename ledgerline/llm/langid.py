@@ -17,6 +17,8 @@ HIDDEN, WINDOW, TILE = 8, 64, 4096
 #: Bounds of the training sample: documents of a language, windows of a document.
 TRAIN_DOCS, TRAIN_WINDOWS = 400, 6
 STEPS, BATCH, RATE = 500, 192, 0.02
+#: A text whose mean probability of its label is lower is rejected by ``accepted``.
+LEAST_SCORE = 0.4
 UNKNOWN = "und"
 LETTER = re.compile(b"[A-Za-z]")
 
@@ -199,24 +201,49 @@ def learn(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, steps: int = STE
     return names, train(x, np.arange(WINDOW) < valid[:, None], np.array([y for _, y in raw]), len(names), steps)
 
 
+def predictions(texts: list[bytes], names: list[str], network: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """(language, score) of each text by its bytes alone."""
+    label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    read = [i for i, t in enumerate(texts) if names and t and has_letter(t)]
+    if read:
+        prob = pooled([texts[i] for i in read], network)
+        for i, k, s in zip(read, prob.argmax(1), prob.max(1)):
+            label[i], score[i] = names[k], min(1.0, float(s))
+    return label, score
+
+
 def identify(docs: DataFrame, names: list[str], network: dict[str, np.ndarray]) -> DataFrame:
-    """Adds held_out, lang_pred and score by the bytes of the text alone: doc_id and these three columns."""
+    """doc_id, held_out, lang_pred, score."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = binary_texts(b.column(2))
-            label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            read = [i for i, t in enumerate(texts) if names and t and has_letter(t)]
-            if read:
-                prob = pooled([texts[i] for i in read], network)
-                for i, k, s in zip(read, prob.argmax(1), prob.max(1)):
-                    label[i], score[i] = names[k], min(1.0, float(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(label), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            label, score = predictions(binary_texts(b.column(2)), names, network)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(label, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     python_tasks(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents, all columns as they are, that the network gives a language with a score of at least ``least``.
+
+    Texts without a letter and null texts go. If there is no language to learn, every text with a letter stays.
+    """
+    names, network = learn(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = binary_texts(b.column(b.schema.get_field_index("text")))
+            if names:
+                keep = predictions(texts, names, network)[1] >= least
+            else:
+                keep = np.array([bool(t) and has_letter(t) for t in texts])
+            yield b.filter(pa.array(keep))
+
+    python_tasks(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out (crc32 of doc_id as text mod 4 is 2), lang_pred, score.
 
