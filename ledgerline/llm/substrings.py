@@ -292,7 +292,7 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Documents without their repeated passages, with n_chars counted anew; a document with nothing left goes."""
-    spans = repeated_passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words")).alias("spans"))
+    spans = repeated_passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words")).alias("__spans"))
     spans = materialize(spans, "paragraph-spans")
 
     @F.pandas_udf("string")
@@ -301,8 +301,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     names = [c for c in docs.columns if c not in ("text", "n_chars")]
     left = docs.join(spans, "doc_id", "left")
-    same = left.where("spans is null").select(*docs.columns)
-    less = left.where("spans is not null").select(*names, cut("text", "spans").alias("text")).withColumn("n_chars", F.length("text").cast("long")) \
+    same = left.where("__spans is null").select(*docs.columns)
+    less = left.where("__spans is not null").select(*names, cut("text", "__spans").alias("text")).withColumn("n_chars", F.length("text").cast("long")) \
         .where("text <> ''").select(*docs.columns)
     return same.unionByName(less)
 
