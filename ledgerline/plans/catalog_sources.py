@@ -25,17 +25,55 @@ def _raw_copy(spark, sf) -> str:
     return X.write_csv(raw, scratch_path(spark, "deals-csv"))
 
 
-_S1_SQL = Q.with_deals(
-    f"""SELECT {_TEXT_COLS}, NULLIF(ltrim(bri), '') AS bri, NULLIF(ltrim(greenfield), '') AS greenfield FROM deals""")
+def _dirty_export(spark, sf, keyless: bool = False) -> str:
+    """An export of the deals as files have them: columns in another order, blanks after commas, month names on odd
+    keys, share sizes with half points, an unquoted comma in the investor where the deal type is known (one field too
+    many), the last fields left out where it isn't (a short line)."""
+    d = deals(spark, sf)
+    odd = F.col("deal_id") % 2 == 1
+    month = F.when(odd, F.date_format(F.make_date(F.lit(2000), F.col("month"), F.lit(1)), "MMMM")).otherwise(F.col("month").cast("string"))
+    share = F.coalesce(F.when(odd, F.concat(F.col("share_size").cast("string"), F.lit(".5"))).otherwise(F.col("share_size").cast("string")), F.lit(""))
+    head = ["Investor/Contractor", "Quantity in Millions", "Year", "Month", "Share Size", "Sector", "Transaction Party", "Region", "Country", "Subsector"]
+    cells = [F.when(F.col("greenfield").isNull(), F.col("investor")).otherwise(F.concat("investor", F.lit(", "), F.col("country"))),
+             F.col("amount").cast("string"), F.col("year").cast("string"), month, share, F.col("sector"), F.coalesce("party", F.lit("")), F.col("region"), F.col("country"), F.col("subsector")]
+    if not keyless:
+        head, cells = ["deal_id", *head], [F.col("deal_id").cast("string"), *cells]
+    short = F.col("greenfield").isNull()
+    line = F.concat(F.concat_ws(", ", *cells), F.when(short, F.lit("")).otherwise(F.concat(F.lit(", "), F.col("greenfield"), F.lit(", "), F.col("bri"))))
+    path = scratch_path(spark, "export")
+    names = ", ".join([*head, "Greenfield", "BRI"])
+    # a one-column table whose column name is the header line: every file starts with it, no field is quoted
+    d.select(line.alias(names)).write.mode("overwrite").option("header", True).option("sep", "\u0001").option("quote", "\u0000") \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+_TYPED = """SELECT {key}year, month, CASE WHEN greenfield IS NULL THEN investor ELSE investor || ', ' || country END AS investor, amount,
+  CAST(share_size AS DOUBLE) + CASE WHEN deal_id % 2 = 1 THEN 0.5 ELSE 0 END AS share_size, party, sector, subsector, country, region,
+  CASE WHEN greenfield IS NOT NULL THEN NULLIF(ltrim(bri), '') END AS bri, NULLIF(ltrim(greenfield), '') AS greenfield,
+  CASE WHEN greenfield IS NULL THEN -2 ELSE 1 END AS _ragged FROM deals"""
+
+
+@register("scan_deals_csv", Q.with_deals(_TYPED.format(key="deal_id, ")))
+def q_scan_deals_csv(spark, sf):
+    """S1+S2+S4+S5: an export in another column order with surplus, short, fractional-share and month-name lines, bound
+    by header name, repaired, renamed and typed."""
+    raw = X.scan_export(spark, _dirty_export(spark, sf))
+    return X.type_deals(raw)
 
 
-@register("scan_deals_csv", _S1_SQL)
-def q_scan_deals_csv(spark, sf):
-    """S1+S4+S5: CSV scan (all text, blanks after delimiters skipped), header
-    normalisation, canonical rename, typed projection."""
-    path = _raw_copy(spark, sf)
-    raw = X.scan_csv(spark, path, X.RAW_HEADERS)
-    return X.type_deals(X.rename_columns(X.normalize_headers(raw)))
+@register("scan_keyless_csv", Q.with_deals(_TYPED.format(key="")))
+def q_scan_keyless_csv(spark, sf):
+    """S1 without a key column: every line gets a derived id; it depends on the files' split, so it is left out here."""
+    raw = X.scan_export(spark, _dirty_export(spark, sf, keyless=True))
+    return X.type_deals(raw).drop("deal_id")
+
+
+@register("scan_counts", Q.with_deals("""SELECT count(*) AS lines, count(greenfield) AS folded, count(*) - count(greenfield) AS padded,
+  CAST(0 AS BIGINT) AS rejected FROM deals"""))
+def q_scan_counts(spark, sf):
+    """How many lines were read strictly, repaired and rejected."""
+    return X.scan_counts(X.scan_export(spark, _dirty_export(spark, sf)))
 
 
 @register("scan_all_string", Q.with_deals("""SELECT CAST(deal_id AS VARCHAR) AS deal_id, CAST(year AS VARCHAR) AS year,
@@ -53,7 +91,8 @@ def q_normalize_headers(spark, sf):
     path = _raw_copy(spark, sf)
     raw = X.normalize_headers(X.scan_csv(spark, path, X.RAW_HEADERS), rule="r")
     m = {X.normalize_header(h, "r"): X.CANONICAL[X.normalize_header(h)] for h in X.RAW_HEADERS}
-    return X.type_deals(X.rename_columns(raw, m)).select(*[c.strip() for c in _TEXT_COLS.split(",")])
+    d = X.type_deals(X.rename_columns(raw, m)).withColumn("share_size", F.col("share_size").cast("int"))
+    return d.select(*[c.strip() for c in _TEXT_COLS.split(",")])
 
 
 @register("rename_columns", Q.with_deals("SELECT deal_id, investor, amount, greenfield FROM deals"))
@@ -80,7 +119,7 @@ def q_scan_ragged_csv(spark, sf):
                        F.col("greenfield"))
     path = scratch_path(spark, "ragged")
     d.select(line.alias("value")).write.mode("overwrite").text(path)
-    r = X.scan_ragged_csv(spark, path, names, fold_index=3)
+    r = X.scan_ragged_csv(spark, path, names, fold="investor")
     return r.select(F.col("deal_id").cast("long").alias("deal_id"), "investor",
                     F.col("amount").cast("double").alias("amount"), "sector", "bri", "greenfield", "_ragged")
 

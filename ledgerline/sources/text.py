@@ -6,6 +6,7 @@ type columns afterwards with the cleaning expressions.
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,46 +48,110 @@ def all_string_schema(names: list[str]) -> T.StructType:
 
 
 def scan_csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Header row, comma, utf-8, blanks after a delimiter skipped, every
-    column read as text (explicit schema: no inference job)."""
+    """S3: header row, comma, utf-8, blanks after a delimiter skipped, every column read as text and bound by
+    position to ``names`` (no inference job). For files whose columns are known; exports go through scan_export."""
     return (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
-            .option("ignoreTrailingWhiteSpace", False).option("encoding", "UTF-8")
+            .option("ignoreTrailingWhiteSpace", False).option("encoding", "UTF-8").option("escape", '"')
             .option("mode", "PERMISSIVE").schema(all_string_schema(names)).csv(path))
 
 
 def _split_fields(line: Column) -> Column:
-    # split on commas outside double quotes, then unquote and skip leading blanks
-    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(parts, lambda p: F.regexp_replace(
-        F.regexp_replace(F.ltrim(p), r'^"(.*)"$', "$1"), '""', '"'))
-
-
-def scan_ragged_csv(spark: SparkSession, path: str, names: list[str], fold_index: int = 3) -> DataFrame:
-    """One record per physical line; blank lines skipped; short rows padded with
-    NULL; a long row folds its ``len - n`` surplus fields into column ``fold_index``
-    (1-based), re-joined with commas (the evident intent, D7). Adds ``_ragged``
-    (-1 short, 0 exact, +k folded) so rejects/repairs can be counted."""
-    n = len(names)
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    # drop the header line(s): the first line of each file equals the header text
-    hdr = ",".join(names)
-    lines = lines.where(F.col("value") != hdr)
-    arr = _split_fields(F.col("value"))
-    d = lines.select(arr.alias("f"))
+    """Fields of one line: quoted (a doubled quote stands for one) or up to the next comma, leading blanks skipped.
+    One pass over the line."""
+    parts = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'[ \t]*("(?:[^"]|"")*"|[^,]*),'), 1)
+    return F.transform(parts, lambda p: F.when(
+        p.rlike('^"(?s:.*)"$') & (F.length(p) > 1), F.replace(p.substr(F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
+
+
+def _fields(lines: DataFrame, names: list[str], fold: str, *keep: str) -> DataFrame:
+    """Lines (column ``value``) to text columns ``names``: a line with n fields is taken as it is, a longer one folds
+    its surplus fields into column ``fold`` (re-joined with commas, D7), a shorter one is padded with NULL. Adds
+    ``_ragged``: 0 exact, +k folded, -k missing. Empty fields are NULL."""
+    n, k = len(names), names.index(fold) + 1
+    d = lines.select(*keep, _split_fields(F.col("value")).alias("f"))
     extra = F.size("f") - n
-    k = fold_index
     folded = F.when(extra > 0, F.concat(
-        F.slice("f", 1, k - 1),
-        F.array(F.array_join(F.slice("f", k, extra + 1), ",")),
-        F.slice("f", k + extra + 1, n))).otherwise(F.col("f"))
-    d = d.select(folded.alias("g"), F.when(extra > 0, extra).when(extra < 0, -1).otherwise(0).alias("_ragged"))
+        F.slice("f", 1, k - 1), F.array(F.array_join(F.slice("f", F.lit(k), extra + 1), ",")),
+        F.slice("f", F.lit(k) + extra + 1, F.lit(n)))).otherwise(F.col("f"))
+    d = d.select(*keep, folded.alias("g"), extra.alias("_ragged"))
     cells = [F.try_element_at("g", F.lit(i + 1)) for i in range(n)]
-    return d.select(*[F.when(c != "", c).alias(nm) for c, nm in zip(cells, names)], "_ragged")
+    return d.select(*keep, *[F.when(c != "", c).alias(nm) for c, nm in zip(cells, names)], "_ragged")
+
+
+def header_line(spark: SparkSession, path: str) -> str:
+    """The first line of the export (one tiny job)."""
+    row = spark.read.text(path).first()
+    return (row["value"] if row else "").lstrip("\ufeff")
+
+
+def split_header(line: str) -> list[str]:
+    return next(csv.reader([line], skipinitialspace=True), [])
+
+
+def scan_ragged_csv(spark: SparkSession, path: str, names: list[str] | None = None, fold: str | None = None) -> DataFrame:
+    """One record per physical line, blank and header lines dropped. ``names`` are read from the header if absent;
+    ``fold`` is the column that takes surplus fields (default: the investor column, by whatever name it has)."""
+    if names is None:
+        head = header_line(spark, path)
+        names = split_header(head)
+    else:
+        head = ",".join(names)
+    if fold is None:
+        fold = next((c for c in names if CANONICAL.get(normalize_header(c)) == "investor"
+                     or normalize_header(c).lower().startswith("investor")), None)
+        if fold is None:
+            raise ValueError(f"no column to fold surplus fields into: {names}")
+    lines = spark.read.text(path).where((F.trim("value") != "") & (F.ltrim(F.col("value"), F.lit("\ufeff")) != head))
+    return _fields(lines, names, fold)
+
+
+def scan_export(spark: SparkSession, path: str) -> DataFrame:
+    """S1 + S2 + S4 + S5: an export with a header, columns bound by name whatever their order.
+
+    Lines with as many fields as the header are read strictly; all others go through the ragged repair and are marked
+    in ``_ragged``, so nothing is dropped without a count (see scan_counts). Known headers get their canonical names,
+    unknown ones keep their normalised name, absent canonical columns are NULL; the amount column is required. A file
+    without deal_id gets one from (partition, line), the same for the same files and split size. Lines end records: a
+    quoted line break isn't supported."""
+    names = [CANONICAL.get(normalize_header(c), normalize_header(c)) for c in split_header(header_line(spark, path))]
+    if "amount" not in names:
+        raise ValueError(f"the export has no amount column: {names}")
+    if len(set(names)) != len(names):
+        raise ValueError(f"repeated column names: {names}")
+    head = header_line(spark, path)
+    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id()) \
+        .where((F.trim("value") != "") & (F.ltrim(F.col("value"), F.lit("\ufeff")) != head))
+    d = _fields(lines, names, "investor" if "investor" in names else names[-1], "_line")
+    if "deal_id" not in names:
+        d = d.withColumn("deal_id", F.col("_line").cast("string"))
+    absent = [c for c in CANONICAL.values() if c not in d.columns]
+    return d.drop("_line").withColumns({c: F.lit(None).cast("string") for c in absent})
+
+
+def scan_counts(raw: DataFrame) -> DataFrame:
+    """Lines read strictly, folded and padded, and lines whose key or amount can't be read."""
+    from ..functions.scalar import clean_number
+    return raw.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("_ragged") > 0).alias("folded"),
+                   F.count_if(F.col("_ragged") < 0).alias("padded"),
+                   F.count_if(F.col("deal_id").try_cast("long").isNull() | clean_number("amount").isNull()).alias("rejected"))
+
+
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+          "december")
+
+
+def month_number(col: str) -> Column:
+    """1-12 from a number or an English month name (any case, three letters or more)."""
+    text = F.lower(F.trim(F.col(col)))
+    e = F.when(text.rlike("^[0-9]+([.]0*)?$"), text.cast("double").cast("int"))
+    for i, m in enumerate(MONTHS, start=1):
+        e = e.when((F.length(text) >= 3) & F.lit(m).startswith(text), i)
+    return e
 
 
 def type_deals(raw: DataFrame) -> DataFrame:
-    """Typed projection of an all-text deals frame (canonical names); empty text
-    fields become NULL (the NA rule of the first reader, applied to both readers)."""
+    """Typed projection of an all-text deals frame (canonical names); empty text fields become NULL, share sizes keep
+    their decimals, months may be numbers or names."""
     from ..functions.scalar import clean_number, to_year
 
     def txt(c):
@@ -94,16 +159,17 @@ def type_deals(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("deal_id").try_cast("long").alias("deal_id"),
         to_year("year").cast("int").alias("year"),
-        F.col("month").try_cast("int").alias("month"),
+        month_number("month").alias("month"),
         txt("investor"),
         clean_number("amount").alias("amount"),
-        clean_number("share_size").cast("int").alias("share_size"),
-        *[txt(c) for c in ("party", "sector", "subsector", "country", "region", "bri", "greenfield")])
+        clean_number("share_size").alias("share_size"),
+        *[txt(c) for c in ("party", "sector", "subsector", "country", "region", "bri", "greenfield")],
+        *[c for c in ("_ragged",) if c in raw.columns])
 
 
 def write_csv(df: DataFrame, path: str) -> str:
     """report/table as CSV with a header row (values kept verbatim)."""
-    (df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
+    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 

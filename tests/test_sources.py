@@ -17,7 +17,7 @@ def test_ragged_lines(spark):
     assert names == ["a", "b", "investor_x", "d"]
     got = [tuple(r) for r in X.scan_ragged_csv(spark, path, ["a", "b", "investor/x", "d"]).collect()]
     assert ("1", "2", "inv", "4", 0) in got
-    assert ("1", "2", None, None, -1) in got
+    assert ("1", "2", None, None, -2) in got
     assert ("1", "2", "inv,extra", "4", 1) in got
     assert ("1", "2,5", "inv", "4", 0) in got
     assert sum(1 for r in got if r == ("1", "2", "inv", "4", 0)) == 2
@@ -40,3 +40,33 @@ def test_csv_round_trip_types_and_empty_text(spark):
     assert back["amount"] == 1250.5 and back["share_size"] == 45
     assert back["party"] is None          # empty text -> NULL
     assert back["bri"] == "bri "          # blanks after the delimiter skipped
+
+
+def _export(spark, lines):
+    path = scratch_path(spark, "probe")
+    spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def test_surplus_field_goes_to_the_investor_by_name(spark):
+    head = ",".join(X.RAW_HEADERS)
+    path = _export(spark, [head, "1,2005,January,CNPC, Ltd,1230,79.5,P,S,SS,C,R,y,G", '2,2006,2,"A ""B"", C",5,19.5,P,S,SS,C,R,y,G', "x,2006,2,A,,1"])
+    rows = {r.investor: r for r in X.type_deals(X.scan_export(spark, path)).collect()}
+    a = rows["CNPC, Ltd"] if "CNPC, Ltd" in rows else rows["CNPC,Ltd"]
+    assert (a.month, a.amount, a.share_size, a._ragged, a.greenfield) == (1, 1230.0, 79.5, 1, "G")
+    b = rows['A "B", C']
+    assert (b.month, b.share_size, b._ragged) == (2, 19.5, 0)
+    c = X.scan_counts(X.scan_export(spark, path)).first()
+    assert tuple(c) == (3, 1, 1, 1)
+
+
+def test_columns_bind_by_header_and_keyless_files_get_ids(spark):
+    path = _export(spark, ["Sector, Quantity in Millions, Year, Extra", "S1, $5.5, 2007, e", "S2, 7, 2008, f", "S2, 7, 2008, f"])
+    raw = X.scan_export(spark, path)
+    assert "Extra" in raw.columns
+    rows = X.type_deals(raw).orderBy("year").collect()
+    assert [(r.sector, r.amount, r.year, r.investor) for r in rows] == [("S1", 5.5, 2007, None), ("S2", 7.0, 2008, None), ("S2", 7.0, 2008, None)]
+    assert len({r.deal_id for r in rows}) == 3
+    import pytest
+    with pytest.raises(ValueError):
+        X.scan_export(spark, _export(spark, ["a,b", "1,2"]))
