@@ -48,7 +48,7 @@ def _dirty_export(spark, sf, keyless: bool = False) -> str:
     return path
 
 
-_TYPED = """SELECT {key}year, month, CASE WHEN greenfield IS NULL THEN investor ELSE investor || ', ' || country END AS investor, amount,
+_TYPED = """SELECT {key}year, month, CASE WHEN greenfield IS NULL THEN investor ELSE investor || ',' || country END AS investor, amount,
   CAST(share_size AS DOUBLE) + CASE WHEN deal_id % 2 = 1 THEN 0.5 ELSE 0 END AS share_size, party, sector, subsector, country, region,
   CASE WHEN greenfield IS NOT NULL THEN NULLIF(ltrim(bri), '') END AS bri, NULLIF(ltrim(greenfield), '') AS greenfield,
   CASE WHEN greenfield IS NULL THEN -2 ELSE 1 END AS _ragged FROM deals"""
