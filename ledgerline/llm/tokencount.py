@@ -17,7 +17,7 @@ from .common import binary_texts, deal_out, materialize, python_tasks, table
 
 LIMIT = 2048
 #: A block of documents closes at so many bytes of text or documents.
-BLOCK_BYTES, BLOCK_DOCS = 12 << 20, 20_000
+BLOCK_BYTES, BLOCK_DOCS = 24 << 20, 50_000
 
 #: The word file's split pattern for characters below U+0200 (letters, single numbers, runs of the rest).
 PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼-¾]+|[\\d²³¹¼-¾]|(?:[^\\s\\w]|_)+")
@@ -70,7 +70,8 @@ def _loaded(path: str) -> WordTokenizer:
 def frequency_blocks(docs: DataFrame, path: str) -> DataFrame:
     """One row per block of documents: its distinct pre-tokens and, per document, (ordinal, times) of each.
 
-    Columns: block, doc_id, n_bytes, specials, pairs (arrays by document), freq (compressed ordinals and times), words.
+    Columns: block, doc_id, n_bytes, specials, pairs (arrays by document), freq (compressed steps from ordinal to ordinal
+    and times), words.
     """
     names = ["block", "doc_id", "n_bytes", "specials", "pairs", "freq", "words"]
 
@@ -101,8 +102,10 @@ def frequency_blocks(docs: DataFrame, path: str) -> DataFrame:
                 words, special = tok.words(raw) if raw else ([], 0)
                 times = Counter(words)
                 voc = held[6]
-                held[4].append(np.fromiter((voc.setdefault(w, len(voc)) for w in times), np.uint32, len(times)))
-                held[5].append(np.fromiter(times.values(), np.uint32, len(times)))
+                ordinal = np.fromiter((voc.setdefault(w, len(voc)) for w in times), np.uint32, len(times))
+                order = np.argsort(ordinal)
+                held[4].append(np.diff(ordinal[order], prepend=np.uint32(0)))
+                held[5].append(np.fromiter(times.values(), np.uint32, len(times))[order])
                 for k, v in enumerate((doc, len(raw), special, len(times))):
                     held[k].append(v)
                 held[7] += len(raw)
@@ -156,9 +159,11 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
         docs_out = left.column("doc_id")[0].values
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(left.column("freq")[0].as_py()), np.uint8)
         half = len(planes) // 2
-        ordinal, times = (np.ascontiguousarray(x.reshape(4, -1).T).view(np.uint32).ravel() for x in (planes[:half], planes[half:]))
-        sums = np.concatenate(([0], np.cumsum(n[ordinal] * times.astype(np.int64))))
+        steps, times = (np.ascontiguousarray(x.reshape(4, -1).T).view(np.uint32).ravel() for x in (planes[:half], planes[half:]))
         ends = np.cumsum(pairs)
+        upto = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
+        ordinal = upto[1:] - np.repeat(upto[ends - pairs], pairs)
+        sums = np.concatenate(([0], np.cumsum(n[ordinal] * times.astype(np.int64))))
         tokens = sums[ends] - sums[ends - pairs] + special
         return pa.table({"doc_id": docs_out.cast(pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_tokens": pa.array(tokens, pa.int64())})
 
