@@ -164,11 +164,13 @@ def welch_ttest(df: DataFrame, group: str, value: str) -> DataFrame:
     """Welch two-sample t between the first and second level (sorted) of
     ``group``: t, Welch dof, Hedges g (pooled sd, small-sample corrected), mean
     difference and its standard error, n. (D4 fixed: the two samples are split by
-    group.) Exactly two levels are expected."""
+    group.) More than two levels raise an error when the result is computed."""
     mo = group_moments(df, group, value)
-    r = mo.withColumn("r", F.row_number().over(Window.orderBy(group)))
+    rank = F.row_number().over(Window.orderBy(group))
+    r = mo.withColumn("r", rank).withColumn("r", F.when(F.col("r") > 2, F.raise_error(F.lit(
+        f"welch_ttest needs two groups of {group}; use pairwise_groups for more")).cast("int")).otherwise(F.col("r")))
     # the two group rows side by side (pivot on the group's rank, no join)
-    j = r.where("r <= 2").groupBy().pivot("r", [1, 2]).agg(
+    j = r.groupBy().pivot("r", [1, 2]).agg(
         F.first(group).alias("g"), F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("var").alias("var"))
     j = j.select(*[F.col(f"{i}_{c}").alias(f"{c if c != 'g' else group}{i}") for i in (1, 2)
                    for c in ("g", "n", "mean", "var")])
@@ -296,20 +298,34 @@ def one_sample_t_tests(df: DataFrame, group: str, value: str) -> DataFrame:
     return t.withColumn("p_value", dist.t_pvalue(F.col("t"), F.col("n") - 1))
 
 
+def bandwidths(df: DataFrame, group: str, value: str, rule: str = "group", accuracy: int = 2000) -> DataFrame:
+    """Per group n, sd, mn, mx and the kernel bandwidth bw by one of three rules.
+
+    ``group``: 0.9 * spread * n^-1/5 with spread = min(sd, IQR / 1.34), or the sd if that is 0, or |first value| (here:
+    |minimum|), or 1, so no group is left out; ``shared``: the mean of these over the groups, as joint ridgelines have
+    it; ``scott``: sd * n^-1/5, with the same fallback. A group of one value has no sd and falls back too."""
+    q = exact_quantiles(df, [group], value, {"_q1": 0.25, "_q3": 0.75}, accuracy)
+    st = df.groupBy(group).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"),
+                               F.min(value).alias("mn"), F.max(value).alias("mx")).where("n > 0").join(q, group)
+    sd = F.coalesce("sd", F.lit(0.0))
+    spread = sd if rule == "scott" else F.least(sd, (F.col("_q3") - F.col("_q1")) / 1.34)
+    spread = F.when(spread > 0, spread).when(sd > 0, sd).when(F.col("mn") != 0, F.abs("mn")).otherwise(1.0)
+    st = st.withColumn("bw", (1.0 if rule == "scott" else 0.9) * spread * F.pow(F.col("n"), -0.2)).drop("_q1", "_q3")
+    if rule == "shared":
+        st = st.withColumn("bw", F.lit(scalars(st.agg(F.avg("bw").alias("b")))["b"]).cast("double"))
+    return st
+
+
 def grouped_density(df: DataFrame, group: str, value: str, grid: int = 512, cut: float = 3.0,
-                    accuracy: int = 2000) -> DataFrame:
+                    accuracy: int = 2000, rule: str = "group") -> DataFrame:
     """Gaussian kernel density per group on a ``grid``-point grid spanning
-    [min - cut*bw, max + cut*bw], bw = 0.9 * min(sd, IQR/1.34) * n^-1/5.
+    [min - cut*bw, max + cut*bw], bandwidth by ``rule`` (see bandwidths).
 
     Rows are counted into the grid cells (binned KDE, as standard density
-    estimators do); each non-empty cell spreads its count to the grid points
-    within 4 bandwidths (an explode of bounded length), and the contributions are
-    summed per grid point. Work is linear in rows + cells x (8 bw / step)."""
-    q = exact_quantiles(df, [group], value, {"_q1": 0.25, "_q3": 0.75}, accuracy)
-    st = df.groupBy(group).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"),
-                               F.min(value).alias("mn"), F.max(value).alias("mx")).join(q, group)
-    bw = 0.9 * F.least(F.col("sd"), (F.col("_q3") - F.col("_q1")) / 1.34) * F.pow(F.col("n"), -0.2)
-    st = st.withColumn("bw", bw).where("bw > 0")
+    estimators do); each non-empty cell spreads its count over the whole grid (an
+    explode of ``grid`` points a cell, at most grid^2 a group whatever its rows),
+    and the contributions are summed per grid point."""
+    st = bandwidths(df, group, value, rule, accuracy)
     st = st.withColumn("lo", F.col("mn") - cut * F.col("bw")).withColumn(
         "step", (F.col("mx") - F.col("mn") + 2 * cut * F.col("bw")) / grid)
     cells = (df.select(group, value).join(st.select(group, "lo", "step"), group)
@@ -317,9 +333,7 @@ def grouped_density(df: DataFrame, group: str, value: str, grid: int = 512, cut:
                      .cast("int").alias("cell"))
              .groupBy(group, "cell").agg(F.count(F.lit(1)).alias("c")))
     cs = cells.join(st.select(group, "n", "bw", "step", "lo"), group)
-    m = F.ceil(4 * F.col("bw") / F.col("step")).cast("int")
-    sp = cs.select("*", F.explode(F.sequence(F.greatest(F.col("cell") - m, F.lit(0)),
-                                             F.least(F.col("cell") + m, F.lit(grid - 1)))).alias("j"))
+    sp = cs.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("j"))
     z = (F.col("j") - F.col("cell")) * F.col("step") / F.col("bw")
     out = sp.groupBy(group, "j", "n", "bw", "step", "lo").agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("weight"))
     return out.select(group, F.col("j").alias("grid_index"),

@@ -18,14 +18,10 @@ from .ordered import block_in, block_of, exact_quantiles, group_bounds, key_boun
 
 # Model inputs. The rolling statistics are the lagged ones (previous deals only) and
 # the group-mean blends leave the row out: the source's versions contain the target
-# amount itself (D11). ML_NUMERIC_AS_SOURCE
-# keeps the source's leaky list for comparison.
+# amount itself.
 ML_NUMERIC = ["year", "roll_lag_mean_2", "roll_lag_mean_3", "roll_lag_std_2", "roll_lag_std_3", "policy_cumulative",
               "policy_interaction", "sector_blend_loo", "region_blend_loo", "phase_1", "phase_2", "phase_3",
               "sector_year_int", "region_policy_int"]
-ML_NUMERIC_AS_SOURCE = ["year", "roll_mean_2", "roll_mean_3", "roll_std_2", "roll_std_3", "policy_cumulative",
-                        "policy_interaction", "sector_blend", "region_blend", "phase_1", "phase_2", "phase_3",
-                        "sector_year_int", "region_policy_int"]
 ML_CATEGORICAL = ["sector", "region", "deal_type", "phase", "post_policy"]
 
 
@@ -193,23 +189,15 @@ def _desc_prefix(sg: DataFrame, n_blocks: int = 16) -> DataFrame:
                                          (F.col("_no") + F.col("_nl")).alias("neg_above"))
 
 
-def roc_auc(pred: DataFrame, label: str, score: str, group: list[str] | None = None) -> DataFrame:
+def roc_auc(pred: DataFrame, label: str, score: str) -> DataFrame:
     """M9: rank AUC with ties counted half: sum over score groups of
     pos * (neg below + neg_same / 2) / (P * N). Per-score aggregation first, then
-    prefix sums of negatives; no row-level sort."""
-    if group:
-        sg = pred.groupBy(*group, F.col(score).alias("score")).agg(
-            F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-        w = Window.partitionBy(*group).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-        s = sg.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-        return s.groupBy(*group).agg(
-            (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    prefix sums of negatives; no row-level sort, totals in the same aggregation."""
     p = _desc_prefix(score_groups(pred, label, score))
-    p = p.cache()
-    tot = scalars(p.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
-    P_, N_ = float(tot["P"] or 0), float(tot["N"] or 0)
-    neg_below = F.lit(N_) - F.col("neg_above") - F.col("neg")
-    return p.agg((F.sum(F.col("pos") * (neg_below + F.col("neg") / 2)) / F.lit(P_ * N_)).alias("auc"))
+    neg = F.sum("neg")
+    # sum of pos * (N - neg_above - neg / 2), with N known only at the end
+    above = F.sum(F.col("pos") * (F.col("neg_above") + F.col("neg") / 2))
+    return p.agg(((F.sum("pos") * neg - above) / (F.sum("pos") * neg)).alias("auc"))
 
 
 def accuracy(pred: DataFrame, label: str, predicted: str) -> DataFrame:
@@ -231,13 +219,12 @@ def calibration_curve(pred: DataFrame, label: str, score: str, n_bins: int = 10)
 
 
 def pr_curve(pred: DataFrame, label: str, score: str) -> DataFrame:
-    """Precision and recall at every distinct score threshold (score >= t),
-    down to the first threshold that reaches full recall."""
-    p = _desc_prefix(score_groups(pred, label, score))
-    p = p.cache()
-    P_ = scalars(p.agg(F.sum("pos").alias("P")))["P"]
+    """Precision and recall at every distinct score threshold (score >= t)."""
+    groups = score_groups(pred, label, score)
+    P_ = scalars(groups.agg(F.sum("pos").alias("P")))["P"]
+    p = _desc_prefix(groups)
     tp = F.col("pos_above") + F.col("pos")
     fp = F.col("neg_above") + F.col("neg")
-    return p.withColumn("P", F.lit(P_).cast("long")).where(F.col("pos_above") < F.col("P")).select(
+    return p.withColumn("P", F.lit(P_).cast("long")).select(
         F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
         (tp / (tp + fp)).alias("precision"), (tp / F.col("P")).alias("recall"))

@@ -147,10 +147,9 @@ def q_calibration_curve(spark, sf):
 
 @register("pr_curve", f"""WITH {_LAB}
 SELECT score AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / (tp + fp), 9) AS precision, round(tp / pp, 9) AS recall FROM (
-  SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER w - pos AS pos_above, sum(pos) OVER () AS pp
+  SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS pp
   FROM (SELECT score, sum(quality) AS pos, sum(1 - quality) AS neg FROM lab GROUP BY score)
-  WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-WHERE pos_above < pp""")
+  WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
 def q_pr_curve(spark, sf):
     """M11"""
     c = P.pr_curve(_lab(spark, sf), "quality", "score")

@@ -181,8 +181,13 @@ def q_nonempty_groups(spark, sf):
     return nonempty_groups(g, "total").withColumn("total", F.col("total").cast("double"))
 
 
-@register("region_year_pivot", Q.with_tagged("""
-SELECT * FROM (PIVOT kept ON region USING CAST(sum(a) AS DOUBLE) GROUP BY year)""", PA, f"""
+def _pivot_cells() -> str:
+    """One conditional sum per region of the driver tables (fixed names)."""
+    cell = 'COALESCE(CAST(sum(CASE WHEN region = \'{0}\' THEN a END) AS DOUBLE), 0) AS "{0}"'
+    return ", ".join(cell.format(r) for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
+
+
+@register("region_year_pivot", Q.with_tagged(f"SELECT year, {_pivot_cells()} FROM kept GROUP BY year", PA, f"""
 top AS (SELECT region FROM tagged GROUP BY region ORDER BY {MS} DESC, region LIMIT 7),
 kept AS (SELECT year, region, CAST(amount AS DECIMAL(18,2)) AS a FROM tagged WHERE region IN (SELECT region FROM top))"""))
 def q_region_year_pivot(spark, sf):

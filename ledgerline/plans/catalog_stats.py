@@ -296,21 +296,21 @@ def q_phase_histogram(spark, sf):
 @register("grouped_density", Q.with_deals("""
 SELECT region, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x, round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))) / (n * bw * sqrt(2 * pi())), 12) AS density
-FROM (SELECT cells.region, cell, c, n, bw, step, lo, unnest(range(greatest(cell - m, 0), least(cell + m, 511) + 1)) AS j
+FROM (SELECT cells.region, cell, c, n, bw, step, lo, unnest(range(512)) AS j
       FROM (SELECT d.region, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
             FROM dr d JOIN st ON st.region = d.region GROUP BY 1, 2) cells
       JOIN st ON st.region = cells.region)
 GROUP BY region, j, n, bw, step, lo""", """
 dr AS (SELECT region, amount FROM deals WHERE amount IS NOT NULL AND year IS NOT NULL AND amount > 0 AND amount <= 320000),
 st0 AS (SELECT region, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
-        0.9 * least(stddev_samp(amount), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34)
-          * power(count(amount), -0.2) AS bw FROM dr GROUP BY region),
-st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step, CAST(ceil(4 * bw / ((mx - mn + 6 * bw) / 512)) AS INT) AS m
-       FROM st0 WHERE bw > 0)"""))
+        0.9 * CASE WHEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) > 0 THEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) WHEN stddev_samp(amount) > 0 THEN stddev_samp(amount)
+                   WHEN min(amount) <> 0 THEN abs(min(amount)) ELSE 1.0 END * power(count(amount), -0.2) AS bw FROM dr GROUP BY region),
+st1 AS (SELECT * EXCLUDE (bw), avg(bw) OVER () AS bw FROM st0),
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step FROM st1)"""))
 def q_grouped_density(spark, sf):
-    """Kernel density of amount per region (R density rules, 0 < amount <= cap)."""
+    """Kernel density of amount per region, one bandwidth for all ridgelines (0 < amount <= cap)."""
     d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True)
-    k = I.grouped_density(d, "region", "amount", accuracy=PA.sketch_accuracy)
+    k = I.grouped_density(d, "region", "amount", accuracy=PA.sketch_accuracy, rule="shared")
     return k.select("region", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"),
                     F.round("density", 12).alias("density"))
 
@@ -319,22 +319,20 @@ def q_grouped_density(spark, sf):
 SELECT year, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 6) AS x,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))) / (n * bw * sqrt(2 * pi())), 9) AS density
-FROM (SELECT cells.year, cell, c, n, bw, step, lo, unnest(range(greatest(cell - m, 0), least(cell + m, 511) + 1)) AS j
+FROM (SELECT cells.year, cell, c, n, bw, step, lo, unnest(range(512)) AS j
       FROM (SELECT d.year, CAST(least(floor((v - lo) / step), 511) AS INT) AS cell, count(*) AS c
             FROM dr d JOIN st ON st.year = d.year GROUP BY 1, 2) cells
       JOIN st ON st.year = cells.year)
 GROUP BY year, j, n, bw, step, lo""", PA, """
 dr AS (SELECT year, log10(amount) AS v FROM tagged WHERE amount > 0),
 st0 AS (SELECT year, count(v) AS n, min(v) AS mn, max(v) AS mx,
-        0.9 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34)
-          * power(count(v), -0.2) AS bw FROM dr GROUP BY year),
-st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step, CAST(ceil(4 * bw / ((mx - mn + 6 * bw) / 512)) AS INT) AS m
-       FROM st0 WHERE bw > 0)"""))
+        CASE WHEN stddev_samp(v) > 0 THEN stddev_samp(v) WHEN min(v) <> 0 THEN abs(min(v)) ELSE 1.0 END * power(count(v), -0.2) AS bw FROM dr GROUP BY year),
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step FROM st0)"""))
 def q_grouped_density_year_log10(spark, sf):
-    """T10/P5 (ridgeline variant): density of log10 amount per year (positive amounts)."""
+    """T10/P5 (ridgeline variant): density of log10 amount per year by Scott's rule (positive amounts)."""
     from ..operators.clean import positive_log10
     d = positive_log10(feat(spark, sf)).select("year", F.col("log10_amount").alias("v"))
-    k = I.grouped_density(d, "year", "v", accuracy=PA.sketch_accuracy)
+    k = I.grouped_density(d, "year", "v", accuracy=PA.sketch_accuracy, rule="scott")
     return k.select("year", "grid_index", F.round("x", 6).alias("x"), F.round("weight", 6).alias("weight"),
                     F.round("density", 9).alias("density"))
 
@@ -345,7 +343,7 @@ _DENS_VARS = ["subsector", "region", "month", "sector", "bri_group"]
 @register("grouped_density_r", Q.with_deals("""
 SELECT gkey, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight
-FROM (SELECT cells.gkey, cell, c, n, bw, step, lo, unnest(range(greatest(cell - m, 0), least(cell + m, 511) + 1)) AS j
+FROM (SELECT cells.gkey, cell, c, n, bw, step, lo, unnest(range(512)) AS j
       FROM (SELECT d.gkey, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
             FROM dr d JOIN st ON st.gkey = d.gkey GROUP BY 1, 2) cells
       JOIN st ON st.gkey = cells.gkey)
@@ -357,10 +355,9 @@ base AS (SELECT amount, COALESCE(subsector, 'Unknown') AS subsector, COALESCE(re
 dr AS (SELECT variable || '=' || level AS gkey, amount FROM
        (UNPIVOT base ON subsector, region, month, sector, bri_group INTO NAME variable VALUE level)),
 st0 AS (SELECT gkey, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
-        0.9 * least(stddev_samp(amount), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34)
-          * power(count(amount), -0.2) AS bw FROM dr GROUP BY gkey),
-st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step, CAST(ceil(4 * bw / ((mx - mn + 6 * bw) / 512)) AS INT) AS m
-       FROM st0 WHERE bw > 0)"""))
+        0.9 * CASE WHEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) > 0 THEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) WHEN stddev_samp(amount) > 0 THEN stddev_samp(amount)
+                   WHEN min(amount) <> 0 THEN abs(min(amount)) ELSE 1.0 END * power(count(amount), -0.2) AS bw FROM dr GROUP BY gkey),
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step FROM st0)"""))
 def q_grouped_density_r(spark, sf):
     """T10 (R rules, all grouping variables in one pass): rows unpivoted to
     (variable, level) keys, then one kernel density per key on 0 < amount <= cap."""
@@ -378,7 +375,7 @@ def q_grouped_density_r(spark, sf):
 @register("grouped_density_top_parties", Q.with_deals("""
 SELECT party, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight
-FROM (SELECT cells.party, cell, c, n, bw, step, lo, unnest(range(greatest(cell - m, 0), least(cell + m, 511) + 1)) AS j
+FROM (SELECT cells.party, cell, c, n, bw, step, lo, unnest(range(512)) AS j
       FROM (SELECT d.party, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
             FROM dr d JOIN st ON st.party = d.party GROUP BY 1, 2) cells
       JOIN st ON st.party = cells.party)
@@ -387,10 +384,9 @@ filt AS (SELECT party, amount FROM deals WHERE amount IS NOT NULL AND year IS NO
 tp AS (SELECT party FROM (SELECT party, rank() OVER (ORDER BY count(*) DESC) AS r FROM filt GROUP BY party) WHERE r <= 25),
 dr AS (SELECT party, amount FROM filt WHERE party IN (SELECT party FROM tp)),
 st0 AS (SELECT party, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
-        0.9 * least(stddev_samp(amount), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34)
-          * power(count(amount), -0.2) AS bw FROM dr GROUP BY party),
-st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step, CAST(ceil(4 * bw / ((mx - mn + 6 * bw) / 512)) AS INT) AS m
-       FROM st0 WHERE bw > 0)"""))
+        0.9 * CASE WHEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) > 0 THEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) WHEN stddev_samp(amount) > 0 THEN stddev_samp(amount)
+                   WHEN min(amount) <> 0 THEN abs(min(amount)) ELSE 1.0 END * power(count(amount), -0.2) AS bw FROM dr GROUP BY party),
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step FROM st0)"""))
 def q_grouped_density_top_parties(spark, sf):
     """T10 + P6/W8 (R rules): density of amount for the top-25 counter-parties by
     deal count (ties kept), on 0 < amount <= cap."""
@@ -404,7 +400,7 @@ def q_grouped_density_top_parties(spark, sf):
 @register("grouped_density_top_shares", Q.with_deals("""
 SELECT share_size, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight
-FROM (SELECT cells.share_size, cell, c, n, bw, step, lo, unnest(range(greatest(cell - m, 0), least(cell + m, 511) + 1)) AS j
+FROM (SELECT cells.share_size, cell, c, n, bw, step, lo, unnest(range(512)) AS j
       FROM (SELECT d.share_size, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
             FROM dr d JOIN st ON st.share_size = d.share_size GROUP BY 1, 2) cells
       JOIN st ON st.share_size = cells.share_size)
@@ -414,10 +410,9 @@ tp AS (SELECT share_size FROM (SELECT share_size, rank() OVER (ORDER BY count(*)
        WHERE r <= 30),
 dr AS (SELECT share_size, amount FROM filt WHERE share_size IN (SELECT share_size FROM tp)),
 st0 AS (SELECT share_size, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
-        0.9 * least(stddev_samp(amount), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34)
-          * power(count(amount), -0.2) AS bw FROM dr GROUP BY share_size),
-st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step, CAST(ceil(4 * bw / ((mx - mn + 6 * bw) / 512)) AS INT) AS m
-       FROM st0 WHERE bw > 0)"""))
+        0.9 * CASE WHEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) > 0 THEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) WHEN stddev_samp(amount) > 0 THEN stddev_samp(amount)
+                   WHEN min(amount) <> 0 THEN abs(min(amount)) ELSE 1.0 END * power(count(amount), -0.2) AS bw FROM dr GROUP BY share_size),
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step FROM st0)"""))
 def q_grouped_density_top_shares(spark, sf):
     """T10 + W8 (R rules): density of amount for the 30 most frequent share sizes
     (ties kept), on 0 < amount <= cap."""

@@ -28,16 +28,28 @@ def _default_driver_memory() -> str:
 
 def build_session(master: str | None = None, app: str = "ledgerline", shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
-    master = master or os.environ.get("LEDGERLINE_MASTER") or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-    b = (SparkSession.builder.master(master).appName(app)
+    """A session with AQE, UTC and Arrow on and the web page off.
+
+    A master is only set if one is asked for (argument or LEDGERLINE_MASTER) or if nobody else can have set it, that is
+    outside spark-submit; the shuffle partitions likewise, so a cluster keeps its own settings."""
+    master = master or os.environ.get("LEDGERLINE_MASTER")
+    if master is None and "PYSPARK_GATEWAY_PORT" not in os.environ:
+        master = f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+    if shuffle_partitions is None and master is not None and master.startswith("local"):
+        shuffle_partitions = 8
+    b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-         .config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEM") or _default_driver_memory()))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if master is not None:
+        b = b.master(master)
+        if master.startswith("local"):
+            b = b.config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEM") or _default_driver_memory())
+    if shuffle_partitions is not None:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
