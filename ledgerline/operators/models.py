@@ -17,20 +17,25 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import prep as P
 
-# Small default grids (each setting x fold is one distributed fit); pass larger
-# grids for real searches.
+def axis_grid(base: dict, other: dict) -> list[dict]:
+    """The base setting and, for every axis, the setting that differs from it there: two values on each axis with
+    1 + axes settings. Pass itertools.product combinations for a full grid."""
+    return [dict(base), *({**base, k: v} for k, v in other.items())]
+
+
+# Each setting x fold is one distributed fit.
 REG_GRID = {
-    "gbt": [{"maxDepth": 3, "maxIter": 20, "stepSize": 0.1}, {"maxDepth": 5, "maxIter": 20, "stepSize": 0.1}],
-    "rf": [{"maxDepth": 8, "numTrees": 20}],
+    "gbt": axis_grid({"maxDepth": 3, "maxIter": 20, "stepSize": 0.1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInstancesPerNode": 1},
+                     {"maxDepth": 5, "maxIter": 30, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20}),
+    "rf": axis_grid({"maxDepth": 8, "numTrees": 20, "minInstancesPerNode": 1}, {"maxDepth": 5, "numTrees": 40, "minInstancesPerNode": 20}),
 }
 CLF_GRID = {
-    "gbt": [{"maxDepth": 4, "maxIter": 20, "stepSize": 0.1}],
-    "gbt_weighted": [{"maxDepth": 4, "maxIter": 20, "stepSize": 0.1}],
-    "rf": [{"maxDepth": 8, "numTrees": 20}],
+    "gbt": axis_grid({"maxDepth": 4, "maxIter": 20, "stepSize": 0.1, "subsamplingRate": 1.0}, {"maxDepth": 3, "maxIter": 30, "stepSize": 0.05, "subsamplingRate": 0.8}),
+    "gbt_weighted": axis_grid({"maxDepth": 4, "maxIter": 20, "stepSize": 0.1}, {"maxDepth": 3, "stepSize": 0.05}),
+    "rf": axis_grid({"maxDepth": 8, "numTrees": 20}, {"maxDepth": 5, "numTrees": 40}),
 }
 
 
@@ -179,14 +184,16 @@ CAUSAL_CONTROLS_CAT = ["sector", "region", "deal_type"]
 
 
 def dml_effect(df: DataFrame, outcome: str = "log_amount", treatment: str = "post_policy", k: int = 2,
-               num=None, cat=None, seed: int = 42) -> DataFrame:
+               num=None, cat=None, seed: int = 42, trees: int = 100) -> DataFrame:
     """Partialling-out effect of a 0/1 treatment with random-forest nuisances,
     cross-fitted over ``k`` hash folds: residuals y~ = y - E[y|X], t~ = t - P[t|X]
     from out-of-fold predictions; theta = sum t~y~ / sum t~^2; heteroscedasticity-
     robust standard error; normal p-value and 95% interval; percent effect.
-    Controls exclude the treatment and everything derived from the year (D6)."""
+    Controls exclude the treatment and everything derived from the year (D6); rows
+    with a missing outcome, treatment or control are left out."""
     num, cat = num or CAUSAL_CONTROLS_NUM, cat or CAUSAL_CONTROLS_CAT
-    d = df.where(F.col(outcome).isNotNull() & F.col(treatment).isNotNull())
+    from .clean import complete_cases
+    d = complete_cases(df, [outcome, treatment, *num, *cat]).select("deal_id", outcome, treatment, *num, *cat)
     d = d.withColumn("_fold", F.pmod(F.xxhash64("deal_id", F.lit(seed)), F.lit(k)).cast("int")).persist()
 
     def fold(i):
@@ -195,11 +202,12 @@ def dml_effect(df: DataFrame, outcome: str = "log_amount", treatment: str = "pos
         tr = tr.select("deal_id", treatment, "label", "features").persist()
         trt = tr.withColumn("label", F.col(treatment).cast("double"))
         with ThreadPoolExecutor(2) as ex:  # outcome and treatment nuisances fit concurrently
-            fy = ex.submit(RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=50,
+            fy = ex.submit(RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees,
                                                  minInstancesPerNode=10, seed=seed).fit, tr)
-            ft = ex.submit(RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=50,
+            ft = ex.submit(RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees,
                                                   minInstancesPerNode=10, seed=seed).fit, trt)
             my, mt = fy.result(), ft.result()
+        tr.unpersist()
         py = my.transform(te).select("deal_id", F.col("label").alias("y"), F.col("prediction").alias("y_hat"),
                                      F.col(treatment).cast("double").alias("t"))
         pt = mt.transform(te.withColumn("label", F.col(treatment).cast("double"))).select(
@@ -212,27 +220,25 @@ def dml_effect(df: DataFrame, outcome: str = "log_amount", treatment: str = "pos
     for p in parts[1:]:
         res = res.unionByName(p)
     r = res.select((F.col("y") - F.col("y_hat")).alias("ry"), (F.col("t") - F.col("t_hat")).alias("rt"))
-    out = residual_effect(r)
+    out = residual_effect(r)  # one row, computed here while the prepared rows are still cached
+    row = out.first()
     d.unpersist()
-    return out
+    return df.sparkSession.createDataFrame([row], out.schema)
 
 
 def residual_effect(r: DataFrame) -> DataFrame:
-    """G5 final stage on a residual table (ry, rt): one aggregation."""
-    from .common import scalars
-    s = scalars(r.agg(F.sum(F.col("rt") * F.col("ry")).alias("sty"), F.sum(F.col("rt") ** 2).alias("stt"),
-                      F.count(F.lit(1)).alias("n")))
-    j = r.select("*", F.lit(s["sty"] / s["stt"]).cast("double").alias("theta"),
-                 F.lit(s["stt"]).cast("double").alias("stt"), F.lit(s["n"]).cast("long").alias("n"))
-    v = j.groupBy("theta", "stt", "n").agg(F.sum((F.col("rt") ** 2) * (F.col("ry") - F.col("theta") * F.col("rt")) ** 2)
-                                           .alias("meat"))
-    se = F.sqrt(F.col("meat")) / F.col("stt")
-    z = F.col("theta") / se
-    return v.select(F.col("theta").alias("effect_log"), se.alias("stderr"),
-                    (2 * (1 - _norm_cdf(F.abs(z)))).alias("p_value"),
-                    (F.col("theta") - 1.959963984540054 * se).alias("ci_low"),
-                    (F.col("theta") + 1.959963984540054 * se).alias("ci_high"),
-                    (F.expm1(F.col("theta")) * 100).alias("effect_pct"), "n")
+    """G5 final stage on a residual table (ry, rt): one aggregation of the products that the estimate and the robust
+    variance need, meat = S22 - 2 theta S31 + theta^2 S40."""
+    t, y = F.col("rt"), F.col("ry")
+    s = r.agg(F.sum(t * y).alias("s11"), F.sum(t * t).alias("s20"), F.sum(t * t * y * y).alias("s22"),
+              F.sum(t * t * t * y).alias("s31"), F.sum(t * t * t * t).alias("s40"), F.count(F.lit(1)).alias("n"))
+    theta = F.col("s11") / F.col("s20")
+    v = s.select("n", theta.alias("theta"), (F.sqrt(F.greatest(F.col("s22") - 2 * theta * F.col("s31") + theta * theta * F.col("s40"), F.lit(0.0)))
+                                             / F.col("s20")).alias("se"))
+    th, se = F.col("theta"), F.col("se")
+    return v.select(th.alias("effect_log"), se.alias("stderr"), (2 * (1 - _norm_cdf(F.abs(th / se)))).alias("p_value"),
+                    (th - 1.959963984540054 * se).alias("ci_low"), (th + 1.959963984540054 * se).alias("ci_high"),
+                    (F.expm1(th) * 100).alias("effect_pct"), "n")
 
 
 def _norm_cdf(x):
@@ -263,60 +269,82 @@ def tree_nodes(model) -> list[dict]:
     return [r.asDict() for r in nodes.collect()]
 
 
-def attributions(df: DataFrame, model, feature_names: list[str], tree_weights: list[float]) -> DataFrame:
-    """Per-row additive path attributions of a tree ensemble: along each tree's
-    decision path, the change of node expectation at a split is credited to the
-    split feature; base = sum of weighted root expectations; sum(phi) + base =
-    prediction. The tree tables (bounded by the model size) are broadcast; rows are
-    processed in Arrow batches by mapInPandas. Output: deal_id, feature, phi."""
+def _paths(model, names: list[str], tree_weights: list[float]):
+    """A function from a feature matrix to (phi, base): along each tree's decision path, the change of node expectation
+    at a split is credited to the split feature. The tree tables are bounded by the model size."""
     import numpy as np
-    import pandas as pd
-    nodes = tree_nodes(model)
     trees: dict[int, dict] = {}
-    for n in nodes:
+    for n in tree_nodes(model):
         trees.setdefault(n["treeID"], {})[n["id"]] = n
-    sc = df.sparkSession.sparkContext
-    bc = sc.broadcast({"trees": trees, "weights": list(tree_weights), "names": feature_names})
+    arrays = []
+    for tid, tree in trees.items():
+        size = max(tree) + 1
+        left, right = np.full(size, -1), np.full(size, -1)
+        feat, thr, pred = np.zeros(size, dtype=int), np.zeros(size), np.zeros(size)
+        for i, nd in tree.items():
+            left[i], right[i], pred[i] = nd["left"], nd["right"], nd["prediction"]
+            if nd["left"] != -1:
+                if nd["ncat"] != -1:
+                    raise ValueError("categorical splits are not supported")
+                feat[i], thr[i] = nd["feature"], nd["thr"][0]
+        arrays.append((tree_weights[tid], left, right, feat, thr, pred))
+    base = sum(w * pred[0] for w, _, _, _, _, pred in arrays)
+
+    def credit(x):
+        phi = np.zeros((len(x), len(names)))
+        for w, left, right, feat, thr, pred in arrays:
+            cur = np.zeros(len(x), dtype=int)
+            idx = np.where(left[cur] != -1)[0]
+            while idx.size:
+                c = cur[idx]
+                f = feat[c]
+                child = np.where(x[idx, f] <= thr[c], left[c], right[c])
+                np.add.at(phi, (idx, f), w * (pred[child] - pred[c]))
+                cur[idx] = child
+                idx = idx[left[child] != -1]
+        return phi, base
+    return credit
+
+
+def attributions(df: DataFrame, model, feature_names: list[str], tree_weights: list[float]) -> DataFrame:
+    """Per-row additive path attributions of a tree ensemble; base = sum of weighted root expectations;
+    sum(phi) + base = prediction. Output: deal_id, feature, phi, base (rows x features; for ranks use
+    attribution_sums)."""
+    import numpy as np
+    import pandas as pd
+    credit, names = _paths(model, feature_names, tree_weights), list(feature_names)
 
     def fn(it):
-        spec = bc.value
-        names = spec["names"]
-        arrays = []
-        for tid, tree in spec["trees"].items():
-            size = max(tree) + 1
-            left = np.full(size, -1)
-            right = np.full(size, -1)
-            feat = np.zeros(size, dtype=int)
-            thr = np.zeros(size)
-            pred = np.zeros(size)
-            for i, nd in tree.items():
-                left[i], right[i], pred[i] = nd["left"], nd["right"], nd["prediction"]
-                if nd["left"] != -1:
-                    if nd["ncat"] != -1:
-                        raise ValueError("categorical splits are not supported")
-                    feat[i], thr[i] = nd["feature"], nd["thr"][0]
-            arrays.append((spec["weights"][tid], left, right, feat, thr, pred))
-        base = sum(w * pred[0] for w, _, _, _, _, pred in arrays)
         for pdf in it:
             n = len(pdf)
-            X = np.stack(pdf["f"].to_numpy()) if n else np.zeros((0, len(names)))
-            phi = np.zeros((n, len(names)))
-            for w, left, right, feat, thr, pred in arrays:
-                cur = np.zeros(n, dtype=int)
-                idx = np.where(left[cur] != -1)[0]
-                while idx.size:
-                    c = cur[idx]
-                    f = feat[c]
-                    child = np.where(X[idx, f] <= thr[c], left[c], right[c])
-                    np.add.at(phi, (idx, f), w * (pred[child] - pred[c]))
-                    cur[idx] = child
-                    idx = idx[left[child] != -1]
+            phi, base = credit(np.stack(pdf["f"].to_numpy()) if n else np.zeros((0, len(names))))
             yield pd.DataFrame({"deal_id": np.repeat(pdf["deal_id"].to_numpy(), len(names)),
                                 "feature": np.tile(np.array(names, dtype=object), n), "phi": phi.reshape(-1),
                                 "base": np.full(n * len(names), base)})
 
-    inp = df.select("deal_id", vector_to_array("features").alias("f"))
-    return inp.mapInPandas(fn, T.StructType([T.StructField("deal_id", T.LongType()),
-                                             T.StructField("feature", T.StringType()),
-                                             T.StructField("phi", T.DoubleType()),
-                                             T.StructField("base", T.DoubleType())]))
+    return df.select("deal_id", vector_to_array("features").alias("f")).mapInPandas(
+        fn, "deal_id long, feature string, phi double, base double")
+
+
+def attribution_sums(df: DataFrame, model, feature_names: list[str], tree_weights: list[float]) -> DataFrame:
+    """M13 for rankings: one row per feature and partition with the sum of |phi|, the rows, and, if ``df`` has a
+    prediction column, the largest |base + sum(phi) - prediction|."""
+    import numpy as np
+    import pandas as pd
+    credit, names = _paths(model, feature_names, tree_weights), list(feature_names)
+    has = "prediction" in df.columns
+
+    def fn(it):
+        total, n, worst = np.zeros(len(names)), 0, 0.0
+        for pdf in it:
+            if len(pdf):
+                phi, base = credit(np.stack(pdf["f"].to_numpy()))
+                total += np.abs(phi).sum(0)
+                n += len(pdf)
+                if has:
+                    worst = max(worst, float(np.abs(phi.sum(1) + base - pdf["p"].to_numpy()).max()))
+        yield pd.DataFrame({"feature": names, "abs_phi": total, "n": n, "max_error": worst})
+
+    p = F.col("prediction") if has else F.lit(None).cast("double")
+    return df.select(vector_to_array("features").alias("f"), p.alias("p")).mapInPandas(
+        fn, "feature string, abs_phi double, n long, max_error double")

@@ -1,18 +1,13 @@
-"""Many-series jobs (G1-G4, G6): one model per series key, fitted in parallel.
+"""Many-series jobs (G1-G3, G6): one short monthly series per key, everything as grouped aggregates.
 
-Spark first aggregates raw rows to one value per (key, period) -- the only part
-that touches the fact table -- then ``groupBy(key).applyInPandas`` fits each
-(short) series with a small numpy estimator. A series holds one row per period,
-so a group's size is bounded by the calendar, not by the data volume.
+Spark aggregates rows to one value per (key, month), fills the gaps of every series, and fits all series at once: the
+normal equations of each model reduce to a few sums per key. A series has one row per month, so windows inside a key are
+bounded by the calendar, not by the data.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
@@ -24,6 +19,20 @@ def monthly_series(df: DataFrame, key: str, value: str = "amount") -> DataFrame:
             .agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("y")))
 
 
+def filled(series: DataFrame, key: str) -> DataFrame:
+    """Every month from a series' first to its last, months without rows with total 0: key, ds, t (0, 1, ...), y and
+    ly = ln(1 + y), which is defined for empty months too."""
+    span = series.groupBy(key).agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
+    months = span.select(key, "first", F.explode(F.expr("sequence(first, last, interval 1 month)")).alias("ds"))
+    y = F.coalesce("y", F.lit(0.0))
+    return months.join(series.select(key, "ds", "y"), [key, "ds"], "left").select(
+        key, "ds", _month_steps("first", "ds").alias("t"), y.alias("y"), F.log1p(y).alias("ly"))
+
+
+def _month_steps(start: str, end: str):
+    return ((F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)).cast("int")
+
+
 def future_spine(series: DataFrame, key: str, periods: int = 5) -> DataFrame:
     """The next ``periods`` year-end dates after each series' last date."""
     last = series.groupBy(key).agg(F.max("ds").alias("last"))
@@ -34,243 +43,61 @@ def future_spine(series: DataFrame, key: str, periods: int = 5) -> DataFrame:
                                                                     F.lit(31)).alias("ds"))
 
 
-# ------------------------------------------------------------------ numpy estimators
-def nelder_mead(f, x0, step=0.3, iters=400, tol=1e-10):
-    n = len(x0)
-    pts = [np.asarray(x0, float)] + [np.asarray(x0, float) + step * np.eye(n)[i] for i in range(n)]
-    vals = [f(p) for p in pts]
-    for _ in range(iters):
-        order = np.argsort(vals)
-        pts = [pts[i] for i in order]
-        vals = [vals[i] for i in order]
-        if abs(vals[-1] - vals[0]) < tol:
-            break
-        c = np.mean(pts[:-1], axis=0)
-        xr = c + (c - pts[-1])
-        fr = f(xr)
-        if fr < vals[0]:
-            xe = c + 2 * (c - pts[-1])
-            fe = f(xe)
-            pts[-1], vals[-1] = (xe, fe) if fe < fr else (xr, fr)
-        elif fr < vals[-2]:
-            pts[-1], vals[-1] = xr, fr
-        else:
-            xc = c + 0.5 * (pts[-1] - c)
-            fc = f(xc)
-            if fc < vals[-1]:
-                pts[-1], vals[-1] = xc, fc
-            else:
-                pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
-                vals = [vals[0]] + [f(p) for p in pts[1:]]
-    i = int(np.argmin(vals))
-    return pts[i], vals[i]
-
-
-def arima111_css(y: np.ndarray):
-    """ARIMA(1,1,1) with drift by conditional sum of squares on z = diff(y):
-    z_t = c + phi z_{t-1} + e_t + theta e_{t-1}, e_0 = 0. Returns (c, phi, theta,
-    sigma2, css, residuals). phi, theta kept in (-1, 1) via tanh."""
-    z = np.diff(y)
-
-    def resid(p):
-        c, phi, th = p[0], math.tanh(p[1]), math.tanh(p[2])
-        e = np.zeros(len(z))
-        for t in range(1, len(z)):
-            e[t] = z[t] - c - phi * z[t - 1] - th * e[t - 1]
-        return e[1:]
-
-    def css(p):
-        return float(np.sum(resid(p) ** 2))
-
-    best = None
-    for a0 in (-0.5, 0.0, 0.5):
-        for b0 in (-0.5, 0.0, 0.5):
-            x, v = nelder_mead(css, [float(np.mean(z)) * (1 - math.tanh(a0)), a0, b0])
-            if best is None or v < best[1]:
-                best = (x, v)
-    x, v = best
-    e = resid(x)
-    return x[0], math.tanh(x[1]), math.tanh(x[2]), v / max(len(e), 1), v, e, z
-
-
-def arima_forecast(y: np.ndarray, steps: int):
-    c, phi, th, s2, css, e, z = arima111_css(y)
-    zf, last_z, last_e = [], z[-1], e[-1] if len(e) else 0.0
-    for h in range(steps):
-        nz = c + phi * last_z + (th * last_e if h == 0 else 0.0)
-        zf.append(nz)
-        last_z = nz
-    yf = y[-1] + np.cumsum(zf)
-    psi = [1.0, phi + th]
-    for _ in range(2, steps):
-        psi.append(phi * psi[-1])
-    cum = np.cumsum(psi[:steps])
-    var = s2 * np.cumsum(cum ** 2)
-    n = len(e)
-    llf = -n / 2 * (math.log(2 * math.pi) + math.log(max(s2, 1e-300)) + 1)
-    return dict(c=c, phi=phi, theta=th, sigma2=s2, css=css, llf=llf, n=n), yf, np.sqrt(var)
-
-
-def hmm2(y: np.ndarray, iters: int = 300, tol: float = 1e-9):
-    """Two-state Gaussian hidden Markov model (switching mean and variance), EM with
-    scaled forward-backward; deterministic start (split at the median). State 0
-    is the lower-mean state."""
-    n = len(y)
-    med = np.median(y)
-    lo, hi = y[y <= med], y[y > med] if np.any(y > med) else y[y >= med]
-    mu = np.array([lo.mean(), hi.mean()])
-    sd = np.array([max(y.std(), 1e-9)] * 2)
-    A = np.array([[0.9, 0.1], [0.1, 0.9]])
-    pi = np.array([0.5, 0.5])
-    prev = -np.inf
-    for _ in range(iters):
-        B = np.exp(-0.5 * ((y[:, None] - mu) / sd) ** 2) / (sd * math.sqrt(2 * math.pi)) + 1e-300
-        al = np.zeros((n, 2))
-        sc = np.zeros(n)
-        al[0] = pi * B[0]
-        sc[0] = al[0].sum()
-        al[0] /= sc[0]
-        for t in range(1, n):
-            al[t] = (al[t - 1] @ A) * B[t]
-            sc[t] = al[t].sum()
-            al[t] /= sc[t]
-        be = np.ones((n, 2))
-        for t in range(n - 2, -1, -1):
-            be[t] = (A @ (B[t + 1] * be[t + 1])) / sc[t + 1]
-        g = al * be
-        g /= g.sum(axis=1, keepdims=True)
-        xi = np.zeros((2, 2))
-        for t in range(n - 1):
-            m = al[t][:, None] * A * (B[t + 1] * be[t + 1])[None, :] / sc[t + 1]
-            xi += m
-        llf = float(np.sum(np.log(sc)))
-        pi = g[0]
-        A = xi / xi.sum(axis=1, keepdims=True)
-        w = g.sum(axis=0)
-        mu = (g * y[:, None]).sum(axis=0) / w
-        sd = np.sqrt(np.maximum((g * (y[:, None] - mu) ** 2).sum(axis=0) / w, 1e-12))
-        if abs(llf - prev) < tol * max(1.0, abs(llf)):
-            break
-        prev = llf
-    if mu[0] > mu[1]:
-        mu, sd, g = mu[::-1], sd[::-1], g[:, ::-1]
-        A = A[::-1, ::-1]
-    return dict(llf=llf, mu0=mu[0], mu1=mu[1], sigma0=sd[0], sigma1=sd[1], p00=A[0, 0], p11=A[1, 1]), g
-
-
-def trend_season_fit(t: np.ndarray, y: np.ndarray, period: float = 12.0, order: int = 3, n_changepoints: int = 5,
-                     ridge: float = 1.0):
-    """Piecewise-linear trend (hinges at changepoints in the first 80% of history)
-    plus Fourier seasonality, fitted by ridge least squares (hinges penalised)."""
-    cps = np.quantile(t[: max(int(len(t) * 0.8), 1)], np.linspace(0, 1, n_changepoints + 2)[1:-1]) if len(t) > 2 \
-        else np.array([])
-
-    def design(tt):
-        cols = [np.ones_like(tt), tt] + [np.maximum(tt - c, 0) for c in cps]
-        ntrend = len(cols)
-        for k in range(1, order + 1):
-            cols += [np.sin(2 * np.pi * k * tt / period), np.cos(2 * np.pi * k * tt / period)]
-        return np.column_stack(cols), ntrend
-
-    X, ntrend = design(t)
-    pen = np.zeros(X.shape[1])
-    pen[2:ntrend] = ridge
-    beta = np.linalg.solve(X.T @ X + np.diag(pen), X.T @ y)
-    resid = y - X @ beta
-    s = float(np.sqrt(np.sum(resid ** 2) / max(len(y) - X.shape[1], 1)))
-
-    def predict(tt):
-        D, nt = design(tt)
-        trend = D[:, :nt] @ beta[:nt]
-        season = D[:, nt:] @ beta[nt:]
-        return trend, season
-
-    return predict, s
-
-
-# ------------------------------------------------------------------ grouped jobs
-def _months(ds: pd.Series, origin) -> np.ndarray:
-    d = pd.to_datetime(ds)
-    o = pd.Timestamp(origin)
-    return ((d.dt.year - o.year) * 12 + (d.dt.month - o.month) + (d.dt.day - 1) / 31.0).to_numpy(float)
-
-
-def forecast_arima_many(series: DataFrame, key: str, steps: int = 5, min_points: int = 10) -> DataFrame:
-    """G1: per series ARIMA(1,1,1) on log totals; ``steps`` monthly forecasts with
-    95% interval, back-transformed by exp (F5)."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        if len(pdf) < min_points or (pdf["y"] <= 0).any():
-            return pd.DataFrame(columns=[key, "step", "ds", "yhat", "yhat_lower", "yhat_upper", "phi", "theta"])
-        y = np.log(pdf["y"].to_numpy(float))
-        fit, yf, se = arima_forecast(y, steps)
-        last = pd.Timestamp(pdf["ds"].iloc[-1])
-        ds = [(last + pd.DateOffset(months=h + 1)).date() for h in range(steps)]
-        return pd.DataFrame({key: pdf[key].iloc[0], "step": np.arange(1, steps + 1), "ds": ds, "yhat": np.exp(yf),
-                             "yhat_lower": np.exp(yf - Z95 * se), "yhat_upper": np.exp(yf + Z95 * se),
-                             "phi": fit["phi"], "theta": fit["theta"]})
-    schema = f"{key} string, step int, ds date, yhat double, yhat_lower double, yhat_upper double, phi double, theta double"
-    return series.groupBy(key).applyInPandas(fn, schema)
-
-
-def arima_fit_many(series: DataFrame, key: str, min_points: int = 10) -> DataFrame:
-    """G1 (fit table): c, phi, theta, sigma2, log-likelihood, AIC, BIC per series."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        if len(pdf) < min_points or (pdf["y"] <= 0).any():
-            return pd.DataFrame(columns=[key, "c", "phi", "theta", "sigma2", "llf", "aic", "bic", "n"])
-        fit, _, _ = arima_forecast(np.log(pdf["y"].to_numpy(float)), 1)
-        k = 4
-        return pd.DataFrame([{key: pdf[key].iloc[0], "c": fit["c"], "phi": fit["phi"], "theta": fit["theta"],
-                              "sigma2": fit["sigma2"], "llf": fit["llf"], "aic": -2 * fit["llf"] + 2 * k,
-                              "bic": -2 * fit["llf"] + k * math.log(max(fit["n"], 1)), "n": fit["n"]}])
-    return series.groupBy(key).applyInPandas(
-        fn, f"{key} string, c double, phi double, theta double, sigma2 double, llf double, aic double, bic double, n long")
-
-
-def forecast_trend_season_many(series: DataFrame, spine: DataFrame, key: str, min_points: int = 10) -> DataFrame:
-    """Per series additive trend + yearly seasonality on log totals, fitted
-    on the history and evaluated on history and the future spine (G6). All output
-    columns are on the log scale (D10 fixed)."""
-    both = (series.select(key, "ds", "y", F.lit(False).alias("is_forecast"))
-            .unionByName(spine.select(key, "ds", F.lit(None).cast("double").alias("y"), F.lit(True).alias("is_forecast"))))
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        hist = pdf[~pdf["is_forecast"]]
-        cols = [key, "ds", "trend", "yearly", "yhat", "yhat_lower", "yhat_upper", "is_forecast"]
-        if len(hist) < min_points or (hist["y"] <= 0).any():
-            return pd.DataFrame(columns=cols)
-        origin = pd.Timestamp(hist["ds"].iloc[0])
-        predict, s = trend_season_fit(_months(hist["ds"], origin), np.log(hist["y"].to_numpy(float)))
-        tr, se = predict(_months(pdf["ds"], origin))
-        yhat = tr + se
-        return pd.DataFrame({key: pdf[key].to_numpy(), "ds": pdf["ds"].to_numpy(), "trend": tr, "yearly": se,
-                             "yhat": yhat, "yhat_lower": yhat - Z95 * s, "yhat_upper": yhat + Z95 * s,
-                             "is_forecast": pdf["is_forecast"].to_numpy()})
-    schema = (f"{key} string, ds date, trend double, yearly double, yhat double, yhat_lower double, "
-              "yhat_upper double, is_forecast boolean")
-    return both.groupBy(key).applyInPandas(fn, schema)
-
-
-def regime_switch_many(series: DataFrame, key: str, min_points: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Two-regime switching mean/variance per series: (fit table, smoothed
-    probabilities per period)."""
-    def probs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        if len(pdf) < min_points:
-            return pd.DataFrame(columns=[key, "ds", "p0", "p1"])
-        _, g = hmm2(pdf["y"].to_numpy(float))
-        return pd.DataFrame({key: pdf[key].to_numpy(), "ds": pdf["ds"].to_numpy(), "p0": g[:, 0], "p1": g[:, 1]})
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        if len(pdf) < min_points:
-            return pd.DataFrame(columns=[key, "llf", "mu0", "mu1", "sigma0", "sigma1", "p00", "p11", "n"])
-        f, _ = hmm2(pdf["y"].to_numpy(float))
-        return pd.DataFrame([{key: pdf[key].iloc[0], **f, "n": len(pdf)}])
-    p = series.groupBy(key).applyInPandas(probs, f"{key} string, ds date, p0 double, p1 double")
-    f = series.groupBy(key).applyInPandas(
-        fit, f"{key} string, llf double, mu0 double, mu1 double, sigma0 double, sigma1 double, p00 double, "
-             "p11 double, n long")
-    return f, p
+def arima_fit(series: DataFrame, key: str) -> DataFrame:
+    """G1 (fit): ARIMA(1,1,0) of ly by conditional least squares, the regression of each difference on the one before:
+    phi, const, sigma2 (SSE / (n - 2)), n, aic, last value and last difference. Series with fewer than 4 differences or
+    constant ones have a NULL fit, they are not dropped."""
+    w = Window.partitionBy(key).orderBy("ds")
+    d = filled(series, key).withColumn("d", F.col("ly") - F.lag("ly").over(w)).withColumn("before", F.lag("d").over(w))
+    both = F.col("d").isNotNull() & F.col("before").isNotNull()
+    y, x = F.when(both, F.col("d")), F.when(both, F.col("before"))
+    s = d.groupBy(key).agg(
+        F.count(x).alias("n"), F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy"),
+        F.avg(x).alias("mx"), F.avg(y).alias("my"), F.max_by("ly", "ds").alias("last_ly"), F.max_by("d", "ds").alias("last_d"))
+    ok = (F.col("n") >= 3) & (F.col("sxx") > 0)
+    phi = F.when(ok, F.col("sxy") / F.col("sxx"))
+    sse = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
+    return s.select(key, "n", phi.alias("phi"), (F.col("my") - phi * F.col("mx")).alias("const"),
+                    F.when(ok, sse / (F.col("n") - 2)).alias("sigma2"),
+                    F.when(ok & (sse > 0), F.col("n") * F.log(sse / F.col("n")) + 4).alias("aic"), "last_ly", "last_d")
+
+
+def forecast_arima_many(series: DataFrame, key: str, steps: int = 5) -> DataFrame:
+    """G1: the next ``steps`` months of every series with a 95% interval, in closed form: with mu the mean difference
+    and the last difference d, the h-th value is last + h mu + (d - mu) phi (1 - phi^h) / (1 - phi), its variance
+    sigma2 times the sum of squared cumulated weights."""
+    f = arima_fit(series, key).select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    phi, h = F.col("phi"), F.col("step")
+    mu = F.col("const") / (1 - phi)
+    ly = F.col("last_ly") + h * mu + (F.col("last_d") - mu) * phi * (1 - F.pow(phi, h)) / (1 - phi)
+    weights = F.aggregate(F.sequence(F.lit(1), h), F.lit(0.0), lambda acc, j: acc + F.pow((1 - F.pow(phi, j)) / (1 - phi), F.lit(2)))
+    half = Z95 * F.sqrt(F.col("sigma2") * weights)
+    return f.select(key, "step", ly.alias("log_forecast"), (ly - half).alias("log_lower"), (ly + half).alias("log_upper"),
+                    F.expm1(ly).alias("forecast"))
+
+
+def trend_season(series: DataFrame, spine: DataFrame, key: str) -> DataFrame:
+    """ly = level + slope * t + month effect, least squares by series (the slope from values centred within
+    calendar months), for every month of the series and for the spine's dates.
+
+    trend = level + slope * t, yearly = month effect (0 for a month the series never had), yhat their sum with a 95%
+    band of the residual deviation. A series with one row per month or less has slope 0."""
+    m = filled(series, key).withColumn("m", F.month("ds"))
+    by_month = m.groupBy(key, "m").agg(F.count(F.lit(1)).alias("c"), F.avg("t").alias("tm"), F.avg("ly").alias("ym"),
+                                       F.regr_sxx("ly", "t").alias("sxx"), F.regr_sxy("ly", "t").alias("sxy"), F.regr_syy("ly", "t").alias("syy"))
+    slope = F.when(F.sum("sxx") > 0, F.sum("sxy") / F.sum("sxx")).otherwise(0.0)
+    fit = by_month.groupBy(key).agg(
+        slope.alias("slope"), (F.sum(F.col("c") * F.col("ym")) / F.sum("c")).alias("ybar"), (F.sum(F.col("c") * F.col("tm")) / F.sum("c")).alias("tbar"),
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"), F.greatest(F.sum("syy") - slope * F.sum("sxy"), F.lit(0.0)).alias("sse")) \
+        .withColumn("level", F.col("ybar") - F.col("slope") * F.col("tbar")) \
+        .withColumn("sigma", F.when(F.col("n") > F.col("k") + 1, F.sqrt(F.col("sse") / (F.col("n") - F.col("k") - 1))))
+    start = series.groupBy(key).agg(F.min("ds").alias("first"))
+    future = spine.join(start, key).select(key, "ds", _month_steps("first", "ds").alias("t"), F.lit(None).cast("double").alias("y"),
+                                           F.month("ds").alias("m"), F.lit(True).alias("is_forecast"))
+    points = m.select(key, "ds", "t", "y", "m", F.lit(False).alias("is_forecast")).unionByName(future)
+    j = points.join(fit, key).join(by_month.select(key, "m", "tm", "ym"), [key, "m"], "left")
+    trend = F.col("level") + F.col("slope") * F.col("t")
+    yearly = F.coalesce(F.col("ym") - F.col("slope") * F.col("tm") - F.col("level"), F.lit(0.0))
+    yhat, half = trend + yearly, Z95 * F.col("sigma")
+    return j.select(key, "ds", "is_forecast", F.log1p("y").alias("log_y"), trend.alias("trend"), yearly.alias("yearly"), yhat.alias("yhat"),
+                    (yhat - half).alias("yhat_lower"), (yhat + half).alias("yhat_upper"))

@@ -180,23 +180,35 @@ def q_tune_classification(spark, sf):
     return s
 
 
-@register("feature_attribution")
-def q_feature_attribution(spark, sf):
-    """Refit a boosted regressor on all complete rows, per-row additive path
-    attributions, features ranked by mean |phi|."""
+def _attributed(spark, sf):
+    """A boosted regressor fitted on the complete rows, and those rows."""
     from pyspark.ml.regression import GBTRegressor
     f = complete_cases(feat(spark, sf), ["log_amount"])
     full, = MD.design(f, [], P.ML_NUMERIC, P.ML_CATEGORICAL, "log_amount", ["deal_id"])
-    full = full.select("deal_id", "label", "features").persist()  # read by the fit and the attribution pass
-    model = GBTRegressor(featuresCol="features", labelCol="label", maxDepth=3, maxIter=20, stepSize=0.1,
-                         seed=42).fit(full)
-    names = list(P.ML_NUMERIC) + [f"{c}_ord" for c in P.ML_CATEGORICAL]
-    phi = MD.attributions(full, model, names, list(model.treeWeights))
+    full = full.select("deal_id", "label", "features")
+    model = GBTRegressor(featuresCol="features", labelCol="label", maxDepth=3, maxIter=20, stepSize=0.1, seed=42).fit(full)
+    return full, model, list(P.ML_NUMERIC) + [f"{c}_ord" for c in P.ML_CATEGORICAL]
+
+
+@register("feature_attribution")
+def q_feature_attribution(spark, sf):
+    """Per-row additive path attributions of a boosted regressor, features ranked by mean |phi|; tasks return
+    sums, not rows."""
     from pyspark.sql import Window
-    imp = phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
+    full, model, names = _attributed(spark, sf)
+    sums = MD.attribution_sums(full, model, names, list(model.treeWeights)).groupBy("feature").agg(F.sum("abs_phi").alias("a"), F.sum("n").alias("n"))
+    imp = sums.select("feature", (F.col("a") / F.col("n")).alias("mean_abs_phi"))
     return imp.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs_phi"), "feature")).cast("int"))
 
 
+@register("attribution_identity", Q.with_features("SELECT count(*) AS n, CAST(0 AS DOUBLE) AS max_error FROM feat WHERE log_amount IS NOT NULL"))
+def q_attribution_identity(spark, sf):
+    """Base + attributions = prediction on every row (largest rounded error)."""
+    full, model, names = _attributed(spark, sf)
+    s = MD.attribution_sums(model.transform(full), model, names, list(model.treeWeights)).where(F.col("feature") == names[0])
+    return s.agg(F.sum("n").alias("n"), F.round(F.max("max_error"), 6).alias("max_error"))
+
+
 def _series(spark, sf):
     return SE.monthly_series(feat(spark, sf), "country")
 
@@ -211,45 +223,68 @@ def q_future_spine(spark, sf):
     return SE.future_spine(_series(spark, sf), "country")
 
 
-@register("forecast_arima_many")
-def q_forecast_arima_many(spark, sf):
-    """G1: ARIMA(1,1,1) per nation on monthly log totals, 5 steps with interval."""
-    return SE.forecast_arima_many(_series(spark, sf), "country")
+_FILLED = """ser AS (SELECT country, make_date(year, month, 1) AS ds, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS y FROM tagged GROUP BY ALL),
+span AS (SELECT country, min(ds) AS first, max(ds) AS last FROM ser GROUP BY country),
+fil AS (SELECT s.country, CAST(g.ds AS DATE) AS ds, datediff('month', first, CAST(g.ds AS DATE)) AS t, coalesce(y, 0) AS y, ln(1 + coalesce(y, 0)) AS ly
+        FROM span s CROSS JOIN LATERAL (SELECT unnest(generate_series(s.first, s.last, INTERVAL 1 MONTH)) AS ds) g
+        LEFT JOIN ser ON ser.country = s.country AND ser.ds = CAST(g.ds AS DATE))"""
+_ARIMA = _FILLED + """,
+dif AS (SELECT *, lag(d) OVER (PARTITION BY country ORDER BY ds) AS d1 FROM
+        (SELECT *, ly - lag(ly) OVER (PARTITION BY country ORDER BY ds) AS d FROM fil)),
+fit0 AS (SELECT country, count(d1) AS n, regr_slope(d, d1) AS phi, regr_intercept(d, d1) AS const, regr_syy(d, d1) * (1 - regr_r2(d, d1)) AS sse,
+                arg_max(ly, ds) AS last_ly, arg_max(d, ds) AS last_d FROM dif GROUP BY country),
+fit AS (SELECT *, sse / (n - 2) AS sigma2 FROM fit0)"""
 
 
-@register("arima_fit_many")
+@register("arima_fit_many", Q.with_tagged("SELECT country, n, round(phi, 6) AS phi, round(const, 6) AS const, round(sigma2, 6) AS sigma2, "
+                                          "round(n * ln(sse / n) + 4, 4) AS aic FROM fit", PA, _ARIMA))
 def q_arima_fit_many(spark, sf):
-    """G1 (fit table): parameters and information criteria per nation."""
-    return SE.arima_fit_many(_series(spark, sf), "country")
+    """G1 (fit table): ARIMA(1,1,0) by conditional least squares per nation on filled monthly log totals."""
+    f = SE.arima_fit(_series(spark, sf), "country")
+    return f.select("country", "n", *[F.round(c, 6).alias(c) for c in ("phi", "const", "sigma2")], F.round("aic", 4).alias("aic"))
 
 
-@register("forecast_trend_season_many")
+@register("forecast_arima_many", Q.with_tagged("""
+SELECT country, CAST(h AS INT) AS step, round(ly, 6) AS log_forecast, round(ly - 1.959963984540054 * sqrt(sigma2 * w), 6) AS log_lower,
+       round(ly + 1.959963984540054 * sqrt(sigma2 * w), 6) AS log_upper, round(exp(ly) - 1, 2) AS forecast
+FROM (SELECT country, h, sigma2, (SELECT sum(power((1 - power(phi, i)) / (1 - phi), 2)) FROM range(1, h + 1) r(i)) AS w,
+             last_ly + h * const / (1 - phi) + (last_d - const / (1 - phi)) * phi * (1 - power(phi, h)) / (1 - phi) AS ly
+      FROM fit, range(1, 6) t(h))""", PA, _ARIMA))
+def q_forecast_arima_many(spark, sf):
+    """G1: five monthly steps per nation with interval."""
+    f = SE.forecast_arima_many(_series(spark, sf), "country")
+    return f.select("country", "step", *[F.round(c, 6).alias(c) for c in ("log_forecast", "log_lower", "log_upper")], F.round("forecast", 2).alias("forecast"))
+
+
+_SEASON = _FILLED + """,
+bm AS (SELECT country, month(ds) AS m, count(*) AS c, avg(t) AS tm, avg(ly) AS ym FROM fil GROUP BY ALL),
+cen AS (SELECT f.country, t - tm AS tc, ly - ym AS yc FROM fil f JOIN bm ON bm.country = f.country AND bm.m = month(f.ds)),
+sl AS (SELECT country, sum(tc * yc) / sum(tc * tc) AS slope, sum(yc * yc) - power(sum(tc * yc), 2) / sum(tc * tc) AS sse FROM cen GROUP BY country),
+lv AS (SELECT f.country, avg(ly) - any_value(slope) * avg(t) AS level, any_value(slope) AS slope,
+              sqrt(any_value(sse) / (count(*) - count(DISTINCT month(ds)) - 1)) AS sigma FROM fil f JOIN sl ON sl.country = f.country GROUP BY f.country),
+pts AS (SELECT country, ds, t, y, false AS is_forecast FROM fil UNION ALL
+        SELECT country, make_date(CAST(y0 + s AS BIGINT), 12, 31), datediff('month', first, make_date(CAST(y0 + s AS BIGINT), 12, 31)), NULL, true
+        FROM (SELECT country, first, CASE WHEN last >= make_date(year(last), 12, 31) THEN year(last) + 1 ELSE year(last) END AS y0 FROM span), range(5) r(s)),
+ts AS (SELECT p.country, p.ds, is_forecast, ln(1 + y) AS log_y, level + slope * t AS trend, coalesce(ym - slope * tm - level, 0) AS yearly, sigma
+       FROM pts p JOIN lv ON lv.country = p.country LEFT JOIN bm ON bm.country = p.country AND bm.m = month(p.ds))"""
+_TS_COLS = ["log_y", "trend", "yearly", "yhat", "yhat_lower", "yhat_upper"]
+
+
+@register("forecast_trend_season_many", Q.with_tagged("""
+SELECT country, ds, is_forecast, round(log_y, 6) AS log_y, round(trend, 6) AS trend, round(yearly, 6) AS yearly, round(trend + yearly, 6) AS yhat,
+       round(trend + yearly - 1.959963984540054 * sigma, 6) AS yhat_lower, round(trend + yearly + 1.959963984540054 * sigma, 6) AS yhat_upper FROM ts""", PA, _SEASON))
 def q_forecast_trend_season_many(spark, sf):
-    """Trend + yearly seasonality per nation, history and 5 year-end forecasts."""
+    """Trend + yearly seasonality per nation, history and 5 year-end forecasts, all on the log scale."""
     s = _series(spark, sf)
-    return SE.forecast_trend_season_many(s, SE.future_spine(s, "country"), "country")
+    r = SE.trend_season(s, SE.future_spine(s, "country"), "country")
+    return r.select("country", "ds", "is_forecast", *[F.round(c, 6).alias(c) for c in _TS_COLS])
 
 
-@register("seasonal_components")
+@register("seasonal_components", Q.with_tagged(
+    "SELECT country, ds, round(trend, 6) AS trend, round(yearly, 6) AS yearly, is_forecast FROM ts", PA, _SEASON))
 def q_seasonal_components(spark, sf):
     """Trend and seasonal component columns of G2."""
-    s = _series(spark, sf)
-    return SE.forecast_trend_season_many(s, SE.future_spine(s, "country"), "country").select(
-        "country", "ds", "trend", "yearly", "is_forecast")
-
-
-@register("regime_switch_many")
-def q_regime_switch_many(spark, sf):
-    """Two-regime smoothed probabilities per nation and month."""
-    _, p = SE.regime_switch_many(_series(spark, sf), "country")
-    return p
-
-
-@register("regime_fit_many")
-def q_regime_fit_many(spark, sf):
-    """G4 (fit table): regime means, deviations, persistence and log-likelihood."""
-    f, _ = SE.regime_switch_many(_series(spark, sf), "country")
-    return f
+    return q_forecast_trend_season_many(spark, sf).select("country", "ds", "trend", "yearly", "is_forecast")
 
 
 @register("dml_effect")
@@ -258,7 +293,21 @@ def q_dml_effect(spark, sf):
     return MD.dml_effect(feat(spark, sf))
 
 
-
+@register("dml_residual_effect", Q.with_features("""
+SELECT round(theta, 9) AS effect_log, round(sqrt(sum(power(rt * (ry - theta * rt), 2))) / stt, 9) AS stderr, count(*) AS n
+FROM (SELECT *, sum(rt * ry) OVER () / sum(rt * rt) OVER () AS theta, sum(rt * rt) OVER () AS stt FROM
+  (SELECT f.log_amount - o.y AS ry, f.post_policy - o.t AS rt FROM feat f JOIN
+    (SELECT k.fold, sector, region, avg(log_amount) AS y, avg(post_policy) AS t FROM feat, (VALUES (0), (1)) k(fold)
+     WHERE deal_id % 2 <> k.fold GROUP BY ALL) o
+   ON o.fold = f.deal_id % 2 AND o.sector = f.sector AND o.region = f.region))
+GROUP BY theta, stt"""))
+def q_dml_residual_effect(spark, sf):
+    """G5 with group means as nuisances: out-of-fold sector and region means, then the same final stage."""
+    f = feat(spark, sf).select("deal_id", "sector", "region", "log_amount", "post_policy").withColumn("fold", (F.col("deal_id") % 2).cast("int"))
+    means = f.groupBy(F.lit(1) - F.col("fold"), "sector", "region").agg(F.avg("log_amount").alias("y"), F.avg("post_policy").alias("t")) \
+        .toDF("fold", "sector", "region", "y", "t")
+    r = f.join(means, ["fold", "sector", "region"]).select((F.col("log_amount") - F.col("y")).alias("ry"), (F.col("post_policy") - F.col("t")).alias("rt"))
+    return MD.residual_effect(r).select(F.round("effect_log", 9).alias("effect_log"), F.round("stderr", 9).alias("stderr"), "n")
 
 
 @register("mape", Q.with_features("""

@@ -1,4 +1,4 @@
-"""Per-series estimators: planted parameters and identities."""
+"""Per-series fits: planted parameters, gaps, and dense least squares."""
 import datetime as dt
 
 import numpy as np
@@ -8,53 +8,48 @@ import pytest
 from ledgerline.operators import series as SE
 
 
-def sim_arima(phi, theta, n, seed):
-    rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.05, n + 1)
-    z = np.zeros(n + 1)
-    for t in range(1, n + 1):
-        z[t] = 0.01 + phi * z[t - 1] + e[t] + theta * e[t - 1]
-    return 10 + np.cumsum(z[1:])
+def month(i):
+    return dt.date(1990 + i // 12, i % 12 + 1, 1)
 
 
-def test_arima_recovers_parameters():
-    y = sim_arima(0.6, 0.3, 3000, 1)
-    c, phi, th, s2, css, e, z = SE.arima111_css(y)
-    assert phi == pytest.approx(0.6, abs=0.06)
-    assert th == pytest.approx(0.3, abs=0.08)
+def test_arima_recovers_parameters_and_forecasts(spark):
+    rng = np.random.default_rng(1)
+    d = np.zeros(1500)
+    for t in range(1, 1500):
+        d[t] = 0.002 + 0.6 * d[t - 1] + rng.normal(0, 0.05)
+    ly = 8 + np.cumsum(d)
+    s = spark.createDataFrame(pd.DataFrame({"key": "a", "ds": [month(i) for i in range(1500)], "y": np.expm1(ly)}))
+    f = SE.arima_fit(s, "key").first()
+    assert f.phi == pytest.approx(0.6, abs=0.06) and f.sigma2 == pytest.approx(0.0025, rel=0.1) and f.n == 1498
+    value, diff = ly[-1], ly[-1] - ly[-2]
+    for r in SE.forecast_arima_many(s, "key").orderBy("step").collect():
+        diff = f.const + f.phi * diff
+        value += diff
+        assert r.log_forecast == pytest.approx(value, abs=1e-9) and r.log_lower < value < r.log_upper
 
 
-def test_many_series_jobs(spark):
-    rows = []
-    for k, (phi, th) in enumerate([(0.5, 0.2), (-0.3, 0.4)]):
-        y = np.exp(sim_arima(phi, th, 60, k))
-        for t in range(60):
-            rows.append((f"s{k}", dt.date(2000 + t // 12, t % 12 + 1, 1), float(y[t])))
+def test_gaps_are_filled_and_short_series_kept(spark):
+    rows = [("a", dt.date(2000, 1, 1), 5.0), ("a", dt.date(2000, 4, 1), 7.0), ("b", dt.date(2000, 2, 1), 1.0)]
     s = spark.createDataFrame(rows, "key string, ds date, y double")
-    fc = SE.forecast_arima_many(s, "key").toPandas()
-    assert len(fc) == 10 and (fc["yhat_lower"] < fc["yhat"]).all() and (fc["yhat"] < fc["yhat_upper"]).all()
-    sp = SE.future_spine(s, "key").toPandas()
-    assert sorted(sp["ds"].unique()) == [dt.date(y, 12, 31) for y in range(2004, 2009)]
-    ts = SE.forecast_trend_season_many(s, SE.future_spine(s, "key"), "key").toPandas()
-    np.testing.assert_allclose(ts["yhat"], ts["trend"] + ts["yearly"])
-    assert ts["is_forecast"].sum() == 10
-    f, p = SE.regime_switch_many(s, "key")
-    p = p.toPandas()
-    np.testing.assert_allclose(p["p0"] + p["p1"], 1.0)
-    assert (f.toPandas()["mu0"] <= f.toPandas()["mu1"]).all()
-
-
-def test_hmm_separates_regimes():
-    rng = np.random.default_rng(4)
-    y = np.concatenate([rng.normal(0, 1, 100), rng.normal(8, 2, 100), rng.normal(0, 1, 100)])
-    fit, g = SE.hmm2(y)
-    assert fit["mu0"] == pytest.approx(0, abs=0.4) and fit["mu1"] == pytest.approx(8, abs=0.6)
-    assert (g[100:200, 1] > 0.9).mean() > 0.95
-
-
-def test_trend_season_recovers_seasonality():
-    t = np.arange(120, dtype=float)
-    y = 5 + 0.01 * t + 0.3 * np.sin(2 * np.pi * t / 12)
-    predict, s = SE.trend_season_fit(t, y)
-    tr, se = predict(t)
-    np.testing.assert_allclose(tr + se, y, atol=1e-3)
+    got = [(r.key, r.ds.month, r.t, r.y) for r in SE.filled(s, "key").orderBy("key", "ds").collect()]
+    assert got == [("a", 1, 0, 5.0), ("a", 2, 1, 0.0), ("a", 3, 2, 0.0), ("a", 4, 3, 7.0), ("b", 2, 0, 1.0)]
+    fits = {r.key: r for r in SE.arima_fit(s, "key").collect()}
+    assert set(fits) == {"a", "b"} and fits["b"].phi is None
+    spine = SE.future_spine(s, "key")
+    assert SE.trend_season(s, spine, "key").count() == 5 + 10
+
+
+def test_trend_and_season_equal_dense_least_squares(spark):
+    rng = np.random.default_rng(2)
+    n = 77
+    ly = 5 + 0.01 * np.arange(n) + np.tile(rng.normal(0, 0.3, 12), 7)[:n] + rng.normal(0, 0.05, n)
+    s = spark.createDataFrame(pd.DataFrame({"key": "a", "ds": [month(i) for i in range(n)], "y": np.expm1(ly)}))
+    got = SE.trend_season(s, SE.future_spine(s, "key"), "key").orderBy("ds").toPandas()
+    x = np.zeros((n, 13))
+    x[np.arange(n), np.arange(n) % 12] = 1
+    x[:, 12] = np.arange(n)
+    beta = np.linalg.lstsq(x, ly, rcond=None)[0]
+    hist = got[~got.is_forecast]
+    np.testing.assert_allclose(hist.yhat, x @ beta, atol=1e-9)
+    np.testing.assert_allclose(hist.trend + hist.yearly, hist.yhat)
+    assert got.is_forecast.sum() == 5 and got[got.is_forecast].ds.map(lambda d: d.month).eq(12).all()
