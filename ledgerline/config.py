@@ -35,10 +35,7 @@ class Preset:
     min_phase_rows: int = 50
     min_mediation_rows: int = 80
     # fixed-size block count used to split hot sort groups (rolling windows, prefix sums)
-    order_blocks: int = 16
-    # exact quantiles: accuracy of the bracketing sketch (refinement rounds then cap
-    # the values one task collects, see operators.ordered.exact_quantiles)
-    sketch_accuracy: int = 2000
+    rows_per_block: int = 1_000_000
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     @property

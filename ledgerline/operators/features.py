@@ -23,7 +23,7 @@ from ..functions import scalar as S
 from ..session import shared_dir
 from .clean import clean_rows, with_optional
 from .common import scalars
-from .ordered import exact_quantiles, group_bounds, ordered_features, release_cached
+from .ordered import blocks_for, exact_quantiles, group_bounds, ordered_features, release_cached
 
 CATEGORY_COLUMNS = ["sector", "region", "investor", "deal_type", "phase", "subsector", "country"]
 CODED_COLUMNS = ["sector", "region", "deal_type", "phase", "subsector"]
@@ -70,10 +70,9 @@ def group_mean_blend(df: DataFrame, group: str, value: str, out: str, w_group: f
             .drop("_gm"))
 
 
-def adaptive_target(df: DataFrame, value: str = "amount", q: float = 0.7, out: str = "adaptive_target",
-                    accuracy: int = 2000) -> DataFrame:
+def adaptive_target(df: DataFrame, value: str = "amount", q: float = 0.7, out: str = "adaptive_target") -> DataFrame:
     """1 if the value is strictly above its own year's exact q-quantile."""
-    qy = exact_quantiles(df, ["year"], value, {"_qy": q}, accuracy)
+    qy = exact_quantiles(df, ["year"], value, {"_qy": q})
     return df.join(qy, "year", "left").withColumn(out, (F.col(value) > F.col("_qy")).cast("int")).drop("_qy")
 
 
@@ -116,7 +115,6 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
     GROUPING SETS aggregation; per-year block cut points) and joined onto ``t``
     once each."""
     t = tag(clean_rows(deals, preset), preset)
-    acc = preset.sketch_accuracy
     stacked = t.select(F.col("year").cast("long").alias("_k"), "amount").unionByName(
         t.select(F.lit(-1).cast("long").alias("_k"), "amount"))
     # small tables (one row per year / per level): cached once so the wide plan
@@ -125,10 +123,10 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
     # independent jobs and are submitted concurrently.
     cols = list(dict.fromkeys(["sector", "region"] + CODED_COLUMNS))
     with ThreadPoolExecutor(3) as ex:
-        f_qq = ex.submit(lambda: _small(exact_quantiles(stacked, ["_k"], "amount", {"_med": 0.5, "_q70": 0.7}, acc)))
+        f_qq = ex.submit(lambda: _small(exact_quantiles(stacked, ["_k"], "amount", {"_med": 0.5, "_q70": 0.7})))
         f_cs = ex.submit(lambda: _small(category_summaries(t, cols, "log_amount")))
         f_gb = ex.submit(lambda: _small(group_bounds(t.select("year", "deal_id"), "year", "deal_id",
-                                                     preset.order_blocks)))
+                                                     blocks_for(t, ["year"], preset.rows_per_block))))
         qq, cs, gb = f_qq.result(), f_cs.result(), f_gb.result()
     gq = scalars(qq.where("_k = -1").select("_med", "_q70"))                         # two numbers
     yq = qq.where("_k <> -1").select(F.col("_k").cast("int").alias("year"), F.col("_q70").alias("_qy"))
@@ -163,7 +161,7 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
         (F.col("sector_code") * F.col("year")).alias("sector_year_int"),
         (F.col("region_code") * F.col("post_policy")).alias("region_policy_int"),
     )
-    return ordered_features(d, "sector", "amount", "post_policy", (2, 3), n_blocks=preset.order_blocks, narrow=t,
+    return ordered_features(d, "sector", "amount", "post_policy", (2, 3), narrow=t,
                             bounds_table=gb)
 
 

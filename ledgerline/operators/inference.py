@@ -247,10 +247,10 @@ def pairwise_groups_tests(df: DataFrame, group: str, value: str, alpha: float =
 
 
 # ------------------------------------------------------------------ T6-T7
-def box_summary(df: DataFrame, group: str, value: str, accuracy: int = 2000) -> DataFrame:
+def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles (exact, linear) and Tukey whiskers (most extreme values inside
     the 1.5 IQR fences) per group."""
-    q = exact_quantiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, accuracy)
+    q = exact_quantiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     j = df.select(group, value).join(q, group)
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)
@@ -259,9 +259,9 @@ def box_summary(df: DataFrame, group: str, value: str, accuracy: int = 2000) ->
         F.count(F.lit(1)).alias("n"))
 
 
-def outlier_tags(df: DataFrame, group: str, value: str, key: str = "deal_id", accuracy: int = 2000) -> DataFrame:
+def outlier_tags(df: DataFrame, group: str, value: str, key: str = "deal_id") -> DataFrame:
     """Rows outside the Tukey fences of their group."""
-    q = exact_quantiles(df, [group], value, {"q1": 0.25, "q3": 0.75}, accuracy)
+    q = exact_quantiles(df, [group], value, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     j = df.select(key, group, value).join(q, group)
     return j.where((F.col(value) < F.col("q1") - 1.5 * iqr) | (F.col(value) > F.col("q3") + 1.5 * iqr)) \
@@ -298,13 +298,13 @@ def one_sample_t_tests(df: DataFrame, group: str, value: str) -> DataFrame:
     return t.withColumn("p_value", dist.t_pvalue(F.col("t"), F.col("n") - 1))
 
 
-def bandwidths(df: DataFrame, group: str, value: str, rule: str = "group", accuracy: int = 2000) -> DataFrame:
+def bandwidths(df: DataFrame, group: str, value: str, rule: str = "group") -> DataFrame:
     """Per group n, sd, mn, mx and the kernel bandwidth bw by one of three rules.
 
     ``group``: 0.9 * spread * n^-1/5 with spread = min(sd, IQR / 1.34), or the sd if that is 0, or |first value| (here:
     |minimum|), or 1, so no group is left out; ``shared``: the mean of these over the groups, as joint ridgelines have
     it; ``scott``: sd * n^-1/5, with the same fallback. A group of one value has no sd and falls back too."""
-    q = exact_quantiles(df, [group], value, {"_q1": 0.25, "_q3": 0.75}, accuracy)
+    q = exact_quantiles(df, [group], value, {"_q1": 0.25, "_q3": 0.75})
     st = df.groupBy(group).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"),
                                F.min(value).alias("mn"), F.max(value).alias("mx")).where("n > 0").join(q, group)
     sd = F.coalesce("sd", F.lit(0.0))
@@ -316,8 +316,7 @@ def bandwidths(df: DataFrame, group: str, value: str, rule: str = "group", accur
     return st
 
 
-def grouped_density(df: DataFrame, group: str, value: str, grid: int = 512, cut: float = 3.0,
-                    accuracy: int = 2000, rule: str = "group") -> DataFrame:
+def grouped_density(df: DataFrame, group: str, value: str, grid: int = 512, cut: float = 3.0, rule: str = "group") -> DataFrame:
     """Gaussian kernel density per group on a ``grid``-point grid spanning
     [min - cut*bw, max + cut*bw], bandwidth by ``rule`` (see bandwidths).
 
@@ -325,7 +324,7 @@ def grouped_density(df: DataFrame, group: str, value: str, grid: int = 512, cut:
     estimators do); each non-empty cell spreads its count over the whole grid (an
     explode of ``grid`` points a cell, at most grid^2 a group whatever its rows),
     and the contributions are summed per grid point."""
-    st = bandwidths(df, group, value, rule, accuracy)
+    st = bandwidths(df, group, value, rule)
     st = st.withColumn("lo", F.col("mn") - cut * F.col("bw")).withColumn(
         "step", (F.col("mx") - F.col("mn") + 2 * cut * F.col("bw")) / grid)
     cells = (df.select(group, value).join(st.select(group, "lo", "step"), group)

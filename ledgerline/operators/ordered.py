@@ -4,7 +4,8 @@ The deal order is ``(year, deal_id)`` everywhere (ties in year are broken by the
 key, so every window below is deterministic).
 
 * :func:`block_of` cuts the key range into ``n`` balanced blocks using sketch
-  quantiles of the key (one aggregation; ``n - 1`` bounds reach the driver).
+  quantiles of the key (one aggregation; ``n - 1`` bounds reach the driver); the
+  number of blocks follows from a row count (:func:`blocks_for`).
 * :func:`ordered_features` computes trailing-``k``-row mean / sample std per group
   and the global running count of a flag, without ``partitionBy(group)`` or a
   global ``orderBy`` window over raw rows (see its docstring).
@@ -24,6 +25,16 @@ def release_cached() -> None:
         _CACHED.pop().unpersist()
 
 
+#: Rows that one block of an ordered operator holds at most (about), and the fewest blocks of a group.
+ROWS_PER_BLOCK, LEAST_BLOCKS = 1_000_000, 4
+
+
+def blocks_for(df: DataFrame, group: list[str] | None = None, rows: int | None = None) -> int:
+    """Blocks per group so that the largest group's blocks hold about ``rows`` rows (one count)."""
+    n = df.groupBy(*(group or [])).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(LEAST_BLOCKS, -(-n // (rows or ROWS_PER_BLOCK)))
+
+
 def key_bounds(df: DataFrame, key: str, n: int, accuracy: int = 10000) -> list:
     """``n - 1`` ascending cut points splitting ``key`` into ~equal blocks."""
     if n <= 1:
@@ -61,7 +72,7 @@ def block_of(key: str, bounds: list) -> Column:
     return e.otherwise(len(bounds))
 
 
-def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(2, 3), n_blocks: int = 16,
+def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(2, 3), n_blocks: int | None = None,
                      order=("year", "deal_id"), prefix: str = "roll", count_out: str = "policy_cumulative",
                      narrow: DataFrame | None = None, lagged: bool = True,
                      bounds_table: DataFrame | None = None) -> DataFrame:
@@ -86,7 +97,8 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
     small table of per-(year, block) counts.
 
     Block cut points are computed per year (a year holding a third of the rows is
-    still cut into ``n_blocks`` balanced blocks). ``narrow`` (a frame with the same
+    still cut into ``n_blocks`` balanced blocks; by default as many as the largest
+    year needs at ROWS_PER_BLOCK rows). ``narrow`` (a frame with the same
     rows holding at least the order columns and ``flag``, e.g. the table before its
     dimension joins) keeps the side computations off the wide plan.
     """
@@ -94,6 +106,7 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
     h = max(windows) if lagged else max(windows) - 1
     narrow = df if narrow is None else narrow
     if bounds_table is None:
+        n_blocks = n_blocks or blocks_for(narrow, [ocol])
         gb = group_bounds(narrow.select(ocol, key), ocol, key, n_blocks).cache()
         gb.count()
         _CACHED.append(gb)
@@ -148,175 +161,87 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
                       (F.col("_off") + F.col("_loc")).alias(count_out))
 
 
-def _bracket_counts(base: DataFrame, st: DataFrame, gk: list[str], nq: int) -> DataFrame:
-    """Per group and target: rows below / at / strictly inside / at the top of the bracket."""
-    x = F.col("_x")
-    aggs = []
-    for i in range(nq):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        aggs += [F.count_if(x < lo).alias(f"_lt{i}"), F.count_if(x == lo).alias(f"_eqlo{i}"),
-                 F.count_if((x > lo) & (x < hi)).alias(f"_in{i}"), F.count_if((x == hi) & (hi != lo)).alias(f"_eqhi{i}")]
-    return base.join(F.broadcast(st), gk).groupBy(*gk).agg(*aggs)
-
-
-def _refine(base: DataFrame, st: DataFrame, cnt: DataFrame, gk: list[str], qs: list[float], cap: int,
-            buckets: int) -> DataFrame:
-    """Narrow every bracket that still holds more than ``cap`` inside values: count
-    the inside values in ``buckets`` equal-width buckets, keep the bucket(s) holding
-    the two target ranks plus one bucket of margin on each side."""
-    s = st.join(cnt, gk)
-    x = F.col("_x")
-    parts = []
-    for i, q in enumerate(qs):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        w = (hi - lo) / buckets
-        b = F.least(F.floor((x - lo) / w), F.lit(buckets - 1)).cast("int")
-        t = (base.join(F.broadcast(s.where(F.col(f"_in{i}") > cap).select(*gk, f"_lo{i}", f"_hi{i}")), gk)
-             .where((x > lo) & (x < hi)).groupBy(*gk, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-             .withColumn("_q", F.lit(i)))
-        parts.append(t)
-    h = parts[0]
-    for p in parts[1:]:
-        h = h.unionByName(p)
-    wcum = Window.partitionBy(*gk, "_q").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("_before", F.coalesce(F.sum("_c").over(wcum), F.lit(0)))
-    rows = []
-    for i, q in enumerate(qs):
-        k = F.floor(F.lit(q) * (F.col("_n") - 1))
-        t0 = k - F.col(f"_lt{i}") - F.col(f"_eqlo{i}")          # 0-based rank among inside values
-        hit = (h.where(F.col("_q") == i).join(s.select(*gk, "_n", f"_lt{i}", f"_eqlo{i}", f"_in{i}"), gk)
-               .withColumn("_t0", t0).withColumn("_t1", F.least(t0 + 1, F.col(f"_in{i}") - 1))
-               .where((F.col("_before") + F.col("_c") > F.col("_t0")) & (F.col("_before") <= F.col("_t1")))
-               .groupBy(*gk).agg(F.min("_b").alias(f"_bl{i}"), F.max("_b").alias(f"_bh{i}")))
-        rows.append(hit)
-    out = s.select(*gk, "_n", "_min", "_max", *[c for i in range(len(qs)) for c in (f"_lo{i}", f"_hi{i}")])
-    for i, hit in enumerate(rows):
-        out = out.join(hit, gk, "left")
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        w = (hi - lo) / buckets
-        new_lo = F.when(F.col(f"_bl{i}").isNull(), lo).otherwise(
-            F.greatest(lo, lo + (F.col(f"_bl{i}") - 1) * w))
-        new_hi = F.when(F.col(f"_bh{i}").isNull(), hi).otherwise(
-            F.least(hi, lo + (F.col(f"_bh{i}") + 2) * w))
-        out = out.withColumn(f"_lo{i}", new_lo).withColumn(f"_hi{i}", new_hi).drop(f"_bl{i}", f"_bh{i}")
-    return out
-
-
-def _narrow_brackets(base: DataFrame, st: DataFrame, gk: list[str], names: list[str], qv: list[float],
-                     max_collect: int, buckets: int, max_rounds: int) -> DataFrame:
-    """Step 2 of :func:`exact_quantiles`: verify that each bracket contains its
-    target ranks (widen a miss to [min, max]) and refine brackets until each holds
-    at most ``max_collect`` inside values."""
-    for _ in range(max_rounds):
-        cnt = _bracket_counts(base, st, gk, len(names)).checkpoint(eager=True)
-        # containment: both target ranks must lie inside [lt, lt + eqlo + in + eqhi)
-        j = st.join(cnt, gk)
-        miss = []
-        for i, q in enumerate(qv):
-            k = F.floor(F.lit(q) * (F.col("_n") - 1))
-            k1 = F.least(k + 1, F.col("_n") - 1)
-            top_rank = F.col(f"_lt{i}") + F.col(f"_eqlo{i}") + F.col(f"_in{i}") + F.col(f"_eqhi{i}")
-            miss.append((k < F.col(f"_lt{i}")) | (k1 >= top_rank))
-        flags = j.select(*gk, *[m.alias(f"_miss{i}") for i, m in enumerate(miss)],
-                         *[F.col(f"_in{i}") for i in range(len(names))])
-        agg = flags.agg(F.max(F.greatest(*[F.col(f"_in{i}") for i in range(len(names))], F.lit(0))).alias("top"),
-                        F.max(F.greatest(*[F.col(f"_miss{i}").cast("int") for i in range(len(names))], F.lit(0))).alias("miss")
-                        ).first()
-        if agg["miss"]:
-            # a bracket missed its rank (sketch bound violated): widen it to [min, max] and recount
-            fl = flags.select(*gk, *[f"_miss{i}" for i in range(len(names))])
-            w = st.join(fl, gk, "left")
-            for i in range(len(names)):
-                mi = F.coalesce(F.col(f"_miss{i}"), F.lit(False))
-                w = w.withColumn(f"_lo{i}", F.when(mi, F.col("_min")).otherwise(F.col(f"_lo{i}"))) \
-                     .withColumn(f"_hi{i}", F.when(mi, F.col("_max")).otherwise(F.col(f"_hi{i}")))
-            st = w.select(*st.columns).checkpoint(eager=True)
-            continue
-        if agg["top"] is None or agg["top"] <= max_collect:
-            break
-        # small per-group state; checkpointing cuts its lineage so later rounds plan in constant time
-        st = _refine(base, st, cnt, gk, qv, max_collect, buckets).checkpoint(eager=True)
-    return st
+def _in_buckets(base: DataFrame, st: DataFrame, gk: list[str], buckets: int) -> DataFrame:
+    """One pass over the values: per group and target the values of every bucket of the open bracket, with the bucket's
+    smallest and largest value. Equal-width buckets; the ends of the bracket are in the first and the last one."""
+    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
+    at = F.floor((x - lo) / (hi - lo) * buckets)
+    b = F.when(x == lo, 0).when(x == hi, buckets - 1).when(F.isnan((x - lo) / (hi - lo)), 1) \
+        .otherwise(F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1))).cast("int")
+    return base.join(st, gk).where((x >= lo) & (x <= hi)).groupBy(*gk, "_q", b.alias("_b")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
+
+
+def _narrowed(h: DataFrame, st: DataFrame, gk: list[str]) -> DataFrame:
+    """The brackets after a pass: the bucket of rank k and that of rank k + 1. In one bucket, its smallest and largest
+    value are the new bracket (equal values collapse into one number); in two, both values are known."""
+    w = Window.partitionBy(*gk, "_q").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    c = h.withColumn("_bef", F.coalesce(F.sum("_c").over(w), F.lit(0))).join(
+        st.select(*gk, "_q", "_rank0", "_rank1", "_below"), [*gk, "_q"])
+    upto = F.col("_below") + F.col("_bef")
+    has0 = (upto <= F.col("_rank0")) & (F.col("_rank0") < upto + F.col("_c"))
+    has1 = (upto <= F.col("_rank1")) & (F.col("_rank1") < upto + F.col("_c"))
+    new = c.where(has0 | has1).groupBy(*gk, "_q", "_rank0", "_rank1").agg(
+        F.max(F.when(has0, F.col("_mn"))).alias("_mn0"), F.max(F.when(has0, F.col("_mx"))).alias("_mx0"),
+        F.max(F.when(has1, F.col("_mn"))).alias("_mn1"), F.max(F.when(has0, upto)).alias("_below"),
+        F.max(F.when(has0, F.col("_c"))).alias("_in"), F.count(F.lit(1)).alias("_two"))
+    # a value is known if its bucket holds one distinct value, or is the edge that the other rank's bucket leaves
+    two = F.col("_two") > 1
+    v0 = F.when(two, F.col("_mx0")).when(F.col("_mn0") == F.col("_mx0"), F.col("_mn0"))
+    v1 = F.when(two, F.col("_mn1")).when(F.col("_mn0") == F.col("_mx0"), F.col("_mn0"))
+    return new.select(*gk, "_q", "_rank0", "_rank1", F.col("_mn0").alias("_lo"), F.col("_mx0").alias("_hi"), "_below", "_in",
+                      v0.alias("_v0"), v1.alias("_v1"))
+
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-                    accuracy: int = 2000, max_collect: int = 200_000, buckets: int = 1024,
-                    max_rounds: int = 8) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas/DuckDB ``quantile_cont``) per group,
-    with bounded per-task memory whatever the group size.
-
-    0. One aggregation: count, min, max per group. If no group exceeds
-       ``max_collect`` rows, every group is picked from whole (skip to 3).
-    1. One aggregation: one sketch per group
-       (``approx_percentile``, rank error <= n/accuracy) bracketing every target rank
-       with 3x margin; groups with n <= 10*accuracy take [min, max] instead.
-    2. Count, per group and target, the rows below / equal to the bracket ends /
-       strictly inside. While some bracket still holds more than ``max_collect``
-       inside values, narrow it: an equal-width ``buckets`` histogram of the inside
-       values locates the target ranks (kept with one bucket of margin). Each round
-       is a pass over the value column; only small per-group results reach the driver.
-    3. Collect the (<= max_collect) inside values per group and target, sort them,
-       pick the two order statistics by rank arithmetic (values equal to the bracket
-       ends are counted, never collected) and interpolate.
-    NULL/NaN values are ignored. Output: keys + one column per entry of ``qs``.
+                    max_collect: int = 2000, buckets: int = 1024) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas/DuckDB ``quantile_cont``) per group, in bounded memory whatever the
+    group size, the same way at every size.
+
+    1. One aggregation: count, min, max per group; the bracket of every target rank is [min, max].
+    2. While a bracket holds more than ``max_collect`` values: one pass counts, for all groups and targets at once, the
+       values in equal-width buckets of their brackets (summed before the shuffle). The bucket of the rank, tightened to
+       its smallest and largest value, is the next bracket, so a mass of ties is one number after one pass and the
+       counts are exact in every round: nothing is sampled, so no rank can be missed.
+    3. The at most ``max_collect`` values of each open bracket are sorted and the two order statistics picked.
+    The state has one row per group and target and is checkpointed to the shared folder each round; the driver only
+    sees the largest bracket. NULL/NaN values are ignored. Output: keys + one column per entry of ``qs``.
     """
-    eps = 3.0 / accuracy
+    from ..session import shared_dir
+    shared_dir(df.sparkSession)  # checkpoints go to the shared folder
     gk = list(keys) if keys else ["_g"]
     base = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_x"))
     if not keys:
         base = base.withColumn("_g", F.lit(0))
     base = base.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    names = list(qs)
-    qv = [qs[n] for n in names]
-    small = 10 * accuracy
-    probs = []
-    for q in qv:
-        probs += [max(q - eps, 0.0), min(q + eps, 1.0)]
-    from ..session import shared_dir
-    shared_dir(df.sparkSession)  # checkpoints go to the shared folder
-    sizes = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"),
-                                  F.max("_x").alias("_max")).cache()
-    max_n = sizes.agg(F.max("_n")).first()[0] or 0
-    if max_n <= max_collect:
-        # every group is small enough to be picked from whole: bracket = [min, max]
-        st = sizes.select(*gk, "_n", "_min", "_max", *[c for i in range(len(names)) for c in (
-            F.col("_min").alias(f"_lo{i}"), F.col("_max").alias(f"_hi{i}"))])
-    else:
-        sk = base.groupBy(*gk).agg(F.approx_percentile("_x", probs, accuracy).alias("_p")).join(sizes, gk)
-        st = sk.select(*gk, "_n", "_min", "_max", *[c for i in range(len(names)) for c in (
-            F.when(F.col("_n") <= small, F.col("_min")).otherwise(F.col("_p")[2 * i]).alias(f"_lo{i}"),
-            F.when(F.col("_n") <= small, F.col("_max")).otherwise(F.col("_p")[2 * i + 1]).alias(f"_hi{i}"))])
-        st = st.cache()
-        st.count()
-        st = _narrow_brackets(base, st, gk, names, qv, max_collect, buckets, max_rounds)
-    j = base.join(F.broadcast(st), gk)
-    aggs = [F.first("_n").alias("_n")]
-    for i, _ in enumerate(names):
-        lo, hi, x = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col("_x")
-        aggs += [F.first(lo).alias(f"_lo{i}"), F.first(hi).alias(f"_hi{i}"),
-                 F.count_if(x < lo).alias(f"_lt{i}"), F.count_if(x == lo).alias(f"_eqlo{i}"),
-                 F.count_if((x == hi) & (hi != lo)).alias(f"_eqhi{i}"),
-                 F.array_sort(F.collect_list(F.when((x > lo) & (x < hi), x))).alias(f"_mid{i}")]
-    g = j.groupBy(*gk).agg(*aggs)
-    outs = []
-    for i, nm in enumerate(names):
-        q = qs[nm]
-        n = F.col("_n")
-        pos = F.lit(q) * (n - 1)
-        k = F.floor(pos)
-        frac = pos - k
-        lt, eqlo, eqhi = F.col(f"_lt{i}"), F.col(f"_eqlo{i}"), F.col(f"_eqhi{i}")
-        mid = F.col(f"_mid{i}")
-        m = F.size(mid)
-
-        def at(jrel: Column, i=i, eqlo=eqlo, eqhi=eqhi, mid=mid, m=m) -> Column:
-            return (F.when(jrel < 0, F.lit(None).cast("double"))
-                    .when(jrel < eqlo, F.col(f"_lo{i}"))
-                    .when(jrel < eqlo + m, F.element_at(mid, (jrel - eqlo + 1).cast("int")))
-                    .when(jrel < eqlo + m + eqhi, F.col(f"_hi{i}")))
-
-        jk = k - lt
-        vk = at(jk)
-        vk1 = F.when(frac > 0, at(jk + 1)).otherwise(vk)
-        outs.append((vk + frac * (vk1 - vk)).alias(nm))
-    res = g.select(*[F.col(k) for k in keys], *outs)
-    return res
+    for k in keys:
+        base = base.where(F.col(k).isNotNull())
+    targets = F.array(*[F.struct(F.lit(i).alias("_q"), F.lit(float(q)).alias("_p")) for i, q in enumerate(qs.values())])
+    empty = F.lit(None).cast("double")
+    st = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_in"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")) \
+        .select("*", F.inline(targets)) \
+        .withColumn("_rank0", F.floor(F.col("_p") * (F.col("_in") - 1))) \
+        .withColumn("_f", F.col("_p") * (F.col("_in") - 1) - F.col("_rank0"))
+    st = st.select(*gk, "_q", "_f", "_rank0", F.least(F.col("_rank0") + 1, F.col("_in") - 1).alias("_rank1"), "_lo", "_hi",
+                   F.lit(0).cast("long").alias("_below"), "_in", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(empty).alias("_v0"),
+                   F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(empty).alias("_v1")).checkpoint(eager=True)
+    frac = st.select(*gk, "_q", "_f")
+    st = st.drop("_f")
+    wide = F.col("_v0").isNull() & (F.col("_in") > max_collect)
+    while st.where(wide).limit(1).count():
+        # only the brackets that are too wide are counted again, the others wait
+        now = _narrowed(_in_buckets(base, st.where(wide).select(*gk, "_q", "_lo", "_hi"), gk, buckets), st.where(wide), gk)
+        st = st.where(~wide).unionByName(now.select(*st.columns)).checkpoint(eager=True)
+    x = F.col("_x")
+    open_ = st.where("_v0 is null")
+    rest = base.join(open_.select(*gk, "_q", "_lo", "_hi"), gk).where((x >= F.col("_lo")) & (x <= F.col("_hi"))) \
+        .groupBy(*gk, "_q").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
+    j = st.join(rest, [*gk, "_q"], "left").join(frac, [*gk, "_q"])
+
+    def pick(rank: str) -> Column:
+        return F.try_element_at("_xs", (F.col(rank) - F.col("_below") + 1).cast("int"))
+
+    v0, v1 = F.coalesce("_v0", pick("_rank0")), F.coalesce("_v1", pick("_rank1"))
+    j = j.withColumn("_v", F.when(F.col("_f") > 0, v0 + F.col("_f") * (v1 - v0)).otherwise(v0))
+    return j.groupBy(*gk).agg(*[F.max(F.when(F.col("_q") == i, F.col("_v"))).alias(nm) for i, nm in enumerate(qs)]) \
+        .select(*keys, *qs)

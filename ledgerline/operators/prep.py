@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scalars
-from .ordered import block_in, block_of, exact_quantiles, group_bounds, key_bounds
+from .ordered import block_in, block_of, blocks_for, exact_quantiles, group_bounds, key_bounds
 
 # Model inputs. The rolling statistics are the lagged ones (previous deals only) and
 # the group-mean blends leave the row out: the source's versions contain the target
@@ -26,10 +26,10 @@ ML_CATEGORICAL = ["sector", "region", "deal_type", "phase", "post_policy"]
 
 
 # ------------------------------------------------------------------ M1/M2
-def fit_numeric(df: DataFrame, cols: list[str], accuracy: int = 2000) -> dict:
+def fit_numeric(df: DataFrame, cols: list[str]) -> dict:
     """Exact medians (imputation) then mean / population std of the imputed column."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "col", "x")
-    med = {r["col"]: r["m"] for r in exact_quantiles(long, ["col"], "x", {"m": 0.5}, accuracy).collect()}
+    med = {r["col"]: r["m"] for r in exact_quantiles(long, ["col"], "x", {"m": 0.5}).collect()}
     imp = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med.get(c))).alias(c) for c in cols])
     aggs = []
     for c in cols:
@@ -78,11 +78,11 @@ def prep_tree(df: DataFrame, num: dict, levels: dict, keep: list[str], missing:
 
 
 # ------------------------------------------------------------------ ranks, M3-M5
-def rank_within(df: DataFrame, part: list[str], order: str, out: str = "rank0", n_blocks: int = 16) -> DataFrame:
+def rank_within(df: DataFrame, part: list[str], order: str, out: str = "rank0", n_blocks: int | None = None) -> DataFrame:
     """0-based rank of ``order`` inside each ``part`` group (ties broken by the
     order value itself; pass a unique key). Two-phase: per (part, block) counts,
     prefix offsets on that small table, row number inside (part, block)."""
-    bounds = key_bounds(df, order, n_blocks)
+    bounds = key_bounds(df, order, n_blocks or blocks_for(df, part))
     d = df.withColumn("_blk", block_of(order, bounds))
     per = d.groupBy(*part, "_blk").agg(F.count(F.lit(1)).alias("_c"))
     w = (Window.partitionBy(*part) if part else Window.partitionBy()).orderBy("_blk").rowsBetween(
@@ -115,11 +115,11 @@ def folds_stratified(df: DataFrame, label: str, k: int = 5, key: str = "deal_id"
     return rank_within(d, [label], "_h", "_r").withColumn("fold", (F.col("_r") % k).cast("int")).drop("_h", "_r")
 
 
-def row_index(df: DataFrame, order=("year", "deal_id"), out: str = "position", n_blocks: int = 16) -> DataFrame:
+def row_index(df: DataFrame, order=("year", "deal_id"), out: str = "position", n_blocks: int | None = None) -> DataFrame:
     """0-based global position in (year, key) order (two-phase, no global sort;
     block cut points per year)."""
     ocol, key = order
-    gb = group_bounds(df.select(ocol, key), ocol, key, n_blocks)
+    gb = group_bounds(df.select(ocol, key), ocol, key, n_blocks or blocks_for(df, [ocol]))
     d = df.join(F.broadcast(gb), ocol).withColumn("_blk", block_in(key)).drop("_bounds")
     per = d.groupBy(ocol, "_blk").agg(F.count(F.lit(1)).alias("_c"))
     offs = per.select(ocol, "_blk", F.coalesce(F.sum("_c").over(
@@ -130,7 +130,7 @@ def row_index(df: DataFrame, order=("year", "deal_id"), out: str = "position", n
 
 
 def folds_expanding(df: DataFrame, n_splits: int = 5, min_train: int = 20, order=("year", "deal_id"),
-                    n_blocks: int = 16) -> DataFrame:
+                    n_blocks: int | None = None) -> DataFrame:
     """M5: expanding-window folds on time order (test size n // (n_splits + 1)).
     Adds ``position``, ``test_fold`` (fold whose test block holds the row, NULL if
     none) and ``first_train_fold`` (first fold whose training window holds it).
@@ -174,9 +174,9 @@ def score_groups(pred: DataFrame, label: str, score: str) -> DataFrame:
         F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
 
 
-def _desc_prefix(sg: DataFrame, n_blocks: int = 16) -> DataFrame:
+def _desc_prefix(sg: DataFrame, n_blocks: int | None = None) -> DataFrame:
     """Exclusive prefix sums of pos/neg over descending score (two-phase)."""
-    bounds = key_bounds(sg, "score", n_blocks)
+    bounds = key_bounds(sg, "score", n_blocks or blocks_for(sg))
     d = sg.withColumn("_blk", block_of("score", bounds))
     per = d.groupBy("_blk").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     wo = Window.orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)

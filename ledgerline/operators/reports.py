@@ -160,7 +160,7 @@ def group_means(f: DataFrame, group: str, value: str = "amount") -> DataFrame:
     return f.groupBy(group).agg(F.round(F.avg(value), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def describe_numeric(f: DataFrame, cols: list[str], accuracy: int = 2000) -> DataFrame:
+def describe_numeric(f: DataFrame, cols: list[str]) -> DataFrame:
     """A12 (numeric part): count, mean, std (ddof 1), min, 25/50/75 %, max for every
     column, in one pass over the rows unpivoted to (column, value) + the exact
     quantile operator keyed by column."""
@@ -169,7 +169,7 @@ def describe_numeric(f: DataFrame, cols: list[str], accuracy: int = 2000) -> Dat
     base = long.groupBy("column_name").agg(
         F.count("x").alias("count"), F.round(F.avg("x"), 6).alias("mean"),
         F.round(F.stddev_samp("x"), 6).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
-    q = exact_quantiles(long, ["column_name"], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, accuracy)
+    q = exact_quantiles(long, ["column_name"], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     q = q.select("column_name", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")])
     return base.join(q, "column_name", "left")
 
@@ -232,17 +232,17 @@ def phase_bin_share_r(deals_r: DataFrame, preset: Preset) -> DataFrame:
     return g.withColumn("phase", S.phase_label_text_r2("phase"))
 
 
-def target_balance(f: DataFrame, accuracy: int = 2000) -> DataFrame:
+def target_balance(f: DataFrame) -> DataFrame:
     """Percent of high-value deals and the exact median amount."""
-    med = scalars(exact_quantiles(f, [], "amount", {"m": 0.5}, accuracy))["m"]
+    med = scalars(exact_quantiles(f, [], "amount", {"m": 0.5}))["m"]
     return f.agg(F.round(F.avg("high_value") * 100, 6).alias("pct_high")).withColumn(
         "median_amount", F.round(F.lit(med).cast("double"), 6))
 
 
-def exact_quantile_report(f: DataFrame, accuracy: int = 2000) -> DataFrame:
+def exact_quantile_report(f: DataFrame) -> DataFrame:
     """Per-year 0.70 and 0.50 quantiles and the global ones (year NULL)."""
-    per = exact_quantiles(f, ["year"], "amount", {"q50": 0.5, "q70": 0.7}, accuracy)
-    glob = exact_quantiles(f, [], "amount", {"q50": 0.5, "q70": 0.7}, accuracy).select(
+    per = exact_quantiles(f, ["year"], "amount", {"q50": 0.5, "q70": 0.7})
+    glob = exact_quantiles(f, [], "amount", {"q50": 0.5, "q70": 0.7}).select(
         F.lit(None).cast("int").alias("year"), "q50", "q70")
     return per.unionByName(glob).select("year", F.round("q50", 6).alias("q50"), F.round("q70", 6).alias("q70"))
 
@@ -326,7 +326,7 @@ def category_code_table(f: DataFrame, cols: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sorts / sets
-def row_positions(f: DataFrame, n_blocks: int = 16) -> DataFrame:
+def row_positions(f: DataFrame, n_blocks: int | None = None) -> DataFrame:
     """L1: global position (1-based) of each deal in (year, deal_id) order:
     per-(year, block) counts -> prefix offsets + in-block row number (blocks cut
     per year; no global single-partition sort of the rows)."""

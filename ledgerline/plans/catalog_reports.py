@@ -312,7 +312,7 @@ FROM (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _NUM)} F
 GROUP BY column_name"""))
 def q_describe_numeric(spark, sf):
     """A12 (numeric columns)"""
-    return R.describe_numeric(feat(spark, sf), _NUM, PA.sketch_accuracy)
+    return R.describe_numeric(feat(spark, sf), _NUM)
 
 
 @register("describe_categorical", Q.with_features(f"""
@@ -330,7 +330,7 @@ def q_describe_categorical(spark, sf):
     "SELECT round(avg(high_value) * 100, 6) AS pct_high, round(quantile_cont(amount, 0.5), 6) AS median_amount FROM feat"))
 def q_target_balance(spark, sf):
     """A17"""
-    return R.target_balance(feat(spark, sf), PA.sketch_accuracy)
+    return R.target_balance(feat(spark, sf))
 
 
 @register("exact_quantile", Q.with_tagged("""
@@ -340,7 +340,7 @@ UNION ALL
 SELECT NULL, round(quantile_cont(amount, 0.5), 6), round(quantile_cont(amount, 0.7), 6) FROM tagged"""))
 def q_exact_quantile(spark, sf):
     """Exact linear quantiles (two-pass sketch bracket, exact pick)."""
-    return R.exact_quantile_report(feat(spark, sf), PA.sketch_accuracy)
+    return R.exact_quantile_report(feat(spark, sf))
 
 
 _DL = ["year", "sector", "region", "investor", "country", "phase", "subsector"]
@@ -453,7 +453,7 @@ def q_category_codes(spark, sf):
     "SELECT deal_id, year, row_number() OVER (ORDER BY year, deal_id) AS position FROM tagged"))
 def q_sort_by_year(spark, sf):
     """L1: position of every deal in (year, deal_id) order."""
-    return R.row_positions(feat(spark, sf), PA.order_blocks)
+    return R.row_positions(feat(spark, sf))
 
 
 _MONTHS = ", ".join(f"('{m}', {i + 1})" for i, m in enumerate(MONTH_NAMES))
@@ -621,7 +621,7 @@ GROUP BY column_name"""))
 def q_describe_all(spark, sf):
     """Summary of every column (numeric and text statistics side by side)."""
     f = feat(spark, sf)
-    num = R.describe_numeric(f, _NUM, PA.sketch_accuracy)
+    num = R.describe_numeric(f, _NUM)
     cat = R.describe_categorical(f, _CAT)
     num = num.select("column_name", "count", F.lit(None).cast("bigint").alias("unique"),
                      F.lit(None).cast("string").alias("top"), F.lit(None).cast("bigint").alias("freq"),

@@ -218,7 +218,7 @@ SELECT t.deal_id, t.year, t.amount FROM tagged t JOIN
 WHERE t.amount < q1 - 1.5 * (q3 - q1) OR t.amount > q3 + 1.5 * (q3 - q1)"""))
 def q_outlier_tags(spark, sf):
     """Tukey outliers of amount within each year."""
-    return I.outlier_tags(feat(spark, sf), "year", "amount", accuracy=PA.sketch_accuracy)
+    return I.outlier_tags(feat(spark, sf), "year", "amount")
 
 
 @register("box_summary", Q.with_tagged("""
@@ -231,7 +231,7 @@ FROM tagged t JOIN (SELECT deal_type, quantile_cont(amount, 0.25) AS q1, quantil
 GROUP BY t.deal_type, q1, med, q3"""))
 def q_box_summary(spark, sf):
     """Quartiles and whiskers per deal type."""
-    b = I.box_summary(feat(spark, sf), "deal_type", "amount", PA.sketch_accuracy)
+    b = I.box_summary(feat(spark, sf), "deal_type", "amount")
     return b.select("deal_type", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")], "whisker_lo",
                     "whisker_hi", "n")
 
@@ -310,7 +310,7 @@ st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step FROM st1)""
 def q_grouped_density(spark, sf):
     """Kernel density of amount per region, one bandwidth for all ridgelines (0 < amount <= cap)."""
     d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True)
-    k = I.grouped_density(d, "region", "amount", accuracy=PA.sketch_accuracy, rule="shared")
+    k = I.grouped_density(d, "region", "amount", rule="shared")
     return k.select("region", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"),
                     F.round("density", 12).alias("density"))
 
@@ -332,7 +332,7 @@ def q_grouped_density_year_log10(spark, sf):
     """T10/P5 (ridgeline variant): density of log10 amount per year by Scott's rule (positive amounts)."""
     from ..operators.clean import positive_log10
     d = positive_log10(feat(spark, sf)).select("year", F.col("log10_amount").alias("v"))
-    k = I.grouped_density(d, "year", "v", accuracy=PA.sketch_accuracy, rule="scott")
+    k = I.grouped_density(d, "year", "v", rule="scott")
     return k.select("year", "grid_index", F.round("x", 6).alias("x"), F.round("weight", 6).alias("weight"),
                     F.round("density", 9).alias("density"))
 
@@ -368,7 +368,7 @@ def q_grouped_density_r(spark, sf):
                     is_bri("bri").alias("bri_group"))
     long = base.unpivot(["amount"], _DENS_VARS, "variable", "level").select(
         F.concat_ws("=", "variable", "level").alias("gkey"), "amount")
-    k = I.grouped_density(long, "gkey", "amount", accuracy=PA.sketch_accuracy)
+    k = I.grouped_density(long, "gkey", "amount")
     return k.select("gkey", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"))
 
 
@@ -393,7 +393,7 @@ def q_grouped_density_top_parties(spark, sf):
     d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True).select("party", "amount")
     top = R.top_n_with_ties(d, "party", 25).select("party")
     kept = d.join(top, "party", "left_semi")
-    k = I.grouped_density(kept, "party", "amount", accuracy=PA.sketch_accuracy)
+    k = I.grouped_density(kept, "party", "amount")
     return k.select("party", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"))
 
 
@@ -419,5 +419,5 @@ def q_grouped_density_top_shares(spark, sf):
     d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True).select("share_size", "amount")
     top = R.top_n_with_ties(d, "share_size", 30).select("share_size")
     kept = d.join(top, "share_size", "left_semi")
-    k = I.grouped_density(kept, "share_size", "amount", accuracy=PA.sketch_accuracy)
+    k = I.grouped_density(kept, "share_size", "amount")
     return k.select("share_size", "grid_index", F.round("x", 4).alias("x"), F.round("weight", 6).alias("weight"))
