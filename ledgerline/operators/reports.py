@@ -1,7 +1,7 @@
 """Grouped reports (A1-A20), joins (J1-J4), report windows (W6-W11), top-k
 and set operations (U1-U5) over the feature table.
 
-Money sums are exact: amounts are summed as DECIMAL(18,2) and cast back to double.
+Money sums are exact: amounts are summed as DECIMAL(28,6) and cast back to double.
 Phase membership uses one range join to the fixed phase dimension (a few rows,
 broadcast) instead of one filtered scan per phase.
 """
@@ -18,7 +18,7 @@ from .ordered import exact_quantiles
 
 
 def money_sum(col: str = "amount", alias: str = "total"):
-    return F.sum(F.col(col).cast("decimal(18,2)")).cast("double").alias(alias)
+    return F.sum(F.col(col).cast("decimal(28,6)")).cast("double").alias(alias)
 
 
 def phases_frame(spark: SparkSession, preset: Preset) -> DataFrame:
@@ -67,10 +67,10 @@ def greenfield_split_by_phase(f: DataFrame, preset: Preset) -> DataFrame:
     thousands and its money label; phases with total 0 are dropped."""
     g = (phase_range_join(f.select("year", "deal_type", "amount"), preset)
          .groupBy(F.col("phase_label").alias("phase"))
-         .agg(F.sum(F.when(F.col("deal_type") == "Greenfield", F.col("amount").cast("decimal(18,2)"))
-                    .otherwise(F.lit(0).cast("decimal(18,2)"))).cast("double").alias("greenfield"),
-              F.sum(F.when(F.col("deal_type") == "M&A", F.col("amount").cast("decimal(18,2)"))
-                    .otherwise(F.lit(0).cast("decimal(18,2)"))).cast("double").alias("other")))
+         .agg(F.sum(F.when(F.col("deal_type") == "Greenfield", F.col("amount").cast("decimal(28,6)"))
+                    .otherwise(F.lit(0).cast("decimal(28,6)"))).cast("double").alias("greenfield"),
+              F.sum(F.when(F.col("deal_type") == "M&A", F.col("amount").cast("decimal(28,6)"))
+                    .otherwise(F.lit(0).cast("decimal(28,6)"))).cast("double").alias("other")))
     g = g.withColumn("total", F.col("greenfield") + F.col("other")).where(F.col("total") != 0)
     return g.select("phase", "greenfield", "other", "total",
                     F.round(100 * F.col("greenfield") / F.col("total"), 6).alias("greenfield_pct"),
@@ -97,7 +97,7 @@ def sector_subsector_rollup(f: DataFrame, preset: Preset) -> DataFrame:
     leaf aggregate; grouping_id picks the two levels)."""
     leaves = (phase_range_join(f.select("year", "sector", "subsector", "amount"), preset)
               .groupBy(F.col("phase_label").alias("phase"), "sector", "subsector")
-              .agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("v"))
+              .agg(F.sum(F.col("amount").cast("decimal(28,6)")).alias("v"))
               .where(F.col("v") > 0))
     r = (leaves.rollup("phase", "sector", "subsector").agg(F.sum("v").cast("double").alias("value"),
                                                            F.grouping_id().alias("gid"))
@@ -119,7 +119,7 @@ def region_year_pivot(f: DataFrame, preset: Preset) -> DataFrame:
     top = [r[0] for r in top_groups(f, "region", preset.top_regions).select("region").collect()]
     kept = f.join(F.broadcast(f.sparkSession.createDataFrame([(t,) for t in top], "region string")),
                   "region", "left_semi")
-    p = (kept.select("year", "region", F.col("amount").cast("decimal(18,2)").alias("a"))
+    p = (kept.select("year", "region", F.col("amount").cast("decimal(28,6)").alias("a"))
          .groupBy("year").pivot("region", sorted(top)).agg(F.sum("a").cast("double")))
     return p.fillna(0.0)
 
@@ -188,8 +188,8 @@ def share_shift(f: DataFrame) -> DataFrame:
     """A13 (D1 fixed): share of each sector within the pre and the post period, and
     the change in points."""
     s = f.groupBy("sector").agg(
-        F.sum(F.when(F.col("post_policy") == 0, F.col("amount").cast("decimal(18,2)"))).cast("double").alias("pre"),
-        F.sum(F.when(F.col("post_policy") == 1, F.col("amount").cast("decimal(18,2)"))).cast("double").alias("post"))
+        F.sum(F.when(F.col("post_policy") == 0, F.col("amount").cast("decimal(28,6)"))).cast("double").alias("pre"),
+        F.sum(F.when(F.col("post_policy") == 1, F.col("amount").cast("decimal(28,6)"))).cast("double").alias("post"))
     s = s.fillna(0.0, ["pre", "post"])
     w = Window.partitionBy()
     s = s.select("sector", (100 * F.col("pre") / F.sum("pre").over(w)).alias("pre_share"),
@@ -208,7 +208,7 @@ def top_bottom_shift(f: DataFrame, n: int = 7) -> DataFrame:
 
 def year_type_pivot(f: DataFrame) -> DataFrame:
     """Year x deal type money sums, 0-filled (the two type labels are fixed)."""
-    return (f.select("year", "deal_type", F.col("amount").cast("decimal(18,2)").alias("a"))
+    return (f.select("year", "deal_type", F.col("amount").cast("decimal(28,6)").alias("a"))
             .groupBy("year").pivot("deal_type", ["Greenfield", "M&A"]).agg(F.sum("a").cast("double"))
             .fillna(0.0))
 

@@ -16,7 +16,7 @@ Z95 = 1.959963984540054
 def monthly_series(df: DataFrame, key: str, value: str = "amount") -> DataFrame:
     """(key, ds = first day of month, y = money total) from the deal rows."""
     return (df.groupBy(key, F.make_date("year", "month", F.lit(1)).alias("ds"))
-            .agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("y")))
+            .agg(F.sum(F.col(value).cast("decimal(28,6)")).cast("double").alias("y")))
 
 
 def filled(series: DataFrame, key: str) -> DataFrame:

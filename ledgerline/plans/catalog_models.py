@@ -223,7 +223,7 @@ def q_future_spine(spark, sf):
     return SE.future_spine(_series(spark, sf), "country")
 
 
-_FILLED = """ser AS (SELECT country, make_date(year, month, 1) AS ds, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS y FROM tagged GROUP BY ALL),
+_FILLED = """ser AS (SELECT country, make_date(year, month, 1) AS ds, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS y FROM tagged GROUP BY ALL),
 span AS (SELECT country, min(ds) AS first, max(ds) AS last FROM ser GROUP BY country),
 fil AS (SELECT s.country, CAST(g.ds AS DATE) AS ds, datediff('month', first, CAST(g.ds AS DATE)) AS t, coalesce(y, 0) AS y, ln(1 + coalesce(y, 0)) AS ly
         FROM span s CROSS JOIN LATERAL (SELECT unnest(generate_series(s.first, s.last, INTERVAL 1 MONTH)) AS ds) g

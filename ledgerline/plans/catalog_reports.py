@@ -13,7 +13,7 @@ from . import sql as Q
 from .registry import register
 
 PA, PB = PRESET_A, PRESET_B
-MS = "CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)"
+MS = "CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE)"
 PH = Q.phases_values(PA)
 PJ = "JOIN phases p ON year BETWEEN p.lo AND p.hi"
 
@@ -112,8 +112,8 @@ SELECT phase, greenfield, other, greenfield + other AS total,
        round(100 * greenfield / (greenfield + other), 6) AS greenfield_pct,
        round((greenfield + other) / 1000, 6) AS total_thousands
 FROM (SELECT p.label AS phase,
-        CAST(sum(CASE WHEN deal_type = 'Greenfield' THEN CAST(amount AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS greenfield,
-        CAST(sum(CASE WHEN deal_type = 'M&A' THEN CAST(amount AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS other
+        CAST(sum(CASE WHEN deal_type = 'Greenfield' THEN CAST(amount AS DECIMAL(28,6)) ELSE 0 END) AS DOUBLE) AS greenfield,
+        CAST(sum(CASE WHEN deal_type = 'M&A' THEN CAST(amount AS DECIMAL(28,6)) ELSE 0 END) AS DOUBLE) AS other
       FROM tagged """ + PJ + """ GROUP BY 1) WHERE greenfield + other <> 0""", PA, PH))
 def q_greenfield_split_by_phase(spark, sf):
     """A4"""
@@ -140,8 +140,8 @@ def q_country_phase_extremes(spark, sf):
 
 
 _LEAVES = PH + f""",
-leaves AS (SELECT p.label AS phase, sector, subsector, sum(CAST(amount AS DECIMAL(18,2))) AS v
-           FROM tagged {PJ} GROUP BY 1, 2, 3 HAVING sum(CAST(amount AS DECIMAL(18,2))) > 0)"""
+leaves AS (SELECT p.label AS phase, sector, subsector, sum(CAST(amount AS DECIMAL(28,6))) AS v
+           FROM tagged {PJ} GROUP BY 1, 2, 3 HAVING sum(CAST(amount AS DECIMAL(28,6))) > 0)"""
 _HIER = Q.with_tagged("""
 SELECT phase, subsector AS label, sector AS parent, CAST(v AS DOUBLE) AS value, 'leaf' AS node FROM leaves
 UNION ALL
@@ -161,7 +161,7 @@ def q_union_hierarchy(spark, sf):
     f = feat(spark, sf)
     leaves = (R.phase_range_join(f.select("year", "sector", "subsector", "amount"), PA)
               .groupBy(F.col("phase_label").alias("phase"), "sector", "subsector")
-              .agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("v")).where(F.col("v") > 0))
+              .agg(F.sum(F.col("amount").cast("decimal(28,6)")).alias("v")).where(F.col("v") > 0))
     lv = leaves.select("phase", F.col("subsector").alias("label"), F.col("sector").alias("parent"),
                        F.col("v").cast("double").alias("value"), F.lit("leaf").alias("node"))
     pa = leaves.groupBy("phase", "sector").agg(F.sum("v").cast("double").alias("value")).select(
@@ -177,7 +177,7 @@ def q_nonempty_groups(spark, sf):
     f = feat(spark, sf)
     g = (R.phase_range_join(f.select("year", "sector", "subsector", "amount"), PA)
          .groupBy(F.col("phase_label").alias("phase"), "sector", "subsector")
-         .agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("total")))
+         .agg(F.sum(F.col("amount").cast("decimal(28,6)")).alias("total")))
     return nonempty_groups(g, "total").withColumn("total", F.col("total").cast("double"))
 
 
@@ -189,7 +189,7 @@ def _pivot_cells() -> str:
 
 @register("region_year_pivot", Q.with_tagged(f"SELECT year, {_pivot_cells()} FROM kept GROUP BY year", PA, f"""
 top AS (SELECT region FROM tagged GROUP BY region ORDER BY {MS} DESC, region LIMIT 7),
-kept AS (SELECT year, region, CAST(amount AS DECIMAL(18,2)) AS a FROM tagged WHERE region IN (SELECT region FROM top))"""))
+kept AS (SELECT year, region, CAST(amount AS DECIMAL(28,6)) AS a FROM tagged WHERE region IN (SELECT region FROM top))"""))
 def q_region_year_pivot(spark, sf):
     """A8/P6"""
     return R.region_year_pivot(feat(spark, sf), PA)
@@ -213,8 +213,8 @@ def q_isin_top_groups(spark, sf):
 
 
 _SHARE = """s AS (SELECT sector,
-   COALESCE(CAST(sum(CASE WHEN post_policy = 0 THEN CAST(amount AS DECIMAL(18,2)) END) AS DOUBLE), 0) AS pre,
-   COALESCE(CAST(sum(CASE WHEN post_policy = 1 THEN CAST(amount AS DECIMAL(18,2)) END) AS DOUBLE), 0) AS post
+   COALESCE(CAST(sum(CASE WHEN post_policy = 0 THEN CAST(amount AS DECIMAL(28,6)) END) AS DOUBLE), 0) AS pre,
+   COALESCE(CAST(sum(CASE WHEN post_policy = 1 THEN CAST(amount AS DECIMAL(28,6)) END) AS DOUBLE), 0) AS post
    FROM tagged GROUP BY sector),
 sh AS (SELECT sector, 100 * pre / sum(pre) OVER () AS pre_share, 100 * post / sum(post) OVER () AS post_share FROM s),
 shift AS (SELECT sector, round(pre_share, 6) AS pre_share, round(post_share, 6) AS post_share,
@@ -248,8 +248,8 @@ def q_union_top_bottom(spark, sf):
 
 @register("year_type_pivot", Q.with_tagged("""
 SELECT year,
-  COALESCE(CAST(sum(CASE WHEN deal_type = 'Greenfield' THEN CAST(amount AS DECIMAL(18,2)) END) AS DOUBLE), 0) AS "Greenfield",
-  COALESCE(CAST(sum(CASE WHEN deal_type = 'M&A' THEN CAST(amount AS DECIMAL(18,2)) END) AS DOUBLE), 0) AS "M&A"
+  COALESCE(CAST(sum(CASE WHEN deal_type = 'Greenfield' THEN CAST(amount AS DECIMAL(28,6)) END) AS DOUBLE), 0) AS "Greenfield",
+  COALESCE(CAST(sum(CASE WHEN deal_type = 'M&A' THEN CAST(amount AS DECIMAL(28,6)) END) AS DOUBLE), 0) AS "M&A"
 FROM tagged GROUP BY year"""))
 def q_year_type_pivot(spark, sf):
     """A14"""

@@ -183,7 +183,7 @@ def q_binary_target(spark, sf):
 
 @register("format_money", Q.with_tagged("""
 SELECT year, CASE WHEN m >= 1000 THEN printf('$%.1fB', m / 1000) ELSE printf('$%.0fM', m) END AS label
-FROM (SELECT year, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / 1000000 * 3 AS m FROM tagged GROUP BY year)"""))
+FROM (SELECT year, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) / 1000000 * 3 AS m FROM tagged GROUP BY year)"""))
 def q_format_money(spark, sf):
     """F19 on yearly totals (in millions, scaled)."""
     t = R.year_total(features(spark, sf, PA))

@@ -135,7 +135,7 @@ _SECT = Q.phases_values(PRESET_A)
 
 
 @register("sink_report", Q.with_tagged(
-    "SELECT p.label AS phase, sector, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total "
+    "SELECT p.label AS phase, sector, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS total "
     "FROM tagged JOIN phases p ON year BETWEEN p.lo AND p.hi GROUP BY 1, 2", PRESET_A, _SECT))
 def q_sink_report(spark, sf):
     """A report written as CSV with header and read back."""
@@ -148,7 +148,7 @@ def q_sink_report(spark, sf):
 @register("sink_text_summary", Q.with_tagged("""
 SELECT phase, parameter, value FROM (UNPIVOT (
   SELECT phase, CAST(count(*) AS DOUBLE) AS n_obs, round(avg(log_amount), 6) AS mean_log,
-         CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total FROM tagged GROUP BY phase)
+         CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS total FROM tagged GROUP BY phase)
   ON n_obs, mean_log, total INTO NAME parameter VALUE value)"""))
 def q_sink_text_summary(spark, sf):
     """S8 (re-aimed): a summary as a (key, parameter, value) table, written as parquet

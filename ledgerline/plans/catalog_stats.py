@@ -1,6 +1,5 @@
-"""Inference and distribution queries. Statistics expressible in SQL
-have an oracle; tail probabilities (t, F) are reported by companion ``*_tests``
-queries, checked in tests/ against identities and known values."""
+"""Inference and distribution queries. Tail probabilities (t, F) are reported by companion ``*_tests``
+queries; their oracles integrate the densities numerically in SQL, another way than the operators."""
 
 from __future__ import annotations
 
@@ -27,6 +26,33 @@ def _r(df, digits=6, skip=()):
                        for c, t in df.dtypes])
 
 
+def _simpson(f: str, end: str, n: int) -> str:
+    """Simpson's rule for the expression ``f`` of ``u`` over [0, end] with n (even) panels."""
+    weight = f"CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    body = f.replace("[u]", f"(({end}) * i / {n}.0)")
+    return f"(({end}) / {3 * n}.0 * list_sum(list_transform(range(0, {n + 1}), lambda i: {weight} * {body})))"
+
+
+def _t_p(t: str, dof: str) -> str:
+    """Two-sided p-value of Student's t: one minus the mass between -t and t, with t = sqrt(dof) tan(u)."""
+    c = f"exp(lgamma((({dof}) + 1) / 2.0) - lgamma(({dof}) / 2.0)) / sqrt(pi())"
+    return f"greatest(0.0, 1 - 2 * {c} * {_simpson(f'power(cos([u]), ({dof}) - 1)', f'atan(abs({t}) / sqrt({dof}))', 2000)})"
+
+
+def _f_p(f: str, d1: str, d2: str) -> str:
+    """Upper tail of F: the incomplete beta integral up to x = d2 / (d2 + d1 f), with v = x exp(-u / a)."""
+    a, b, x = f"(({d2}) / 2.0)", f"(({d1}) / 2.0)", f"(({d2}) / (({d2}) + ({d1}) * ({f})))"
+    front = f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x})) / {a}"
+    return f"{front} * {_simpson(f'exp(-[u]) * power(1 - {x} * exp(-[u] / {a}), {b} - 1)', '60.0', 6000)}"
+
+
+def _t_q975(dof: str) -> str:
+    """The 0.975 quantile of Student's t by its expansion in 1 / dof (four terms; for the large dof here)."""
+    z = 1.959963984540054
+    terms = [z, (z ** 3 + z) / 4, (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96, (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384]
+    return "(" + " + ".join(f"{v!r} / power({dof}, {k})" for k, v in enumerate(terms)) + ")"
+
+
 def _ols_sql(z: str) -> str:
     return f"""SELECT phase, 'year * {z}' AS interaction, 1 - ssr / sst AS r2,
        1 - (ssr / sst) * (n_obs - 1) / (n_obs - k) AS r2_adj,
@@ -62,11 +88,36 @@ def q_ols_interaction(spark, sf):
     return out.select(*[F.round(c, d).alias(c) if d else F.col(c) for c, d in _OLS_COLS.items()])
 
 
-@register("ols_interaction_tests")
+def _ols_tests_sql(z: str) -> str:
+    return f"""SELECT fit.phase, interaction, fit.n_obs, round({_f_p('f_stat', 'df_model', 'df_resid')}, 6) AS f_pvalue,
+       CAST(coalesce(sig, 0) AS INT) AS n_significant
+FROM ({_ols_sql(z)}) fit LEFT JOIN (
+  SELECT phase, sum(CAST(p < 0.1 AS INT)) AS sig FROM (
+    SELECT phase, {_t_p('t', 'dof')} AS p FROM (
+      SELECT c.phase, c.dof, unnest([t1, t2]) AS t FROM (
+        SELECT l.phase, tot.dof,
+          CASE WHEN l.lv = b.lv THEN b.a / sqrt(s2 * b.va) ELSE (l.a - b.a) / sqrt(s2 * (l.va + b.va)) END AS t1,
+          CASE WHEN l.lv = b.lv THEN b.b / sqrt(s2 / b.sxx) ELSE (l.b - b.b) / sqrt(s2 / l.sxx + s2 / b.sxx) END AS t2
+        FROM lev_{z} l JOIN (SELECT phase, arg_min(lv, lv) AS lv, arg_min(a, lv) AS a, arg_min(b, lv) AS b, arg_min(va, lv) AS va, arg_min(sxx, lv) AS sxx
+                             FROM lev_{z} GROUP BY phase) b ON b.phase = l.phase
+        JOIN (SELECT phase, sum(n) - sum(CASE WHEN sxx > 0 THEN 2 ELSE 1 END) AS dof,
+                     sum(CASE WHEN sxx > 0 THEN syy - sxy * sxy / sxx ELSE syy END) / (sum(n) - sum(CASE WHEN sxx > 0 THEN 2 ELSE 1 END)) AS s2
+              FROM lev_{z} GROUP BY phase) tot ON tot.phase = l.phase
+        WHERE l.sxx > 0 AND b.sxx > 0) c)) GROUP BY phase) q ON q.phase = fit.phase"""
+
+
+def _levels(z: str) -> str:
+    return f"""lev_{z} AS (SELECT *, sxy / sxx AS b, ybar - sxy / sxx * xbar AS a, 1.0 / n + xbar * xbar / sxx AS va FROM
+  (SELECT phase, {z} AS lv, count(*) AS n, avg(year) AS xbar, avg(log_amount) AS ybar, regr_sxx(log_amount, year) AS sxx,
+          regr_sxy(log_amount, year) AS sxy, regr_syy(log_amount, year) AS syy FROM tagged GROUP BY 1, 2))"""
+
+
+@register("ols_interaction_tests", Q.with_tagged(_ols_tests_sql("sector") + " UNION ALL " + _ols_tests_sql("region"), PA,
+                                                 _levels("sector") + ",\n" + _levels("region")))
 def q_ols_interaction_tests(spark, sf):
     """T1 (tests): F p-value and count of coefficients with p < 0.1."""
     f = feat(spark, sf)
-    return I.ols_interaction_tests(f, "phase", "sector").unionByName(I.ols_interaction_tests(f, "phase", "region"))
+    return _r(I.ols_interaction_tests(f, "phase", "sector").unionByName(I.ols_interaction_tests(f, "phase", "region")))
 
 
 @register("rank_models", Q.with_tagged(f"""
@@ -128,11 +179,31 @@ def q_mediation_effects(spark, sf):
                     *[F.round(c, 4 if c.endswith("_t") else 6).alias(c) for c in _MED_COLS])
 
 
-@register("mediation")
+_MEDIATORS = ["sector_code", "region_code", "roll_mean_3", "policy_cumulative"]
+
+
+def _mediation_sql() -> str:
+    rows = " UNION ALL ".join(_med_sql(m) for m in _MEDIATORS)
+    stats = f"""SELECT *, a / sqrt(((smm - a * sxm) / (n_obs - 2)) / sxx) AS a_t,
+  b / sqrt(((syy - cp * sxy - b * smy) / (n_obs - 3)) * sxx / det) AS b_t,
+  cp / sqrt(((syy - cp * sxy - b * smy) / (n_obs - 3)) * smm / det) AS cp_t,
+  c / sqrt(((syy - c * sxy) / (n_obs - 2)) / sxx) AS c_t
+FROM ({rows}) WHERE n_obs >= {PA.min_phase_rows} AND n_obs > {PA.min_mediation_rows} AND NOT starts_with(phase, 'Fora')"""
+    tests = f"""SELECT *, {_t_p('a_t', 'n_obs - 2')} AS a_p, {_t_p('b_t', 'n_obs - 3')} AS b_p, {_t_p('cp_t', 'n_obs - 3')} AS cp_p,
+  {_t_p('c_t', 'n_obs - 2')} AS c_p FROM ({stats})"""
+    flags = f"SELECT *, a_p < 0.1 AS a_sig, b_p < 0.1 AS b_sig, a_p < 0.1 AND b_p < 0.1 AS sig FROM ({tests})"
+    kept = f"SELECT *, max(CAST(sig AS INT)) OVER () AS any_sig FROM ({flags}) WHERE NOT (abs(a * b) < 0.001 AND NOT sig)"
+    return f"""SELECT phase, model, round(a, 6) AS a_coef, round(a_p, 6) AS a_pval, a_sig, round(b, 6) AS b_coef, round(b_p, 6) AS b_pval, b_sig,
+  round(cp, 6) AS c_prime_coef, round(cp_p, 6) AS c_prime_pval, round(c, 6) AS c_coef, round(c_p, 6) AS c_pval, round(a * b, 6) AS acme,
+  round(cp, 6) AS ade, round(c, 6) AS total_effect, round(CASE WHEN c <> 0 THEN a * b / c END, 6) AS prop_mediated,
+  sig AS mediation_significant, n_obs FROM ({kept}) WHERE any_sig = 0 OR sig"""
+
+
+@register("mediation", Q.with_features(_mediation_sql()))
 def q_mediation(spark, sf):
-    """T2 (report): effects, p-values, significance filter."""
-    return I.mediation(feat(spark, sf), "phase", "year", ["sector_code", "region_code"], "log_amount",
-                       PA.min_phase_rows, PA.min_mediation_rows)
+    """T2 (report): effects, p-values, significance filter, over codes, the rolling mean and the cumulative count as
+    mediators."""
+    return _r(I.mediation(feat(spark, sf), "phase", "year", _MEDIATORS, "log_amount", PA.min_phase_rows, PA.min_mediation_rows))
 
 
 def _welch_sql(col: str, label: str) -> str:
@@ -164,11 +235,22 @@ def q_welch_ttest(spark, sf):
     return _r(a.unionByName(b))
 
 
-@register("welch_ttest_tests")
+def _welch_tests_sql(col: str) -> str:
+    return f"""SELECT group_1, group_2, round(t, 6) AS t, round(dof, 6) AS dof, round({_t_p('t', 'dof')}, 6) AS p_value,
+  round(d - {_t_q975('dof')} * se, 4) AS ci_low, round(d + {_t_q975('dof')} * se, 4) AS ci_high
+FROM (SELECT group_1, group_2, m1 - m2 AS d, sqrt(v1 / n1 + v2 / n2) AS se, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
+             power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)) AS dof
+      FROM (SELECT min(g) AS group_1, max(g) AS group_2, arg_min(n, g) AS n1, arg_max(n, g) AS n2, arg_min(m, g) AS m1, arg_max(m, g) AS m2,
+                   arg_min(v, g) AS v1, arg_max(v, g) AS v2
+            FROM (SELECT {col} AS g, count(amount) AS n, avg(amount) AS m, var_samp(amount) AS v FROM capped GROUP BY 1)))"""
+
+
+@register("welch_ttest_tests", Q.with_tagged(_welch_tests_sql("deal_type") + " UNION ALL " + _welch_tests_sql("bri_group"), PA, _CAPPED))
 def q_welch_ttest_tests(spark, sf):
     """T3 (tests): p-value and 95% interval of the mean difference."""
     c = _capped(spark, sf)
-    return I.welch_ttest_tests(c, "deal_type", "amount").unionByName(I.welch_ttest_tests(c, "bri_group", "amount"))
+    t = I.welch_ttest_tests(c, "deal_type", "amount").unionByName(I.welch_ttest_tests(c, "bri_group", "amount"))
+    return _r(t, skip=("ci_low", "ci_high")).withColumns({k: F.round(k, 4) for k in ("ci_low", "ci_high")})
 
 
 @register("group_means_bri", Q.with_tagged(
@@ -190,9 +272,16 @@ def q_welch_anova(spark, sf):
     return _r(I.welch_anova(feat(spark, sf), "year", "amount"), skip=("df1",))
 
 
-@register("welch_anova_tests")
+@register("welch_anova_tests", Q.with_tagged(f"""
+SELECT round(f, 6) AS f_stat, d1 AS df1, round(d2, 6) AS df2, k AS n_groups, round({_f_p('f', 'd1', 'd2')}, 6) AS p_value FROM (
+  SELECT a0 / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1.0) * lam) AS f, CAST(k - 1 AS DOUBLE) AS d1, (k * k - 1.0) / (3 * lam) AS d2, k
+  FROM (SELECT count(*) AS k, sum(w * power(mean - mu, 2)) AS a0, sum(power(1 - w / ww, 2) / (n - 1)) AS lam
+        FROM (SELECT *, sum(w) OVER () AS ww, sum(w * mean) OVER () / sum(w) OVER () AS mu
+              FROM (SELECT year, count(amount) AS n, avg(amount) AS mean, n / var_samp(amount) AS w
+                    FROM tagged GROUP BY year HAVING count(amount) >= 2 AND var_samp(amount) > 0))))"""))
 def q_welch_anova_tests(spark, sf):
-    return I.welch_anova_tests(feat(spark, sf), "year", "amount")
+    """T4 (tests)"""
+    return _r(I.welch_anova_tests(feat(spark, sf), "year", "amount"), skip=("df1",))
 
 
 @register("pairwise_groups", Q.with_tagged("""
@@ -206,19 +295,29 @@ def q_pairwise_groups(spark, sf):
     return _r(I.pairwise_groups(feat(spark, sf), "year", "amount"))
 
 
-@register("pairwise_groups_tests")
+@register("pairwise_groups_tests", Q.with_tagged(f"""
+SELECT group_a, group_b, round(mean_diff, 6) AS mean_diff, round(t, 6) AS t, round(dof, 6) AS dof, round(p, 6) AS p_value,
+  round(max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS p_holm,
+  max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) < 0.05 AS significant
+FROM (SELECT *, row_number() OVER (ORDER BY p, group_a, group_b) AS r, count(*) OVER () AS m FROM (
+  SELECT *, {_t_p('t', 'dof')} AS p FROM (
+    SELECT a.year AS group_a, b.year AS group_b, b.mean - a.mean AS mean_diff, (b.mean - a.mean) / sqrt(a.var / a.n + b.var / b.n) AS t,
+      power(a.var / a.n + b.var / b.n, 2) / (power(a.var / a.n, 2) / (a.n - 1) + power(b.var / b.n, 2) / (b.n - 1)) AS dof
+    FROM g a JOIN g b ON a.year < b.year)))""", PA,
+                                               "g AS (SELECT year, count(amount) AS n, avg(amount) AS mean, var_samp(amount) AS var FROM tagged GROUP BY year HAVING count(amount) >= 2)"))
 def q_pairwise_groups_tests(spark, sf):
-    return I.pairwise_groups_tests(feat(spark, sf), "year", "amount")
+    """T5 (tests): Welch p-values of all pairs of years with Holm's adjustment."""
+    return _r(I.pairwise_groups_tests(feat(spark, sf), "year", "amount"))
 
 
 @register("outlier_tags", Q.with_tagged("""
-SELECT t.deal_id, t.year, t.amount FROM tagged t JOIN
-  (SELECT year, quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3 FROM tagged GROUP BY year) q
-  ON q.year = t.year
-WHERE t.amount < q1 - 1.5 * (q3 - q1) OR t.amount > q3 + 1.5 * (q3 - q1)"""))
+SELECT t.deal_id, t.sector, t.log_amount FROM tagged t JOIN
+  (SELECT sector, quantile_cont(log_amount, 0.25) AS q1, quantile_cont(log_amount, 0.75) AS q3 FROM tagged GROUP BY sector) q
+  ON q.sector = t.sector
+WHERE t.log_amount < q1 - 1.5 * (q3 - q1) OR t.log_amount > q3 + 1.5 * (q3 - q1)"""))
 def q_outlier_tags(spark, sf):
-    """Tukey outliers of amount within each year."""
-    return I.outlier_tags(feat(spark, sf), "year", "amount")
+    """Tukey outliers of the log amount within each sector."""
+    return I.outlier_tags(feat(spark, sf), "sector", "log_amount")
 
 
 @register("box_summary", Q.with_tagged("""
@@ -269,13 +368,18 @@ def q_phase_histogram_ttest(spark, sf):
     return _r(I.one_sample_t(j, "phase", "amount"))
 
 
-@register("phase_histogram_ttest_tests")
+@register("phase_histogram_ttest_tests", Q.with_deals(f"""
+SELECT phase, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(t, 6) AS t, round({_t_p('t', 'n - 1')}, 6) AS p_value FROM (
+  SELECT replace(replace(p.label, 'Going_Global', 'Going Global '), '.0', '') AS phase, count(amount) AS n, avg(amount) AS mean,
+    stddev_samp(amount) AS sd, avg(amount) / (stddev_samp(amount) / sqrt(count(amount))) AS t
+  FROM deals JOIN phases p ON year BETWEEN p.lo AND p.hi
+  WHERE amount IS NOT NULL AND year IS NOT NULL AND amount > 0 AND amount <= 320000 GROUP BY 1)""", _RPH))
 def q_phase_histogram_ttest_tests(spark, sf):
     """T9 (tests): p-value of the per-phase one-sample t."""
     from ..functions.scalar import phase_label_text
     d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True)
     j = R.phase_range_join(d.select("year", "amount"), PB).withColumn("phase", phase_label_text("phase_label"))
-    return I.one_sample_t_tests(j, "phase", "amount")
+    return _r(I.one_sample_t_tests(j, "phase", "amount"))
 
 
 @register("phase_histogram", Q.with_deals("""
