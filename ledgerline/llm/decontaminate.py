@@ -18,7 +18,7 @@ from .common import binary_texts, materialize, python_tasks, table
 #: Words of a seed, which is also the shortest tile, and the part of a test's words that tiles must cover.
 SEED, COVERAGE = 5, 0.6
 #: Part of a text read at once: bytes; parts overlap by the words of a seed.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[i for i in range(128) if not chr(i).isalnum()]] = True

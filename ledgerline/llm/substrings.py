@@ -23,7 +23,7 @@ PASSAGE = 25
 #: Paragraphs before it in its bucket that each is paired with.
 WINDOW = 16
 #: Texts read at once: bytes.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def bands(similarity: float = SIMILARITY, recall: float = 0.95, most: int = 64) -> tuple[int, int]:
@@ -239,7 +239,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     words up to the end. class_id is the smallest of the passage's classes.
 
     Null and empty texts hold nothing. Documents with a null doc_id take no part. Rows with one doc_id are one document and
-    don't repeat each other. Empty input gives an empty result. Only doc_id and text are read. Texts above 4 MB are read
+    don't repeat each other. Empty input gives an empty result. Only doc_id and text are read. Texts above 1 MB are read
     in parts cut at line ends.
     """
     n_bands, _ = bands()
