@@ -17,9 +17,10 @@ from .components import connected_components
 #: Words of a shingle and least Jaccard similarity of linked paragraphs.
 SHINGLE, SIMILARITY = 5, 0.8
 #: A paragraph has at least so many words; longer ones than LONG are cut.
-SHORT, LONG = 8, 24
-#: Repeated paragraphs in a row are a passage from so many words on.
-PASSAGE = 25
+SHORT, LONG = 6, 16
+#: Repeated paragraphs of one source in a row are a passage from so many words on: of 50 words that another document has,
+#: a match may miss the paragraph at either end.
+PASSAGE = 16
 #: Paragraphs before it in its bucket that each is paired with.
 WINDOW = 16
 #: Texts read at once: bytes.
@@ -231,12 +232,12 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """Passages that an earlier document already has, one row each: doc_id, word, n_words, kept_doc_id, class_id, kept_doc_ids.
+    """Passages that an earlier document already has, one row each: doc_id, word, n_words, kept_doc_id, class_id.
 
     Paragraphs are linked if they are equal or reach Jaccard similarity 0.8 on word 5-grams; linked ones are one class, and
-    the document of a class with the smallest doc_id keeps it. Repeated paragraphs in a row (paragraphs below 8 words
-    between them count to neither) of ``passage`` words together are reported: the first word, counted in the text, and the
-    words up to the end. class_id is the smallest of the passage's classes.
+    the document of a class with the smallest doc_id keeps it. Repeated paragraphs in a row that one document keeps
+    (paragraphs below 6 words between them don't count) of ``passage`` words together are reported: the first word, counted
+    in the text, and the words up to the end. class_id is the smallest of the passage's classes.
 
     Null and empty texts hold nothing. Documents with a null doc_id take no part. Rows with one doc_id are one document and
     don't repeat each other. Empty input gives an empty result. Only doc_id and text are read. Texts above 1 MB are read
@@ -256,23 +257,22 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (doc, number, word, size, cls, keep) in sorted_runs(batches, "doc_id", ["number", "word", "size", "class_id", "kept"]):
-            step = np.diff(number)
-            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (step > 1)))
-            once = np.concatenate(([True], (doc[1:] != doc[:-1]) | (step > 0)))
+            step, other = np.diff(number), doc[1:] != doc[:-1]
+            new = np.concatenate(([True], other | (step > 1) | (keep[1:] != keep[:-1])))
+            once = np.concatenate(([True], other | (step > 0)))
             at = np.flatnonzero(new)
             total = np.add.reduceat(size * once, at)
             end = np.maximum.reduceat(word + size, at)
             long = np.flatnonzero(total >= passage)
             if len(long):
-                bound = np.append(at, len(doc))
-                lists = [sorted(set(keep[bound[i]:bound[i + 1]].tolist())) for i in long]
+                first = at[long]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[at[long]]), pa.array(word[at[long]].astype(np.int32)), pa.array((end - word[at])[long].astype(np.int32)),
-                     pa.array([x[0] for x in lists], pa.int64()), pa.array(np.minimum.reduceat(cls, at)[long]), pa.array(lists, pa.list_(pa.int64()))],
-                    names=["doc_id", "word", "n_words", "kept_doc_id", "class_id", "kept_doc_ids"])
+                    [pa.array(doc[first]), pa.array(word[first].astype(np.int32)), pa.array((end[long] - word[first]).astype(np.int32)),
+                     pa.array(keep[first]), pa.array(np.minimum.reduceat(cls, at)[long])],
+                    names=["doc_id", "word", "n_words", "kept_doc_id", "class_id"])
 
-    return deal_out(hits, "doc_id").sortWithinPartitions("doc_id", "number").select("doc_id", "number", "word", "size", "class_id", "kept") \
-        .mapInArrow(run, "doc_id long, word int, n_words int, kept_doc_id long, class_id long, kept_doc_ids array<long>")
+    return deal_out(hits, "doc_id").sortWithinPartitions("doc_id", "number", "kept").select("doc_id", "number", "word", "size", "class_id", "kept") \
+        .mapInArrow(run, "doc_id long, word int, n_words int, kept_doc_id long, class_id long")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
