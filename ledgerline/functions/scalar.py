@@ -138,27 +138,12 @@ def map_country(x) -> Column:
     return F.coalesce(m[_c(x)], _c(x))
 
 
-def interaction(a, b) -> Column:
-    """product of two numeric columns."""
-    return _c(a) * _c(b)
-
-
-def binary_target(x, threshold) -> Column:
-    """1 if strictly above the threshold."""
-    return (_c(x) > _c(threshold) if not isinstance(threshold, (int, float)) else _c(x) > threshold).cast("int")
-
-
 def format_money(millions) -> Column:
     """>= 1000 -> '$x.xB' else '$xM' (input in millions)."""
     v = _c(millions)
     return F.when(v >= 1000, F.format_string("$%.1fB", v / 1000)).otherwise(F.format_string("$%.0fM", v))
 
 
-def format_money_log10(x) -> Column:
-    """F19 (log axis variant): 10**x millions, then as :func:`format_money`."""
-    return format_money(F.pow(F.lit(10.0), _c(x)))
-
-
 def phase_label_text(x, prefix: str = "Going_Global", spaced: str = "Going Global ") -> Column:
     """replace the flag-name prefix by its spaced form, delete every '.0', trim
     ('Going_Global1.0' -> 'Going Global 1')."""

@@ -31,19 +31,6 @@ CODED_COLUMNS = ["sector", "region", "deal_type", "phase", "subsector"]
 _MATERIALISED: dict[tuple, str] = {}
 
 
-def level_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Small table (value, 0-based position among the sorted distinct values).
-    Ranking runs on the distinct set only (one row per level)."""
-    out = out or f"{col}_code"
-    return df.select(col).distinct().select(
-        col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias(out))
-
-
-def category_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """W10 joined back onto the rows."""
-    return df.join(level_codes(df, col, out), col, "left")
-
-
 def tag(df: DataFrame, preset: Preset) -> DataFrame:
     """Row-local tags: log amount, policy flag, phase, deal type, cleaned categories,
     phase flags and the policy interaction."""
@@ -61,21 +48,6 @@ def tag(df: DataFrame, preset: Preset) -> DataFrame:
                     (F.col("post_policy") * F.col("year")).alias("policy_interaction"))
 
 
-def group_mean_blend(df: DataFrame, group: str, value: str, out: str, w_group: float = 0.7) -> DataFrame:
-    """W * mean(value | group) + (1 - w) * global mean(value)."""
-    gm = df.groupBy(group).agg(F.avg(value).alias("_gm"))
-    glob = scalars(df.agg(F.avg(value).alias("g")))["g"]
-    return (df.join(gm, group, "left")
-            .withColumn(out, w_group * F.col("_gm") + (1 - w_group) * F.lit(glob).cast("double"))
-            .drop("_gm"))
-
-
-def adaptive_target(df: DataFrame, value: str = "amount", q: float = 0.7, out: str = "adaptive_target") -> DataFrame:
-    """1 if the value is strictly above its own year's exact q-quantile."""
-    qy = exact_quantiles(df, ["year"], value, {"_qy": q})
-    return df.join(qy, "year", "left").withColumn(out, (F.col(value) > F.col("_qy")).cast("int")).drop("_qy")
-
-
 _SMALL: list[DataFrame] = []
 
 

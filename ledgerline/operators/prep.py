@@ -38,13 +38,18 @@ def fit_numeric(df: DataFrame, cols: list[str]) -> dict:
     return {c: (med.get(c), row[f"{c}__mean"], row[f"{c}__std"]) for c in cols}
 
 
-def fit_levels(df: DataFrame, cols: list[str], missing: str = "Missing") -> dict:
-    """Sorted distinct levels per categorical column (NULL -> ``missing``)."""
+def fit_levels(df: DataFrame, cols: list[str], missing: str = "Missing", most: int = 1000) -> dict:
+    """Sorted distinct levels per categorical column (NULL -> ``missing``). Columns with more than ``most`` levels are
+    an error: encode those by a join (reports.level_table) instead of one expression per level."""
     long = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c) for c in cols]).unpivot(
         [], cols, "col", "v").distinct()
+    kept = long.withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy("v"))).where(F.col("r") <= most + 1)
     out: dict[str, list] = {c: [] for c in cols}
-    for r in long.collect():
+    for r in kept.select("col", "v").collect():
         out[r["col"]].append(r["v"])
+    wide = [c for c, v in out.items() if len(v) > most]
+    if wide:
+        raise ValueError(f"more than {most} levels in {wide}; encode by a join with reports.level_table")
     return {c: sorted(v) for c, v in out.items()}
 
 

@@ -343,14 +343,28 @@ def calendar_order(f: DataFrame) -> DataFrame:
     return cal.intersect(present).select("month_name", S.calendar_position("month_name").cast("int").alias("position"))
 
 
-def dummy_encode(f: DataFrame, col: str, keep: list[str]) -> DataFrame:
+def level_table(f: DataFrame, col: str) -> DataFrame:
+    """(col, level): 0-based position of each distinct value in sorted order; stays a DataFrame however many there are."""
+    return f.select(col).where(F.col(col).isNotNull()).distinct().select(
+        col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias("level"))
+
+
+def dummy_encode(f: DataFrame, col: str, keep: list[str], most: int = 1000) -> DataFrame:
     """One 0/1 column per level of ``col`` except the first (sorted), beside
-    the kept columns. Level names (bounded: one per distinct level) reach the driver
-    to name the columns."""
-    levels = [r[0] for r in f.select(col).distinct().orderBy(col).collect()]
+    the kept columns. Only the names of at most ``most`` levels reach the driver to
+    name the columns; a wider domain is an error (use dummy_encode_long)."""
+    levels = [r[0] for r in f.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(most + 1).collect()]
+    if len(levels) > most:
+        raise ValueError(f"{col} has more than {most} levels; use dummy_encode_long")
     return f.select(*keep, *[(F.col(col) == lv).cast("int").alias(f"{col}_{lv}") for lv in levels[1:]])
 
 
+def dummy_encode_long(f: DataFrame, col: str, keep: list[str]) -> DataFrame:
+    """F25/U3 for wide domains: the kept columns and ``level``, the index of the row's only non-zero dummy (NULL for the
+    first level or a missing value), by a join with the level table."""
+    return f.join(level_table(f, col), col, "left").select(*keep, F.when(F.col("level") > 0, F.col("level")).alias("level"))
+
+
 def phase_summary(f: DataFrame) -> DataFrame:
     """One grouped pass instead of a per-phase loop + append."""
     return f.groupBy("phase").agg(F.count(F.lit(1)).alias("n_obs"), F.round(F.avg("log_amount"), 6).alias("mean_log"),
