@@ -49,10 +49,8 @@ def investor_counts_by_phase(f: DataFrame, preset: Preset, top: int | None = Non
         F.count(F.lit(1)).alias("n"))
     r = c.withColumn("rank", F.row_number().over(
         Window.partitionBy("phase_label").orderBy(F.desc("n"), F.asc("investor")))).where(F.col("rank") <= top)
-    r = r.cache()
-    ext = scalars(r.agg(F.min("n").alias("global_min"), F.max("n").alias("global_max")))
-    return (r.withColumn("global_min", F.lit(ext["global_min"]).cast("bigint"))
-            .withColumn("global_max", F.lit(ext["global_max"]).cast("bigint"))
+    kept = Window.partitionBy(F.lit(0))  # at most n rows a phase
+    return (r.withColumn("global_min", F.min("n").over(kept)).withColumn("global_max", F.max("n").over(kept))
             .withColumnRenamed("phase_label", "phase").withColumn("rank", F.col("rank").cast("int")))
 
 
