@@ -154,15 +154,36 @@ def test_queries_are_registered():
 
 
 def test_pipeline_stages(spark):
+    """Every stage on what its predecessor kept, against brute force."""
+    import re
+    import sys
+    import os
+    sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+    from test_text_operators import check_packing, classes, plain_fingerprint
     import corpus_pipeline as P
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    start = {r.doc_id for r in docs.select("doc_id").collect()}
+    extra = [(5001, None, None, None, None), (5002, "12 !! 34", "en", "x", 8), (5003, "", "en", "x", 0)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    kept = [{r.doc_id: r.text for r in docs.collect()}]
     for name, stage in P.STAGES[:-1]:
         docs = P.materialize(stage(spark, docs, sf), name)
         assert docs.columns == P.DOCUMENT_COLUMNS
-        left = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert left and left <= start
-        start = left
-    out = P.STAGES[-1][1](spark, docs, sf)
-    assert {r.doc_id for r in out.collect()} == start
+        kept.append({r.doc_id: r.text for r in docs.collect()})
+    start, spoken, single, cut, clean = kept
+    assert set(start) - set(spoken) >= {5001, 5002, 5003} and len(spoken) >= 0.97 * len(start)
+    assert set(single) == set(classes({k: plain_fingerprint(t) for k, t in spoken.items()}).values())
+    assert set(cut) <= set(single) and all(set(cut[k].split()) <= set(single[k].split()) for k in cut)
+    assert sum(cut[k] == single[k] for k in cut) >= 0.7 * len(single)
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    bad = set()
+    for k, t in cut.items():
+        w = words(t)
+        seen = {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+        for item in items.values():
+            hit = {i + d for i in range(len(item) - 4) if tuple(item[i:i + 5]) in seen for d in range(5)}
+            if len(hit) >= 0.6 * len(item):
+                bad.add(k)
+    assert set(clean) == set(cut) - bad
+    check_packing(P.STAGES[-1][1](spark, docs, sf).collect(), clean)
