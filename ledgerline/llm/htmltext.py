@@ -21,6 +21,7 @@ TEXT_SHARE = 0.8
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 MARKED = re.compile("class|id|role|hidden|style", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -33,6 +34,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
           "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+HEADING = re.compile(r">h[1-6](?:[.][^>]*)?$")
 SECTIONS = {"html", "body", "nav", "header", "footer", "aside", "article", "main", "section", "div", "form", "ul", "ol", "table"}
 
 #: End tags that may close an open table cell.
@@ -47,16 +49,21 @@ ROLES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
          "comment", "comments", "reply", "replies", "respond", "disqus", "discussion", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "alert",
          "popup", "modal", "overlay", "dialog", "newsletter", "subscribe", "subscription", "signup", "login", "search", "searchbox", "form", "share", "sharing",
          "social", "toolbar", "tags", "hidden"}
+ROLE_STARTS = ("advert", "comment", "sidebar", "cookie", "newsletter", "breadcrumb", "sponsor", "footer", "navbar", "subscri")
+ROLE_ENDS = ("nav", "menu", "footer", "sidebar", "advert", "comments")
 ARTICLE = {"article", "main"}
 
 
 @functools.lru_cache(4096)
-def marks(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """(step of the path, whether the element is no part of an article, whether it says it is the article)."""
-    words = {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", "".join(x or "" for x in m.groups()).lower()) if w} if attributes else set()
+def marks(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """(step of the path, whether the element is no part of an article, whether only for being a header, whether it says
+    it is the article). Names are taken apart at hyphens, underscores and inner capitals."""
+    words = {w.lower() for m in NAMES.finditer(attributes) for w in WORD.findall("".join(x or "" for x in m.groups()))} if attributes else set()
     says = name in ARTICLE or (name in SECTIONS and bool(words & ARTICLE))
-    dead = name in NO_TEXT or (not says and name not in ("html", "body") and bool(words & ROLES)) or bool(attributes and HIDDEN.search(attributes))
-    return f">{name}" + "".join(f".{w}" for w in sorted(words)), dead, says
+    roles = {w for w in words if w in ROLES or w.startswith(ROLE_STARTS) or w.endswith(ROLE_ENDS)} if not says and name not in ("html", "body") else set()
+    hidden = bool(attributes and HIDDEN.search(attributes))
+    header = not hidden and (roles <= {"header"} if name == "header" else roles == {"header"} and name not in NO_TEXT)
+    return f">{name}" + "".join(f".{w}" for w in sorted(words)), name in NO_TEXT or bool(roles) or hidden, header, says
 
 
 class Element:
@@ -67,14 +74,14 @@ class Element:
     def __init__(self, name: str, attributes: str, above: Element | None) -> None:
         if attributes and not MARKED.search(attributes):
             attributes = ""
-        step, dead, says = marks(name, attributes)
+        step, dead, header, says = marks(name, attributes)
         self.name = name
         self.inline = name in INLINE
         if above is None:
             self.path, self.dead, self.article = step, dead, says
         else:
             self.path = above.path + step
-            self.dead = above.dead or dead and not (name == "header" and above.article)
+            self.dead = above.dead or dead and not (header and above.article)
             self.article = above.article or says
 
 
@@ -240,7 +247,8 @@ def main_text(page: str, text_tokens: set[int], slots: set[int]) -> str:
 
     Blocks in parts that are marked as something else, and texts of the template, go. If an element says it is the
     article, its blocks are the text. Else it is the slot of the template with the most text of its own: places inside a
-    template token, among them the blocks' innermost one that holds at least half of the page's remaining text.
+    template token, among them the blocks' innermost one that holds at least half of the page's remaining text, and a heading
+    right before it.
     """
     found = [(path, text, article) for path, text, dead, article in blocks(page) if text and not dead]
     if any(a for *_, a in found):
@@ -260,7 +268,10 @@ def main_text(page: str, text_tokens: set[int], slots: set[int]) -> str:
         best = max(inside, key=lambda p: (p.count(">"), size[p]), default="")
         if best.rsplit(">", 1)[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td"):
             best = best.rsplit(">", 1)[0]
-        found = [f for f in found if f[0] == best or f[0].startswith((best + ">",))] if best else found
+        kept = [i for i, f in enumerate(found) if f[0] == best or f[0].startswith(best + ">")] if best else []
+        if kept and kept[0] and HEADING.search(found[kept[0] - 1][0]):  # a heading right before the text is its title
+            kept.insert(0, kept[0] - 1)
+        found = [found[i] for i in kept] or found
     return "\n".join(f[1] for f in found)
 
 

@@ -15,6 +15,9 @@ CASES = [
     ("<article><p>x &lt;b&gt; &#8364;&nbsp;1</p><aside>no</aside><form><input><p>no</p></form><script>if(a<b){'</p>'}</script><ul><li>i<li>j</ul>", "x <b> € 1\ni\nj"),
     ("<article><!-- <p>no</p> --><table><tr><td>1<td>2</table><p hidden>no</p><p style='display:none'>no</p>end", "1\n2\nend"),
     ("<article><p>cut off &am", "cut off &am"),
+    ("<article><div class='entry-header'><h1>T</h1></div><p>a</p><div class='commentList'><p>no</p></div><div class='siteFooter'>no</div></article>", "T\na"),
+    ("<body><div id=topNav>x y z</div><div class=w><h2>Title</h2><div class=t><section><p>one two three four</p></section><section><p>five six</p></section></div></div>",
+     "Title\none two three four\nfive six"),
     ("no markup at all", "no markup at all"),
     ("", ""),
     (None, ""),
