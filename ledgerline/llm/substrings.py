@@ -291,20 +291,32 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Documents without their repeated passages, with n_chars counted anew; a document with nothing left goes."""
+    """Documents without their repeated passages, with n_chars counted anew; a document with nothing left goes.
+
+    Texts are shuffled once, by doc_id, at every size: the passages join by a merge join.
+    """
     spans = repeated_passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words")).alias("__spans"))
     spans = materialize(spans, "paragraph-spans")
+    schema, names = docs.schema, docs.columns
 
-    @F.pandas_udf("string")
-    def cut(text, gone):
-        return text.combine(gone, lambda t, g: t if g is None or t is None else without_words(t, [(x["word"], x["n_words"]) for x in g]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = b.column(len(names))
+            cols = list(b.columns[:len(names)])
+            hit = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+            if len(hit):
+                text = cols[names.index("text")].to_pylist()
+                count = cols[names.index("n_chars")].to_pylist()
+                keep = np.ones(b.num_rows, bool)
+                for i in hit.tolist():
+                    text[i] = without_words(text[i], [(x["word"], x["n_words"]) for x in gone[i].as_py()])
+                    count[i], keep[i] = len(text[i]), bool(text[i])
+                cols[names.index("text")], cols[names.index("n_chars")] = pa.array(text, pa.string()), pa.array(count, pa.int64())
+                cols = [c.filter(pa.array(keep)) for c in cols]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    names = [c for c in docs.columns if c not in ("text", "n_chars")]
-    left = docs.join(spans, "doc_id", "left")
-    same = left.where("__spans is null").select(*docs.columns)
-    less = left.where("__spans is not null").select(*names, cut("text", "__spans").alias("text")).withColumn("n_chars", F.length("text").cast("long")) \
-        .where("text <> ''").select(*docs.columns)
-    return same.unionByName(less)
+    python_tasks(docs.sparkSession)
+    return docs.join(spans.hint("merge"), "doc_id", "left").select(*names, "__spans").mapInArrow(run, schema)
 
 
 def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
