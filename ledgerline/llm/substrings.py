@@ -43,7 +43,11 @@ def bands(similarity: float = SIMILARITY, recall: float = 0.95, most: int = 64)
 
 
 def _chunks(docs: list[int], texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """(document, whether it goes on from the chunk before, text) lists of bounded size; long texts are cut at line or word ends."""
+    """(document, how it goes on from the part before, text) lists of bounded size; long texts are cut at line or word ends.
+
+    Going on is 0 for the start of a text, 1 for a later part of it, 2 for one that starts inside a word: a word that fills
+    a whole part is cut.
+    """
     ids: list[int] = []
     goes_on: list[int] = []
     some: list[bytes] = []
@@ -58,7 +62,8 @@ def _chunks(docs: list[int], texts: list[bytes]) -> Iterator[tuple[list[int], li
             goes_on.append(part)
             some.append(text[:end])
             size += end
-            text, part = text[end:], 1
+            part = 1 if text[end - 1:end].isspace() or text[end:end + 1].isspace() else 2
+            text = text[end:]
             if size >= CHUNK:
                 yield ids, goes_on, some
                 ids, goes_on, some, size = [], [], [], 0
@@ -73,31 +78,27 @@ def paragraph_arrays(docs: list[int], texts: list[bytes], n_bands: int) -> Itera
 
     Also span: the bytes of the chunk that hold the paragraph, under ``flat``.
     """
-    held: dict[int, tuple[int, int]] = {}
+    n_held = words_held = 0  # paragraphs and words of the text before the part at hand
     for ids, goes_on, some in _chunks(docs, texts):
         flat = np.frombuffer(b"\n".join(some) + b"\n", np.uint8)
         start, end = W.word_spans(flat)
         h = W.word_hashes(flat, start, end)
         last = np.flatnonzero(W.paragraphs(flat, start, end, h, SHORT, LONG))
-        if not len(last):
-            continue
-        first = np.concatenate(([0], last[:-1] + 1))
+        first = np.concatenate(([0], last[:-1] + 1))[:len(last)]
         size = last - first + 1
         offset = np.cumsum([0] + [len(t) + 1 for t in some])
         text = np.searchsorted(offset, start[first], "right") - 1
-        word0 = np.searchsorted(start, offset[:-1])
-        word = first - word0[text]
+        word0 = np.searchsorted(start, offset)
         keep = size >= SHORT
-        number = np.cumsum(keep) - 1
-        before = np.concatenate(([0], np.cumsum(np.bincount(text[keep], minlength=len(some)))))
-        number = number - before[text]
-        if goes_on[0]:  # the first text continues the last one of the chunk before
-            number[text == 0] += held["n"][0]
-            word[text == 0] += held["n"][1]
-        n_last = int((keep & (text == len(some) - 1)).sum())
-        words_last = len(start) - int(word0[-1])
-        carried = held.get("n", (0, 0)) if goes_on[-1] and len(some) == 1 else (0, 0)
-        held["n"] = (n_last + carried[0], words_last + carried[1])
+        n_kept = np.bincount(text[keep], minlength=len(some))
+        before = np.zeros((2, len(some)), np.int64)
+        for i, (on, n, words) in enumerate(zip(goes_on, n_kept.tolist(), np.diff(word0).tolist())):
+            if not on:
+                n_held = words_held = 0
+            before[:, i] = n_held, words_held - (on == 2)
+            n_held, words_held = n_held + n, words_held + words - (on == 2)
+        number = np.cumsum(keep) - 1 + (before[0] - np.cumsum(n_kept) + n_kept)[text]
+        word = first + (before[1] - word0[:-1])[text]
         first, last, size = first[keep], last[keep], size[keep]
         if not len(first):
             continue
