@@ -21,8 +21,12 @@ SHORT, LONG = 6, 16
 #: Repeated paragraphs of one source in a row are a passage from so many words on: of 50 words that another document has,
 #: a match may miss the paragraph at either end.
 PASSAGE = 16
-#: Paragraphs before it in its bucket that each is paired with.
-WINDOW = 16
+#: Paragraphs in a band's bucket that are paired at once; those of larger buckets are compared under exact prefix keys.
+FEW = 17
+#: Paragraphs under one prefix key that one task compares; larger buckets are dealt out as pairs of blocks of this size.
+BUCKET = 2048
+#: Counters that put word 5-grams in order, rare ones first: a fixed number whatever the data.
+COUNTERS = 1 << 18
 #: Texts read at once: bytes.
 CHUNK = 1 << 20
 
@@ -136,7 +140,7 @@ def _with_id(docs: DataFrame) -> DataFrame:
 
 
 def band_keys(rows: DataFrame, n_bands: int) -> DataFrame:
-    """(key, other, hash) for every band: its MinHash and the next band's. Repeats go before the shuffle, task by task."""
+    """(key, hash) for every band: its MinHash. Repeats go before the shuffle, task by task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
@@ -145,7 +149,7 @@ def band_keys(rows: DataFrame, n_bands: int) -> DataFrame:
             one = np.unique(h, return_index=True)[1]
             held.clear()
             for k in range(n_bands):
-                yield pa.RecordBatch.from_arrays([pa.array(m[k][one]), pa.array(m[(k + 1) % n_bands][one]), pa.array(h[one])], names=["key", "other", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(m[k][one]), pa.array(h[one])], names=["key", "hash"])
 
         for b in batches:
             held.append([c.to_numpy() for c in b.columns])
@@ -154,47 +158,47 @@ def band_keys(rows: DataFrame, n_bands: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return rows.select("hash", *[f"m{k}" for k in range(n_bands)]).mapInArrow(run, "key long, other long, hash long")
+    return rows.select("hash", *[f"m{k}" for k in range(n_bands)]).mapInArrow(run, "key long, hash long")
 
 
 def colliding(rows: DataFrame, n_bands: int) -> DataFrame:
-    """(a, b): different paragraphs that share a band key.
+    """(a, b): different paragraphs that share a band key; b is null for a paragraph of a bucket above FEW.
 
-    In a bucket paragraphs stand in the order of the next band's key, which brings similar ones together. Each is paired
-    with the WINDOW ones before it and with the first of its bucket and of its stretch of equal next keys: in a bucket of
-    up to WINDOW + 1 paragraphs these are all pairs, in a larger one the pairs grow with its members, not their square.
-    Buckets are read as a stream, so none is ever held.
+    Buckets up to FEW give all their pairs. The members of larger ones are only named here, so rows grow with them, not
+    with their square; ``hot_links`` compares them. Buckets are read as a stream, so none is ever held.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, np.int64)] * 3
-        firsts = None  # (key, other, first of bucket, first of stretch) at the end of what has been read
+        tail = [np.zeros(0, np.int64)] * 3  # key, hash and place in its bucket of the last FEW members read
         for b in batches:
-            key, other, h = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("key", "other", "hash"))
+            key, h = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("key", "hash"))
+            k_all, h_all = np.concatenate((tail[0], key)), np.concatenate((tail[1], h))
+            old = len(tail[0])
+            fresh = np.concatenate((np.ones(min(1, len(k_all)), bool), (k_all[1:] != k_all[:-1]) | (h_all[1:] != h_all[:-1])))
+            fresh[:old] = True
+            key, h = key[fresh[old:]], h[fresh[old:]]  # repeats from other tasks count once
+            k_all, h_all = k_all[fresh], h_all[fresh]
             if not len(key):
                 continue
-            pos = np.arange(len(key))
-            new = np.concatenate(([firsts is None or key[0] != firsts[0]], key[1:] != key[:-1]))
-            sub = new | np.concatenate(([firsts is None or other[0] != firsts[1]], other[1:] != other[:-1]))
-            at, at2 = (np.maximum.accumulate(np.where(x, pos, -1)) for x in (new, sub))
-            lead = np.where(at >= 0, h[np.maximum(at, 0)], firsts[2] if firsts else 0)
-            lead2 = np.where(at2 >= 0, h[np.maximum(at2, 0)], firsts[3] if firsts else 0)
-            src, dst = [lead, lead2], [h, h]
-            k_all, h_all = np.concatenate((tail[0], key)), np.concatenate((tail[2], h))
-            n = len(key)
-            for d in range(1, min(WINDOW, len(k_all) - 1) + 1):
-                lo = max(0, len(k_all) - n - d)
-                same = np.flatnonzero(k_all[lo:len(k_all) - d] == k_all[lo + d:])
-                src.append(h_all[lo + same])
-                dst.append(h_all[lo + same + d])
-            firsts = (key[-1], other[-1], lead[-1], lead2[-1])
-            tail = [np.concatenate((t, x))[-WINDOW:] for t, x in zip(tail, (key, other, h))]
+            pos = np.arange(len(k_all))
+            new = np.concatenate(([True], k_all[1:] != k_all[:-1]))
+            rank = pos - np.maximum.accumulate(np.where(new, pos, 0))
+            if old:
+                rank += np.where(np.cumsum(new) == 1, tail[2][0], 0)
+            src, dst = [], []
+            for d in range(1, FEW):
+                at = np.flatnonzero((rank >= d) & (rank < FEW) & (pos >= max(old, d)))
+                src.append(h_all[at - d])
+                dst.append(h_all[at])
+            hot = np.flatnonzero((rank >= FEW) & (pos >= old))
+            first = hot[rank[hot] == FEW]
+            hot = h_all[np.concatenate([hot, *(first - d for d in range(1, FEW + 1))])]
+            tail = [x[-FEW:] for x in (k_all, h_all, rank)]
             s, d = np.concatenate(src), np.concatenate(dst)
-            ok = s != d
-            if ok.any():
-                pair = np.unique(np.stack((np.minimum(s, d)[ok], np.maximum(s, d)[ok])), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+            if len(s) + len(hot):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate((np.minimum(s, d), hot))), pa.concat_arrays([pa.array(np.maximum(s, d)), pa.nulls(len(hot), pa.int64())])], names=["a", "b"])
 
-    keys = deal_out(band_keys(rows, n_bands), "key").sortWithinPartitions("key", "other", "hash")
+    keys = deal_out(band_keys(rows, n_bands), "key").sortWithinPartitions("key", "hash")
     return keys.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -222,14 +226,102 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         .groupBy("hash").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(src, dst): colliding paragraphs whose exact Jaccard similarity of word 5-grams reaches the threshold."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct(), "paragraph-wanted")
+def spanning_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (index pairs) that join exactly what chains of sets with at least this Jaccard similarity join, at most len - 1."""
+    size = np.array([len(x) for x in sets])
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(names), np.int32)
+    todo, front, out = np.arange(1, len(sets)), [0], []
+    while front or len(todo):
+        if not len(todo):
+            break
+        if not front:
+            front, todo = [int(todo[0])], todo[1:]
+            continue
+        at = front.pop()
+        own = flat[start[at]:start[at] + size[at]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[flat], start)[todo]
+        mark[own] = 0
+        near = both >= similarity * (size[at] + size[todo] - both)
+        hit = todo[near].tolist()
+        out += [(at, x) for x in hit]
+        front += hit
+        todo = todo[~near]
+    return out
+
+
+def _counters(texts: DataFrame) -> np.ndarray:
+    """How many word 5-grams of the paragraphs fall on each of COUNTERS counters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in texts.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["at"]] = r["n"]
+    return out
+
+
+def hot_links(texts: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """(src, dst): links that join exactly the paragraphs (hash, shingles) that chains of similar ones join.
+
+    Of two sets at Jaccard similarity s, in whatever order of all 5-grams, the first n - ceil(s n) + 1 of each (n its size)
+    have one in common. Rare 5-grams come first, so these prefix keys are shared by few. A bucket above ``bucket`` is cut
+    into blocks by hash, and each pair of blocks is dealt out on its own: every pair under a key is compared.
+    """
+    counts = _counters(texts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, row = [], []
+            for i, x in enumerate(b.column(1).to_numpy(zero_copy_only=False)):
+                n = counts[x & (COUNTERS - 1)]
+                first = np.lexsort((x, n))[:len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1]
+                first = first[n[first] > 1]  # what one paragraph alone has is no key
+                key.append(x[first])
+                row += [i] * len(first)
+            if row:
+                got = b.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), got.column(0), got.column(1)], names=["key", "hash", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, (_, h, sets) in sorted_runs(batches, "key", ["hash", "shingles"]):
+            src, dst = [], []
+            for a, z in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if z - a > 1 and (got := spanning_links(list(sets[a:z]), similarity)):
+                    i, j = np.array(got).T
+                    src.append(h[a + i])
+                    dst.append(h[a + j])
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+
+    kind = "key long, hash long, shingles array<long>"
+    keys = materialize(texts.select("hash", "shingles").mapInArrow(prefixes, kind), "paragraph-prefixes")
+    large = materialize(keys.groupBy("key").count().where(F.col("count") > bucket)
+                        .select("key", F.ceil(F.col("count") / bucket).cast("int").alias("blocks")), "paragraph-large")
+    cells = keys.join(large, "key").withColumn("block", F.expr("cast(pmod(xxhash64(hash), blocks) as int)")) \
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("other <> block") \
+        .select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "hash", "shingles")
+    both = keys.join(large, "key", "left_anti").unionByName(cells)
+    return deal_out(both, "key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
+
+
+def linked(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(src, dst): colliding paragraphs whose exact Jaccard similarity of word 5-grams reaches the threshold; of large
+    buckets, links that join the same."""
+    wanted = materialize(found.select(F.explode(F.array("a", "b")).alias("hash")).where("hash is not null").distinct(), "paragraph-wanted")
     texts = materialize(paragraph_texts(docs, wanted), "paragraph-texts")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(texts.select(F.col("hash").alias("a"), F.col("shingles").alias("sa")), "a") \
+    pairs = found.join(texts.select(F.col("hash").alias("a"), F.col("shingles").alias("sa")), "a") \
         .join(texts.select(F.col("hash").alias("b"), F.col("shingles").alias("sb")), "b") \
         .where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    hot = texts.join(found.where("b is null").select(F.col("a").alias("hash")), "hash", "left_semi")
+    return pairs.unionByName(hot_links(materialize(hot, "paragraph-hot"), similarity))
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -246,8 +338,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """
     n_bands, _ = bands()
     rows = materialize(paragraph_rows(docs, n_bands), "paragraphs")
-    pairs = materialize(colliding(rows, n_bands), "paragraph-pairs")
-    near = materialize(connected_components(verified(docs, pairs)), "paragraph-classes")
+    found = materialize(colliding(rows, n_bands), "paragraph-pairs")
+    near = materialize(connected_components(linked(docs, found)), "paragraph-classes")
     owners = rows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")) \
         .join(near, F.col("hash") == F.col("node"), "left").where("lo <> hi or node is not null") \
         .select("hash", "lo", "hi", F.coalesce("component", "hash").alias("class_id"))

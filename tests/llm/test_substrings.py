@@ -51,3 +51,78 @@ def test_repeats_are_cut_out_of_texts_of_megabytes(spark):
     docs = spark.createDataFrame([(1, passage, None, None, len(passage)), (2, text, None, None, len(text))], SCHEMA)
     left = {r.doc_id: r.text for r in remove_repeats(docs).collect()}
     assert left == {1: passage, 2: "\n".join(parts)}
+
+
+# ---- large buckets ---------------------------------------------------------------------------------------------
+
+def shingles(words):
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+
+def joined(sets, similarity=0.8):
+    """The components of all sets that are similar enough, by comparing all of them."""
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return {frozenset(k for k, g in enumerate(group) if g == x) for x in set(group)}
+
+
+def family(rng, n):
+    """Paragraphs that share their first words; most have near copies that differ at the end."""
+    common = [f"c{i}" for i in range(6)]
+    out = []
+    while len(out) < n:
+        own = [f"w{rng.randrange(400)}" for _ in range(rng.randint(5, 9))]
+        for _ in range(rng.randint(1, 3)):
+            out.append(common + own + [f"e{rng.randrange(10 ** 6)}"])
+    return out[:n]
+
+
+def test_every_pair_of_a_large_bucket_is_compared(spark):
+    from ledgerline.llm.components import connected_components
+    from ledgerline.llm.substrings import bands, colliding, hot_links, linked, paragraph_rows
+    rng = random.Random(3)
+    words = family(rng, 300)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    n_bands, _ = bands()
+    rows = paragraph_rows(docs, n_bands)
+    ids = {r["hash"]: r.doc_id for r in rows.select("hash", "doc_id").collect()}
+    assert len(ids) == len(words)
+    # all paragraphs under one key in every band: then nothing but the cap could leave a pair out
+    hot = rows.select("hash", *[F_lit(k) for k in range(n_bands)])
+    found = colliding(hot.repartition(5), n_bands)
+    assert found.where("b is null").select("a").distinct().count() == len(words)
+    want = {g for g in joined([shingles(w) for w in words]) if len(g) > 1}
+    assert len(want) > 50
+
+    def groups(links):
+        out = {}
+        for r in connected_components(links).collect():
+            out.setdefault(r.component, set()).add(ids[r.node])
+        return {frozenset(g) for g in out.values()}
+
+    assert groups(linked(docs, found)) == want
+    numbers = {}
+    sets = spark.createDataFrame([(h, sorted(numbers.setdefault(x, 7919 * len(numbers)) for x in shingles(words[i]))) for h, i in ids.items()], "hash long, shingles array<long>")
+    assert groups(hot_links(sets, bucket=20)) == want
+
+
+def F_lit(k):
+    from pyspark.sql import functions as F
+    return F.lit(k).cast("long").alias(f"m{k}")
+
+
+def test_buckets_up_to_the_bound_give_all_pairs(spark):
+    from ledgerline.llm.substrings import FEW, colliding
+    sizes = {10: 2, 20: FEW - 1, 30: FEW, 40: FEW + 1, 50: 3 * FEW, 60: 1000, 70: 5}
+    rows = [(key * 10_000 + i, key) for key, n in sizes.items() for i in range(n)]
+    some = spark.createDataFrame(rows * 3, "hash long, m0 long").repartition(7)
+    got = {(r.a, r.b) for r in colliding(some, 1).collect()}
+    want = {(k * 10_000 + i, k * 10_000 + j) for k, n in sizes.items() if n <= FEW for i in range(n) for j in range(i + 1, n)}
+    hot = {k * 10_000 + i for k, n in sizes.items() if n > FEW for i in range(n)}
+    assert {a for a, b in got if b is None} == hot
+    assert want <= got and all(a // 10_000 == b // 10_000 for a, b in got if b is not None)
