@@ -80,6 +80,7 @@ def _chunks(docs: list[int], texts: list[bytes]) -> Iterator[tuple[list[int], li
 def paragraph_arrays(docs: list[int], texts: list[bytes], n_bands: int) -> Iterator[dict[str, np.ndarray]]:
     """Paragraphs of SHORT words or more: row of the text, number in it, first word, words, hash, MinHash per band.
 
+    Short lines in a row are joined; only what has fewer words between two paragraphs or text ends is none.
     Also span: the bytes of the chunk that hold the paragraph, under ``flat``.
     """
     n_held = words_held = 0  # paragraphs and words of the text before the part at hand
@@ -87,10 +88,10 @@ def paragraph_arrays(docs: list[int], texts: list[bytes], n_bands: int) -> Itera
         flat = np.frombuffer(b"\n".join(some) + b"\n", np.uint8)
         start, end = W.word_spans(flat)
         h = W.word_hashes(flat, start, end)
-        last = np.flatnonzero(W.paragraphs(flat, start, end, h, SHORT, LONG))
+        offset = np.cumsum([0] + [len(t) + 1 for t in some])
+        last = np.flatnonzero(W.paragraphs(flat, start, end, h, SHORT, LONG, offset))
         first = np.concatenate(([0], last[:-1] + 1))[:len(last)]
         size = last - first + 1
-        offset = np.cumsum([0] + [len(t) + 1 for t in some])
         text = np.searchsorted(offset, start[first], "right") - 1
         word0 = np.searchsorted(start, offset)
         keep = size >= SHORT

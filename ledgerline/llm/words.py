@@ -75,11 +75,12 @@ def _least_around(x: np.ndarray, reach: int) -> np.ndarray:
     return (x < wide[:n]) & (x <= wide[reach + 1:reach + 1 + n])
 
 
-def paragraphs(flat: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray, shortest: int, longest: int) -> np.ndarray:
+def paragraphs(flat: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray, shortest: int, longest: int, edges: np.ndarray | None = None) -> np.ndarray:
     """Whether each word ends a paragraph, decided by the words around it alone.
 
-    Line ends do; sentence ends do if the sentence has ``shortest`` words or more; in a stretch without such an end over
-    ``longest`` words, so does the word before each local minimum of the word-pair hashes.
+    Line ends do; sentence ends do if the sentence has ``shortest`` words or more; pieces in a row that are shorter (short
+    lines, ends of lines) are one stretch; in a stretch without such an end over ``longest`` words, so does the word before
+    each local minimum of the word-pair hashes. Nothing is joined over ``edges``, the bytes where texts start.
     """
     n = len(words)
     if not n:
@@ -91,6 +92,13 @@ def paragraphs(flat: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.n
     cut = np.zeros(n, bool)
     cut[at] = hard[at] | (np.diff(at, prepend=-1) >= shortest)
     at = np.flatnonzero(cut)
+    short = np.diff(at, prepend=-1) < shortest
+    apart = np.zeros(n, bool)
+    if edges is not None:
+        first = np.searchsorted(start, edges)
+        apart[first[first > 0] - 1] = True
+    cut[at[:-1][short[:-1] & short[1:] & ~apart[at[:-1]]]] = False
+    at = np.flatnonzero(cut)
     size = np.diff(at, prepend=-1)
     if (size > longest).any():
         pair = np.append(shingle_hashes(words, 2), np.uint64(0xFFFFFFFFFFFFFFFF))

@@ -126,3 +126,30 @@ def test_buckets_up_to_the_bound_give_all_pairs(spark):
     hot = {k * 10_000 + i for k, n in sizes.items() if n > FEW for i in range(n)}
     assert {a for a, b in got if b is None} == hot
     assert want <= got and all(a // 10_000 == b // 10_000 for a, b in got if b is not None)
+
+
+# ---- short lines -----------------------------------------------------------------------------------------------
+
+def in_lines(rng, words, most=5):
+    out, at = [], 0
+    while at < len(words):
+        n = rng.randint(1, most)
+        out.append(" ".join(words[at:at + n]))
+        at += n
+    return "\n".join(out)
+
+
+def test_short_lines_are_joined(spark):
+    from ledgerline.llm.substrings import SHORT, paragraph_arrays, repeated_passages
+    rng = random.Random(5)
+    verse, passage = in_lines(rng, prose(rng, 60)), in_lines(rng, prose(rng, 90))
+    rows = [(1, verse), (2, in_lines(rng, prose(rng, 70)) + "\n" + passage + "\n" + in_lines(rng, prose(rng, 40))), (3, in_lines(rng, prose(rng, 80))),
+            (4, in_lines(rng, prose(rng, 55)) + "\n\n" + passage + "\n" + in_lines(rng, prose(rng, 66))), (5, verse), (6, "a b c"), (7, "d e f"), (8, "a b c")]
+    for doc, text in rows:  # nothing is left out and nothing joined over texts
+        p = [p for p in paragraph_arrays([doc], [text.encode()], 0)]
+        assert sum(int(x["size"].sum()) for x in p) == (len(text.split()) if len(text.split()) >= SHORT else 0)
+    together = [x for p in paragraph_arrays([d for d, _ in rows], [t.encode() for _, t in rows], 0) for x in p["doc"].tolist()]
+    assert set(together) == {1, 2, 3, 4, 5}
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in got} == {(4, 2), (5, 1)}
+    assert next(r.n_words for r in got if r.doc_id == 5) == 60 and sum(r.n_words for r in got if r.doc_id == 4) >= 40
