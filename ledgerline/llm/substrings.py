@@ -122,18 +122,19 @@ def paragraph_arrays(docs: list[int], texts: list[bytes], n_bands: int) -> Itera
 
 
 def paragraph_rows(docs: DataFrame, n_bands: int) -> DataFrame:
-    """doc_id, number, word, size, hash, m0, m1, ... of all paragraphs of documents with an id."""
-    names = ["doc_id", "number", "word", "size", "hash", *[f"m{k}" for k in range(n_bands)]]
+    """doc_id, copy (a hash of the text), number, word, size, hash, m0, m1, ... of all paragraphs of documents with an id."""
+    names = ["doc_id", "copy", "number", "word", "size", "hash", *[f"m{k}" for k in range(n_bands)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in paragraph_arrays(b.column(0).to_pylist(), binary_texts(b.column(1)), n_bands):
-                cols = [pa.array(p["doc"]), *(pa.array(p[c].astype(np.int32)) for c in ("number", "word", "size")),
-                        *(pa.array(p[c].view(np.int64)) for c in names[4:])]
+            for p in paragraph_arrays(list(range(b.num_rows)), binary_texts(b.column(1)), n_bands):
+                cols = [b.column(0).take(pa.array(p["doc"])), b.column(2).take(pa.array(p["doc"])), *(pa.array(p[c].astype(np.int32)) for c in names[2:5]),
+                        *(pa.array(p[c].view(np.int64)) for c in names[5:])]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     python_tasks(docs.sparkSession)
-    return _with_id(docs).mapInArrow(run, "doc_id long, number int, word int, size int, hash long, " + ", ".join(f"m{k} long" for k in range(n_bands)))
+    return _with_id(docs).withColumn("copy", F.xxhash64("text")) \
+        .mapInArrow(run, "doc_id long, copy long, number int, word int, size int, hash long, " + ", ".join(f"m{k} long" for k in range(n_bands)))
 
 
 def _with_id(docs: DataFrame) -> DataFrame:
@@ -325,13 +326,40 @@ def linked(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) ->
     return pairs.unionByName(hot_links(materialize(hot, "paragraph-hot"), similarity))
 
 
+def paragraph_runs(hits: DataFrame, most: int) -> DataFrame:
+    """gram, n, doc_id, copy, number: every run of 2 to ``most`` paragraphs of shared classes, by its first one.
+
+    ``hits`` has doc_id, copy, number, class_id; the gram is a hash of the classes in their order.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (doc, copy, number, cls) in sorted_runs(batches, "doc_id", ["copy", "number", "class_id"]):
+            once = np.concatenate(([True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (number[1:] != number[:-1])))
+            doc, copy, number, cls = doc[once], copy[once], number[once], cls[once].view(np.uint64)
+            gram = cls.copy()
+            for n in range(2, most + 1):
+                if len(doc) < n:
+                    break
+                whole = np.flatnonzero((doc[n - 1:] == doc[:1 - n]) & (copy[n - 1:] == copy[:1 - n]) & (number[n - 1:] - number[:1 - n] == n - 1))
+                gram = W.mix(gram[:len(cls) - n + 1] * np.uint64(W.MULTIPLIER) + cls[n - 1:])
+                if len(whole):
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[whole].view(np.int64)), pa.array(np.full(len(whole), n, np.int32)), pa.array(doc[whole]),
+                                                      pa.array(copy[whole]), pa.array(number[whole])], names=["gram", "n", "doc_id", "copy", "number"])
+
+    return deal_out(hits.select("doc_id", "copy", "number", "class_id"), "doc_id").sortWithinPartitions("doc_id", "copy", "number") \
+        .mapInArrow(run, "gram long, n int, doc_id long, copy long, number int")
+
+
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """Passages that an earlier document already has, one row each: doc_id, word, n_words, kept_doc_id, class_id.
 
     Paragraphs are linked if they are equal or reach Jaccard similarity 0.8 on word 5-grams; linked ones are one class, and
-    the document of a class with the smallest doc_id keeps it. Repeated paragraphs in a row that one document keeps
-    (paragraphs below 6 words between them don't count) of ``passage`` words together are reported: the first word, counted
-    in the text, and the words up to the end. class_id is the smallest of the passage's classes.
+    the document of a class with the smallest doc_id keeps it. Paragraphs in a row (what has fewer than 6 words between
+    them doesn't count) of ``passage`` words together are repeated if one earlier document holds their classes in the same
+    order in a row, or keeps them all. For that, runs of paragraphs just long enough for ``passage`` words are compared, as
+    every longer run consists of such ones: the smallest doc_id that holds a run is its source, whatever other documents
+    hold its single paragraphs. Repeated runs that touch are one row as long as their source is the same, the longest run
+    naming it: the first word, counted in the text, and the words up to the end. class_id is the smallest of the
+    passage's classes.
 
     Null and empty texts hold nothing. Documents with a null doc_id take no part. Rows with one doc_id are one document and
     don't repeat each other. Empty input gives an empty result. Only doc_id and text are read. Texts above 1 MB are read
@@ -347,25 +375,42 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     owners = materialize(owners, "paragraph-owners")
     kept = owners.groupBy("class_id").agg(F.min("lo").alias("kept"), F.max("hi").alias("hi")).where("kept <> hi").select("class_id", "kept")
     repeated = materialize(owners.join(kept, "class_id").select("hash", "class_id", "kept"), "paragraph-repeated")
-    hits = rows.select("doc_id", "number", "word", "size", "hash").join(repeated, "hash").where("doc_id <> kept").drop("hash")
+    hits = materialize(rows.select("doc_id", "copy", "number", "word", "size", "hash").join(repeated, "hash").drop("hash"), "paragraph-hits")
+    runs = materialize(paragraph_runs(hits, -(-passage // SHORT)), "paragraph-runs")
+    sources = materialize(runs.groupBy("gram").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("hi")).where("kept <> hi").select("gram", "kept"), "paragraph-sources")
+    none = F.lit(0)
+    seeds = runs.join(sources, "gram").where("doc_id <> kept").select("doc_id", "copy", "number", "n", none.alias("word"), none.alias("size"), none.cast("long").alias("class_id"), "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (doc, number, word, size, cls, keep) in sorted_runs(batches, "doc_id", ["number", "word", "size", "class_id", "kept"]):
-            step, other = np.diff(number), doc[1:] != doc[:-1]
-            new = np.concatenate(([True], other | (step > 1) | (keep[1:] != keep[:-1])))
-            once = np.concatenate(([True], other | (step > 0)))
+        for _, (doc, copy, number, n, word, size, cls, keep) in sorted_runs(batches, "doc_id", ["copy", "number", "n", "word", "size", "class_id", "kept"]):
+            once = (n == 1) & np.concatenate(([True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (number[1:] != number[:-1])))
+            place = np.cumsum(once) - 1  # a paragraph's row stands before its runs
+            wide = {k: np.flatnonzero(n == k) for k in np.unique(n[n > 1]).tolist()}
+            wide = {k: (place[at], keep[at]) for k, at in wide.items()}
+            doc, copy, number, word, size, cls, keep = (x[once] for x in (doc, copy, number, word, size, cls, keep))
+            total = np.concatenate(([0], np.cumsum(size)))
+            apart = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (np.diff(number) != 1)
+            source, is_in = keep.copy(), np.zeros(len(doc), bool)
+            at = np.flatnonzero(np.concatenate(([True], apart | (keep[1:] != keep[:-1]) | (doc[1:] == keep[1:]))))
+            end = np.append(at[1:], len(doc))
+            is_in |= np.repeat((doc[at] != keep[at]) & (total[end] - total[at] >= passage), end - at)
+            for k, (at, held) in wide.items():
+                ok = total[at + k] - total[at] >= passage
+                for i in range(k):
+                    source[at[ok] + i], is_in[at[ok] + i] = held[ok], True
+            new = np.concatenate(([True], apart | (source[1:] != source[:-1]) | (is_in[1:] != is_in[:-1])))
             at = np.flatnonzero(new)
-            total = np.add.reduceat(size * once, at)
-            end = np.maximum.reduceat(word + size, at)
-            long = np.flatnonzero(total >= passage)
-            if len(long):
-                first = at[long]
+            last = np.append(at[1:], len(doc)) - 1
+            least = np.minimum.reduceat(cls, at)
+            hit = np.flatnonzero(is_in[at])
+            if len(hit):
+                at, last = at[hit], last[hit]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[first]), pa.array(word[first].astype(np.int32)), pa.array((end[long] - word[first]).astype(np.int32)),
-                     pa.array(keep[first]), pa.array(np.minimum.reduceat(cls, at)[long])],
-                    names=["doc_id", "word", "n_words", "kept_doc_id", "class_id"])
+                    [pa.array(doc[at]), pa.array(word[at].astype(np.int32)), pa.array((word[last] + size[last] - word[at]).astype(np.int32)),
+                     pa.array(source[at]), pa.array(least[hit])], names=["doc_id", "word", "n_words", "kept_doc_id", "class_id"])
 
-    return deal_out(hits, "doc_id").sortWithinPartitions("doc_id", "number", "kept").select("doc_id", "number", "word", "size", "class_id", "kept") \
+    both = hits.select("doc_id", "copy", "number", F.lit(1).alias("n"), "word", "size", "class_id", "kept").unionByName(seeds)
+    return deal_out(both, "doc_id").sortWithinPartitions("doc_id", "copy", "number", "n") \
         .mapInArrow(run, "doc_id long, word int, n_words int, kept_doc_id long, class_id long")
 
 

@@ -153,3 +153,24 @@ def test_short_lines_are_joined(spark):
     got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.kept_doc_id) for r in got} == {(4, 2), (5, 1)}
     assert next(r.n_words for r in got if r.doc_id == 5) == 60 and sum(r.n_words for r in got if r.doc_id == 4) >= 40
+
+
+# ---- sources of passages ---------------------------------------------------------------------------------------
+
+def test_a_passage_of_lines_that_others_hold_singly(spark):
+    from ledgerline.llm.substrings import remove_repeats, repeated_passages
+    rng = random.Random(8)
+    line = lambda: " ".join(prose(rng, 9)).replace(".", "")
+    passage = [line() for _ in range(7)]
+    text = lambda *lines: "\n".join(lines)
+    filler = lambda: [line() + " " + line() for _ in range(6)]
+    rows = [(i, text(*filler(), x, *filler())) for i, x in enumerate(passage)]  # each line has another first holder
+    a, b, c = filler(), filler(), filler()
+    rows += [(10, text(*a, *passage, *b)), (20, text(*c, *passage, *a[:1])), (20, text(*c, *passage, *a[:1])), (30, text(passage[3], *filler(), passage[5]))]
+    docs = spark.createDataFrame([(i, x, None, None, len(x)) for i, x in rows], SCHEMA)
+    got = {(r.doc_id, r.word, r.n_words, r.kept_doc_id) for r in repeated_passages(docs).collect()}
+    first = len(text(*c).split())
+    assert got == {(20, first, 81, 10)}
+    left = {r.doc_id: r.text for r in remove_repeats(docs).collect()}
+    assert left.pop(20) == text(*c)
+    assert left == {i: x for i, x in rows if i != 20}
