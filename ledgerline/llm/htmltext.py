@@ -245,15 +245,15 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(page: str, text_tokens: set[int], slots: set[int]) -> str:
     """The blocks of the article, one a line.
 
-    Blocks in parts that are marked as something else, and texts of the template, go. If an element says it is the
-    article, its blocks are the text. Else it is the slot of the template with the most text of its own: places inside a
+    Blocks in parts that are marked as something else go. If an element says it is the article, its blocks are the text,
+    all of them: what near copies on one host share is no template. Else texts of the template go, and the text is the slot of the template with the most text of its own: places inside a
     template token, among them the blocks' innermost one that holds at least half of the page's remaining text, and a heading
     right before it.
     """
     found = [(path, text, article) for path, text, dead, article in blocks(page) if text and not dead]
     if any(a for *_, a in found):
         found = [f for f in found if f[2]]
-    rest = [f for f in found if token_id(f[0], f[1]) not in text_tokens]
+    rest = [f for f in found if f[2] or token_id(f[0], f[1]) not in text_tokens]
     # on a page that shares all its texts with its host's pages nothing would be left: then they are its article
     found = rest or found
     if found and not found[0][2]:

@@ -47,6 +47,15 @@ def test_extraction_with_template(spark):
     assert templates(pages).where("host = 'h.example'").first() is not None
 
 
+def test_a_host_of_near_copies_keeps_its_articles(spark):
+    from ledgerline.llm.htmltext import extract
+    same = [f"Paragraph {k} that nearly all pages of the host share." for k in range(4)]
+    page = lambda i: "<body><nav>Home</nav><article><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in [*same[:2], f"Only page {i} says so.", *same[2:]]) + "</article></body>"
+    rows = [(i, f"http://copies.example/{i}", page(i)) for i in range(10)] + [(10, "http://copies.example/10", "<article><p>Another text.</p></article>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: "\n".join(["Title", *same[:2], f"Only page {i} says so.", *same[2:]]) for i in range(10)}, 10: "Another text."}
+
+
 def test_extraction_of_real_pages(spark):
     import html
     import re
