@@ -1,4 +1,4 @@
-"""Main text of web pages by template deduction from token equivalence classes."""
+"""Main text of web pages by their markup, and by texts and places from token equivalence classes."""
 
 from __future__ import annotations
 
@@ -223,9 +223,9 @@ def templates(pages: DataFrame) -> DataFrame:
 
     Occurrence vectors (times a token stands in each page) are compared by their page count, sum and a sum of hashes over
     (page, times), all gathered by partial sums, so no vector is ever held. Tokens with one vector form a class. A class
-    is valid if it is frequent and large. Valid classes nest by place: a class whose places lie inside a token of
-    another fills a slot of it. text_tokens are the texts that belong to the template itself; slots are the places that
-    hold what pages fill in.
+    is valid if it is frequent and large. Classes are not ordered or nested: text_tokens are the texts of valid classes on
+    TEXT_SHARE of the host's pages, slots are the start tags of valid classes, as a flat set of places. A layout that fewer
+    than MIN_SHARE of a host's pages have gives no class, and its unmarked menus and notices are not known as template.
     """
     each = occurrences(pages)
     n_pages = pages.groupBy(host_of_url().alias("host")).agg(F.count(F.lit(1)).alias("pages"))
