@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -245,6 +245,18 @@ def _norm_cdf(x):
 
 
 # ------------------------------------------------------------------ M13
+def refit_winner(summary: DataFrame, full: DataFrame):
+    """The model and settings of the best row of ``tune_regression``'s summary, fitted on ``full``."""
+    best = summary.where("is_best").first()
+    return _regressor(best["model"], json.loads(best["params"])).fit(full)
+
+
+def tree_weights(model) -> list[float]:
+    """What each tree counts in the prediction: boosted trees are summed by weight, a forest's are averaged."""
+    weights = list(model.treeWeights)
+    return [w / sum(weights) for w in weights] if isinstance(model, RandomForestRegressionModel) else weights
+
+
 def tree_nodes(model) -> list[dict]:
     """Nodes of a fitted tree-ensemble model, read back from the model's saved
     ``data`` folder as a DataFrame (treeID, id, prediction, children, split)."""

@@ -181,22 +181,21 @@ def q_tune_classification(spark, sf):
 
 
 def _attributed(spark, sf):
-    """A boosted regressor fitted on the complete rows, and those rows."""
-    from pyspark.ml.regression import GBTRegressor
+    """The search's winner fitted again on the complete rows, those rows, all rows with a target, and the names."""
     f = complete_cases(feat(spark, sf), ["log_amount"])
-    full, = MD.design(f, [], P.ML_NUMERIC, P.ML_CATEGORICAL, "log_amount", ["deal_id"])
-    full = full.select("deal_id", "label", "features")
-    model = GBTRegressor(featuresCol="features", labelCol="label", maxDepth=3, maxIter=20, stepSize=0.1, seed=42).fit(full)
-    return full, model, list(P.ML_NUMERIC) + [f"{c}_ord" for c in P.ML_CATEGORICAL]
+    full = complete_cases(f, [*P.ML_NUMERIC, *P.ML_CATEGORICAL])
+    full, every = (d.select("deal_id", "label", "features") for d in MD.design(full, [f], P.ML_NUMERIC, P.ML_CATEGORICAL, "log_amount", ["deal_id"]))
+    model = MD.refit_winner(MD.tune_regression(feat(spark, sf))[0], full)
+    return full, every, model, list(P.ML_NUMERIC) + [f"{c}_ord" for c in P.ML_CATEGORICAL]
 
 
 @register("feature_attribution")
 def q_feature_attribution(spark, sf):
-    """Per-row additive path attributions of a boosted regressor, features ranked by mean |phi|; tasks return
-    sums, not rows."""
+    """Per-row additive path attributions of the regression search's winner, refitted on the complete rows, features
+    ranked by mean |phi|; tasks return sums, not rows."""
     from pyspark.sql import Window
-    full, model, names = _attributed(spark, sf)
-    sums = MD.attribution_sums(full, model, names, list(model.treeWeights)).groupBy("feature").agg(F.sum("abs_phi").alias("a"), F.sum("n").alias("n"))
+    full, _, model, names = _attributed(spark, sf)
+    sums = MD.attribution_sums(full, model, names, MD.tree_weights(model)).groupBy("feature").agg(F.sum("abs_phi").alias("a"), F.sum("n").alias("n"))
     imp = sums.select("feature", (F.col("a") / F.col("n")).alias("mean_abs_phi"))
     return imp.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs_phi"), "feature")).cast("int"))
 
@@ -204,8 +203,8 @@ def q_feature_attribution(spark, sf):
 @register("attribution_identity", Q.with_features("SELECT count(*) AS n, CAST(0 AS DOUBLE) AS max_error FROM feat WHERE log_amount IS NOT NULL"))
 def q_attribution_identity(spark, sf):
     """Base + attributions = prediction on every row (largest rounded error)."""
-    full, model, names = _attributed(spark, sf)
-    s = MD.attribution_sums(model.transform(full), model, names, list(model.treeWeights)).where(F.col("feature") == names[0])
+    _, every, model, names = _attributed(spark, sf)
+    s = MD.attribution_sums(model.transform(every), model, names, MD.tree_weights(model)).where(F.col("feature") == names[0])
     return s.agg(F.sum("n").alias("n"), F.round(F.max("max_error"), 6).alias("max_error"))
 
 

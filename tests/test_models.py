@@ -24,6 +24,33 @@ def test_attributions_add_up(spark):
     np.testing.assert_allclose(d["recon"], d["prediction"], atol=1e-9)
 
 
+def test_the_winner_of_the_search_is_attributed(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"deal_id": np.arange(200), "a": rng.normal(size=200), "b": rng.normal(size=200), "s": rng.choice(["x", "y"], 200)})
+    pdf["y"] = 3 * pdf["a"] + pdf["b"]
+    full, = MD.design(spark.createDataFrame(pdf), [], ["a", "b"], ["s"], "y", ["deal_id"])
+    kind = "model string, params string, is_best boolean"
+    for best, name, trees, depth in ((0, "rf", 7, 4), (1, "gbt", 6, 2)):
+        rows = [("rf", '{"maxDepth": 4, "numTrees": 7}', best == 0), ("gbt", '{"maxDepth": 2, "maxIter": 6, "stepSize": 0.2}', best == 1)]
+        m = MD.refit_winner(spark.createDataFrame(rows, kind), full)
+        assert type(m).__name__.lower().startswith({"rf": "randomforest", "gbt": "gbt"}[name])
+        assert m.getNumTrees == trees and m.getMaxDepth() == depth
+        worst = MD.attribution_sums(m.transform(full), m, ["a", "b", "s_ord"], MD.tree_weights(m)).agg(F.max("max_error")).first()[0]
+        assert worst < 1e-9
+
+
+def test_attribution_queries_use_the_search(spark, monkeypatch):
+    from ledgerline.plans import catalog_models as C
+    kind = "model string, params string, rmse_log double, mape double, n_oof long, is_best boolean"
+    won = spark.createDataFrame([("rf", '{"maxDepth": 3, "numTrees": 5}', 1.0, 1.0, 1, True)], kind)
+    monkeypatch.setattr(MD, "tune_regression", lambda df: (won, None))
+    full, every, model, names = C._attributed(spark, "/root/testdata/sf0.001")
+    assert type(model).__name__ == "RandomForestRegressionModel" and model.getNumTrees == 5
+    f = C.feat(spark, "/root/testdata/sf0.001").where("log_amount is not null")
+    assert every.count() == f.count()
+    assert full.count() == f.dropna(subset=[*C.P.ML_NUMERIC, *C.P.ML_CATEGORICAL]).count()
+
+
 def test_residual_effect_recovers_theta(spark):
     rng = np.random.default_rng(1)
     rt = rng.normal(size=2000)
