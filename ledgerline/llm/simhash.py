@@ -51,15 +51,18 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED, chunk: int =
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, words: int = WORDS, more: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long), and ``more``, a column of longs that is passed on."""
+    also = [more] if more else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in binary_texts(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *also])
 
     python_tasks(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *also) \
+        .mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{x} long" for x in also)]))
 
 
 # ---- Golay code ------------------------------------------------------------------------------------------------
@@ -211,6 +214,15 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return _linked(keys.join(hot, "key", "left_anti"), bits).unionByName(_linked(fine, bits))
 
 
+def _labels(each: DataFrame, bits: int) -> DataFrame:
+    """fp, component (its smallest fingerprint), component_id (its smallest doc_id) of rows (doc_id, fp)."""
+    fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    comp = materialize(connected_components(fingerprint_links(fps, bits)), "simhash-components")
+    smallest = fps.join(comp, fps.fp == comp.node).groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = comp.join(smallest, "component").select(F.col("node").alias("fp"), "component", "component_id")
+    return fps.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
+
+
 def simhash_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -219,24 +231,25 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Dat
     component, and its component_id is null if its component has no other id. Empty input gives an empty result.
     """
     each = materialize(fingerprints(docs, words), "simhash")
-    fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    comp = materialize(connected_components(fingerprint_links(fps, bits)), "simhash-components")
-    smallest = fps.join(comp, fps.fp == comp.node).groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = comp.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
-    labels = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return each.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return each.join(_labels(each, bits), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """Documents without near copies: of each component the row with the smallest doc_id stays (of repeats of it, one).
 
-    Rows with a null doc_id stay only if their component has no id at all, then all of them.
+    Different texts under one doc_id are rows of their own: which of them stay is decided component by component. Rows
+    with a null doc_id stay only if their component has no id at all, then all of them.
     """
-    groups = simhash_groups(docs, words, bits)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    loose = groups.where("component_id is null").limit(1).count() > 0
-    kept = docs.dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null")) if loose else kept
+    names = docs.columns
+    rows = docs.withColumn("__row", F.xxhash64(*names, *(F.col(c).isNull() for c in names)))
+    each = materialize(fingerprints(rows, words, "__row"), "simhash")
+    labelled = each.join(_labels(each, bits), "fp")
+    first = labelled.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.*").distinct()
+    kept = rows.dropDuplicates(["doc_id", "__row"]).join(materialize(first, "simhash-first"), ["doc_id", "__row"], "left_semi")
+    loose = materialize(labelled.where("component_id is null").select("__row").distinct(), "simhash-loose")
+    if loose.limit(1).count():
+        kept = kept.unionByName(rows.where("doc_id is null").join(loose, "__row", "left_semi").select(*rows.columns))
+    return kept.select(*names)
 
 
 def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
