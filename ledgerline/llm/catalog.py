@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, htmltext, langid, neighbours, packing, sharding, simhash, substrings, tokencount, urlfilter
+from . import (balanced, decontaminate, htmltext, langid, merkle, neighbours, packing, periodic, sharding, simhash, substrings, tokencount,
+               urlfilter)
 
 QUERIES: dict[str, Callable] = {
     "op1_template_extraction": htmltext.op1_template_extraction,
@@ -17,6 +18,9 @@ QUERIES: dict[str, Callable] = {
     "op8_block_matrix_neighbours": neighbours.op8_block_matrix_neighbours,
     "op9_byte_gru_language": langid.op9_byte_gru_language,
     "op10_golay_simhash": simhash.op10_golay_simhash,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_cost_balanced_packing": balanced.op12_cost_balanced_packing,
+    "op13_butterfly_manifest": merkle.op13_butterfly_manifest,
 }
 
 ORACLES: dict[str, str] = {
