@@ -67,10 +67,10 @@ def parents(nodes: list[str]) -> list[str]:
     return [_h("".join(nodes[k:k + FANOUT])) for k in range(0, len(nodes), FANOUT)]
 
 
-def local_levels(leaves: list[str], total: int) -> list[list[str]]:
+def local_levels(leaves: list[str], total: int, height: int) -> list[list[str]]:
     """Levels of one partition's subtree from the leaves up; of a group with one partition only as far as nodes remain."""
     levels = [leaves]
-    while len(levels) <= LEVELS and (total > FANOUT ** LEVELS or len(levels[-1]) > 1):
+    while len(levels) <= height and (total > FANOUT ** height or len(levels[-1]) > 1):
         levels.append(parents(levels[-1]))
     return levels
 
@@ -85,10 +85,10 @@ def local_steps(levels: list[list[str]], k: int) -> list[tuple[str, str]]:
     return out
 
 
-def partitions(rows: DataFrame, names: list[str]) -> DataFrame:
-    """One row per aligned partition of 8**4 leaves: grp, block, total, one array per column of ``names``, node (its subtree's root).
+def partitions(rows: DataFrame, names: list[str], height: int) -> DataFrame:
+    """One row per aligned partition of 8**height leaves: grp, block, total, one array per column of ``names``, node (its subtree's root).
 
-    The first of ``names`` is the leaf's digest (32 bytes). A partition holds 4,096 rows at most, whatever the group.
+    The first of ``names`` is the leaf's digest (32 bytes). A partition has 4,096 rows at most at a height of 4, whatever the group.
     """
     fields = [rows.schema[n].dataType.simpleString() for n in names]
     schema = "grp string, block long, total long, " + ", ".join(f"{n} array<{t}>" for n, t in zip(names, fields)) + ", node string"
@@ -98,7 +98,7 @@ def partitions(rows: DataFrame, names: list[str]) -> DataFrame:
         key = None
 
         def flush(arrow: list[pa.DataType]) -> pa.RecordBatch:
-            top = local_levels([x.hex() for x in held[0]], key[2])[-1][0]
+            top = local_levels([x.hex() for x in held[0]], key[2], height)[-1][0]
             columns = [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([key[2]], pa.int64()),
                        *(pa.array([x], pa.list_(t)) for x, t in zip(held, arrow)), pa.array([top], pa.string())]
             return pa.RecordBatch.from_arrays(columns, names=["grp", "block", "total", *names, "node"])
@@ -116,13 +116,13 @@ def partitions(rows: DataFrame, names: list[str]) -> DataFrame:
             yield flush(arrow)
 
     python_tasks(rows.sparkSession)
-    dealt = rows.withColumn("block", F.expr(f"idx div {FANOUT ** LEVELS}")).select("grp", "block", "idx", "total", *names)
+    dealt = rows.withColumn("block", F.expr(f"idx div {FANOUT ** height}")).select("grp", "block", "idx", "total", *names)
     return dealt.repartition("grp", "block").sortWithinPartitions("grp", "block", "idx").drop("idx").mapInArrow(run, schema)
 
 
 # ---- butterfly exchange ----------------------------------------------------------------------------------------
 
-def exchange(blocks: DataFrame) -> DataFrame:
+def exchange(blocks: DataFrame, height: int) -> DataFrame:
     """grp, block, blocks, node (the group's subroot), path: each partition's proof above its own subtree.
 
     In round r the partitions whose numbers differ in digit r to the base 8 alone swap the roots of their subtrees of 8**r
@@ -131,7 +131,7 @@ def exchange(blocks: DataFrame) -> DataFrame:
     """
     spark = blocks.sparkSession
     step = "array<struct<left: string, right: string>>"
-    state = materialize(blocks.select("grp", "block", F.expr(f"(total + {FANOUT ** LEVELS - 1}) div {FANOUT ** LEVELS}").alias("blocks"), "node",
+    state = materialize(blocks.select("grp", "block", F.expr(f"(total + {FANOUT ** height - 1}) div {FANOUT ** height}").alias("blocks"), "node",
                                       F.array().cast(step).alias("path")), "merkle-state")
     widest, size, round_ = state.agg(F.max("blocks")).first()[0] or 0, 1, 0
     while size < widest:
@@ -157,7 +157,7 @@ def exchange(blocks: DataFrame) -> DataFrame:
     return state
 
 
-def opened(blocks: DataFrame, paths: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+def opened(blocks: DataFrame, paths: DataFrame, names: list[str], keep: list[str], height: int) -> DataFrame:
     """Rows of all partitions again: ``names``, ``keep`` (columns of ``paths``) and proof, from the leaf to the end of ``paths``' path."""
     step = "proof array<struct<left: string, right: string>>"
     schema = ", ".join(f"{n} {blocks.schema[n].dataType.elementType.simpleString()}" for n in names) + "".join(f", {k} string" for k in keep) + ", " + step
@@ -167,7 +167,7 @@ def opened(blocks: DataFrame, paths: DataFrame, names: list[str], keep: list[str
         for b in batches:
             for row in range(b.num_rows):
                 one = b.slice(row, 1).to_pylist()[0]
-                levels = local_levels([x.hex() for x in one[names[0]]], one["total"])
+                levels = local_levels([x.hex() for x in one[names[0]]], one["total"], height)
                 upper = [(s["left"], s["right"]) for s in one["path"]]
                 for at in range(0, len(levels[0]), 512):
                     proofs = [local_steps(levels, k) + upper for k in range(at, min(at + 512, len(levels[0])))]
@@ -180,7 +180,7 @@ def opened(blocks: DataFrame, paths: DataFrame, names: list[str], keep: list[str
     return blocks.select("grp", "block", "total", *names).join(paths.select("grp", "block", "path", *keep), ["grp", "block"]).mapInArrow(run, schema)
 
 
-def manifest(rows: DataFrame, group: Column, order: list[str], leaf: str, carried: list[str]) -> DataFrame:
+def manifest(rows: DataFrame, group: Column, order: list[str], leaf: str, carried: list[str], height: int = LEVELS) -> DataFrame:
     """``carried`` columns, leaf, subroot, root and proof (array of left and right siblings, from the leaf to the root) of each row.
 
     Rows of a group ascend by ``order`` (nulls first), then by digest; rows equal in all that are exchangeable, but stay
@@ -189,20 +189,20 @@ def manifest(rows: DataFrame, group: Column, order: list[str], leaf: str, carrie
     empty result.
     """
     grp = F.when(group.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), group))
-    names = ["leaf", *carried]
+    names = ["leaf", *[c for c in carried if c != "leaf"]]
     leaves = materialize(rows.select(grp.alias("grp"), F.unhex(leaf).alias("leaf"), *[c for c in dict.fromkeys([*carried, *order])],
                                      F.monotonically_increasing_id().alias("row")), "merkle-leaves")
-    blocks = materialize(partitions(numbered(leaves, [*order, "leaf", "row"]), names), "merkle-blocks")
-    lower = exchange(blocks)
+    blocks = materialize(partitions(numbered(leaves, [*order, "leaf", "row"]), names, height), "merkle-blocks")
+    lower = exchange(blocks, height)
     tops = lower.where("block = 0").select(F.lit("").alias("grp"), F.unhex("node").alias("node_of"), F.col("grp").alias("key"), "blocks")
-    top_blocks = materialize(partitions(numbered(tops, ["key"]), ["node_of", "key", "blocks"]), "merkle-tops")
-    upper = opened(top_blocks, exchange(top_blocks).withColumnRenamed("node", "root"), ["node_of", "key", "blocks"], ["root"])
+    top_blocks = materialize(partitions(numbered(tops, ["key"]), ["node_of", "key", "blocks"], height), "merkle-tops")
+    upper = opened(top_blocks, exchange(top_blocks, height).withColumnRenamed("node", "root"), ["node_of", "key", "blocks"], ["root"], height)
     # a group of many partitions is joined in many tasks: its subroot's proof is sent once for each SALT_ROWS of them
     many = upper.select(F.col("key").alias("grp"), "root", F.col("proof").alias("above"),
                         F.explode(F.expr(f"sequence(0, (blocks - 1) div {SALT_ROWS})")).alias("salt"))
     paths = lower.withColumn("salt", F.expr(f"block div {SALT_ROWS}")).join(many, ["grp", "salt"]) \
         .select("grp", "block", F.concat("path", "above").alias("path"), F.col("node").alias("subroot"), "root")
-    return opened(blocks, paths, names, ["subroot", "root"]).withColumn("leaf", F.lower(F.hex("leaf")))
+    return opened(blocks, paths, names, ["subroot", "root"], height).withColumn("leaf", F.lower(F.hex("leaf")))
 
 
 def op13_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
