@@ -34,7 +34,7 @@ class Preset:
     shift_top: int = 7
     min_phase_rows: int = 50
     min_mediation_rows: int = 80
-    # fixed-size block count used to split hot sort groups (rolling windows, prefix sums)
+    # rows of one block of the ordered features (rolling windows, prefix sums)
     rows_per_block: int = 1_000_000
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 

@@ -3,12 +3,12 @@
 Built once per (session, data, preset) and written to the shared folder; every
 report reads it (column pruning + year-partition pruning apply to that read).
 
-Wide-row shuffles: one (rows hash-partitioned by (year, key block) for the
-chunked rolling windows and the running count). Side passes read a few narrow
-columns: global/per-year exact quantiles, one GROUPING SETS aggregation for all
-per-category means and level sets, per-year block cut points, and the chunk
-heads/tails. Their small results are joined back (AQE broadcasts them once it has
-measured them) or folded in as literals.
+The tagged rows are range partitioned by deal order and written once; the wide rows
+are then shuffled by block for the chunked rolling windows and the running count.
+Side passes read a few narrow columns of the written rows: global/per-year exact
+quantiles, one GROUPING SETS aggregation for all per-category means and level sets,
+and the chunk heads/tails. Their small results are joined back (AQE broadcasts them
+once it has measured them) or folded in as literals.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from ..functions import scalar as S
 from ..session import shared_dir
 from .clean import clean_rows, with_optional
 from .common import scalars
-from .ordered import blocks_for, exact_quantiles, group_bounds, ordered_features, release_cached
+from .ordered import exact_quantiles, in_order, ordered_features, release_cached
 
 CATEGORY_COLUMNS = ["sector", "region", "investor", "deal_type", "phase", "subsector", "country"]
 CODED_COLUMNS = ["sector", "region", "deal_type", "phase", "subsector"]
@@ -82,24 +82,21 @@ def category_summaries(t: DataFrame, cols: list[str], value: str) -> DataFrame:
 
 def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
     """Lazy plan of the whole feature table (see module docstring). The small
-    tables are derived from the tagged rows ``t`` (global + per-year exact
-    quantiles on one stacked stream; all per-category means and level sets in one
-    GROUPING SETS aggregation; per-year block cut points) and joined onto ``t``
-    once each."""
-    t = tag(clean_rows(deals, preset), preset)
+    tables are derived from the tagged rows ``t`` in deal order (global + per-year
+    exact quantiles on one stacked stream; all per-category means and level sets in
+    one GROUPING SETS aggregation) and joined onto ``t`` once each."""
+    t = in_order(tag(clean_rows(deals, preset), preset), ["year", "deal_id"])
     stacked = t.select(F.col("year").cast("long").alias("_k"), "amount").unionByName(
         t.select(F.lit(-1).cast("long").alias("_k"), "amount"))
     # small tables (one row per year / per level): cached once so the wide plan
     # reads them from memory instead of re-deriving them per join; their measured
-    # in-memory size then drives the broadcast decision. The three side passes are
+    # in-memory size then drives the broadcast decision. The two side passes are
     # independent jobs and are submitted concurrently.
     cols = list(dict.fromkeys(["sector", "region"] + CODED_COLUMNS))
-    with ThreadPoolExecutor(3) as ex:
+    with ThreadPoolExecutor(2) as ex:
         f_qq = ex.submit(lambda: _small(exact_quantiles(stacked, ["_k"], "amount", {"_med": 0.5, "_q70": 0.7})))
         f_cs = ex.submit(lambda: _small(category_summaries(t, cols, "log_amount")))
-        f_gb = ex.submit(lambda: _small(group_bounds(t.select("year", "deal_id"), "year", "deal_id",
-                                                     blocks_for(t, ["year"], preset.rows_per_block))))
-        qq, cs, gb = f_qq.result(), f_cs.result(), f_gb.result()
+        qq, cs = f_qq.result(), f_cs.result()
     gq = scalars(qq.where("_k = -1").select("_med", "_q70"))                         # two numbers
     yq = qq.where("_k <> -1").select(F.col("_k").cast("int").alias("year"), F.col("_q70").alias("_qy"))
     gl = scalars(cs.where(F.col("column_name").isNull()).select("mean", "total", "n"))  # three numbers
@@ -119,7 +116,7 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
             lv = lv.drop("mean")
         d = d.join(lv, c, "left")
     d = d.select(
-        *[c for c in d.columns if not c.startswith("_")],
+        "_at", *[c for c in d.columns if not c.startswith("_")],
         (F.col("amount") > F.col("_med")).cast("int").alias("high_value"),
         (F.col("amount") > F.col("_q70")).cast("int").alias("high_value_70"),
         (F.col("amount") > F.col("_qy")).cast("int").alias("adaptive_target"),
@@ -133,8 +130,7 @@ def build_features(deals: DataFrame, preset: Preset) -> DataFrame:
         (F.col("sector_code") * F.col("year")).alias("sector_year_int"),
         (F.col("region_code") * F.col("post_policy")).alias("region_policy_int"),
     )
-    return ordered_features(d, "sector", "amount", "post_policy", (2, 3), narrow=t,
-                            bounds_table=gb)
+    return ordered_features(d, "sector", "amount", "post_policy", (2, 3), preset.rows_per_block, narrow=t)
 
 
 def features(spark: SparkSession, sf_dir: str, preset: Preset) -> DataFrame:

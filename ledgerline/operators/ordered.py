@@ -3,19 +3,26 @@
 The deal order is ``(year, deal_id)`` everywhere (ties in year are broken by the
 key, so every window below is deterministic).
 
-* :func:`block_of` cuts the key range into ``n`` balanced blocks using sketch
-  quantiles of the key (one aggregation; ``n - 1`` bounds reach the driver); the
-  number of blocks follows from a row count (:func:`blocks_for`).
+* :func:`in_order` range partitions and sorts the rows once and writes them; every row
+  then knows its partition and its place in it, and blocks are exact stretches of
+  places, however many there are.
+* :func:`numbered` turns places into positions, of the table or inside groups, by a
+  prefix scan over the partitions' counts; :func:`before` does it for sums of blocks.
 * :func:`ordered_features` computes trailing-``k``-row mean / sample std per group
   and the global running count of a flag, without ``partitionBy(group)`` or a
   global ``orderBy`` window over raw rows (see its docstring).
+* :func:`exact_quantiles` selects order statistics by radix histograms.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 _CACHED: list[DataFrame] = []
 
 
@@ -25,58 +32,71 @@ def release_cached() -> None:
         _CACHED.pop().unpersist()
 
 
-#: Rows that one block of an ordered operator holds at most (about), and the fewest blocks of a group.
-ROWS_PER_BLOCK, LEAST_BLOCKS = 1_000_000, 4
+#: Rows of one block of an ordered operator.
+ROWS_PER_BLOCK = 1_000_000
+#: Bits of ``_at`` that hold a row's place in its partition.
+PLACE_BITS = 33
+#: State rows up to which the quantile operator broadcasts its open brackets; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 100_000
+
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts the lineage and survives lost executors."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def blocks_for(df: DataFrame, group: list[str] | None = None, rows: int | None = None) -> int:
-    """Blocks per group so that the largest group's blocks hold about ``rows`` rows (one count)."""
-    n = df.groupBy(*(group or [])).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return max(LEAST_BLOCKS, -(-n // (rows or ROWS_PER_BLOCK)))
 
+# ---------------------------------------------------------------- places, blocks, positions
+def in_order(df: DataFrame, by: list) -> DataFrame:
+    """The rows range partitioned and sorted by ``by``, written once, with ``_at``: partition and place, ascending in that
+    order. Bounds are sampled, so partitions are balanced unless many rows are equal in all of ``by``."""
+    return written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "in-order")
 
-def key_bounds(df: DataFrame, key: str, n: int, accuracy: int = 10000) -> list:
-    """``n - 1`` ascending cut points splitting ``key`` into ~equal blocks."""
-    if n <= 1:
-        return []
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.approx_percentile(key, probs, accuracy).alias("b")).first()
-    bounds = sorted(set(row["b"] or []))
-    return bounds
 
+def partition_of(col: str) -> Column:
+    return F.shiftright(col, PLACE_BITS)
 
-def group_bounds(df: DataFrame, group: str, key: str, n: int, accuracy: int = 10000) -> DataFrame:
-    """Per ``group`` value, ``n - 1`` cut points of ``key`` (small: one row per
-    group value), so a group holding a large share of the rows is still cut
-    into ``n`` balanced blocks."""
-    if n <= 1:
-        kt = dict(df.dtypes)[key]
-        return df.select(group).distinct().withColumn("_bounds", F.array().cast(f"array<{kt}>"))
-    probs = [i / n for i in range(1, n)]
-    return df.groupBy(group).agg(F.array_sort(F.array_distinct(
-        F.approx_percentile(key, probs, accuracy))).alias("_bounds"))
 
+def block_start(rows: int = ROWS_PER_BLOCK) -> Column:
+    """The ``_at`` of the first row of the row's block: blocks are ``rows`` places of a partition (its last one: fewer)."""
+    place = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return F.col("_at") - place % rows
 
-def block_in(key: str, bounds_col: str = "_bounds") -> Column:
-    """0-based block of ``key`` given a per-row array of ascending cut points."""
-    return F.size(F.filter(F.col(bounds_col), lambda b: b <= F.col(key)))
 
+def before(blocks: DataFrame, sums: list[str]) -> DataFrame:
+    """``_blk`` and, for each of ``sums``, its total over all earlier blocks: added up inside each partition, and over the
+    partitions' totals (one row per partition)."""
+    d = blocks.withColumn("_part", partition_of("_blk"))
+    earlier = Window.partitionBy("_part").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy("_part").agg(*[F.sum(s).alias(s) for s in sums])
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offs = parts.select("_part", *[F.coalesce(F.sum(s).over(upto), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    inside = d.select("_part", "_blk", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(s) for s in sums])
+    return inside.join(offs, "_part").select("_blk", *[(F.col(s) + F.col(f"_o_{s}")).alias(s) for s in sums])
 
-def block_of(key: str, bounds: list) -> Column:
-    """0-based block index of ``key`` given ascending cut points (codegen CASE chain)."""
-    if not bounds:
-        return F.lit(0)
-    e = F.when(F.col(key) < F.lit(bounds[0]), 0)
-    for i, b in enumerate(bounds[1:], start=1):
-        e = e.when(F.col(key) < F.lit(b), i)
-    return e.otherwise(len(bounds))
 
+def numbered(df: DataFrame, group: list[str], order: list, out: str) -> DataFrame:
+    """Adds ``out``: the 0-based place of a row in ``group`` (none: in the table) by ``order``, which must tell rows apart.
 
-def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(2, 3), n_blocks: int | None = None,
+    The count of each (partition, group) stretch is added up over the partitions of the group: as many rows as there are
+    partitions and groups. A group of any size is spread over partitions, and no window runs over rows.
+    """
+    d = in_order(df, [*group, *order]).withColumn("_part", partition_of("_at"))
+    whole = Window.partitionBy(*[f"_g{i}" for i in range(len(group))]) if group else Window.partitionBy()
+    upto = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    stretch = d.groupBy("_part", *keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    shift = stretch.select(F.col("_part").alias("_p"), *[f"_g{i}" for i in range(len(group))],
+                           (F.coalesce(F.sum("_n").over(upto), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.col("_part") == F.col("_p"))
+    return d.join(shift, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(out))
+
+
+def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(2, 3), rows_per_block: int | None = None,
                      order=("year", "deal_id"), prefix: str = "roll", count_out: str = "policy_cumulative",
-                     narrow: DataFrame | None = None, lagged: bool = True,
-                     bounds_table: DataFrame | None = None) -> DataFrame:
-    """Add, in one shuffle of the rows:
+                     narrow: DataFrame | None = None, lagged: bool = True) -> DataFrame:
+    """Add:
 
     * ``{prefix}_mean_{k}`` / ``{prefix}_std_{k}``: mean and sample std of ``value``
       over the last ``k`` rows of ``group`` in deal order (current row included,
@@ -87,33 +107,22 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
       excluded, so the feature does not contain the target; NULL on a group's
       first row).
 
-    The wide rows are hash-partitioned once by ``(year, block)``; the per-group
-    chunks ``(group, year, block)`` and the running count's ``(year, block)`` both
-    live inside one such partition, so both windows use that one exchange. Only the
-    first ``k - 1`` (``k`` when lagged) rows of each chunk need rows of earlier
-    chunks: a narrow pass (key, order, group, value) finds every chunk's heads and
-    tails and recomputes the heads' statistics on that small table (<= 2h rows per
-    chunk), joined back by key. The running count adds a prefix offset from the
-    small table of per-(year, block) counts.
-
-    Block cut points are computed per year (a year holding a third of the rows is
-    still cut into ``n_blocks`` balanced blocks; by default as many as the largest
-    year needs at ROWS_PER_BLOCK rows). ``narrow`` (a frame with the same
-    rows holding at least the order columns and ``flag``, e.g. the table before its
-    dimension joins) keeps the side computations off the wide plan.
+    ``df`` comes from :func:`in_order` (it has ``_at``) or is put in order here. The wide
+    rows are hash-partitioned by block; the chunks ``(group, block)`` and the running
+    count's blocks both live inside one such partition, so both windows use that one
+    exchange. Only the first ``k - 1`` (``k`` when lagged) rows of each chunk need rows
+    of earlier chunks: a narrow pass finds every chunk's heads and tails and recomputes
+    the heads' statistics on that small table (<= 2h rows per chunk), joined back by
+    place. The running count adds a prefix offset from the small table of per-block
+    counts. Blocks have ``rows_per_block`` rows exactly, whatever the key's distribution.
+    ``narrow`` (the ordered table before its dimension joins) keeps the side
+    computations off the wide plan.
     """
-    ocol, key = order
+    d = df if "_at" in df.columns else in_order(df, list(order))
+    rows = rows_per_block or ROWS_PER_BLOCK
     h = max(windows) if lagged else max(windows) - 1
-    narrow = df if narrow is None else narrow
-    if bounds_table is None:
-        n_blocks = n_blocks or blocks_for(narrow, [ocol])
-        gb = group_bounds(narrow.select(ocol, key), ocol, key, n_blocks).cache()
-        gb.count()
-        _CACHED.append(gb)
-    else:
-        gb = bounds_table
-    d = df.join(F.broadcast(gb), ocol).withColumn("_blk", block_in(key)).drop("_bounds")
-    base_cols = [c for c in d.columns if c != "_blk"]
+    nb = (d if narrow is None else narrow).select(group, "_at", value, flag).withColumn("_blk", block_start(rows))
+    base_cols = [c for c in d.columns if c != "_at"]
     out_cols = [f"{prefix}_{s}_{k}" for k in windows for s in ("mean", "std")]
     if lagged:
         out_cols += [f"{prefix}_lag_{s}_{k}" for k in windows for s in ("mean", "std")]
@@ -131,117 +140,120 @@ def ordered_features(df: DataFrame, group: str, value: str, flag: str, windows=(
                 cols.append(F.stddev_samp(value).over(f).alias(f"{prefix}_lag_std_{k}"))
         return cols
 
-    # 1) narrow pass (group, order, key, value): chunk heads and tails -> exact
-    #    statistics for the first h rows of every chunk. Small (<= 2h rows per chunk).
-    w_chunk = Window.partitionBy(group, ocol, "_blk").orderBy(ocol, key)
-    w_all = Window.partitionBy(group, ocol, "_blk")
-    nb = narrow.select(group, ocol, key, value, flag).join(F.broadcast(gb), ocol) \
-        .withColumn("_blk", block_in(key)).drop("_bounds")
-    nw = nb.select(group, ocol, key, value, F.row_number().over(w_chunk).alias("_rn"),
-                   F.count(F.lit(1)).over(w_all).alias("_cnt"))
+    # 1) narrow pass: chunk heads and tails -> exact statistics for the first h rows of every chunk. Small (<= 2h rows per chunk).
+    w_chunk = Window.partitionBy(group, "_blk").orderBy("_at")
+    w_all = Window.partitionBy(group, "_blk")
+    nw = nb.select(group, "_at", value, F.row_number().over(w_chunk).alias("_rn"), F.count(F.lit(1)).over(w_all).alias("_cnt"))
     edge = nw.where((F.col("_rn") <= h) | (F.col("_rn") > F.col("_cnt") - h))
-    w_grp = Window.partitionBy(group).orderBy(ocol, key)
-    fixed = (edge.select(key, "_rn", *stats(w_grp)).where(F.col("_rn") <= h)
-             .select(key, *[F.col(c).alias(f"_f_{c}") for c in out_cols])).cache()
+    w_grp = Window.partitionBy(group).orderBy("_at")
+    fixed = (edge.select("_at", "_rn", *stats(w_grp)).where(F.col("_rn") <= h)
+             .select("_at", *[F.col(c).alias(f"_f_{c}") for c in out_cols])).cache()
     fixed.count()
     _CACHED.append(fixed)
-    # small table: one row per (year, block) -> exclusive prefix sums of the flag
-    per = nb.groupBy(ocol, "_blk").agg(F.sum(F.col(flag).cast("long")).alias("_c"))
-    wp = Window.orderBy(ocol, "_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select(ocol, "_blk", F.coalesce(F.sum("_c").over(wp), F.lit(0)).alias("_off"))
-    # 2) the single shuffle of the wide rows: in-chunk statistics and in-block running
-    #    sum; the first h rows of each chunk take the fixed values (small join).
-    w_yb = Window.partitionBy(ocol, "_blk").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    wd = (d.repartition(ocol, "_blk")
-          .select(*base_cols, "_blk", F.sum(F.col(flag).cast("long")).over(w_yb).alias("_loc"))
-          .select(*base_cols, "_blk", "_loc", *stats(w_chunk), F.row_number().over(w_chunk).alias("_rn")))
-    out = wd.join(fixed, key, "left").join(offs, [ocol, "_blk"])
+    # small table: one row per block -> exclusive prefix sums of the flag
+    offs = before(nb.groupBy("_blk").agg(F.sum(F.col(flag).cast("long")).alias("_off")), ["_off"])
+    # 2) the shuffle of the wide rows: in-chunk statistics and in-block running sum; the first h rows of each chunk take the
+    #    fixed values (small join).
+    w_blk = Window.partitionBy("_blk").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    wd = (d.withColumn("_blk", block_start(rows)).repartition("_blk")
+          .select(*base_cols, "_at", "_blk", F.sum(F.col(flag).cast("long")).over(w_blk).alias("_loc"))
+          .select(*base_cols, "_at", "_blk", "_loc", *stats(w_chunk), F.row_number().over(w_chunk).alias("_rn")))
+    out = wd.join(fixed, "_at", "left").join(offs, "_blk")
     return out.select(*base_cols,
                       *[F.when(F.col("_rn") <= h, F.col(f"_f_{c}")).otherwise(F.col(c)).alias(c) for c in out_cols],
                       (F.col("_off") + F.col("_loc")).alias(count_out))
 
 
-def _in_buckets(base: DataFrame, st: DataFrame, gk: list[str], buckets: int) -> DataFrame:
-    """One pass over the values: per group and target the values of every bucket of the open bracket, with the bucket's
-    smallest and largest value. Equal-width buckets; the ends of the bracket are in the first and the last one."""
-    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
-    at = F.floor((x - lo) / (hi - lo) * buckets)
-    b = F.when(x == lo, 0).when(x == hi, buckets - 1).when(F.isnan((x - lo) / (hi - lo)), 1) \
-        .otherwise(F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1))).cast("int")
-    return base.join(st, gk).where((x >= lo) & (x <= hi)).groupBy(*gk, "_q", b.alias("_b")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-
-
-def _narrowed(h: DataFrame, st: DataFrame, gk: list[str]) -> DataFrame:
-    """The brackets after a pass: the bucket of rank k and that of rank k + 1. In one bucket, its smallest and largest
-    value are the new bracket (equal values collapse into one number); in two, both values are known."""
-    w = Window.partitionBy(*gk, "_q").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    c = h.withColumn("_bef", F.coalesce(F.sum("_c").over(w), F.lit(0))).join(
-        st.select(*gk, "_q", "_rank0", "_rank1", "_below"), [*gk, "_q"])
-    upto = F.col("_below") + F.col("_bef")
-    has0 = (upto <= F.col("_rank0")) & (F.col("_rank0") < upto + F.col("_c"))
-    has1 = (upto <= F.col("_rank1")) & (F.col("_rank1") < upto + F.col("_c"))
-    new = c.where(has0 | has1).groupBy(*gk, "_q", "_rank0", "_rank1").agg(
-        F.max(F.when(has0, F.col("_mn"))).alias("_mn0"), F.max(F.when(has0, F.col("_mx"))).alias("_mx0"),
-        F.max(F.when(has1, F.col("_mn"))).alias("_mn1"), F.max(F.when(has0, upto)).alias("_below"),
-        F.max(F.when(has0, F.col("_c"))).alias("_in"), F.count(F.lit(1)).alias("_two"))
-    # a value is known if its bucket holds one distinct value, or is the edge that the other rank's bucket leaves
-    two = F.col("_two") > 1
-    v0 = F.when(two, F.col("_mx0")).when(F.col("_mn0") == F.col("_mx0"), F.col("_mn0"))
-    v1 = F.when(two, F.col("_mn1")).when(F.col("_mn0") == F.col("_mx0"), F.col("_mn0"))
-    return new.select(*gk, "_q", "_rank0", "_rank1", F.col("_mn0").alias("_lo"), F.col("_mx0").alias("_hi"), "_below", "_in",
-                      v0.alias("_v0"), v1.alias("_v1"))
-
-
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-                    max_collect: int = 2000, buckets: int = 1024) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas/DuckDB ``quantile_cont``) per group, in bounded memory whatever the
-    group size, the same way at every size.
-
-    1. One aggregation: count, min, max per group; the bracket of every target rank is [min, max].
-    2. While a bracket holds more than ``max_collect`` values: one pass counts, for all groups and targets at once, the
-       values in equal-width buckets of their brackets (summed before the shuffle). The bucket of the rank, tightened to
-       its smallest and largest value, is the next bracket, so a mass of ties is one number after one pass and the
-       counts are exact in every round: nothing is sampled, so no rank can be missed.
-    3. The at most ``max_collect`` values of each open bracket are sorted and the two order statistics picked.
-    The state has one row per group and target and is checkpointed to the shared folder each round; the driver only
-    sees the largest bracket. NULL/NaN values are ignored. Output: keys + one column per entry of ``qs``.
+# ---------------------------------------------------------------- quantiles
+_ONE = 1 << 52
+_LEAST_NORMAL, _HALF_WAY = 2.0 ** -1022, 2.0 ** 537
+
+
+def order_key(x: Column) -> Column:
+    """A 64-bit integer that orders like the double ``x`` (not NULL or NaN): its bits without sign, negated below zero.
+
+    Exponent and fraction are taken by exact arithmetic on powers of two; -0.0 and 0.0 are one key.
+    """
+    a = F.abs(x)
+    guess = F.floor(F.log2(a))
+    two = lambda e: F.pow(F.lit(2.0), e)
+    exact = guess + (a >= two(guess + 1)).cast("long") - (a < two(guess)).cast("long")
+    normal = (exact + 1023) * _ONE + ((a / two(exact) - 1) * float(_ONE)).cast("long")
+    bits = F.when(a < _LEAST_NORMAL, (a * _HALF_WAY * _HALF_WAY).cast("long")) \
+        .when(a == float("inf"), F.lit(2047 * _ONE)).otherwise(normal)
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+def key_value(key: Column) -> Column:
+    """The double of an :func:`order_key`."""
+    bits = F.abs(key)
+    e, m = F.shiftright(bits, 52), bits.bitwiseAND(F.lit(_ONE - 1)).cast("double")
+    a = F.when(e == 2047, F.lit(float("inf"))).when(e == 0, m * 2.0 ** -1074).otherwise((1 + m / float(_ONE)) * F.pow(F.lit(2.0), e - 1023))
+    return F.when(key < 0, -a).otherwise(a)
+
+
+def order_statistics(base: DataFrame, gk: list[str], qs: list[float], digit: int = 16) -> tuple[DataFrame, int]:
+    """The two order statistics around each quantile of ``_k`` (order keys) per group, and the passes over ``base`` it took.
+
+    One pass counts keys by their leading ``digit`` bits, for all groups and targets at once, with the smallest and largest
+    key of each cell (summed before the shuffle). The cell of a rank is its bracket; the next pass counts only keys in open
+    brackets by ``digit`` more bits. A cell with one distinct key is known, so ties end early, and after 64 bits every cell
+    is: at most 64 / ``digit`` passes for any distribution. Cells of a bracket number at most 2**``digit``; the state has one
+    row per group and rank and is written to the shared folder, the driver sees its size only. Rows (group keys, _q, _w: lower or
+    upper rank, _f: weight of the upper, _mn = _mx: the key).
+    """
+    shift = 64 - digit
+    count = [F.count(F.lit(1)).alias("_c"), F.min("_k").alias("_mn"), F.max("_k").alias("_mx")]
+    cells = base.groupBy(*gk, F.shiftright("_k", shift).alias("_p")).agg(*count)
+    whole = Window.partitionBy(*gk)
+    cells = cells.withColumn("_below", F.coalesce(F.sum("_c").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
+        .withColumn("_n", F.sum("_c").over(whole))
+
+    def target(i: int, p: float, upper: int) -> Column:
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        low = F.floor(at)
+        rank = F.least(low + 1, F.col("_n") - 1) if upper else low
+        return F.struct(F.lit(i).alias("_q"), F.lit(upper).alias("_w"), rank.alias("_rank"), (at - low).alias("_f"))
+
+    ranks = F.array(*[target(i, p, w) for i, p in enumerate(qs) for w in (0, 1)])
+    here = F.filter(ranks, lambda t: (t["_rank"] >= F.col("_below")) & (t["_rank"] < F.col("_below") + F.col("_c")))
+    state = written(cells.where(F.size(here) > 0).select(*gk, F.inline(here), "_p", "_below", "_mn", "_mx"), "ranks")
+    passes, cols = 1, [*gk, "_q", "_w", "_rank", "_f", "_p", "_below", "_mn", "_mx"]
+    while shift:
+        size, open_ = state.agg(F.count(F.lit(1)), F.count(F.when(F.col("_mn") < F.col("_mx"), 1))).first()
+        if not open_:
+            break
+        todo = state.where("_mn < _mx")
+        brackets = todo.select(*gk, "_p").distinct()
+        inside = base.withColumn("_p", F.shiftright("_k", shift)).join(F.broadcast(brackets) if size <= BROADCAST_ROWS else brackets, [*gk, "_p"])
+        shift = max(0, shift - digit)
+        cells = inside.groupBy(*gk, "_p", F.shiftright("_k", shift).alias("_next")).agg(*count)
+        upto = Window.partitionBy(*gk, "_p").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("_add", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+        first = F.col("_below") + F.col("_add")
+        found = todo.drop("_mn", "_mx").join(cells, [*gk, "_p"]).where((F.col("_rank") >= first) & (F.col("_rank") < first + F.col("_c"))) \
+            .select(*gk, "_q", "_w", "_rank", "_f", F.col("_next").alias("_p"), first.alias("_below"), "_mn", "_mx")
+        state = written(state.where("_mn = _mx").select(*cols).unionByName(found.select(*cols)), "ranks")
+        passes += 1
+    return state, passes
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], digit: int = 16) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas/DuckDB ``quantile_cont``) per group by radix selection: bounded memory
+    and at most 64 / ``digit`` passes whatever the groups' sizes and distributions (see :func:`order_statistics`).
+
+    NULL/NaN values and NULL groups are ignored. Output: keys + one column per entry of ``qs``.
     """
-    from ..session import shared_dir
-    shared_dir(df.sparkSession)  # checkpoints go to the shared folder
     gk = list(keys) if keys else ["_g"]
-    base = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_x"))
-    if not keys:
-        base = base.withColumn("_g", F.lit(0))
+    base = df.select(*[F.col(k) for k in keys], *([] if keys else [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_x"))
     base = base.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     for k in keys:
         base = base.where(F.col(k).isNotNull())
-    targets = F.array(*[F.struct(F.lit(i).alias("_q"), F.lit(float(q)).alias("_p")) for i, q in enumerate(qs.values())])
-    empty = F.lit(None).cast("double")
-    st = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_in"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")) \
-        .select("*", F.inline(targets)) \
-        .withColumn("_rank0", F.floor(F.col("_p") * (F.col("_in") - 1))) \
-        .withColumn("_f", F.col("_p") * (F.col("_in") - 1) - F.col("_rank0"))
-    st = st.select(*gk, "_q", "_f", "_rank0", F.least(F.col("_rank0") + 1, F.col("_in") - 1).alias("_rank1"), "_lo", "_hi",
-                   F.lit(0).cast("long").alias("_below"), "_in", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(empty).alias("_v0"),
-                   F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(empty).alias("_v1")).checkpoint(eager=True)
-    frac = st.select(*gk, "_q", "_f")
-    st = st.drop("_f")
-    wide = F.col("_v0").isNull() & (F.col("_in") > max_collect)
-    while st.where(wide).limit(1).count():
-        # only the brackets that are too wide are counted again, the others wait
-        now = _narrowed(_in_buckets(base, st.where(wide).select(*gk, "_q", "_lo", "_hi"), gk, buckets), st.where(wide), gk)
-        st = st.where(~wide).unionByName(now.select(*st.columns)).checkpoint(eager=True)
-    x = F.col("_x")
-    open_ = st.where("_v0 is null")
-    rest = base.join(open_.select(*gk, "_q", "_lo", "_hi"), gk).where((x >= F.col("_lo")) & (x <= F.col("_hi"))) \
-        .groupBy(*gk, "_q").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
-    j = st.join(rest, [*gk, "_q"], "left").join(frac, [*gk, "_q"])
-
-    def pick(rank: str) -> Column:
-        return F.try_element_at("_xs", (F.col(rank) - F.col("_below") + 1).cast("int"))
-
-    v0, v1 = F.coalesce("_v0", pick("_rank0")), F.coalesce("_v1", pick("_rank1"))
-    j = j.withColumn("_v", F.when(F.col("_f") > 0, v0 + F.col("_f") * (v1 - v0)).otherwise(v0))
-    return j.groupBy(*gk).agg(*[F.max(F.when(F.col("_q") == i, F.col("_v"))).alias(nm) for i, nm in enumerate(qs)]) \
-        .select(*keys, *qs)
+    state, _ = order_statistics(base.select(*gk, order_key(F.col("_x")).alias("_k")), gk, list(qs.values()), digit)
+    v = key_value(F.col("_mn"))
+
+    def quantile(i: int) -> Column:
+        low, high, f = (F.max(F.when((F.col("_q") == i) & (F.col("_w") == w), c)) for w, c in ((0, v), (1, v), (0, F.col("_f"))))
+        return F.when((f > 0) & (low != high), low + f * (high - low)).otherwise(low)
+
+    return state.groupBy(*gk).agg(*[quantile(i).alias(nm) for i, nm in enumerate(qs)]).select(*keys, *qs)

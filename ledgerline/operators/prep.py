@@ -2,9 +2,8 @@
 
 Fitted statistics (medians, means, level lists) are small per-column values; they
 are computed by distributed aggregations and applied as column expressions.
-Ranks inside a class or over the whole table use the two-phase block method
-(counts per block -> prefix offsets -> in-block row number), never a
-single-partition window over rows.
+Ranks inside a class or over the whole table come from a prefix scan over range
+partitions (ordered.numbered), never from a single-partition window over rows.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scalars
-from .ordered import block_in, block_of, blocks_for, exact_quantiles, group_bounds, key_bounds
+from .ordered import before, block_start, exact_quantiles, in_order, numbered
 
 # Model inputs. The rolling statistics are the lagged ones (previous deals only) and
 # the group-mean blends leave the row out: the source's versions contain the target
@@ -83,19 +82,9 @@ def prep_tree(df: DataFrame, num: dict, levels: dict, keep: list[str], missing:
 
 
 # ------------------------------------------------------------------ ranks, M3-M5
-def rank_within(df: DataFrame, part: list[str], order: str, out: str = "rank0", n_blocks: int | None = None) -> DataFrame:
-    """0-based rank of ``order`` inside each ``part`` group (ties broken by the
-    order value itself; pass a unique key). Two-phase: per (part, block) counts,
-    prefix offsets on that small table, row number inside (part, block)."""
-    bounds = key_bounds(df, order, n_blocks or blocks_for(df, part))
-    d = df.withColumn("_blk", block_of(order, bounds))
-    per = d.groupBy(*part, "_blk").agg(F.count(F.lit(1)).alias("_c"))
-    w = (Window.partitionBy(*part) if part else Window.partitionBy()).orderBy("_blk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offs = per.select(*part, "_blk", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    loc = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*part, "_blk").orderBy(order)))
-    return loc.join(offs, [*part, "_blk"]).withColumn(out, F.col("_off") + F.col("_rn") - 1).drop(
-        "_blk", "_off", "_rn")
+def rank_within(df: DataFrame, part: list[str], order: str, out: str = "rank0") -> DataFrame:
+    """0-based rank of ``order`` inside each ``part`` group (pass a unique key, or one whose ties don't matter)."""
+    return numbered(df, part, [order], out)
 
 
 def hash_order(key: str, seed: int = 42) -> Column:
@@ -120,28 +109,18 @@ def folds_stratified(df: DataFrame, label: str, k: int = 5, key: str = "deal_id"
     return rank_within(d, [label], "_h", "_r").withColumn("fold", (F.col("_r") % k).cast("int")).drop("_h", "_r")
 
 
-def row_index(df: DataFrame, order=("year", "deal_id"), out: str = "position", n_blocks: int | None = None) -> DataFrame:
-    """0-based global position in (year, key) order (two-phase, no global sort;
-    block cut points per year)."""
-    ocol, key = order
-    gb = group_bounds(df.select(ocol, key), ocol, key, n_blocks or blocks_for(df, [ocol]))
-    d = df.join(F.broadcast(gb), ocol).withColumn("_blk", block_in(key)).drop("_bounds")
-    per = d.groupBy(ocol, "_blk").agg(F.count(F.lit(1)).alias("_c"))
-    offs = per.select(ocol, "_blk", F.coalesce(F.sum("_c").over(
-        Window.orderBy(ocol, "_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    loc = d.withColumn("_rn", F.row_number().over(Window.partitionBy(ocol, "_blk").orderBy(key)))
-    return loc.join(offs, [ocol, "_blk"]).withColumn(out, F.col("_off") + F.col("_rn") - 1).drop(
-        "_blk", "_off", "_rn")
+def row_index(df: DataFrame, order=("year", "deal_id"), out: str = "position") -> DataFrame:
+    """0-based global position in (year, key) order."""
+    return numbered(df, [], list(order), out)
 
 
-def folds_expanding(df: DataFrame, n_splits: int = 5, min_train: int = 20, order=("year", "deal_id"),
-                    n_blocks: int | None = None) -> DataFrame:
+def folds_expanding(df: DataFrame, n_splits: int = 5, min_train: int = 20, order=("year", "deal_id")) -> DataFrame:
     """M5: expanding-window folds on time order (test size n // (n_splits + 1)).
     Adds ``position``, ``test_fold`` (fold whose test block holds the row, NULL if
     none) and ``first_train_fold`` (first fold whose training window holds it).
     Folds whose training window is shorter than ``min_train`` are marked unusable
     via ``first_train_fold`` / ``test_fold`` staying within usable folds only."""
-    d = row_index(df, order, "position", n_blocks)
+    d = row_index(df, order, "position")
     n = scalars(d.agg(F.count(F.lit(1)).alias("n")))["n"]
     j = d.withColumn("_n", F.lit(n).cast("long"))
     ts = F.floor(F.col("_n") / (n_splits + 1))
@@ -179,15 +158,11 @@ def score_groups(pred: DataFrame, label: str, score: str) -> DataFrame:
         F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
 
 
-def _desc_prefix(sg: DataFrame, n_blocks: int | None = None) -> DataFrame:
-    """Exclusive prefix sums of pos/neg over descending score (two-phase)."""
-    bounds = key_bounds(sg, "score", n_blocks or blocks_for(sg))
-    d = sg.withColumn("_blk", block_of("score", bounds))
-    per = d.groupBy("_blk").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    wo = Window.orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select("_blk", F.coalesce(F.sum("_p").over(wo), F.lit(0)).alias("_po"),
-                      F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_no"))
-    wl = Window.partitionBy("_blk").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+def _desc_prefix(sg: DataFrame, rows_per_block: int | None = None) -> DataFrame:
+    """Exclusive prefix sums of pos/neg over descending score: inside blocks, and over the blocks' totals."""
+    d = in_order(sg, [F.desc("score")]).withColumn("_blk", block_start(rows_per_block) if rows_per_block else block_start())
+    offs = before(d.groupBy("_blk").agg(F.sum("pos").alias("_po"), F.sum("neg").alias("_no")), ["_po", "_no"])
+    wl = Window.partitionBy("_blk").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     loc = d.select("*", F.coalesce(F.sum("pos").over(wl), F.lit(0)).alias("_pl"),
                    F.coalesce(F.sum("neg").over(wl), F.lit(0)).alias("_nl"))
     return loc.join(offs, "_blk").select("score", "pos", "neg", (F.col("_po") + F.col("_pl")).alias("pos_above"),

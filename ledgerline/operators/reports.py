@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import HHI_BAND_LABELS, HHI_BANDS, MONTH_NAMES, Preset
 from ..functions import scalar as S
 from .common import scalars
-from .ordered import exact_quantiles
+from .ordered import exact_quantiles, numbered
 
 
 def money_sum(col: str = "amount", alias: str = "total"):
@@ -313,23 +313,16 @@ def donut_label_position(f: DataFrame) -> DataFrame:
 
 
 def category_code_table(f: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, level, code) for each coded column."""
-    from .features import level_codes
-    parts = [level_codes(f, c).select(F.lit(c).alias("column_name"), F.col(c).alias("level"),
-                                      F.col(f"{c}_code").alias("code")) for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(column, level, code) for each coded column; codes by the levels' sorted order."""
+    levels = f.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column_name", "level") \
+        .where(F.col("level").isNotNull()).distinct()
+    return numbered(levels, ["column_name"], ["level"], "code").withColumn("code", F.col("code").cast("int"))
 
 
 # ---------------------------------------------------------------- sorts / sets
-def row_positions(f: DataFrame, n_blocks: int | None = None) -> DataFrame:
-    """L1: global position (1-based) of each deal in (year, deal_id) order:
-    per-(year, block) counts -> prefix offsets + in-block row number (blocks cut
-    per year; no global single-partition sort of the rows)."""
-    from .prep import row_index
-    return row_index(f.select("deal_id", "year"), ("year", "deal_id"), "position", n_blocks).select(
+def row_positions(f: DataFrame) -> DataFrame:
+    """L1: global position (1-based) of each deal in (year, deal_id) order by a prefix scan over range partitions."""
+    return numbered(f.select("deal_id", "year"), [], ["year", "deal_id"], "position").select(
         "deal_id", "year", (F.col("position") + 1).alias("position"))
 
 
@@ -343,8 +336,7 @@ def calendar_order(f: DataFrame) -> DataFrame:
 
 def level_table(f: DataFrame, col: str) -> DataFrame:
     """(col, level): 0-based position of each distinct value in sorted order; stays a DataFrame however many there are."""
-    return f.select(col).where(F.col(col).isNotNull()).distinct().select(
-        col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias("level"))
+    return numbered(f.select(col).where(F.col(col).isNotNull()).distinct(), [], [col], "level").withColumn("level", F.col("level").cast("int"))
 
 
 def dummy_encode(f: DataFrame, col: str, keep: list[str], most: int = 1000) -> DataFrame:

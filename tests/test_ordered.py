@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators.ordered import exact_quantiles, ordered_features
+from ledgerline.operators.ordered import before, block_start, exact_quantiles, in_order, key_value, numbered, order_key, order_statistics, ordered_features
 
 
 def brute_rolling(pdf, k):
@@ -14,8 +14,8 @@ def brute_rolling(pdf, k):
             g.transform(lambda s: s.rolling(k, min_periods=1).std()))
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 16])
-def test_ordered_features_match_brute_force(spark, blocks):
+@pytest.mark.parametrize("rows", [1000, 40, 7])
+def test_ordered_features_match_brute_force(spark, rows):
     rng = np.random.default_rng(7)
     n = 400
     pdf = pd.DataFrame({
@@ -27,7 +27,7 @@ def test_ordered_features_match_brute_force(spark, blocks):
     pdf.loc[0, "sector"] = "solo"                                   # single-row sector: std NULL
     pdf["post"] = (pdf["year"] >= 2004).astype(int)
     df = spark.createDataFrame(pdf)
-    out = ordered_features(df, "sector", "amount", "post", (2, 3), n_blocks=blocks).toPandas()
+    out = ordered_features(df, "sector", "amount", "post", (2, 3), rows_per_block=rows).toPandas()
     out = out.set_index("deal_id").loc[pdf.sort_values(["year", "deal_id"])["deal_id"]]
     srt = pdf.sort_values(["year", "deal_id"])
     for k in (2, 3):
@@ -47,8 +47,8 @@ def test_ordered_features_match_brute_force(spark, blocks):
     assert np.isnan(out.loc[pdf.loc[0, "deal_id"], "roll_std_2"])
 
 
-@pytest.mark.parametrize("cap", [10, 100000])
-def test_exact_quantiles(spark, cap):
+@pytest.mark.parametrize("digit", [16, 4])
+def test_exact_quantiles(spark, digit):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.normal(0, 1, 3000), np.full(800, 0.25), rng.integers(0, 5, 400)])
     g = np.where(np.arange(len(vals)) % 3 == 0, "x", "y")
@@ -56,56 +56,75 @@ def test_exact_quantiles(spark, cap):
     pdf = pd.DataFrame({"g": g, "v": vals})
     df = spark.createDataFrame(pdf)
     qs = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q70": 0.7, "q99": 0.99}
-    got = exact_quantiles(df, ["g"], "v", qs, cap).toPandas().set_index("g")
+    got = exact_quantiles(df, ["g"], "v", qs, digit).toPandas().set_index("g")
     for key, sub in pdf.groupby("g"):
         for nm, q in qs.items():
             assert got.loc[key, nm] == pytest.approx(np.quantile(sub["v"], q), rel=1e-12, abs=1e-12)
-    glob = exact_quantiles(df, [], "v", {"m": 0.5}, cap).first()["m"]
+    glob = exact_quantiles(df, [], "v", {"m": 0.5}, digit).first()["m"]
     assert glob == pytest.approx(np.quantile(vals, 0.5))
 
 
-@pytest.mark.parametrize("cap", [1, 50])
-def test_exact_quantiles_refinement_rounds(spark, cap):
-    """Force the bucket-refinement rounds (tiny collect cap)."""
+def test_order_keys_are_the_doubles_bits(spark):
+    rng = np.random.default_rng(4)
+    edge = [0.0, 5e-324, 2.0 ** -1022, np.nextafter(2.0 ** -1022, 0), 1.0, np.nextafter(1, 0), np.nextafter(1, 2), 8.0, 1e300,
+            np.finfo(float).max, np.inf, 2.0 ** 1023, np.nextafter(2.0 ** 1023, 0), 1 / 3, 2.0 ** -1074 * 12345]
+    vals = np.concatenate([edge, rng.integers(1, 0x7FF0000000000000, 3000).view(np.float64), 2.0 ** rng.integers(-1074, 1024, 300).astype(float)])
+    vals = np.concatenate([vals, -vals])
+    df = spark.createDataFrame(pd.DataFrame({"v": vals}))
+    got = df.select("v", order_key(F.col("v")).alias("k")).withColumn("back", key_value(F.col("k"))).toPandas()
+    bits = np.abs(got["v"].to_numpy()).view(np.int64)
+    np.testing.assert_array_equal(got["k"], np.where(got["v"] < 0, -bits, bits))
+    np.testing.assert_array_equal(got["back"], got["v"])
+
+
+def test_at_most_four_passes_for_tails_ties_and_infinities(spark):
     rng = np.random.default_rng(9)
-    vals = np.concatenate([rng.lognormal(3, 1, 4000), np.full(1500, 20.0), rng.integers(0, 3, 500).astype(float)])
-    g = np.where(np.arange(len(vals)) % 4 == 0, "a", "b")
-    pdf = pd.DataFrame({"g": g, "v": vals})
+    vals = {"tail": np.exp(rng.normal(0, 60, 4000)) * rng.choice([-1, 1], 4000), "tie": np.full(3000, 1 / 3),
+            "mixed": np.concatenate([np.full(1500, 20.0), [np.inf, -np.inf, 1e308, -1e308], 20 + rng.random(3000) * 1e-12]),
+            "near": 1 + rng.integers(0, 50, 2000) * 2.0 ** -52}
+    pdf = pd.DataFrame([(g, float(x)) for g, v in vals.items() for x in v], columns=["g", "v"])
     df = spark.createDataFrame(pdf)
-    qs = {"q05": 0.05, "q50": 0.5, "q70": 0.7, "q999": 0.999}
-    got = exact_quantiles(df, ["g"], "v", qs, max_collect=cap, buckets=8).toPandas().set_index("g")
+    qs = {"q0": 0.0, "q05": 0.05, "q50": 0.5, "q999": 0.999, "q1": 1.0}
+    got = exact_quantiles(df, ["g"], "v", qs).toPandas().set_index("g")
     for key, sub in pdf.groupby("g"):
+        v = np.sort(sub["v"].to_numpy())
         for nm, q in qs.items():
-            assert got.loc[key, nm] == pytest.approx(np.quantile(sub["v"], q), rel=1e-12, abs=1e-12)
+            at = q * (len(v) - 1)
+            low, high = v[int(at)], v[min(int(at) + 1, len(v) - 1)]
+            assert got.loc[key, nm] == (low if low == high or at == int(at) else pytest.approx(low + (at - int(at)) * (high - low), rel=1e-12))
+    keys = df.select("g", order_key(F.col("v")).alias("_k"))
+    assert order_statistics(keys, ["g"], list(qs.values()))[1] <= 4
+    assert order_statistics(keys.where("g = 'tie'"), ["g"], [0.5])[1] == 1
 
 
-def test_ties_collapse_instead_of_being_collected(spark):
-    """A tied mass inside a wide range is one number after a pass, whatever the cap."""
-    vals = [-1e6, *[0.0] * 60, 1e6, float("inf"), float("-inf"), float("nan"), None]
+def test_quantiles_of_missing_values_and_groups(spark):
+    vals = [-1e6, *[0.0] * 30, *[-0.0] * 30, 1e6, float("inf"), float("-inf"), float("nan"), None]
     df = spark.createDataFrame([("a", v) for v in vals] + [(None, 1.0)], "g string, v double")
-    got = exact_quantiles(df, ["g"], "v", {"m": 0.5, "lo": 0.0, "hi": 1.0}, max_collect=5).collect()
+    got = exact_quantiles(df, ["g"], "v", {"m": 0.5, "lo": 0.0, "hi": 1.0}).collect()
     assert [(r.g, r.m, r.lo, r.hi) for r in got] == [("a", 0.0, float("-inf"), float("inf"))]
     assert exact_quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
 
 
-def test_blocks_follow_the_rows(spark):
-    from ledgerline.operators.ordered import blocks_for
-    df = spark.range(1000).selectExpr("id % 3 as g", "id")
-    assert blocks_for(df, ["g"], rows=10) == 34 and blocks_for(df, rows=100) == 10 and blocks_for(df) == 4
+def test_ten_thousand_blocks_are_balanced(spark):
+    """Blocks are exact stretches of places, so their number and the key's distribution don't matter."""
+    n = 130_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("deal_id"), F.when(F.col("id") % 10 < 6, 2003).otherwise(F.col("id") % 4 + 2000).alias("year"))
+    d = in_order(df, ["year", "deal_id"]).withColumn("_blk", block_start(10))
+    sizes = d.groupBy("_blk").agg(F.count(F.lit(1)).alias("n"))
+    got = sizes.agg(F.count(F.lit(1)).alias("blocks"), F.max("n").alias("most"), F.sum((F.col("n") < 10).cast("int")).alias("short")).first()
+    parts = d.select(F.shiftright("_at", 33)).distinct().count()
+    assert got.blocks > 10_000 and got.most == 10 and got.short <= parts
+    ahead = before(sizes, ["n"]).join(d.groupBy("_blk").agg(F.min("_at").alias("_at")), "_blk").toPandas().sort_values("_at")
+    np.testing.assert_array_equal(ahead["n"], np.concatenate([[0], np.cumsum(sizes.toPandas().sort_values("_blk")["n"])[:-1]]))
 
 
-def test_hot_year_is_split_into_balanced_blocks(spark):
-    """A year holding most rows is cut into ~n equal blocks by its own cut points."""
-    from ledgerline.operators.ordered import block_in, group_bounds
-    rng = np.random.default_rng(5)
-    n = 20000
-    year = np.where(rng.random(n) < 0.6, 2003, rng.choice([2001, 2002, 2004], n))
-    pdf = pd.DataFrame({"deal_id": rng.permutation(n), "year": year,
-                        "sector": np.where(rng.random(n) < 0.7, "hot", "other")})
-    df = spark.createDataFrame(pdf)
-    gb = group_bounds(df, "year", "deal_id", 16)
-    sizes = (df.join(gb, "year").withColumn("_blk", block_in("deal_id")).groupBy("year", "_blk").count()
-             .toPandas())
-    hot = sizes[sizes["year"] == 2003]["count"]
-    assert len(hot) == 16
-    assert hot.max() <= 1.3 * (pdf["year"] == 2003).sum() / 16
+def test_positions_in_hot_and_missing_groups(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"k": rng.permutation(3000), "g": rng.choice(["hot", "b", "c"], 3000, p=[0.9, 0.06, 0.04])})
+    df = spark.createDataFrame(pdf).withColumn("g", F.when(F.col("g") != "c", F.col("g")))
+    got = numbered(df, ["g"], ["k"], "p").toPandas()
+    for _, sub in got.groupby("g", dropna=False):
+        assert sub.sort_values("k")["p"].tolist() == list(range(len(sub)))
+    whole = numbered(df, [], [F.desc("k")], "p").toPandas()
+    assert whole.sort_values("k", ascending=False)["p"].tolist() == list(range(3000))
+    assert numbered(df.limit(0), ["g"], ["k"], "p").count() == 0
