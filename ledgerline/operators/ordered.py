@@ -193,7 +193,7 @@ def key_value(key: Column) -> Column:
 
 
 def order_statistics(base: DataFrame, gk: list[str], qs: list[float], digit: int = 16) -> tuple[DataFrame, int]:
-    """The two order statistics around each quantile of ``_k`` (order keys) per group, and the passes over ``base`` it took.
+    """The two order statistics around each quantile of ``_key`` (order keys) per group, and the passes over ``base`` it took.
 
     One pass counts keys by their leading ``digit`` bits, for all groups and targets at once, with the smallest and largest
     key of each cell (summed before the shuffle). The cell of a rank is its bracket; the next pass counts only keys in open
@@ -203,8 +203,8 @@ def order_statistics(base: DataFrame, gk: list[str], qs: list[float], digit: int
     upper rank, _f: weight of the upper, _mn = _mx: the key).
     """
     shift = 64 - digit
-    count = [F.count(F.lit(1)).alias("_c"), F.min("_k").alias("_mn"), F.max("_k").alias("_mx")]
-    cells = base.groupBy(*gk, F.shiftright("_k", shift).alias("_p")).agg(*count)
+    count = [F.count(F.lit(1)).alias("_c"), F.min("_key").alias("_mn"), F.max("_key").alias("_mx")]
+    cells = base.groupBy(*gk, F.shiftright("_key", shift).alias("_p")).agg(*count)
     whole = Window.partitionBy(*gk)
     cells = cells.withColumn("_below", F.coalesce(F.sum("_c").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
         .withColumn("_n", F.sum("_c").over(whole))
@@ -225,9 +225,9 @@ def order_statistics(base: DataFrame, gk: list[str], qs: list[float], digit: int
             break
         todo = state.where("_mn < _mx")
         brackets = todo.select(*gk, "_p").distinct()
-        inside = base.withColumn("_p", F.shiftright("_k", shift)).join(F.broadcast(brackets) if size <= BROADCAST_ROWS else brackets, [*gk, "_p"])
+        inside = base.withColumn("_p", F.shiftright("_key", shift)).join(F.broadcast(brackets) if size <= BROADCAST_ROWS else brackets, [*gk, "_p"])
         shift = max(0, shift - digit)
-        cells = inside.groupBy(*gk, "_p", F.shiftright("_k", shift).alias("_next")).agg(*count)
+        cells = inside.groupBy(*gk, "_p", F.shiftright("_key", shift).alias("_next")).agg(*count)
         upto = Window.partitionBy(*gk, "_p").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
         cells = cells.withColumn("_add", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
         first = F.col("_below") + F.col("_add")
@@ -249,7 +249,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     base = base.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     for k in keys:
         base = base.where(F.col(k).isNotNull())
-    state, _ = order_statistics(base.select(*gk, order_key(F.col("_x")).alias("_k")), gk, list(qs.values()), digit)
+    state, _ = order_statistics(base.select(*gk, order_key(F.col("_x")).alias("_key")), gk, list(qs.values()), digit)
     v = key_value(F.col("_mn"))
 
     def quantile(i: int) -> Column:

@@ -92,7 +92,7 @@ def test_at_most_four_passes_for_tails_ties_and_infinities(spark):
             at = q * (len(v) - 1)
             low, high = v[int(at)], v[min(int(at) + 1, len(v) - 1)]
             assert got.loc[key, nm] == (low if low == high or at == int(at) else pytest.approx(low + (at - int(at)) * (high - low), rel=1e-12))
-    keys = df.select("g", order_key(F.col("v")).alias("_k"))
+    keys = df.select("g", order_key(F.col("v")).alias("_key"))
     assert order_statistics(keys, ["g"], list(qs.values()))[1] <= 4
     assert order_statistics(keys.where("g = 'tie'"), ["g"], [0.5])[1] == 1
 
