@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prep as P
+from .shapley import Tree, credits
 
 # Two values on every axis; each setting x fold is one distributed fit. Pass larger grids for wider searches.
 REG_GRID = {
@@ -257,68 +258,39 @@ def tree_weights(model) -> list[float]:
     return [w / sum(weights) for w in weights] if isinstance(model, RandomForestRegressionModel) else weights
 
 
-def tree_nodes(model) -> list[dict]:
-    """Nodes of a fitted tree-ensemble model, read back from the model's saved
-    ``data`` folder as a DataFrame (treeID, id, prediction, children, split)."""
+def tree_tables(model) -> list[Tree]:
+    """Trees of a fitted ensemble with their covers (training weight by node), read back from the model's saved ``data``
+    folder: a bounded number of nodes."""
     import uuid
     from ..session import shared_dir
     from pyspark.sql import SparkSession
     ss = SparkSession.getActiveSession()
     path = f"{shared_dir(ss)}/model-{uuid.uuid4().hex[:10]}"
     model.write().overwrite().save(path)
+    node = F.col("nodeData")
     nodes = ss.read.parquet(f"{path}/data").select(
-        "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("prediction"),
-        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"),
-        F.col("nodeData.split.numCategories").alias("ncat"))
-    return [r.asDict() for r in nodes.collect()]
-
-
-def _paths(model, names: list[str], tree_weights: list[float]):
-    """A function from a feature matrix to (phi, base): along each tree's decision path, the change of node expectation
-    at a split is credited to the split feature. The tree tables are bounded by the model size."""
-    import numpy as np
+        "treeID", node["id"].alias("id"), node["prediction"].alias("value"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
+        node["split.featureIndex"].alias("feature"), node["split.leftCategoriesOrThreshold"].alias("thr"),
+        node["split.numCategories"].alias("ncat"), node["impurityStats"][0].alias("cover"))
     trees: dict[int, dict] = {}
-    for n in tree_nodes(model):
+    for n in nodes.collect():
+        if n["left"] >= 0 and n["ncat"] != -1:
+            raise ValueError("categorical splits are not supported")
         trees.setdefault(n["treeID"], {})[n["id"]] = n
-    arrays = []
-    for tid, tree in trees.items():
-        size = max(tree) + 1
-        left, right = np.full(size, -1), np.full(size, -1)
-        feat, thr, pred = np.zeros(size, dtype=int), np.zeros(size), np.zeros(size)
-        for i, nd in tree.items():
-            left[i], right[i], pred[i] = nd["left"], nd["right"], nd["prediction"]
-            if nd["left"] != -1:
-                if nd["ncat"] != -1:
-                    raise ValueError("categorical splits are not supported")
-                feat[i], thr[i] = nd["feature"], nd["thr"][0]
-        arrays.append((tree_weights[tid], left, right, feat, thr, pred))
-    base = sum(w * pred[0] for w, _, _, _, _, pred in arrays)
-
-    def credit(x):
-        phi = np.zeros((len(x), len(names)))
-        for w, left, right, feat, thr, pred in arrays:
-            cur = np.zeros(len(x), dtype=int)
-            idx = np.where(left[cur] != -1)[0]
-            while idx.size:
-                c = cur[idx]
-                f = feat[c]
-                child = np.where(x[idx, f] <= thr[c], left[c], right[c])
-                np.add.at(phi, (idx, f), w * (pred[child] - pred[c]))
-                cur[idx] = child
-                idx = idx[left[child] != -1]
-        return phi, base
-    return credit
-
-
-def attributions(df: DataFrame, model, feature_names: list[str], tree_weights: list[float]) -> DataFrame:
-    """Per-row additive path attributions of a tree ensemble; base = sum of weighted root expectations;
-    sum(phi) + base = prediction. Output: deal_id, feature, phi, base (rows x features; for ranks use
-    attribution_sums)."""
+    out = []
+    for tid, weight in enumerate(tree_weights(model)):
+        by = [trees[tid][i] for i in range(len(trees[tid]))]
+        out.append(Tree(weight, [n["left"] for n in by], [n["right"] for n in by], [n["feature"] for n in by],
+                        [n["thr"][0] if n["left"] >= 0 else 0.0 for n in by], [n["value"] for n in by], [n["cover"] for n in by]))
+    return out
+
+
+def attributions(df: DataFrame, model, feature_names: list[str]) -> DataFrame:
+    """Per-row Shapley values of a tree ensemble; base = its expectation by the trees' covers; sum(phi) + base =
+    prediction. Output: deal_id, feature, phi, base (rows x features; for ranks use attribution_sums)."""
     import numpy as np
     import pandas as pd
-    credit, names = _paths(model, feature_names, tree_weights), list(feature_names)
+    credit, names = credits(tree_tables(model), len(feature_names)), list(feature_names)
 
     def fn(it):
         for pdf in it:
@@ -332,12 +304,12 @@ def attributions(df: DataFrame, model, feature_names: list[str], tree_weights: l
         fn, "deal_id long, feature string, phi double, base double")
 
 
-def attribution_sums(df: DataFrame, model, feature_names: list[str], tree_weights: list[float]) -> DataFrame:
+def attribution_sums(df: DataFrame, model, feature_names: list[str]) -> DataFrame:
     """M13 for rankings: one row per feature and partition with the sum of |phi|, the rows, and, if ``df`` has a
     prediction column, the largest |base + sum(phi) - prediction|."""
     import numpy as np
     import pandas as pd
-    credit, names = _paths(model, feature_names, tree_weights), list(feature_names)
+    credit, names = credits(tree_tables(model), len(feature_names)), list(feature_names)
     has = "prediction" in df.columns
 
     def fn(it):

@@ -238,11 +238,11 @@ def target_balance(f: DataFrame) -> DataFrame:
 
 
 def exact_quantile_report(f: DataFrame) -> DataFrame:
-    """Per-year 0.70 and 0.50 quantiles and the global ones (year NULL)."""
-    per = exact_quantiles(f, ["year"], "amount", {"q50": 0.5, "q70": 0.7})
-    glob = exact_quantiles(f, [], "amount", {"q50": 0.5, "q70": 0.7}).select(
-        F.lit(None).cast("int").alias("year"), "q50", "q70")
-    return per.unionByName(glob).select("year", F.round("q50", 6).alias("q50"), F.round("q70", 6).alias("q70"))
+    """Per-year 0.70 and 0.50 quantiles and the global ones (year NULL), selected together."""
+    both = f.select(F.explode(F.array(F.struct(F.lit(0).alias("all"), F.col("year").alias("y")), F.struct(F.lit(1).alias("all"), F.lit(0).alias("y")))).alias("g"),
+                    "amount").select("g.all", "g.y", "amount")
+    q = exact_quantiles(both, ["all", "y"], "amount", {"q50": 0.5, "q70": 0.7})
+    return q.select(F.when(F.col("all") == 0, F.col("y")).cast("int").alias("year"), F.round("q50", 6).alias("q50"), F.round("q70", 6).alias("q70"))
 
 
 def distinct_levels(f: DataFrame, cols: list[str]) -> DataFrame:

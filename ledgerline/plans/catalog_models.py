@@ -11,6 +11,7 @@ from ..operators import series as SE
 from ..operators.clean import complete_cases
 from ..operators.common import scalars
 from ..operators.features import features
+from ..operators.shapley import Tree, measured_tree, shapley_values
 from ..sources.deals import table
 from . import sql as Q
 from .registry import register
@@ -191,11 +192,11 @@ def _attributed(spark, sf):
 
 @register("feature_attribution")
 def q_feature_attribution(spark, sf):
-    """Per-row additive path attributions of the regression search's winner, refitted on the complete rows, features
+    """Per-row Shapley values of the regression search's winner, refitted on the complete rows, features
     ranked by mean |phi|; tasks return sums, not rows."""
     from pyspark.sql import Window
     full, _, model, names = _attributed(spark, sf)
-    sums = MD.attribution_sums(full, model, names, MD.tree_weights(model)).groupBy("feature").agg(F.sum("abs_phi").alias("a"), F.sum("n").alias("n"))
+    sums = MD.attribution_sums(full, model, names).groupBy("feature").agg(F.sum("abs_phi").alias("a"), F.sum("n").alias("n"))
     imp = sums.select("feature", (F.col("a") / F.col("n")).alias("mean_abs_phi"))
     return imp.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs_phi"), "feature")).cast("int"))
 
@@ -204,10 +205,58 @@ def q_feature_attribution(spark, sf):
 def q_attribution_identity(spark, sf):
     """Base + attributions = prediction on every row (largest rounded error)."""
     _, every, model, names = _attributed(spark, sf)
-    s = MD.attribution_sums(model.transform(every), model, names, MD.tree_weights(model)).where(F.col("feature") == names[0])
+    s = MD.attribution_sums(model.transform(every), model, names).where(F.col("feature") == names[0])
     return s.agg(F.sum("n").alias("n"), F.round(F.max("max_error"), 6).alias("max_error"))
 
 
+#: Two small trees on four columns: (column, threshold, left, right), None a leaf. Each weighs one half.
+_SHAPES = [("year", 1998, ("sector_code", 1, None, ("year", 1996, None, None)), ("region_code", 2, None, ("sector_code", 2, None, None))),
+           ("month", 6, ("region_code", 1, None, ("month", 3, None, None)), ("year", 1997, None, ("region_code", 3, None, None)))]
+_PLAYERS = ["year", "sector_code", "region_code", "month"]
+
+
+def _coalition_sql(shape, tree: int):
+    """(value of the coalition s in SQL, [(condition, leaf number)]) of a shape: splits on columns outside s average by covers."""
+    found: list[tuple[str, int]] = []
+
+    def walk(node, cond):
+        if node is None:
+            found.append((cond, len(found)))
+            return f"v{tree}_{len(found) - 1}", f"n{tree}_{len(found) - 1}"
+        column, t, low, high = node
+        a, na = walk(low, f"{cond} AND {column} <= {t}")
+        b, nb = walk(high, f"{cond} AND {column} > {t}")
+        bit = 1 << _PLAYERS.index(column)
+        return (f"CASE WHEN (s & {bit}) > 0 THEN CASE WHEN {column} <= {t} THEN {a} ELSE {b} END "
+                f"ELSE coalesce((({na}) * ({a}) + ({nb}) * ({b})) / nullif(({na}) + ({nb}), 0), 0) END"), f"{na} + {nb}"
+
+    return walk(shape, "true")[0], found
+
+
+def _shapley_sql():
+    parts = [_coalition_sql(shape, i) for i, shape in enumerate(_SHAPES)]
+    leaf = ", ".join(f"CAST(count(*) FILTER ({c}) AS DOUBLE) AS n{i}_{k}, coalesce(avg(log_amount) FILTER ({c}), 0) AS v{i}_{k}"
+                     for i, (_, found) in enumerate(parts) for c, k in found)
+    val = " + ".join(f"0.5 * ({v})" for v, _ in parts)
+    phi = ", ".join(f"round(sum(CASE WHEN (s & {1 << j}) > 0 THEN val * w_in ELSE -val * w_out END), 6) AS phi_{c}" for j, c in enumerate(_PLAYERS))
+    # a coalition of k players weighs (k-1)!(4-k)!/4! with the player inside, k!(3-k)!/4! without
+    return Q.with_features(f"""SELECT deal_id, {phi}, round(max(CASE WHEN s = 0 THEN val END), 6) AS base, round(max(CASE WHEN s = 15 THEN val END), 6) AS prediction
+FROM (SELECT deal_id, s, {val} AS val, [0, 1/4, 1/12, 1/12, 1/4][bit_count(s) + 1] AS w_in, [1/4, 1/12, 1/12, 1/4, 0][bit_count(s) + 1] AS w_out
+      FROM feat, lf, (SELECT CAST(range AS INTEGER) AS s FROM range(16)) WHERE log_amount IS NOT NULL) GROUP BY deal_id""", PA,
+                           f"lf AS (SELECT {leaf} FROM feat WHERE log_amount IS NOT NULL)")
+
+
+@register("shapley_coalitions", _shapley_sql())
+def q_shapley_coalitions(spark, sf):
+    """M13 on two small trees with counted covers and mean log amounts in their leaves: every deal's Shapley values."""
+    f = feat(spark, sf).where(F.col("log_amount").isNotNull()).select("deal_id", "log_amount", *_PLAYERS)
+    trees = []
+    for shape in _SHAPES:
+        t, names = measured_tree(f, shape, "log_amount", 0.5)
+        trees.append(Tree(t.weight, t.left, t.right, [_PLAYERS.index(names[k]) if k >= 0 else -1 for k in t.feature], t.threshold, t.value, t.cover))
+    return _r(shapley_values(f, trees, _PLAYERS, "deal_id"))
+
+
 def _series(spark, sf):
     return SE.monthly_series(feat(spark, sf), "country")
 
