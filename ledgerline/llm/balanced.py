@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from bisect import bisect_right
 from collections import defaultdict
@@ -15,11 +16,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import binary_texts, materialize, python_tasks, table
-from .tokencount import WordTokenizer
+from .tokencount import ODD, WordTokenizer
 
 CAPACITY, END_ID = 2048, 1
 #: Model width at which attention is weighed: a token's linear work is 24 width**2, a pair of tokens costs 4 width.
 WIDTH = 1024
+#: Ids between tasks.
+NARROW = "<u2"
+#: Control characters that the libraries take for white space or not; one of them stands between texts.
+CONTROL = re.compile(b"[\x1c-\x1f]")
 #: Rows of one length that one ranking task takes, and pre-tokens whose ids a task remembers.
 RANK_ROWS, REMEMBERED = 1_000_000, 400_000
 
@@ -31,28 +36,141 @@ def attention_cost(length: int, width: int = WIDTH) -> float:
 
 # ---- tokens ----------------------------------------------------------------------------------------------------
 
+class MarkedBytes:
+    """The word file's merges on marked text: each byte is a character, and another one where it ends a pre-token.
+
+    The file has every byte once inside a word and once at a word's end. With both as characters of their own, many texts
+    are one string whose pre-tokens end at marks, and tiktoken merges them all in one call: bytes of a character first,
+    then by the file's order of merges. A character that no such text has stands between texts.
+    """
+
+    INSIDE, END, LIMIT, BETWEEN, BORDER = 0x100, 0x200, 0x200, 31, chr(0x300)
+
+    def __init__(self, spec: dict) -> None:
+        import tiktoken
+
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        inside = str.maketrans({c: chr(b if b < 0x80 else self.INSIDE + b) for b, c in shown.items()})
+        ending = {c: chr(self.END + b) for b, c in shown.items()}
+        marked = {t: (t[:-5].translate(inside) + ending[t[-5]] if t.endswith("</w>") else t.translate(inside)).encode() for t in spec["model"]["vocab"]}
+        ranks = {bytes([x]): x for x in range(256)}
+        for t in [*(m for t, m in marked.items() if len(t.removesuffix("</w>")) == 1), self.BORDER.encode()]:
+            ranks.setdefault(t, len(ranks))
+        for left, right in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]):
+            ranks.setdefault(marked[left + right], len(ranks))
+        self.border = ranks[self.BORDER.encode()]
+        self.ids = np.zeros(len(ranks), "<u4")
+        for t, i in spec["model"]["vocab"].items():
+            if (k := ranks.get(marked[t])) is not None:
+                self.ids[k] = i
+        self.bpe = tiktoken.Encoding("marked", pat_str="[^\u0200-\u0300 ]*[\u0200-\u02ff]|\u0300", mergeable_ranks=ranks, special_tokens={})
+        # 0 white space, 1 letters, 2 single numbers, 3 the rest, 4 between texts
+        kind = [0 if chr(c).isspace() else 1 if re.match("[^\\W\\d_²³¹¼-¾]", chr(c)) else 2 if re.match("[\\d²³¹¼-¾]", chr(c)) else 3 for c in range(self.LIMIT)]
+        kind[self.BETWEEN] = 4
+        self.kind = np.array(kind, np.int8)
+        # a byte as a character: inside a pre-token, and with 256 more at its end
+        codes = [32 if x < 0x80 and kind[x] == 0 else x if x < 0x80 else self.INSIDE + x for x in range(256)] + [self.END + x for x in range(256)]
+        codes[256 + self.BETWEEN] = ord(self.BORDER)
+        self.codes = np.array(codes, "<u4")
+
+    def marks(self, text: np.ndarray) -> np.ndarray:
+        """Whether a character ends a pre-token: runs of letters, single numbers, runs of the rest, short forms with an apostrophe."""
+        kind = self.kind[text]
+        end = (kind == 2) | (kind == 4)
+        end[:-1] |= kind[:-1] != kind[1:]
+        end[-1] = True
+        end &= kind != 0
+        if len(at := np.flatnonzero(text == 39)):
+            at = at[(at == 0) | (kind[at - 1] != 3)]
+            far = np.append(text, [0, 0])
+            one, two = far[at + 1], far[at + 2]
+            short = np.isin(one, [ord(c) for c in "stmd"])
+            long = (one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+            end[at[short | long]] = False
+            end[at[short] + 1] = True
+            end[at[long] + 2] = True
+        return end
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of lower-cased texts below U+0200 without the character between texts."""
+        text = chr(self.BETWEEN).join(texts)
+        if not text:
+            return [np.zeros(0, "<u4") for _ in texts]
+        raw = np.frombuffer(text.encode(), np.uint8)
+        if text.isascii():
+            code = self.codes[raw + (self.marks(raw).view(np.uint8) * np.uint16(256))]
+        else:
+            points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            last = np.cumsum(1 + (points >= 0x80)) - 1
+            end = np.zeros(len(raw), np.uint16)
+            end[last[self.marks(points)]] = 256
+            code = self.codes[raw + end]
+            wide = last[(points >= 0x80) & (self.kind[points] == 0)]
+            code[wide] = code[wide - 1] = 32
+        found = self.bpe.encode_ordinary(code.tobytes().decode("utf-32-le"))
+        ranks = np.fromiter(found, np.int32, len(found))
+        cuts = np.flatnonzero(ranks == self.border)
+        ids = self.ids[ranks]
+        return [ids[a:b] for a, b in zip(np.append(0, cuts + 1), np.append(cuts, len(ids)))]
+
+
 class WordIds:
-    """Ids of a text without added special tokens; each distinct pre-token goes through the library once."""
+    """Ids of texts without added special tokens, as the library has them. Texts below U+0200 are marked and merged many at
+    once; each distinct pre-token of all others goes through the library once."""
+
+    TOGETHER = 1 << 20
 
     def __init__(self, path: str) -> None:
-        self.words = WordTokenizer(path)
-        self.special = {t.content: i for i, t in self.words.lib.get_added_tokens_decoder().items()}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, self.words = path, None
+        self.fast = MarkedBytes(spec)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.known: dict[str, list[int]] = {}
 
-    def _plain(self, raw: bytes) -> np.ndarray:
-        words = self.words.words(raw)[0] if raw else []
+    def _slow(self, raw: bytes) -> np.ndarray:
+        if self.words is None:
+            self.words = WordTokenizer(self.path)
+        words = self.words.words(raw)[0]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [w for w in set(words) if w not in self.known]
         self.known.update(zip(new, (e.ids for e in self.words.lib.encode_batch_fast(new, add_special_tokens=False))))
         return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), "<u4")
 
-    def ids(self, raw: bytes) -> np.ndarray:
-        if b"<|" not in raw:
-            return self._plain(raw)
-        parts = self.split.split(raw.decode("utf-8"))
-        return np.concatenate([np.array([self.special[p]], "<u4") if k % 2 else self._plain(p.encode()) for k, p in enumerate(parts)])
+    def ids(self, raws: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; short texts are merged together, a bounded number of bytes at once."""
+        out: dict[int, np.ndarray] = {}
+        ready, groups = 0, ([], [])  # ASCII texts, others
+
+        def merge(group: list[tuple[int, str]]) -> None:
+            out.update(zip((k for k, _ in group), self.fast.encode([t for _, t in group])))
+            group.clear()
+
+        waiting = [0, 0]
+        for k, raw in enumerate(raws):
+            if b"<|" in raw and len(parts := self.split.split(raw.decode("utf-8"))) > 1:
+                plain = self.ids([p.encode() for p in parts[::2]])
+                out[k] = np.concatenate([x for p, s in zip(plain, [*parts[1::2], None]) for x in (p, *([np.array([self.special[s]], "<u4")] if s else []))])
+            elif (ascii := raw.isascii()) and not CONTROL.search(raw) or not ascii and np.frombuffer(raw, np.uint8).max() < 0xC8 and not ODD.search(raw) \
+                    and max(raw.decode("utf-8").lower()) < chr(MarkedBytes.LIMIT):
+                groups[ascii].append((k, raw.decode("utf-8").lower()))
+                waiting[ascii] += len(raw)
+                if waiting[ascii] > self.TOGETHER:
+                    merge(groups[ascii])
+                    waiting[ascii] = 0
+            else:
+                out[k] = self._slow(raw)
+            while ready in out:
+                yield out.pop(ready)
+                ready += 1
+        for group in groups:
+            if group:
+                merge(group)
+        for k in range(ready, len(raws)):
+            yield out.pop(k)
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -61,7 +179,8 @@ _LOADED: dict[str, WordIds] = {}
 def token_stretches(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     """row, doc_id, start, length, doc_tokens, ids: each document's ids and the end id, the longer ones every ``capacity`` ids.
 
-    ``row`` tells rows apart: the task and the row's place in it, fixed once the table is written.
+    ``row`` tells rows apart: the task and the row's place in it, fixed once the table is written. ids are 16-bit here:
+    the file has 49,408 tokens.
     """
     schema = "row long, doc_id long, start long, length int, doc_tokens long, ids binary"
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -74,8 +193,8 @@ def token_stretches(docs: DataFrame, path: str, capacity: int, end_id: int) -> D
         tok, row = _LOADED[path], TaskContext.get().partitionId() << 36
         for b in batches:
             out: list[tuple] = []
-            for doc, raw in zip(b.column(0).to_pylist(), binary_texts(b.column(1))):
-                ids = np.append(tok.ids(raw), np.array(end_id, "<u4")).astype("<u4")
+            for doc, ids in zip(b.column(0).to_pylist(), tok.ids(binary_texts(b.column(1)))):
+                ids = np.append(ids, np.array(end_id, "<u4")).astype(NARROW)
                 for at in range(0, len(ids), capacity):
                     part = ids[at:at + capacity]
                     out.append((row, doc, at, len(part), len(ids), part.tobytes()))
@@ -168,7 +287,7 @@ def placed(stretches: DataFrame, where: dict[tuple[int, int], list[Part]]) -> Da
                 at = 0
                 while at < length:
                     first, _, size, sequence, offset = where[length, at][bisect_right(ranks[length, at], rank) - 1]
-                    out.append((doc, start + at, size, tokens, ids[4 * at:4 * (at + size)], sequence + rank - first, offset))
+                    out.append((doc, start + at, size, tokens, np.frombuffer(ids, NARROW, size, 2 * at).astype("<u4").tobytes(), sequence + rank - first, offset))
                     at += size
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
