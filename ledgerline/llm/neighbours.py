@@ -50,12 +50,14 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """The k nearest of one candidate block for each query of one query block, as (query, candidate, cosine).
+    """The k nearest ids of one candidate block for each query of one query block, as (query, candidate, cosine).
 
-    A pair survives if its upper bound reaches the k-th largest lower bound of the block, so no true neighbour is lost.
+    An id counts once, with its best vector. A pair survives if its upper bound reaches the k-th largest of the ids' best
+    lower bounds, so no true neighbour is lost.
     """
     by = np.argsort(cid, kind="stable")
     cid, c = cid[by], c[by]
+    starts = np.flatnonzero(np.append(True, cid[1:] != cid[:-1]))
     cc, cs, _, ce = quantise(c)
     for at in range(0, len(qid), STRIP):
         ids, x = qid[at:at + STRIP], q[at:at + STRIP]
@@ -65,8 +67,10 @@ def tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
         for i, (lo, hi) in enumerate(zip(np.searchsorted(cid, ids, "left"), np.searchsorted(cid, ids, "right"))):
             near[i, lo:hi] = -np.inf
         low = near - slack
-        if len(cid) > k:
-            least = np.partition(low, len(cid) - k, axis=1)[:, len(cid) - k]
+        if len(starts) < len(cid):
+            low = np.maximum.reduceat(low, starts, axis=1)
+        if len(starts) > k:
+            least = np.partition(low, len(starts) - k, axis=1)[:, len(starts) - k]
         else:
             least = np.full(len(ids), -np.inf)
         near += slack
@@ -74,7 +78,9 @@ def tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
             keep = np.flatnonzero((near[i] >= least[i]) & (near[i] > -np.inf))
             if len(keep):
                 exact = cosines(np.broadcast_to(x[i], (len(keep), x.shape[1])), c[keep])
-                for less, j in heapq.nsmallest(k, zip(-exact, cid[keep])):
+                found = cid[keep]
+                first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+                for less, j in heapq.nsmallest(k, zip(-np.maximum.reduceat(exact, first), found[first])):
                     yield int(ids[i]), int(j), float(-less)
 
 
@@ -86,8 +92,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     on several vectors, its best cosine counts. Vectors of different lengths are not compared. Empty input gives an
     empty result.
 
-    Candidates and queries are dealt into blocks of bounded size; every (query block, candidate block) tile is one
-    group, so memory doesn't grow with the data. Tiles give k rows per query, which a window merges.
+    Candidates and queries are dealt into blocks by id and vector, so an id on many vectors is spread; every (query block,
+    candidate block) tile is one group, so memory doesn't grow with the data. Every candidate goes to each query block (an
+    exact block join reads both sides in full). Tiles give k rows per query, which a window merges.
     """
     x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"), is_query.alias("q")) \
         .where("id is not null and size(x) > 0 and forall(x, e -> e is not null and not isnan(e) and abs(e) < double('inf')) and exists(x, e -> e <> 0)") \
@@ -96,9 +103,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     n, n_q = x.agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).first()
     blocks, q_blocks = -(-n // CANDIDATE_BLOCK) or 1, -(-n_q // QUERY_BLOCK) or 1
     dealt = x.withColumn("dim", F.size("x"))
-    cand = dealt.select("id", "x", "dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("cb"),
+    cand = dealt.select("id", "x", "dim", F.pmod(F.xxhash64("id", "x", F.lit(1)), F.lit(blocks)).alias("cb"),
                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"))
-    ask = dealt.where("q").select("id", "x", "dim", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(q_blocks)).alias("qb"),
+    ask = dealt.where("q").select("id", "x", "dim", F.pmod(F.xxhash64("id", "x", F.lit(2)), F.lit(q_blocks)).alias("qb"),
                                   F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("cb"))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
