@@ -17,8 +17,10 @@ from .common import binary_texts, materialize, python_tasks, table
 
 #: Words of a seed, which is also the shortest tile, and the part of a test's words that tiles must cover.
 SEED, COVERAGE = 5, 0.6
-#: Part of a text read at once: bytes; parts overlap by the words of a seed.
+#: Bytes of text hashed at once; a longer text is hashed in parts that end at word breaks.
 CHUNK = 1 << 20
+#: Tasks over which the texts with one seed are spread.
+SALTS = 8
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[i for i in range(128) if not chr(i).isalnum()]] = True
@@ -44,6 +46,23 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return W.word_hashes(flat, start, end), owner
 
 
+def text_words(raw: bytes) -> np.ndarray:
+    """Word hashes of one text of any length; a word longer than a part is hashed whole."""
+    out, at = [], 0
+    flat = np.frombuffer(raw, np.uint8)
+    while at < len(raw):
+        end = at + CHUNK
+        if end < len(raw):
+            breaks = np.flatnonzero(_BREAK[flat[at:end]])
+            while not len(breaks) and end < len(raw):  # inside a word that is longer than the part
+                breaks = np.flatnonzero(_BREAK[flat[end:end + CHUNK]]) + (end - at)
+                end += CHUNK
+            end = at + int(breaks[-1 if breaks[-1] < CHUNK else 0]) + 1 if len(breaks) else len(raw)
+        out.append(hashed_words([raw[at:end]])[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def seed_hashes(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first word) of all seeds that stand in one text."""
     h = W.shingle_hashes(words, SEED)
@@ -134,45 +153,32 @@ def suspicious_fragments(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
     Tiles only hold seeds, so the runs of consecutive seeds are all of a text that tiling needs.
     """
-    def parts(raw: bytes) -> Iterator[bytes]:
-        while len(raw) > CHUNK:
-            cut = raw.rfind(b" ", 0, CHUNK)
-            if cut <= 0:
-                cut = CHUNK
-            back = cut
-            for _ in range(SEED):
-                back = max(raw.rfind(b" ", 0, back), 0)
-            yield raw[:cut]
-            raw = raw[back if back else cut:]
-        yield raw
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         serial = TaskContext.get().partitionId() << 40
         for b in batches:
             ids, raws = b.column(0).to_pylist(), binary_texts(b.column(1))
-            texts, rows = [], []
-            for i, raw in enumerate(raws):
-                for t in parts(plain(raw)):
-                    texts.append(t)
-                    rows.append(i)
+            texts = [plain(raw) for raw in raws]
             found: dict[int, tuple[list, list]] = {}
             at = 0
-            while at < len(texts):  # many texts at once, a bounded number of bytes
+            while at < len(texts):  # many short texts at once, or a long one by itself
                 end, size = at, 0
                 while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
                     size += len(texts[end])
                     end += 1
-                words, owner = hashed_words(texts[at:end])
+                if size > CHUNK:
+                    words = text_words(texts[at])
+                    owner = np.zeros(len(words), np.int64)
+                else:
+                    words, owner = hashed_words(texts[at:end])
                 h, first = seed_hashes(words, owner)
                 hit = maybe_in(bits, h)
                 h, first = h[hit], first[hit]
                 if len(h):
                     new = np.flatnonzero(np.concatenate(([True], (np.diff(first) > 1) | (np.diff(owner[first]) > 0))))
                     for lo, hi in zip(new, np.append(new[1:], len(h))):
-                        row = rows[at + int(owner[first[lo]])]
-                        seeds, frags = found.setdefault(row, ([], []))
+                        seeds, frags = found.setdefault(at + int(owner[first[lo]]), ([], []))
                         seeds.append(h[lo:hi])
                         frags.append(words[first[lo]:first[hi - 1] + SEED].view(np.int64))
                 at = end
@@ -205,9 +211,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     items = materialize(items, "benchmark-items")
     seeds = materialize(benchmark_seeds(items.select("item", "words")).withColumnRenamed("item_id", "item"), "benchmark-seeds")
     texts = materialize(suspicious_fragments(docs, bloom(seeds, "seed")), "fragments")
-    shared = texts.select("key", F.explode("seeds").alias("seed")).join(seeds, "seed")
-    reach = F.explode(F.sequence(F.col("at"), F.col("at") + (SEED - 1)))
-    bound = shared.select("key", "item", reach.alias("word")).groupBy("key", "item").agg(F.count_distinct("word").alias("most"))
+    salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = texts.select("key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"), F.explode("seeds").alias("seed")).join(salted, ["seed", "salt"])
+    # words of the item that its shared seeds cover: each reaches to the next one, SEED words at most
+    starts = F.array_sort(F.collect_set("at"))
+    reach = F.aggregate(starts, F.struct(F.lit(-SEED).alias("last"), F.lit(0).alias("n")), lambda acc, at: F.struct(
+        at.alias("last"), (acc["n"] + F.least(at - acc["last"], F.lit(SEED))).alias("n")))["n"]
+    bound = shared.groupBy("key", "item").agg(reach.alias("most"))
     pairs = bound.join(items, "item").where(F.col("most") >= F.lit(coverage) * F.size("words")) \
         .join(texts.select("key", "doc_id", "fragments"), "key").select("doc_id", "item_id", "words", "fragments")
 
