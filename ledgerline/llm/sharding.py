@@ -9,11 +9,20 @@ from .common import materialize, table
 
 #: Fixed number of virtual slots; never changes with the data or the number of shards.
 N_SLOTS = 4096
+#: Rows of one slot that one ranking task takes.
+RANK_ROWS = 10_000
 
 
-def with_virtual_slot(df: DataFrame, cols: list[str], n_slots: int = N_SLOTS) -> DataFrame:
-    """Adds ``vslot``: a hash of the record's columns. Nulls hash like any value, equal records share a slot."""
-    return df.withColumn("vslot", F.pmod(F.xxhash64(*cols), F.lit(n_slots)).cast("int"))
+def with_virtual_slot(rows: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
+    """Adds ``vslot``, a hash of the text's key, so equal texts share a slot; the rows of a text that alone exceeds the mean
+    load of a shard are hashed one by one.
+
+    Fewer than ``n_shards`` texts can exceed the mean load, so their table is broadcast.
+    """
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    heavy = rows.groupBy("text_key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * n_shards > total).select("text_key", F.lit(True).alias("heavy"))
+    return rows.join(F.broadcast(heavy), "text_key", "left").withColumn(
+        "vslot", F.pmod(F.when(F.col("heavy"), F.xxhash64("text_key", "row")).otherwise(F.xxhash64("text_key")), F.lit(n_slots)).cast("int")).drop("heavy")
 
 
 def slot_totals(rows: DataFrame, size: str = "size") -> DataFrame:
@@ -58,30 +67,35 @@ def rebalance(old: DataFrame, totals: DataFrame, n_shards: int) -> DataFrame:
 
 
 def shard_rows(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
-    """Adds shard and ``slot``, the row's place in its shard without gaps: rows of earlier slots plus the rank in its own.
+    """Adds shard and ``slot``, the row's place in its shard without gaps: rows of earlier slots plus the place in its own.
 
-    ``slot_map`` has one row per virtual slot (a fixed number), so it is broadcast. Ranks are taken inside one slot, a
-    1/4096th of the rows, and only narrow rows are shuffled.
+    ``slot_map`` has one row per virtual slot (a fixed number), so it is broadcast. A slot is ranked in parts of about
+    RANK_ROWS rows by hash, whose counts are added up, so a slot with one text's many copies is no single task.
     """
     place = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slot_map.select("vslot", "shard", F.coalesce(F.sum("n").over(place), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    return rows.withColumn("rank", rank).join(F.broadcast(offsets), "vslot") \
-        .withColumn("slot", F.col("before") + F.col("rank") - 1).drop("before", "rank")
+    offsets = slot_map.select("vslot", "shard", F.coalesce(F.sum("n").over(place), F.lit(0)).alias("before"), F.expr(f"1 + n div {RANK_ROWS}").alias("parts"))
+    dealt = rows.join(F.broadcast(offsets), "vslot").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    earlier = Window.partitionBy("vslot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("c")).select("vslot", "part", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("ahead"))
+    rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "row"))
+    return dealt.withColumn("rank", rank).join(counts, ["vslot", "part"]) \
+        .withColumn("slot", F.col("before") + F.col("ahead") + F.col("rank") - 1).drop("before", "ahead", "rank", "part", "parts")
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """All documents in shards 0 to n_shards - 1 under the law ``bytes``: shard sizes are near equal.
 
     size is the UTF-8 bytes of the text plus 1 (null text: 1); text_crc32 of a null text is that of the empty text.
-    Records hash by doc_id and text, so one doc_id on many rows still spreads unless the rows are the same; repeated
-    rows stay separate rows. Slots' bytes decide version 2 of the stored map. grown_shard is null under this law.
-    Empty input gives an empty result. Only doc_id and text are read.
+    Equal texts are one group and lie in one shard, unless the group alone exceeds the mean load of a shard: the law then
+    splits it. Null counts as the empty text. Repeated rows stay separate rows. Slots' bytes decide version 2 of the stored
+    map. grown_shard is null under this law. Empty input gives an empty result. Only doc_id and text are read, once: a
+    narrow table of sizes and keys serves all passes.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = with_virtual_slot(docs.select("doc_id", "text"), ["doc_id", "text"]).select(
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = materialize(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), "vslot")
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("text_key"), F.monotonically_increasing_id().alias("row")), "shard-rows")
+    rows = with_virtual_slot(rows, n_shards)
     first = first_map(spark, n_shards)
     edited = rebalance(first, slot_totals(rows), n_shards)
     versions = materialize(edited.unionByName(first.withColumns({"bytes": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "moved": F.lit(False)})),
