@@ -14,8 +14,8 @@ from .common import binary_texts, python_tasks, table
 
 #: Hidden units of each direction; bytes of one window; windows run at once.
 HIDDEN, WINDOW, TILE = 8, 64, 4096
-#: Bounds of the training sample: documents of a language, windows of a document.
-TRAIN_DOCS, TRAIN_WINDOWS = 400, 6
+#: Bounds of the training sample: documents of a language, windows of a document, languages.
+TRAIN_DOCS, TRAIN_WINDOWS, MAX_LANGUAGES = 400, 6, 250
 STEPS, BATCH, RATE = 500, 192, 0.02
 #: A text whose mean probability of its label is lower is rejected by ``accepted``.
 LEAST_SCORE = 0.4
@@ -184,15 +184,19 @@ def learn(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, steps: int = STE
     """(languages, network) from a bounded sample of documents that aren't held out.
 
     The sample takes the documents of each non-null lang with the smallest hashes of doc_id, at most
-    ``docs_per_language``, and from each TRAIN_WINDOWS windows spread over its bytes. Only ids and languages are ranked.
+    ``docs_per_language`` (of rows with one doc_id and lang, one), and from each TRAIN_WINDOWS windows spread over its
+    bytes; of more than MAX_LANGUAGES languages those with most documents are learned. A count of each language's ids
+    says up to which hash its rows can matter, so all others stay in their tasks.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mixed", "doc_id"))
-    chosen = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("mixed")).withColumn("rank", rank) \
-        .where(F.col("rank") <= docs_per_language).select("doc_id", "lang").distinct()
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("ids"), "lang").limit(MAX_LANGUAGES)
     spread = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)),
                          lambda i: F.substring(F.col("text").cast("binary"), (F.greatest(F.octet_length("text") - WINDOW, F.lit(0)) * i / TRAIN_WINDOWS).cast("int") + 1, F.lit(WINDOW)))
-    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", spread.alias("parts")).limit(100_000).collect()
+    mixed = F.xxhash64("doc_id")
+    near = known.join(F.broadcast(sizes), "lang").where((mixed / 2.0 ** 64 + 0.5) * F.col("ids") < 2 * docs_per_language + 100)
+    once = near.select("doc_id", "lang", mixed.alias("mixed"), spread.alias("parts")).groupBy("lang", "mixed", "doc_id").agg(F.min("parts").alias("parts"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mixed", "doc_id"))
+    rows = once.withColumn("rank", rank).where(F.col("rank") <= docs_per_language).select("lang", "parts").collect()
     names = sorted({r.lang for r in rows})
     if not names:
         return [], {}
