@@ -50,6 +50,18 @@ def deal_out(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(*[F.col(c) for c in cols])
 
 
+def join_labels(rows: DataFrame, labels: DataFrame, key: str, times: str, most: int = 1000) -> DataFrame:
+    """``rows`` with the label of their ``key``; ``labels`` has one row per key and says in ``times`` how many rows it has.
+
+    Keys with more than one in ``most`` of all rows, fewer than ``most`` keys, are broadcast; all others are joined by
+    shuffle, where no key brings more than that share into one task.
+    """
+    total = labels.agg(F.sum(times)).first()[0] or 0
+    hot = labels.where(F.col(times) * most > total).drop(times)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(labels.where(F.col(times) * most <= total).drop(times), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Cut batches sorted by ``key`` into pieces that hold whole runs of equal keys.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_texts, deal_out, materialize, python_tasks, sorted_runs, table
+from .common import binary_texts, deal_out, join_labels, materialize, python_tasks, sorted_runs, table
 from .components import connected_components
 
 #: Shingle length in words, most differing bits of a link, seed of XXH64.
@@ -215,12 +215,13 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def _labels(each: DataFrame, bits: int) -> DataFrame:
-    """fp, component (its smallest fingerprint), component_id (its smallest doc_id) of rows (doc_id, fp)."""
-    fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    """fp, rows (how many have it), component (its smallest fingerprint), component_id (its smallest doc_id) of rows (doc_id, fp)."""
+    fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "simhash-distinct")
     comp = materialize(connected_components(fingerprint_links(fps, bits)), "simhash-components")
     smallest = fps.join(comp, fps.fp == comp.node).groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = comp.join(smallest, "component").select(F.col("node").alias("fp"), "component", "component_id")
-    return fps.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return materialize(fps.join(named, "fp", "left").select("fp", "rows", F.coalesce("component", "fp").alias("component"),
+                                                            F.coalesce("component_id", "first_id").alias("component_id")), "simhash-labels")
 
 
 def simhash_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -231,7 +232,7 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Dat
     component, and its component_id is null if its component has no other id. Empty input gives an empty result.
     """
     each = materialize(fingerprints(docs, words), "simhash")
-    return each.join(_labels(each, bits), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_labels(each, _labels(each, bits), "fp", "rows").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -243,7 +244,7 @@ def keep_one_per_group(docs: DataFrame, words: int = WORDS, bits: int = BITS) ->
     names = docs.columns
     rows = docs.withColumn("__row", F.xxhash64(*names, *(F.col(c).isNull() for c in names)))
     each = materialize(fingerprints(rows, words, "__row"), "simhash")
-    labelled = each.join(_labels(each, bits), "fp")
+    labelled = join_labels(each, _labels(each, bits), "fp", "rows")
     first = labelled.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.*").distinct()
     kept = rows.dropDuplicates(["doc_id", "__row"]).join(materialize(first, "simhash-first"), ["doc_id", "__row"], "left_semi")
     loose = materialize(labelled.where("component_id is null").select("__row").distinct(), "simhash-loose")

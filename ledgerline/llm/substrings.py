@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .bloom import bloom, maybe_in
-from .common import binary_texts, deal_out, materialize, python_tasks, sorted_runs, table
+from .common import binary_texts, deal_out, join_labels, materialize, python_tasks, sorted_runs, table
 from .components import connected_components
 
 #: Words of a shingle and least Jaccard similarity of linked paragraphs.
@@ -369,17 +369,18 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     rows = materialize(paragraph_rows(docs, n_bands), "paragraphs")
     found = materialize(colliding(rows, n_bands), "paragraph-pairs")
     near = materialize(connected_components(linked(docs, found)), "paragraph-classes")
-    owners = rows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")) \
+    owners = rows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("times")) \
         .join(near, F.col("hash") == F.col("node"), "left").where("lo <> hi or node is not null") \
-        .select("hash", "lo", "hi", F.coalesce("component", "hash").alias("class_id"))
+        .select("hash", "lo", "hi", "times", F.coalesce("component", "hash").alias("class_id"))
     owners = materialize(owners, "paragraph-owners")
     kept = owners.groupBy("class_id").agg(F.min("lo").alias("kept"), F.max("hi").alias("hi")).where("kept <> hi").select("class_id", "kept")
-    repeated = materialize(owners.join(kept, "class_id").select("hash", "class_id", "kept"), "paragraph-repeated")
-    hits = materialize(rows.select("doc_id", "copy", "number", "word", "size", "hash").join(repeated, "hash").drop("hash"), "paragraph-hits")
+    repeated = materialize(owners.join(kept, "class_id").select("hash", "class_id", "kept", "times"), "paragraph-repeated")
+    hits = materialize(join_labels(rows.select("doc_id", "copy", "number", "word", "size", "hash"), repeated, "hash", "times").drop("hash"), "paragraph-hits")
     runs = materialize(paragraph_runs(hits, -(-passage // SHORT)), "paragraph-runs")
-    sources = materialize(runs.groupBy("gram").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("hi")).where("kept <> hi").select("gram", "kept"), "paragraph-sources")
+    sources = materialize(runs.groupBy("gram").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("times"))
+                          .where("kept <> hi").select("gram", "kept", "times"), "paragraph-sources")
     none = F.lit(0)
-    seeds = runs.join(sources, "gram").where("doc_id <> kept").select("doc_id", "copy", "number", "n", none.alias("word"), none.alias("size"), none.cast("long").alias("class_id"), "kept")
+    seeds = join_labels(runs, sources, "gram", "times").where("doc_id <> kept").select("doc_id", "copy", "number", "n", none.alias("word"), none.alias("size"), none.cast("long").alias("class_id"), "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (doc, copy, number, n, word, size, cls, keep) in sorted_runs(batches, "doc_id", ["copy", "number", "n", "word", "size", "class_id", "kept"]):
