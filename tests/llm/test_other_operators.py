@@ -140,6 +140,29 @@ def test_nearest_equals_brute_force(spark, monkeypatch, block, strip):
         assert all(abs(s + w) < 1e-8 for (_, _, s), (w, _) in zip(sorted(found), want))
 
 
+def test_an_id_on_many_vectors_counts_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from ledgerline.llm import neighbours as N
+    rng = np.random.default_rng(5)
+    q = rng.normal(size=6)
+    rows = [(0, q), (0, -q), *[(7, q + rng.normal(size=6) * 1e-3) for _ in range(12)], (7, -q), *[(i, q + rng.normal(size=6)) for i in range(10, 16)], (3, 2 * q), (4, 4 * q), (10, rng.normal(size=6))]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in rows], "vec_id long, embedding array<double>")
+    cos = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    best = {}
+    for i, x in rows:
+        for j, y in rows:
+            if i == 0 and j != 0:
+                best[j] = max(best.get(j, -2.0), cos(x, y))
+    want = sorted(((-round(s, 12), j) for j, s in best.items()))[:5]
+    for block in (16384, 4):
+        monkeypatch.setattr(N, "CANDIDATE_BLOCK", block)
+        got = sorted((r.rank, r.vec_id, r.score) for r in N.nearest(df, F.col("vec_id") == 0).collect())
+        assert [(r, j) for r, j, _ in got] == [(k + 1, j) for k, (_, j) in enumerate(want)]
+        assert all(abs(s + w) < 1e-9 for (_, _, s), (w, _) in zip(got, want))
+    ids, x = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    assert sorted(j for _, j, _ in N.tile_top(ids[:1], x[:1], ids, x, 5)) == sorted(j for _, j in want)
+
+
 def test_error_bounds_hold():
     from ledgerline.llm.neighbours import SLACK, cosines, int8_product, quantise
     rng = np.random.default_rng(8)
@@ -162,7 +185,7 @@ def test_no_vectors(spark):
 def test_queries_are_registered():
     import __spark_entry__ as E
     q = E.queries()
-    assert {int(k[2:].split("_")[0]) for k in q if k.startswith("op") and k[2].isdigit()} == set(range(1, 11)) and "pipeline" in q
+    assert {int(k[2:].split("_")[0]) for k in q if k.startswith("op") and k[2].isdigit()} == set(range(1, 14)) and "pipeline" in q
 
 
 def test_pipeline_stages(spark):

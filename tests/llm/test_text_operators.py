@@ -143,6 +143,25 @@ def test_sharding(spark, docs, texts):
     assert shard_documents(spark, docs.limit(0)).count() == 0
 
 
+def test_equal_texts_share_a_shard_unless_too_heavy(spark, monkeypatch):
+    from ledgerline.llm import sharding as S
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.random()) for _ in range(rng.randint(1, 8))) for _ in range(3000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, texts[5]) for i in range(200)] + [(20_000 + i, None) for i in range(50)]
+    rows += [(30_000, "heavy " * 9)] * 4000  # one row repeated: far above the mean load
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.shard_documents(spark, df).collect()
+    where: dict[int, set] = {}
+    load = [0] * 8
+    for r in got:
+        where.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+        load[r.shard] += r.size
+    assert len(where[zlib.crc32(b"heavy " * 9), 55]) == 8
+    assert all(len(v) == 1 for k, v in where.items() if k[1] != 55) and max(load) - min(load) <= 0.05 * max(load)
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 # ---- simhash ---------------------------------------------------------------------------------------------------
 
 def plain_fingerprint(t):
@@ -312,6 +331,26 @@ def test_decontamination(spark):
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("between", [" ", "\n", "\t", "-", None])
+def test_no_tile_breaks_at_part_borders(spark, monkeypatch, between):
+    """The word hashes of a text read in parts are those of the whole text, for any word break and for one endless word."""
+    from ledgerline.llm import decontaminate as D
+    rng = random.Random(9)
+    words = [rng.choice(["a", "bb", "ccc" * 9, "dddd", "x" * rng.randint(1, 90)]) for _ in range(400)]
+    text = (between or "").join(words).encode()
+    whole = D.hashed_words([text])[0]
+    for chunk in (7, 32, 64, 333, len(text) - 1, len(text), 10 ** 6):
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        assert (D.text_words(text) == whole).all()
+    monkeypatch.undo()
+    if between:  # an item laid over the border of 1 MB
+        item = prose(rng, 8)
+        lead = between.join(["lorem"] * (((1 << 20) - 20) // (5 + len(between))))
+        docs = spark.createDataFrame([(1, lead + between + between.join(item) + between + lead)], "doc_id long, text string")
+        got, = D.contaminated(docs, spark.createDataFrame([(3, " ".join(item))], "item_id long, text string")).collect()
+        assert (got.doc_id, got.item_id, got.coverage, got.n_tiles) == (1, 3, 1.0, 1)
+
+
 # ---- language --------------------------------------------------------------------------------------------------
 
 def test_gradients_match_differences():
@@ -350,6 +389,11 @@ def test_language_accuracy_and_odd_texts(spark):
             assert (r.lang_pred, r.score) == ("und", 0.0)
         if r.doc_id is not None:
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+    # repeated rows of one id, a language of copies and many languages don't crowd out a language
+    from ledgerline.llm.langid import learn
+    crowd = docs.select("doc_id", "text", "lang").unionByName(spark.range(20_000).selectExpr("0 as doc_id", "'same row' as text", "'xx' as lang")) \
+        .unionByName(spark.range(20_000).selectExpr("id % 3 + 1000000 as doc_id", "'other words here' as text", "'yy' as lang"))
+    assert set(learn(crowd, steps=1)[0]) == set(lang.values()) - {None} | {"xx", "yy"}
     nothing = label_documents(docs.selectExpr("doc_id", "text", "cast(null as string) lang").limit(5)).collect()
     assert [r.lang_pred for r in nothing] == ["und"] * 5
     assert accepted(docs.selectExpr("doc_id", "text", "cast(null as string) lang").limit(5)).count() == 5
