@@ -86,7 +86,6 @@ def min_group_guard(df: DataFrame, group: str, min_rows: int, level: str | None
     starting with ``skip_prefix``."""
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     if level:
-        aggs.append(F.approx_count_distinct(level).alias("n_levels_approx"))
         aggs.append(F.countDistinct(level).alias("n_levels"))
     g = df.groupBy(group).agg(*aggs)
     ok = F.col("n_rows") >= min_rows
@@ -94,4 +93,4 @@ def min_group_guard(df: DataFrame, group: str, min_rows: int, level: str | None
         ok = ok & (F.col("n_levels") >= 2)
     if skip_prefix:
         ok = ok & ~F.col(group).startswith(skip_prefix)
-    return g.withColumn("passes", ok).drop("n_levels_approx")
+    return g.withColumn("passes", ok)

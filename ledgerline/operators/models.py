@@ -1,15 +1,18 @@
 """Model search, cross-fitted effects and attributions on Spark ML.
 
-Every fit is a distributed Spark ML job; the driver only loops over a small fixed
-grid of settings and folds (fits run concurrently, like CrossValidator's
-``parallelism``). Predictions stay DataFrames and are scored by the metric
-operators in ``prep``.
+Every fit is a distributed Spark ML job on one persisted table with a fold column; the
+driver races the settings of a grid over the folds (fits run concurrently, like
+CrossValidator's ``parallelism``) and sees a few sums per fit. Predictions stay
+DataFrames and are scored by the metric operators in ``prep``.
 """
 
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import product
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,17 +24,25 @@ from pyspark.sql import functions as F
 from . import prep as P
 from .shapley import Tree, credits
 
-# Two values on every axis; each setting x fold is one distributed fit. Pass larger grids for wider searches.
+def axes(**values) -> list[dict]:
+    """All combinations of the axes' values."""
+    return [dict(zip(values, c)) for c in product(*values.values())]
+
+
+# Two values on every axis: 64 + 64 and 8 + 8 + 16 settings. Pass larger grids for wider searches.
 REG_GRID = {
-    "gbt": [{"maxDepth": 3, "maxIter": 20, "stepSize": 0.1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInstancesPerNode": 1},
-            {"maxDepth": 5, "maxIter": 10, "stepSize": 0.2, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20}],
-    "rf": [{"maxDepth": 8, "numTrees": 20, "minInstancesPerNode": 1}, {"maxDepth": 5, "numTrees": 40, "minInstancesPerNode": 20}],
+    "gbt": axes(maxDepth=[3, 2], maxIter=[10, 5], stepSize=[0.3, 0.1], subsamplingRate=[1.0, 0.7], featureSubsetStrategy=["all", "onethird"],
+                minInstancesPerNode=[1, 20]),
+    "rf": axes(maxDepth=[6, 4], numTrees=[10, 5], subsamplingRate=[1.0, 0.7], featureSubsetStrategy=["onethird", "all"], minInstancesPerNode=[1, 20],
+               maxBins=[32, 16]),
 }
 CLF_GRID = {
-    "gbt": [{"maxDepth": 4, "maxIter": 20, "stepSize": 0.1, "subsamplingRate": 1.0}, {"maxDepth": 3, "maxIter": 10, "stepSize": 0.2, "subsamplingRate": 0.8}],
-    "gbt_weighted": [{"maxDepth": 4, "maxIter": 20, "stepSize": 0.1}, {"maxDepth": 3, "maxIter": 10, "stepSize": 0.2}],
-    "rf": [{"maxDepth": 8, "numTrees": 20}, {"maxDepth": 5, "numTrees": 40}],
+    "gbt": axes(maxDepth=[3, 2], maxIter=[10, 5], stepSize=[0.3, 0.1]),
+    "gbt_weighted": axes(maxDepth=[3, 2], maxIter=[10, 5], stepSize=[0.3, 0.1]),
+    "rf": axes(maxDepth=[6, 4], numTrees=[10, 5], featureSubsetStrategy=["onethird", "all"], minInstancesPerNode=[1, 20]),
 }
+#: A setting is dropped if its mean paired loss against the leader exceeds so many standard errors (one-sided 95 %).
+CLEARLY = 1.645
 
 
 def _regressor(name: str, params: dict):
@@ -64,112 +75,165 @@ def design(train: DataFrame, other: list[DataFrame], num: list[str], cat: list[s
     return out
 
 
-def tune_regression(df: DataFrame, target: str = "log_amount", num=None, cat=None, n_splits: int = 5,
-                    grid: dict | None = None, parallelism: int = 6) -> tuple[DataFrame, DataFrame]:
-    """M6: expanding-window search. For every setting, pooled out-of-fold
-    predictions over the usable folds -> RMSE(log) and MAPE (M7); best = lowest
-    MAPE (D3 fixed: minimised). Returns (summary, best out-of-fold predictions)."""
-    num, cat, grid = num or P.ML_NUMERIC, cat or P.ML_CATEGORICAL, grid or REG_GRID
+def prepared(df: DataFrame, first: DataFrame, num: list[str], cat: list[str], label: str, keep: list[str]) -> DataFrame:
+    """One prepared table (M2) for all folds: ``keep``, label, features. Medians and scales are those of ``first``, rows that
+    every fold trains on; level codes are the table's vocabulary."""
+    t = P.prep_tree(df.withColumn("label", F.col(label).cast("double")), P.fit_numeric(first, num), P.fit_levels(df, cat), [*keep, "label"])
+    return VectorAssembler(inputCols=[*num, *[f"{c}_ord" for c in cat]], outputCol="features").transform(t).select(*keep, "label", "features")
+
+
+def race(settings: list[tuple[str, dict]], folds: list, fit, losses, parallelism: int) -> tuple[list[dict], dict[int, list]]:
+    """Races settings over folds: on each fold the leader is fitted first, then all others that are left; ``losses(model,
+    leader, fold)`` gives n, the sum of the setting's loss, and sum and sum of squares of its loss minus the leader's, row
+    by row on the whole fold. Settings whose mean difference over all folds seen under one leader is clearly above 0 are dropped after the
+    fold; the rest see the next one. No rows are sampled. The leader is the setting with the lowest loss so far; on the
+    first fold, the best of the families' first settings.
+
+    Returns one record per setting (n, loss, folds) and, for those that saw all folds, their models by fold.
+    """
+    stats = [{"n": 0, "loss": 0.0, "folds": 0} for _ in settings]
+    models: dict[int, list] = {k: [] for k in range(len(settings))}
+    alive, leader = list(range(len(settings))), None
+
+    def entered(k: int, fold, against) -> tuple:
+        model = fit(settings[k], fold)
+        n, loss, diff, square = losses(model, against or model, fold)
+        models[k].append(model)
+        stats[k]["n"] += n
+        stats[k]["loss"] += loss
+        stats[k]["folds"] += 1
+        return n, diff, square
+
+    with ThreadPoolExecutor(max(1, parallelism)) as ex:
+        for fold in folds:
+            if leader is None:
+                names = [name for name, _ in settings]
+                ahead = [names.index(name) for name in dict.fromkeys(names)]
+                list(ex.map(lambda k: entered(k, fold, None), ahead))
+                leader = min(ahead, key=lambda k: stats[k]["loss"])
+            else:
+                ahead = [leader]
+                entered(leader, fold, None)
+            reference = models[leader][-1]
+            rest = [k for k in alive if k not in ahead]
+            clear = set()
+            for k, (n, diff, square) in zip(rest, ex.map(lambda k: entered(k, fold, reference), rest)):
+                spread = max(square / n - (diff / n) ** 2, 0.0)
+                if diff / n > CLEARLY * (spread / n) ** 0.5:
+                    clear.add(k)
+            alive = [k for k in alive if k not in clear]
+            for k in clear:
+                models[k] = []
+            leader = min(alive, key=lambda k: stats[k]["loss"] / max(stats[k]["n"], 1))
+    return stats, {k: models[k] for k in alive}
+
+
+def search_table(df: DataFrame, target: str = "log_amount", num=None, cat=None, n_splits: int = 5) -> tuple[DataFrame, list[int]]:
+    """The search's one table (deal_id, test_fold, first_train_fold, label, features) and its usable folds."""
     d = P.folds_expanding(df.where(F.col(target).isNotNull()), n_splits)
-    d = d.persist()
     usable = sorted(r[0] for r in d.select("test_fold").where("test_fold IS NOT NULL").distinct().collect())
-    splits = []
-    def fold_design(i):
-        tr = d.where(F.col("first_train_fold") <= i)
-        te = d.where(F.col("test_fold") == i)
-        tr, te = design(tr, [te], num, cat, target, ["deal_id", "position"])
-        return i, tr.select("deal_id", "label", "features").persist(), te.select("deal_id", "label", "features").persist()
+    first = d.where(F.col("first_train_fold") <= min(usable, default=0))
+    return prepared(d, first, num or P.ML_NUMERIC, cat or P.ML_CATEGORICAL, target, ["deal_id", "test_fold", "first_train_fold"]), usable
 
-    with ThreadPoolExecutor(max(1, parallelism)) as ex:
-        splits = list(ex.map(fold_design, usable))
-    cached = [x for _, tr, te in splits for x in (tr, te)]
+
+def fold_rows(table: DataFrame, n_splits: int = 5) -> DataFrame:
+    """fold, n_train, n_test of a search table."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("fold")
+    return table.select(each, "test_fold", "first_train_fold").groupBy("fold").agg(
+        F.count(F.when(F.col("first_train_fold") <= F.col("fold"), 1)).alias("n_train"),
+        F.count(F.when(F.col("test_fold") == F.col("fold"), 1)).alias("n_test"))
+
+
+def tune_regression(df: DataFrame, target: str = "log_amount", num=None, cat=None, n_splits: int = 5,
+                    grid: dict | None = None, parallelism: int = 8) -> tuple[DataFrame, DataFrame]:
+    """M6: expanding-window search by a race over the folds (paired absolute percentage errors). For every setting RMSE(log)
+    and MAPE (M7) over the folds it saw; best = lowest MAPE (D3 fixed: minimised) of those that saw all. One prepared
+    table with its fold columns is persisted. Returns (summary, best out-of-fold predictions)."""
+    grid = grid or REG_GRID
+    d, usable = search_table(df, target, num, cat, n_splits)
+    d = d.persist()
     settings = [(name, p) for name, ps in grid.items() for p in ps]
+    squares: dict[int, float] = defaultdict(float)
 
-    def run(setting):
-        name, params = setting
-        preds = None
-        for i, tr, te in splits:
-            m = _regressor(name, params).fit(tr)
-            p = m.transform(te).select("deal_id", F.lit(i).alias("fold"), "label", F.col("prediction"))
-            preds = p if preds is None else preds.unionByName(p)
-        met = P.regression_metrics(preds, "label", "prediction").first()
-        return name, params, met, preds
+    def fit(setting, i):
+        return _regressor(*setting).fit(d.where(F.col("first_train_fold") <= i).select("label", "features"))
 
-    with ThreadPoolExecutor(max(1, parallelism)) as ex:
-        results = list(ex.map(run, settings))
-    spark = df.sparkSession
-    rows = [(n, json.dumps(p, sort_keys=True), float(m["rmse_log"]), float(m["mape"]), int(m["n"]))
-            for n, p, m, _ in results]
-    best = min(range(len(rows)), key=lambda k: rows[k][3])
-    summary = spark.createDataFrame(
-        [r + (k == best,) for k, r in enumerate(rows)],
-        "model string, params string, rmse_log double, mape double, n_oof long, is_best boolean")
-    for c in cached:
-        c.unpersist()
-    d.unpersist()
-    return summary, results[best][3]
+    def error(prediction: str):
+        y, p = F.exp("label"), F.greatest(F.exp(prediction), F.lit(0.1))
+        return F.abs(y - p) / F.greatest(y, F.lit(1.0)) * 100
 
+    def losses(model, leader, i):
+        te = leader.transform(d.where(F.col("test_fold") == i)).withColumnRenamed("prediction", "led")
+        e, diff = error("prediction"), error("prediction") - error("led")
+        r = model.transform(te).agg(F.count(F.lit(1)), F.sum(e), F.sum(diff), F.sum(diff * diff), F.sum((F.col("label") - F.col("prediction")) ** 2)).first()
+        squares[id(model)] = r[4]
+        return r[0], r[1], r[2], r[3]
 
-def tune_classification(df: DataFrame, target: str = "adaptive_target", num=None, cat=None, k: int = 5,
-                        grid: dict | None = None, parallelism: int = 6) -> tuple[DataFrame, DataFrame]:
-    """M8: stratified 70/30 split (M3), stratified k folds on the training part (M4),
-    search by mean fold ROC-AUC (M9), refit of each family's best on the whole
-    training part, held-out accuracy and AUC. Returns (summary, test predictions of
-    the overall best)."""
-    num, cat, grid = num or P.ML_NUMERIC, cat or P.ML_CATEGORICAL, grid or CLF_GRID
-    d = P.split_stratified(df.where(F.col(target).isNotNull()), target)
-    w = P.class_weight(d.where("is_test = 0"), target).select(target, "weight")
-    d = d.join(F.broadcast(w), target).persist()
-    train = P.folds_stratified(d.where("is_test = 0"), target, k).persist()
-    test = d.where("is_test = 1")
-    keep = ["deal_id", "weight"]
-    def fold_design(i):
-        tr, te = design(train.where(F.col("fold") != i), [train.where(F.col("fold") == i)], num, cat, target,
-                        keep)
-        return (tr.select("deal_id", "weight", "label", "features").persist(),
-                te.select("deal_id", "weight", "label", "features").persist())
+    try:
+        return _regression_summary(df, settings, *race(settings, usable, fit, losses, parallelism), squares, usable, d)
+    finally:
+        d.unpersist()
 
-    with ThreadPoolExecutor(max(1, parallelism)) as ex:
-        folds = list(ex.map(fold_design, range(k)))
-    cached = [train] + [x for pair in folds for x in pair]
-    settings = [(name, p) for name, ps in grid.items() for p in ps]
 
-    def prob(model, data):
-        return model.transform(data).select("deal_id", "label", vector_to_array("probability")[1].alias("score"),
-                                            F.col("prediction"))
+def _regression_summary(df, settings, stats, left, squares, usable, d) -> tuple[DataFrame, DataFrame]:
+    best = min(left, key=lambda k: stats[k]["loss"] / stats[k]["n"])
+    rows = []
+    for k, ((name, params), s) in enumerate(zip(settings, stats)):
+        rmse = (sum(squares[id(m)] for m in left[k]) / s["n"]) ** 0.5 if k in left else None
+        rows.append((name, json.dumps(params, sort_keys=True), rmse, s["loss"] / s["n"], s["n"], s["folds"], k == best))
+    summary = df.sparkSession.createDataFrame(rows, "model string, params string, rmse_log double, mape double, n_oof long, folds_seen int, is_best boolean")
+    preds = [m.transform(d.where(F.col("test_fold") == i)).select("deal_id", F.lit(i).alias("fold"), "label", "prediction") for i, m in zip(usable, left[best])]
+    return summary, reduce(DataFrame.unionByName, preds)
 
-    def cv(setting):
-        name, params = setting
-        aucs = []
-        for tr, te in folds:
-            m = _classifier(name, params).fit(tr)
-            aucs.append(float(P.roc_auc(prob(m, te), "label", "score").first()["auc"]))
-        return name, params, sum(aucs) / len(aucs)
 
-    with ThreadPoolExecutor(max(1, parallelism)) as ex:
-        cvres = list(ex.map(cv, settings))
-    best_per = {}
-    for name, params, auc in cvres:
-        if name not in best_per or auc > best_per[name][1]:
-            best_per[name] = (params, auc)
-    full_tr, full_te = design(train, [test], num, cat, target, keep)
-    rows, preds = [], {}
-    for name, (params, cv_auc) in best_per.items():
-        m = _classifier(name, params).fit(full_tr)
-        p = prob(m, full_te)
-        acc = float(P.accuracy(p, "label", "prediction").first()["accuracy"])
-        auc = float(P.roc_auc(p, "label", "score").first()["auc"])
-        rows.append((name, json.dumps(params, sort_keys=True), cv_auc, acc, auc))
-        preds[name] = p
-    best = max(range(len(rows)), key=lambda i: rows[i][4])
-    spark = df.sparkSession
-    summary = spark.createDataFrame([r + (i == best,) for i, r in enumerate(rows)],
-                                    "model string, params string, cv_auc double, accuracy double, roc_auc double, "
-                                    "is_best boolean")
-    for c in cached:
-        c.unpersist()
-    d.unpersist()
-    return summary, preds[rows[best][0]]
+def tune_classification(df: DataFrame, target: str = "adaptive_target", num=None, cat=None, k: int = 5,
+                        grid: dict | None = None, parallelism: int = 8) -> tuple[DataFrame, DataFrame]:
+    """M8: stratified 70/30 split (M3), stratified k folds on the training part (M4), race by paired squared errors of the
+    probability, mean fold ROC-AUC (M9) of the settings that saw all folds, refit of each family's best on the whole
+    training part, held-out accuracy and AUC. Returns (summary, test predictions of the overall best)."""
+    num, cat, grid = num or P.ML_NUMERIC, cat or P.ML_CATEGORICAL, grid or CLF_GRID
+    s = P.split_stratified(df.where(F.col(target).isNotNull()), target)
+    train = P.folds_stratified(s.where("is_test = 0").drop("_at"), target, k)
+    d = train.select(*[c for c in s.columns if c != "_at"], "fold").unionByName(s.where("is_test = 1").drop("_at").withColumn("fold", F.lit(-1)))
+    w = {r[0]: r["weight"] for r in P.class_weight(d.where("fold >= 0"), target).collect()}  # one number per class
+    d = d.withColumn("weight", F.when(F.col(target) == 1, F.lit(w.get(1))).otherwise(F.lit(w.get(0))))
+    d = prepared(d, d.where("fold >= 0"), num, cat, target, ["deal_id", "fold", "weight"]).persist()
+    settings = [(name, p) for name, ps in grid.items() for p in ps]
+
+    def score(model, data, out="score"):
+        drop = [c for c in ("rawPrediction", "probability") if c in data.columns]
+        return model.transform(data.drop(*drop)).withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability")
+
+    def fit(setting, i):
+        return _classifier(*setting).fit(d.where(f"fold >= 0 and fold <> {i}").select("label", "weight", "features"))
+
+    def losses(model, leader, i):
+        te = score(leader, d.where(f"fold = {i}"), "led").drop("prediction")
+        e, led = (F.col("score") - F.col("label")) ** 2, (F.col("led") - F.col("label")) ** 2
+        return tuple(score(model, te).agg(F.count(F.lit(1)), F.sum(e), F.sum(e - led), F.sum((e - led) * (e - led))).first())
+
+    try:
+        stats, left = race(settings, list(range(k)), fit, losses, parallelism)
+        each = [score(m, d.where(f"fold = {i}")).select(F.lit(j).alias("setting"), F.lit(i).alias("fold"), "label", "score")
+                for j, ms in left.items() for i, m in enumerate(ms)]
+        auc = {r[0]: r[1] for r in P.roc_auc(reduce(DataFrame.unionByName, each), "label", "score", ["setting", "fold"])
+               .groupBy("setting").agg(F.avg("auc")).collect()}
+        chosen = {}
+        for j, (name, _) in enumerate(settings):
+            if j in auc and (name not in chosen or auc[j] > auc[chosen[name]]):
+                chosen[name] = j
+        final = {j: score(_classifier(*settings[j]).fit(d.where("fold >= 0")), d.where("fold = -1")) for j in chosen.values()}
+        test = reduce(DataFrame.unionByName, [p.select(F.lit(j).alias("setting"), "label", "score", "prediction") for j, p in final.items()])
+        hit = {r[0]: r[1] for r in test.groupBy("setting").agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).collect()}
+        held = {r[0]: r[1] for r in P.roc_auc(test, "label", "score", ["setting"]).collect()}
+        best = max(final, key=lambda j: held[j])
+        rows = [(name, json.dumps(p, sort_keys=True), stats[j]["loss"] / stats[j]["n"], stats[j]["n"], stats[j]["folds"], auc.get(j), hit.get(j), held.get(j), j == best)
+                for j, (name, p) in enumerate(settings)]
+        summary = df.sparkSession.createDataFrame(rows, "model string, params string, squared_error double, n_oof long, folds_seen int, cv_auc double, "
+                                                        "accuracy double, roc_auc double, is_best boolean")
+        return summary, final[best].select("deal_id", "label", "score", "prediction")
+    finally:
+        d.unpersist()
 
 
 # ------------------------------------------------------------------ G5

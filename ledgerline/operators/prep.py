@@ -88,8 +88,8 @@ def rank_within(df: DataFrame, part: list[str], order: str, out: str = "rank0")
 
 
 def hash_order(key: str, seed: int = 42) -> Column:
-    """Deterministic pseudo-random order of a key (seeded 64-bit hash)."""
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """Deterministic pseudo-random order of a key: the digest of key and seed, which SQL engines share."""
+    return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(seed)).cast("binary"))
 
 
 def split_stratified(df: DataFrame, label: str, key: str = "deal_id", test_frac: float = 0.3,
@@ -100,7 +100,7 @@ def split_stratified(df: DataFrame, label: str, key: str = "deal_id", test_frac:
     r = rank_within(d, [label], "_h", "_r")
     n = r.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     return r.join(n, label).withColumn("is_test", (F.col("_r") < F.round(F.col("_n") * test_frac)).cast("int")) \
-        .drop("_h", "_r", "_n")
+        .drop("_h", "_r", "_n", "_at")
 
 
 def folds_stratified(df: DataFrame, label: str, k: int = 5, key: str = "deal_id", seed: int = 42) -> DataFrame:
@@ -152,32 +152,40 @@ def regression_metrics(pred: DataFrame, y_log: str, p_log: str, group: list[str]
         F.count(F.lit(1)).alias("n"))
 
 
-def score_groups(pred: DataFrame, label: str, score: str) -> DataFrame:
-    """Per distinct score: positives and negatives (small: one row per score)."""
-    return pred.groupBy(F.col(score).alias("score")).agg(
+def score_groups(pred: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """Per distinct score (of each group of ``by``): positives and negatives (small: one row per score)."""
+    return pred.groupBy(*(by or []), F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
 
 
-def _desc_prefix(sg: DataFrame, rows_per_block: int | None = None) -> DataFrame:
-    """Exclusive prefix sums of pos/neg over descending score: inside blocks, and over the blocks' totals."""
-    d = in_order(sg, [F.desc("score")]).withColumn("_blk", block_start(rows_per_block) if rows_per_block else block_start())
+def _desc_prefix(sg: DataFrame, rows_per_block: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """Exclusive prefix sums of pos/neg over descending score (inside each group of ``by``): inside blocks, and over the
+    blocks' totals; a group starts at the sums of its first row."""
+    by = by or []
+    d = in_order(sg, [*by, F.desc("score")]).withColumn("_blk", block_start(rows_per_block) if rows_per_block else block_start())
     offs = before(d.groupBy("_blk").agg(F.sum("pos").alias("_po"), F.sum("neg").alias("_no")), ["_po", "_no"])
     wl = Window.partitionBy("_blk").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     loc = d.select("*", F.coalesce(F.sum("pos").over(wl), F.lit(0)).alias("_pl"),
                    F.coalesce(F.sum("neg").over(wl), F.lit(0)).alias("_nl"))
-    return loc.join(offs, "_blk").select("score", "pos", "neg", (F.col("_po") + F.col("_pl")).alias("pos_above"),
-                                         (F.col("_no") + F.col("_nl")).alias("neg_above"))
+    out = loc.join(offs, "_blk").select(*by, "score", "pos", "neg", (F.col("_po") + F.col("_pl")).alias("pos_above"),
+                                        (F.col("_no") + F.col("_nl")).alias("neg_above"))
+    if not by:
+        return out
+    start = out.groupBy(*by).agg(F.min("pos_above").alias("_p0"), F.min("neg_above").alias("_n0"))
+    return out.join(start, by).select(*by, "score", "pos", "neg", (F.col("pos_above") - F.col("_p0")).alias("pos_above"),
+                                      (F.col("neg_above") - F.col("_n0")).alias("neg_above"))
 
 
-def roc_auc(pred: DataFrame, label: str, score: str) -> DataFrame:
+def roc_auc(pred: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """M9: rank AUC with ties counted half: sum over score groups of
-    pos * (neg below + neg_same / 2) / (P * N). Per-score aggregation first, then
-    prefix sums of negatives; no row-level sort, totals in the same aggregation."""
-    p = _desc_prefix(score_groups(pred, label, score))
+    pos * (neg below + neg_same / 2) / (P * N), of the table or of each group of ``by``.
+    Per-score aggregation first, then prefix sums of negatives; no row-level sort,
+    totals in the same aggregation. NULL if a class is empty."""
+    p = _desc_prefix(score_groups(pred, label, score, by), by=by)
     neg = F.sum("neg")
     # sum of pos * (N - neg_above - neg / 2), with N known only at the end
     above = F.sum(F.col("pos") * (F.col("neg_above") + F.col("neg") / 2))
-    return p.agg(((F.sum("pos") * neg - above) / (F.sum("pos") * neg)).alias("auc"))
+    return p.groupBy(*(by or [])).agg(((F.sum("pos") * neg - above) / F.nullif(F.sum("pos") * neg, F.lit(0))).alias("auc"))
 
 
 def accuracy(pred: DataFrame, label: str, predicted: str) -> DataFrame:

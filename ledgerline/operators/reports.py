@@ -182,26 +182,26 @@ def describe_categorical(f: DataFrame, cols: list[str]) -> DataFrame:
         F.max("c").alias("freq"))
 
 
-def share_shift(f: DataFrame) -> DataFrame:
-    """A13 (D1 fixed): share of each sector within the pre and the post period, and
+def share_shift(f: DataFrame, group: str = "sector") -> DataFrame:
+    """A13 (D1 fixed): share of each group within the pre and the post period, and
     the change in points."""
-    s = f.groupBy("sector").agg(
+    s = f.groupBy(group).agg(
         F.sum(F.when(F.col("post_policy") == 0, F.col("amount").cast("decimal(28,6)"))).cast("double").alias("pre"),
         F.sum(F.when(F.col("post_policy") == 1, F.col("amount").cast("decimal(28,6)"))).cast("double").alias("post"))
     s = s.fillna(0.0, ["pre", "post"])
     w = Window.partitionBy()
-    s = s.select("sector", (100 * F.col("pre") / F.sum("pre").over(w)).alias("pre_share"),
+    s = s.select(group, (100 * F.col("pre") / F.sum("pre").over(w)).alias("pre_share"),
                  (100 * F.col("post") / F.sum("post").over(w)).alias("post_share"))
-    return s.select("sector", F.round("pre_share", 6).alias("pre_share"), F.round("post_share", 6).alias("post_share"),
+    return s.select(group, F.round("pre_share", 6).alias("pre_share"), F.round("post_share", 6).alias("post_share"),
                     F.round(F.col("post_share") - F.col("pre_share"), 6).alias("change"))
 
 
-def top_bottom_shift(f: DataFrame, n: int = 7) -> DataFrame:
+def top_bottom_shift(f: DataFrame, n: int = 7, group: str = "sector") -> DataFrame:
     """The ``n`` largest and ``n`` smallest changes, union, de-duplicated."""
-    s = share_shift(f)
-    hi = s.withColumn("r", F.row_number().over(Window.orderBy(F.desc("change"), "sector"))).where(F.col("r") <= n)
-    lo = s.withColumn("r", F.row_number().over(Window.orderBy(F.asc("change"), "sector"))).where(F.col("r") <= n)
-    return hi.drop("r").unionByName(lo.drop("r")).dropDuplicates(["sector"])
+    s = share_shift(f, group)
+    hi = s.withColumn("r", F.row_number().over(Window.orderBy(F.desc("change"), group))).where(F.col("r") <= n)
+    lo = s.withColumn("r", F.row_number().over(Window.orderBy(F.asc("change"), group))).where(F.col("r") <= n)
+    return hi.drop("r").unionByName(lo.drop("r")).dropDuplicates([group])
 
 
 def year_type_pivot(f: DataFrame) -> DataFrame:

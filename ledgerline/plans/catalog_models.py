@@ -12,6 +12,7 @@ from ..operators.clean import complete_cases
 from ..operators.common import scalars
 from ..operators.features import features
 from ..operators.shapley import Tree, measured_tree, shapley_values
+from ..session import scratch_path
 from ..sources.deals import table
 from . import sql as Q
 from .registry import register
@@ -65,24 +66,18 @@ def q_prep_tree(spark, sf):
 
 
 @register("split_stratified", Q.with_features("""
-SELECT adaptive_target, count(*) AS n, CAST(sum(CASE WHEN r < round(0.3 * cnt) THEN 1 ELSE 0 END) AS BIGINT) AS n_test
-FROM (SELECT adaptive_target, row_number() OVER (PARTITION BY adaptive_target ORDER BY deal_id) - 1 AS r,
-             count(*) OVER (PARTITION BY adaptive_target) AS cnt FROM feat)
-GROUP BY adaptive_target"""))
+SELECT deal_id, adaptive_target, CAST(row_number() OVER (PARTITION BY adaptive_target ORDER BY md5(deal_id || '-42')) - 1
+         < round(0.3 * count(*) OVER (PARTITION BY adaptive_target)) AS INT) AS is_test FROM feat"""))
 def q_split_stratified(spark, sf):
-    """M3: exact per-class 70/30 split (deterministic hash order); class sizes."""
-    s = P.split_stratified(feat(spark, sf), "adaptive_target")
-    return s.groupBy("adaptive_target").agg(F.count(F.lit(1)).alias("n"), F.sum("is_test").cast("long").alias("n_test"))
+    """M3: exact per-class 70/30 split (deterministic hash order), every deal's part."""
+    return P.split_stratified(feat(spark, sf), "adaptive_target").select("deal_id", "adaptive_target", "is_test")
 
 
 @register("folds_stratified", Q.with_features("""
-SELECT adaptive_target, fold, count(*) AS n FROM (
-  SELECT adaptive_target, CAST((row_number() OVER (PARTITION BY adaptive_target ORDER BY deal_id) - 1) % 5 AS INT) AS fold
-  FROM feat) GROUP BY 1, 2"""))
+SELECT deal_id, adaptive_target, CAST((row_number() OVER (PARTITION BY adaptive_target ORDER BY md5(deal_id || '-43')) - 1) % 5 AS INT) AS fold FROM feat"""))
 def q_folds_stratified(spark, sf):
-    """M4: 5 stratified folds; per class and fold sizes."""
-    s = P.folds_stratified(feat(spark, sf), "adaptive_target", 5)
-    return s.groupBy("adaptive_target", "fold").agg(F.count(F.lit(1)).alias("n"))
+    """M4: 5 stratified folds, every deal's fold."""
+    return P.folds_stratified(feat(spark, sf), "adaptive_target", 5).select("deal_id", "adaptive_target", "fold")
 
 
 @register("folds_expanding", Q.with_features("""
@@ -167,11 +162,36 @@ def q_class_weight(spark, sf):
     return w.select("adaptive_target", "n", F.round("weight", 9).alias("weight"))
 
 
+_SEARCHES: dict[tuple, str] = {}
+
+
+def _search(spark, sf):
+    """The regression search's summary: searched once per session, then read from the shared folder."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _SEARCHES:
+        path = scratch_path(spark, "search")
+        MD.tune_regression(feat(spark, sf))[0].coalesce(1).write.parquet(path)
+        _SEARCHES[key] = path
+    return spark.read.parquet(_SEARCHES[key])
+
+
 @register("tune_regression")
 def q_tune_regression(spark, sf):
-    """M6: expanding-window search of boosted trees and forests for log amount."""
-    s, _ = MD.tune_regression(feat(spark, sf))
-    return s
+    """M6: expanding-window race of 128 settings of boosted trees and forests for log amount."""
+    return _search(spark, sf)
+
+
+@register("search_fold_rows", Q.with_features("""
+SELECT CAST(f AS INT) AS fold, count(*) FILTER (first_train_fold <= f) AS n_train, count(*) FILTER (test_fold = f) AS n_test
+FROM (SELECT CASE WHEN rel >= 0 AND floor(rel / ts) >= uf THEN floor(rel / ts) END AS test_fold,
+             greatest(CASE WHEN rel < 0 THEN 0 ELSE floor(rel / ts) + 1 END, uf) AS first_train_fold
+      FROM (SELECT ts, position - (n - 5 * ts) AS rel, greatest(ceil((20 - (n - 5 * ts)) / ts), 0) AS uf
+            FROM (SELECT row_number() OVER (ORDER BY year, deal_id) - 1 AS position, count(*) OVER () AS n, floor(count(*) OVER () / 6) AS ts
+                  FROM feat WHERE log_amount IS NOT NULL))), range(5) r(f)
+GROUP BY f"""))
+def q_search_fold_rows(spark, sf):
+    """M6: rows that each fold of the search trains on and tests."""
+    return MD.fold_rows(MD.search_table(feat(spark, sf))[0])
 
 
 @register("tune_classification")
@@ -186,7 +206,7 @@ def _attributed(spark, sf):
     f = complete_cases(feat(spark, sf), ["log_amount"])
     full = complete_cases(f, [*P.ML_NUMERIC, *P.ML_CATEGORICAL])
     full, every = (d.select("deal_id", "label", "features") for d in MD.design(full, [f], P.ML_NUMERIC, P.ML_CATEGORICAL, "log_amount", ["deal_id"]))
-    model = MD.refit_winner(MD.tune_regression(feat(spark, sf))[0], full)
+    model = MD.refit_winner(_search(spark, sf), full)
     return full, every, model, list(P.ML_NUMERIC) + [f"{c}_ord" for c in P.ML_CATEGORICAL]
 
 
@@ -276,45 +296,78 @@ span AS (SELECT country, min(ds) AS first, max(ds) AS last FROM ser GROUP BY cou
 fil AS (SELECT s.country, CAST(g.ds AS DATE) AS ds, datediff('month', first, CAST(g.ds AS DATE)) AS t, coalesce(y, 0) AS y, ln(1 + coalesce(y, 0)) AS ly
         FROM span s CROSS JOIN LATERAL (SELECT unnest(generate_series(s.first, s.last, INTERVAL 1 MONTH)) AS ds) g
         LEFT JOIN ser ON ser.country = s.country AND ser.ds = CAST(g.ds AS DATE))"""
-_ARIMA = _FILLED + """,
-dif AS (SELECT *, lag(d) OVER (PARTITION BY country ORDER BY ds) AS d1 FROM
-        (SELECT *, ly - lag(ly) OVER (PARTITION BY country ORDER BY ds) AS d FROM fil)),
-fit0 AS (SELECT country, count(d1) AS n, regr_slope(d, d1) AS phi, regr_intercept(d, d1) AS const, regr_syy(d, d1) * (1 - regr_r2(d, d1)) AS sse,
-                arg_max(ly, ds) AS last_ly, arg_max(d, ds) AS last_d FROM dif GROUP BY country),
-fit AS (SELECT *, sse / (n - 2) AS sigma2 FROM fit0)"""
 
 
-@register("arima_fit_many", Q.with_tagged("SELECT country, n, round(phi, 6) AS phi, round(const, 6) AS const, round(sigma2, 6) AS sigma2, "
-                                          "round(n * ln(sse / n) + 4, 4) AS aic FROM fit", PA, _ARIMA))
+def _least_squares(rows: str, xs: list[str], y: str, name: str) -> str:
+    """CTEs that regress ``y`` on ``xs`` by country over the rows with use = true, by modified Gram-Schmidt: the last one,
+    ``name``, has every row's ``fitted`` value (a row with use = false is only predicted, its y counts as 0)."""
+    out, before = [], rows
+    for k in range(len(xs)):
+        later = [f"{x} - (sum({x} * {xs[k]}) FILTER (use) OVER c) / nullif(sum({xs[k]} * {xs[k]}) FILTER (use) OVER c, 0) * {xs[k]} AS {x}"
+                 for x in [*xs[k + 1:], "res"]]
+        source = f"(SELECT *, CASE WHEN use THEN {y} ELSE 0 END AS res FROM {before})" if k == 0 else before
+        out.append(f"{name}{k} AS (SELECT * REPLACE ({', '.join(later)}) FROM {source} WINDOW c AS (PARTITION BY country))")
+        before = f"{name}{k}"
+    return ",\n".join([*out, f"{name} AS (SELECT *, CASE WHEN use THEN {y} ELSE 0 END - res AS fitted FROM {before})"])
+
+
+_LAGS = range(1, SE.LONG_LAGS + 1)
+_ARIMA = _FILLED + f""",
+dif AS (SELECT *, {", ".join(f"lag(d, {k}) OVER w AS d{k}" for k in _LAGS)} FROM
+        (SELECT *, ly - lag(ly) OVER (PARTITION BY country ORDER BY ds) AS d FROM fil) WINDOW w AS (PARTITION BY country ORDER BY ds)),
+lng AS (SELECT country, ds, d, d1, true AS use, 1.0 AS c0, {", ".join(f"d{k} AS c{k}" for k in _LAGS)} FROM dif WHERE d{SE.LONG_LAGS} IS NOT NULL),
+{_least_squares("lng", ["c0", *[f"c{k}" for k in _LAGS]], "d", "ar")},
+inn AS (SELECT country, d, d1 AS x1, lag(d - fitted) OVER (PARTITION BY country ORDER BY ds) AS x2 FROM ar),
+ask AS (SELECT country, d, 1.0 AS x0, x1, x2, true AS use, 0 AS probe FROM inn WHERE x2 IS NOT NULL
+        UNION ALL SELECT country, 0, CAST(p = 1 AS INT), CAST(p = 2 AS INT), CAST(p = 3 AS INT), false, p FROM (SELECT DISTINCT country FROM inn), range(1, 4) r(p)),
+{_least_squares("ask", ["x0", "x1", "x2"], "d", "arma")},
+fit AS (SELECT country, count(*) FILTER (use) AS n, max(fitted) FILTER (probe = 1) AS const, max(fitted) FILTER (probe = 2) AS phi,
+               max(fitted) FILTER (probe = 3) AS theta, sum(res * res) FILTER (use) AS sse FROM arma GROUP BY country),
+kept AS (SELECT country, const, sse / (n - 3) AS sigma2, greatest(least(phi, {SE.ROOT_BOUND}), -{SE.ROOT_BOUND}) AS phi,
+                greatest(least(theta, {SE.ROOT_BOUND}), -{SE.ROOT_BOUND}) AS theta FROM fit),
+lst AS (SELECT country, arg_max(ly, ds) AS last_ly, arg_max(d, ds) AS last_d, max(t) AS last_t FROM dif GROUP BY country),
+fin AS (SELECT country, any_value(const) AS const, any_value(sigma2) AS sigma2, any_value(phi) AS phi, any_value(theta) AS theta, any_value(last_ly) AS last_ly,
+               any_value(last_d) AS last_d, sum(power(-theta, last_t - t) * (d - const - phi * d1)) AS last_e
+        FROM dif JOIN kept USING (country) JOIN lst USING (country) WHERE d1 IS NOT NULL GROUP BY country)"""
+
+
+@register("arima_fit_many", Q.with_tagged("SELECT country, n, round(phi, 6) AS phi, round(theta, 6) AS theta, round(const, 6) AS const, round(sigma2, 6) AS sigma2, "
+                                          "round(n * ln(sse / n) + 6, 4) AS aic FROM fit JOIN (SELECT country, sse / (n - 3) AS sigma2 FROM fit) USING (country)", PA, _ARIMA))
 def q_arima_fit_many(spark, sf):
-    """G1 (fit table): ARIMA(1,1,0) by conditional least squares per nation on filled monthly log totals."""
+    """G1 (fit table): ARIMA(1,1,1) by two regressions per nation on filled monthly log totals."""
     f = SE.arima_fit(_series(spark, sf), "country")
-    return f.select("country", "n", *[F.round(c, 6).alias(c) for c in ("phi", "const", "sigma2")], F.round("aic", 4).alias("aic"))
+    return f.select("country", "n", *[F.round(c, 6).alias(c) for c in ("phi", "theta", "const", "sigma2")], F.round("aic", 4).alias("aic"))
 
 
 @register("forecast_arima_many", Q.with_tagged("""
 SELECT country, CAST(h AS INT) AS step, round(ly, 6) AS log_forecast, round(ly - 1.959963984540054 * sqrt(sigma2 * w), 6) AS log_lower,
        round(ly + 1.959963984540054 * sqrt(sigma2 * w), 6) AS log_upper, round(exp(ly) - 1, 2) AS forecast
-FROM (SELECT country, h, sigma2, (SELECT sum(power((1 - power(phi, i)) / (1 - phi), 2)) FROM range(1, h + 1) r(i)) AS w,
-             last_ly + h * const / (1 - phi) + (last_d - const / (1 - phi)) * phi * (1 - power(phi, h)) / (1 - phi) AS ly
-      FROM fit, range(1, 6) t(h))""", PA, _ARIMA))
+FROM (SELECT country, h, sigma2, (SELECT sum(power(1 + (phi + theta) * (1 - power(phi, i)) / (1 - phi), 2)) FROM range(0, h) r(i)) AS w,
+             last_ly + h * const / (1 - phi) + (const + phi * last_d + theta * last_e - const / (1 - phi)) * (1 - power(phi, h)) / (1 - phi) AS ly
+      FROM fin, range(1, 6) t(h))""", PA, _ARIMA))
 def q_forecast_arima_many(spark, sf):
     """G1: five monthly steps per nation with interval."""
     f = SE.forecast_arima_many(_series(spark, sf), "country")
     return f.select("country", "step", *[F.round(c, 6).alias(c) for c in ("log_forecast", "log_lower", "log_upper")], F.round("forecast", 2).alias("forecast"))
 
 
-_SEASON = _FILLED + """,
-bm AS (SELECT country, month(ds) AS m, count(*) AS c, avg(t) AS tm, avg(ly) AS ym FROM fil GROUP BY ALL),
-cen AS (SELECT f.country, t - tm AS tc, ly - ym AS yc FROM fil f JOIN bm ON bm.country = f.country AND bm.m = month(f.ds)),
-sl AS (SELECT country, sum(tc * yc) / sum(tc * tc) AS slope, sum(yc * yc) - power(sum(tc * yc), 2) / sum(tc * tc) AS sse FROM cen GROUP BY country),
-lv AS (SELECT f.country, avg(ly) - any_value(slope) * avg(t) AS level, any_value(slope) AS slope,
-              sqrt(any_value(sse) / (count(*) - count(DISTINCT month(ds)) - 1)) AS sigma FROM fil f JOIN sl ON sl.country = f.country GROUP BY f.country),
-pts AS (SELECT country, ds, t, y, false AS is_forecast FROM fil UNION ALL
-        SELECT country, make_date(CAST(y0 + s AS BIGINT), 12, 31), datediff('month', first, make_date(CAST(y0 + s AS BIGINT), 12, 31)), NULL, true
-        FROM (SELECT country, first, CASE WHEN last >= make_date(year(last), 12, 31) THEN year(last) + 1 ELSE year(last) END AS y0 FROM span), range(5) r(s)),
-ts AS (SELECT p.country, p.ds, is_forecast, ln(1 + y) AS log_y, level + slope * t AS trend, coalesce(ym - slope * tm - level, 0) AS yearly, sigma
-       FROM pts p JOIN lv ON lv.country = p.country LEFT JOIN bm ON bm.country = p.country AND bm.m = month(p.ds))"""
+_LINE = {"b0": "1.0", "b1": "s", **{f"b{k + 2}": f"greatest(s - {0.8 * (k + 1) / (SE.CHANGES + 1)!r}, 0)" for k in range(SE.CHANGES)}}
+_WAVE = {f"w{2 * k + i}": f"{f}({k + 1} * 2 * pi() / 12 * (m - 1))" for k in range(SE.WAVES) for i, f in enumerate(("sin", "cos"))}
+_RIDGE = {**{b: 1e-6 if b in ("b0", "b1") else SE.CHANGE_RIDGE for b in _LINE}, **{w: SE.WAVE_RIDGE for w in _WAVE}}
+_SEASON = _FILLED + f""",
+span2 AS (SELECT country, min(ds) AS first, max(ds) AS last, greatest(max(t), 1) AS len FROM fil GROUP BY country),
+pts AS (SELECT country, ds, t, y, ly, false AS is_forecast FROM fil UNION ALL
+        SELECT country, make_date(CAST(y0 + s AS BIGINT), 12, 31), datediff('month', first, make_date(CAST(y0 + s AS BIGINT), 12, 31)), NULL, NULL, true
+        FROM (SELECT country, first, CASE WHEN last >= make_date(year(last), 12, 31) THEN year(last) + 1 ELSE year(last) END AS y0 FROM span2), range(5) r(s)),
+sca AS (SELECT country, ds, y, ly, is_forecast, CAST(t AS DOUBLE) / len AS s, month(ds) AS m FROM pts JOIN span2 USING (country)),
+xs AS (SELECT country, ds, y, ly, is_forecast, NOT is_forecast AS use, 0 AS probe, {", ".join(f"{e} AS {b}" for b, e in {**_LINE, **_WAVE}.items())} FROM sca
+       UNION ALL SELECT country, ds, y, ly, is_forecast, false, 1, {", ".join(f"{e} AS {b}" for b, e in _LINE.items())}, {", ".join("0" for _ in _WAVE)} FROM sca
+       UNION ALL SELECT country, NULL, NULL, 0, NULL, true, 2, {", ".join(f"CASE WHEN r.j = {k} THEN sqrt({lam!r}) ELSE 0 END" for k, lam in enumerate(_RIDGE.values()))}
+                 FROM span2, range({len(_RIDGE)}) r(j)),
+{_least_squares("xs", list(_RIDGE), "ly", "ts0_")},
+dev AS (SELECT country, sqrt(sum(res * res) / nullif(count(*) - 1, 0)) AS sigma FROM ts0_ WHERE probe = 0 AND use GROUP BY country),
+ts AS (SELECT a.country, a.ds, a.is_forecast, ln(1 + a.y) AS log_y, b.fitted AS trend, a.fitted - b.fitted AS yearly, sigma
+       FROM ts0_ a JOIN ts0_ b ON a.probe = 0 AND b.probe = 1 AND b.country = a.country AND b.ds = a.ds AND b.is_forecast = a.is_forecast JOIN dev ON dev.country = a.country)"""
 _TS_COLS = ["log_y", "trend", "yearly", "yhat", "yhat_lower", "yhat_upper"]
 
 
@@ -322,7 +375,7 @@ _TS_COLS = ["log_y", "trend", "yearly", "yhat", "yhat_lower", "yhat_upper"]
 SELECT country, ds, is_forecast, round(log_y, 6) AS log_y, round(trend, 6) AS trend, round(yearly, 6) AS yearly, round(trend + yearly, 6) AS yhat,
        round(trend + yearly - 1.959963984540054 * sigma, 6) AS yhat_lower, round(trend + yearly + 1.959963984540054 * sigma, 6) AS yhat_upper FROM ts""", PA, _SEASON))
 def q_forecast_trend_season_many(spark, sf):
-    """Trend + yearly seasonality per nation, history and 5 year-end forecasts, all on the log scale."""
+    """Piecewise trend + yearly waves per nation, history and 5 year-end forecasts, all on the log scale."""
     s = _series(spark, sf)
     r = SE.trend_season(s, SE.future_spine(s, "country"), "country")
     return r.select("country", "ds", "is_forecast", *[F.round(c, 6).alias(c) for c in _TS_COLS])

@@ -196,10 +196,10 @@ def q_region_year_pivot(spark, sf):
 
 
 @register("top7_regions", Q.with_tagged(
-    f"SELECT region, {MS} AS total FROM tagged GROUP BY region ORDER BY total DESC, region LIMIT 7"))
+    f"SELECT country, {MS} AS total FROM tagged GROUP BY country ORDER BY total DESC, country LIMIT 7"))
 def q_top7_regions(spark, sf):
-    """L3"""
-    return R.top_groups(feat(spark, sf), "region", 7)
+    """L3 on the 25 nations (the tables have only 5 regions)."""
+    return R.top_groups(feat(spark, sf), "country", 7)
 
 
 @register("isin_top_groups", Q.with_tagged(f"""
@@ -212,38 +212,40 @@ def q_isin_top_groups(spark, sf):
     return isin_top_groups(f.select("deal_id", "region", "amount"), R.top_groups(f, "region", 3), "region")
 
 
-_SHARE = """s AS (SELECT sector,
+def _share(group):
+    return f"""s AS (SELECT {group},
    COALESCE(CAST(sum(CASE WHEN post_policy = 0 THEN CAST(amount AS DECIMAL(28,6)) END) AS DOUBLE), 0) AS pre,
    COALESCE(CAST(sum(CASE WHEN post_policy = 1 THEN CAST(amount AS DECIMAL(28,6)) END) AS DOUBLE), 0) AS post
-   FROM tagged GROUP BY sector),
-sh AS (SELECT sector, 100 * pre / sum(pre) OVER () AS pre_share, 100 * post / sum(post) OVER () AS post_share FROM s),
-shift AS (SELECT sector, round(pre_share, 6) AS pre_share, round(post_share, 6) AS post_share,
+   FROM tagged GROUP BY {group}),
+sh AS (SELECT {group}, 100 * pre / sum(pre) OVER () AS pre_share, 100 * post / sum(post) OVER () AS post_share FROM s),
+shift AS (SELECT {group}, round(pre_share, 6) AS pre_share, round(post_share, 6) AS post_share,
           round(post_share - pre_share, 6) AS change FROM sh)"""
 
 
-@register("share_shift", Q.with_tagged("SELECT * FROM shift", PA, _SHARE))
+@register("share_shift", Q.with_tagged("SELECT * FROM shift", PA, _share("sector")))
 def q_share_shift(spark, sf):
     """A13"""
     return R.share_shift(feat(spark, sf))
 
 
-_TB = Q.with_tagged("""
-SELECT sector, pre_share, post_share, change FROM (SELECT *, row_number() OVER (ORDER BY change DESC, sector) AS r FROM shift) WHERE r <= 7
+def _top_bottom(n):
+    return Q.with_tagged(f"""
+SELECT country, pre_share, post_share, change FROM (SELECT *, row_number() OVER (ORDER BY change DESC, country) AS r FROM shift) WHERE r <= {n}
 UNION
-SELECT sector, pre_share, post_share, change FROM (SELECT *, row_number() OVER (ORDER BY change ASC, sector) AS r FROM shift) WHERE r <= 7""",
-                    PA, _SHARE)
+SELECT country, pre_share, post_share, change FROM (SELECT *, row_number() OVER (ORDER BY change ASC, country) AS r FROM shift) WHERE r <= {n}""",
+                         PA, _share("country"))
 
 
-@register("top_bottom_shift", _TB)
+@register("top_bottom_shift", _top_bottom(7))
 def q_top_bottom_shift(spark, sf):
-    """L4"""
-    return R.top_bottom_shift(feat(spark, sf))
+    """L4: the 7 nations that gained and the 7 that lost most."""
+    return R.top_bottom_shift(feat(spark, sf), 7, "country")
 
 
-@register("union_top_bottom", _TB)
+@register("union_top_bottom", _top_bottom(15))
 def q_union_top_bottom(spark, sf):
-    """Concat of the two ranked frames, duplicates by sector dropped."""
-    return R.top_bottom_shift(feat(spark, sf), 7)
+    """Concat of two ranked frames that overlap (15 + 15 of 25 nations), duplicates dropped."""
+    return R.top_bottom_shift(feat(spark, sf), 15, "country")
 
 
 @register("year_type_pivot", Q.with_tagged("""
@@ -353,13 +355,26 @@ def q_distinct_levels(spark, sf):
     return R.distinct_levels(feat(spark, sf), _DL)
 
 
+#: Deals as an export might have them: amounts missing, zero or negative, years missing or out of range.
+_DIRTY = """dirty AS (SELECT * REPLACE (
+  CASE WHEN deal_id % 11 = 0 THEN NULL WHEN deal_id % 13 = 0 THEN -amount WHEN deal_id % 17 = 0 THEN 0 ELSE amount END AS amount,
+  CASE WHEN deal_id % 19 = 0 THEN NULL WHEN deal_id % 23 = 0 THEN year + 1000 ELSE year END AS year) FROM deals)"""
+_DIRTY_CLEAN = _DIRTY + ",\n" + Q.clean(PA).replace("FROM deals", "FROM dirty")
+
+
+def _dirty(spark, sf):
+    k = F.col("deal_id")
+    amount = F.when(k % 11 != 0, F.when(k % 13 == 0, -F.col("amount")).when(k % 17 == 0, F.lit(0)).otherwise(F.col("amount")))
+    return deals(spark, sf).withColumns({"amount": amount, "year": F.when(k % 19 != 0, F.col("year") + F.when(k % 23 == 0, 1000).otherwise(0))})
+
+
 @register("year_range", Q.with_deals(f"""
-SELECT (SELECT count(*) FROM deals) AS rows_in, count(*) AS rows_out, min(year) AS min_year, max(year) AS max_year,
-       (SELECT count(*) FROM deals) - count(*) AS rows_removed
-FROM clean""", Q.clean(PA)))
+SELECT (SELECT count(*) FROM dirty) AS rows_in, count(*) AS rows_out, min(year) AS min_year, max(year) AS max_year,
+       (SELECT count(*) FROM dirty) - count(*) AS rows_removed
+FROM clean""", _DIRTY_CLEAN))
 def q_year_range(spark, sf):
-    """Data-quality counts of the cleaning step."""
-    d = deals(spark, sf)
+    """Data-quality counts of the cleaning step on dirty deals."""
+    d = _dirty(spark, sf)
     return R.year_range(d, clean_rows(d, PA)).select("rows_in", "rows_out", "min_year", "max_year", "rows_removed")
 
 
@@ -406,12 +421,12 @@ def q_semi_join_top(spark, sf):
 
 
 @register("top_n_with_ties", Q.with_deals("""
-SELECT share_size, n, CAST(r AS INT) AS "rank" FROM (
-  SELECT share_size, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM deals GROUP BY share_size)
+SELECT investor, n, CAST(r AS INT) AS "rank" FROM (
+  SELECT investor, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM deals GROUP BY investor)
 WHERE r <= 30"""))
 def q_top_n_with_ties(spark, sf):
-    """W8"""
-    return R.top_n_with_ties(deals(spark, sf), "share_size", 30)
+    """The 30 busiest investors and those that tie with the last."""
+    return R.top_n_with_ties(deals(spark, sf), "investor", 30)
 
 
 @register("share_of_total", Q.with_tagged(
@@ -506,26 +521,26 @@ def q_collect_results(spark, sf):
 
 
 @register("min_group_guard", Q.with_tagged("""
-SELECT phase, count(*) AS n_rows, count(DISTINCT sector) AS n_levels,
-       count(*) >= 50 AND count(DISTINCT sector) >= 2 AND NOT starts_with(phase, 'Fora') AS passes
-FROM tagged GROUP BY phase"""))
+SELECT investor, count(*) AS n_rows, count(DISTINCT phase) AS n_levels,
+       count(*) >= 12 AND count(DISTINCT phase) >= 2 AND NOT starts_with(investor, 'Customer#00000000') AS passes
+FROM tagged GROUP BY investor"""))
 def q_min_group_guard(spark, sf):
-    """P10"""
+    """P10 on investors, of which some are too small, some have one phase and some are skipped by name."""
     from ..operators.clean import min_group_guard
-    return min_group_guard(feat(spark, sf), "phase", PA.min_phase_rows, "sector", PA.outside_prefix)
+    return min_group_guard(feat(spark, sf), "investor", 12, "phase", "Customer#00000000")
 
 
-@register("clean_rows", Q.with_deals("SELECT deal_id, year, amount FROM clean", Q.clean(PA)))
+@register("clean_rows", Q.with_deals("SELECT deal_id, year, amount FROM clean", _DIRTY_CLEAN))
 def q_clean_rows(spark, sf):
-    """P1"""
-    return clean_rows(deals(spark, sf), PA).select("deal_id", "year", "amount")
+    """P1 on dirty deals"""
+    return clean_rows(_dirty(spark, sf), PA).select("deal_id", "year", "amount")
 
 
 @register("clean_rows_r", Q.with_deals(
-    "SELECT deal_id, year, amount FROM deals WHERE amount IS NOT NULL AND year IS NOT NULL"))
+    "SELECT deal_id, year, amount FROM dirty WHERE amount IS NOT NULL AND year IS NOT NULL", _DIRTY))
 def q_clean_rows_r(spark, sf):
-    """P2"""
-    return clean_rows_r(deals(spark, sf)).select("deal_id", "year", "amount")
+    """P2 on dirty deals: zero, negative and late ones stay"""
+    return clean_rows_r(_dirty(spark, sf)).select("deal_id", "year", "amount")
 
 
 @register("cap_outliers", Q.with_tagged(

@@ -17,7 +17,7 @@ def test_attributions_add_up(spark):
     df = spark.createDataFrame(pdf)
     full, = MD.design(df, [], ["a", "b"], ["s"], "y", ["deal_id"])
     m = GBTRegressor(maxDepth=3, maxIter=10, seed=1).fit(full)
-    phi = MD.attributions(full, m, ["a", "b", "s_ord"], list(m.treeWeights))
+    phi = MD.attributions(full, m, ["a", "b", "s_ord"])
     tot = phi.groupBy("deal_id").agg((F.sum("phi") + F.first("base")).alias("recon"))
     pred = m.transform(full).select("deal_id", "prediction")
     d = tot.join(pred, "deal_id").toPandas()
@@ -35,7 +35,7 @@ def test_the_winner_of_the_search_is_attributed(spark):
         m = MD.refit_winner(spark.createDataFrame(rows, kind), full)
         assert type(m).__name__.lower().startswith({"rf": "randomforest", "gbt": "gbt"}[name])
         assert m.getNumTrees == trees and m.getMaxDepth() == depth
-        worst = MD.attribution_sums(m.transform(full), m, ["a", "b", "s_ord"], MD.tree_weights(m)).agg(F.max("max_error")).first()[0]
+        worst = MD.attribution_sums(m.transform(full), m, ["a", "b", "s_ord"]).agg(F.max("max_error")).first()[0]
         assert worst < 1e-9
 
 
@@ -43,7 +43,7 @@ def test_attribution_queries_use_the_search(spark, monkeypatch):
     from ledgerline.plans import catalog_models as C
     kind = "model string, params string, rmse_log double, mape double, n_oof long, is_best boolean"
     won = spark.createDataFrame([("rf", '{"maxDepth": 3, "numTrees": 5}', 1.0, 1.0, 1, True)], kind)
-    monkeypatch.setattr(MD, "tune_regression", lambda df: (won, None))
+    monkeypatch.setattr(C, "_search", lambda spark, sf: won)
     full, every, model, names = C._attributed(spark, "/root/testdata/sf0.001")
     assert type(model).__name__ == "RandomForestRegressionModel" and model.getNumTrees == 5
     f = C.feat(spark, "/root/testdata/sf0.001").where("log_amount is not null")
