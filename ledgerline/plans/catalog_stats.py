@@ -84,8 +84,7 @@ def q_ols_interaction(spark, sf):
     """Per phase, log amount ~ year * C(sector) and * C(region) as grouped
     sufficient statistics (fit measures)."""
     f = feat(spark, sf)
-    out = I.ols_interaction(f, "phase", "sector").unionByName(I.ols_interaction(f, "phase", "region"))
-    return out.select(*[F.round(c, d).alias(c) if d else F.col(c) for c, d in _OLS_COLS.items()])
+    return I.ols_interaction(f, "phase", ["sector", "region"]).select(*[F.round(c, d).alias(c) if d else F.col(c) for c, d in _OLS_COLS.items()])
 
 
 def _ols_tests_sql(z: str) -> str:
@@ -116,8 +115,7 @@ def _levels(z: str) -> str:
                                                  _levels("sector") + ",\n" + _levels("region")))
 def q_ols_interaction_tests(spark, sf):
     """T1 (tests): F p-value and count of coefficients with p < 0.1."""
-    f = feat(spark, sf)
-    return _r(I.ols_interaction_tests(f, "phase", "sector").unionByName(I.ols_interaction_tests(f, "phase", "region")))
+    return _r(I.ols_interaction_tests(feat(spark, sf), "phase", ["sector", "region"]))
 
 
 @register("rank_models", Q.with_tagged(f"""
@@ -126,8 +124,7 @@ FROM ({_round_sql(_ols_sql("sector") + " UNION ALL " + _ols_sql("region"), _OLS_
 def q_rank_models(spark, sf):
     """Interaction fits ordered by R^2 (descending)."""
     from pyspark.sql import Window
-    f = feat(spark, sf)
-    o = I.ols_interaction(f, "phase", "sector").unionByName(I.ols_interaction(f, "phase", "region"))
+    o = I.ols_interaction(feat(spark, sf), "phase", ["sector", "region"])
     o = o.select("phase", "interaction", F.round("r2", 6).alias("r2"))
     return o.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("r2"), "phase", "interaction")).cast("int"))
 
@@ -137,8 +134,7 @@ SELECT arg_max(phase || ' / ' || interaction, r2) AS best, max(r2) AS r2
 FROM ({_round_sql(_ols_sql("sector") + " UNION ALL " + _ols_sql("region"), _OLS_COLS)})"""))
 def q_best_model(spark, sf):
     """Arg-max of R^2 over the fits (max_by)."""
-    f = feat(spark, sf)
-    o = I.ols_interaction(f, "phase", "sector").unionByName(I.ols_interaction(f, "phase", "region"))
+    o = I.ols_interaction(feat(spark, sf), "phase", ["sector", "region"])
     o = o.select(F.concat_ws(" / ", "phase", "interaction").alias("label"), F.round("r2", 6).alias("r2"))
     return o.agg(F.max_by("label", "r2").alias("best"), F.max("r2").alias("r2"))
 
@@ -310,6 +306,37 @@ def q_pairwise_groups_tests(spark, sf):
     return _r(I.pairwise_groups_tests(feat(spark, sf), "year", "amount"))
 
 
+#: The studentized range in SQL: the normal distribution on a grid of width H (trapezoids with the end correction), and for each
+#: pair a sum over s at multiples of H / q (the chi density, normalised) and over z at every tenth.
+_H = 0.0002
+_RANGE = f"""
+g AS (SELECT year, count(amount) AS n, avg(amount) AS mean, var_samp(amount) AS var, count(*) OVER () AS k FROM tagged GROUP BY year HAVING count(amount) >= 2),
+pr AS (SELECT a.year AS group_a, b.year AS group_b, b.mean - a.mean AS mean_diff, a.k,
+         abs(b.mean - a.mean) / sqrt(a.var / a.n + b.var / b.n) * sqrt(2) AS q,
+         power(a.var / a.n + b.var / b.n, 2) / (power(a.var / a.n, 2) / (a.n - 1) + power(b.var / b.n, 2) / (b.n - 1)) AS dof
+       FROM g a JOIN g b ON a.year < b.year),
+nrm AS (SELECT i, x, d, {_H} * (sum(d) OVER (ORDER BY i) - d / 2) + {_H * _H / 12} * x * d AS c FROM
+        (SELECT i, i * {_H} AS x, exp(-power(i * {_H}, 2) / 2) / sqrt(2 * pi()) AS d FROM range(-130000, 45001) r(i))),
+sn AS (SELECT *, CAST(greatest(1, floor(q * 0.25 / sqrt(2 * dof) / {_H})) AS BIGINT) AS stride FROM pr),
+nodes AS (SELECT group_a, group_b, k, m, (dof - 1) * ln(m * {_H} / q) - dof * power(m * {_H} / q, 2) / 2 AS lf FROM sn,
+          LATERAL (SELECT unnest(range(greatest(1, CAST(floor(q * (1 - 9 / sqrt(2 * dof)) / {_H} / stride) AS BIGINT)),
+                                       CAST(ceil(q * (1 + 9 / sqrt(2 * dof)) / {_H} / stride) AS BIGINT) + 1)) * stride AS m)),
+wt AS (SELECT *, exp(lf - max(lf) OVER (PARTITION BY group_a, group_b)) AS f FROM nodes),
+ins AS (SELECT group_a, group_b, m, any_value(f) AS f, any_value(k) * 0.1 * sum(z.d * power(greatest(z.c - lo.c, 0), k - 1)) AS inside
+        FROM wt, (SELECT * FROM nrm WHERE i % 500 = 0 AND abs(i) <= 42500) z JOIN nrm lo ON lo.i = z.i - m GROUP BY ALL),
+tails AS (SELECT group_a, group_b, greatest(0, least(1, 1 - sum(f * inside) / sum(f))) AS p FROM ins GROUP BY ALL)"""
+
+
+@register("pairwise_range_tests", Q.with_tagged("""
+SELECT group_a, group_b, round(mean_diff, 6) AS mean_diff, round(q, 6) AS q, round(dof, 6) AS dof, round(p, 5) AS p_value,
+  round(max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 5) AS p_holm
+FROM (SELECT *, row_number() OVER (ORDER BY p, group_a, group_b) AS r, count(*) OVER () AS m FROM pr JOIN tails USING (group_a, group_b))""", PA, _RANGE))
+def q_pairwise_range_tests(spark, sf):
+    """T5: pairs of years by the studentized range (unequal variances), with Holm's adjustment."""
+    g = I.games_howell(feat(spark, sf), "year", "amount")
+    return g.select("group_a", "group_b", *[F.round(c, 6).alias(c) for c in ("mean_diff", "q", "dof")], *[F.round(c, 5).alias(c) for c in ("p_value", "p_holm")])
+
+
 @register("outlier_tags", Q.with_tagged("""
 SELECT t.deal_id, t.sector, t.log_amount FROM tagged t JOIN
   (SELECT sector, quantile_cont(log_amount, 0.25) AS q1, quantile_cont(log_amount, 0.75) AS q3 FROM tagged GROUP BY sector) q
@@ -398,11 +425,12 @@ def q_phase_histogram(spark, sf):
 
 
 @register("grouped_density", Q.with_deals("""
-SELECT region, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x, round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight,
+SELECT region, CAST(j AS INT) AS grid_index, round(lo + j * step, 4) AS x, round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))) / (n * bw * sqrt(2 * pi())), 12) AS density
 FROM (SELECT cells.region, cell, c, n, bw, step, lo, unnest(range(512)) AS j
-      FROM (SELECT d.region, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
-            FROM dr d JOIN st ON st.region = d.region GROUP BY 1, 2) cells
+      FROM (SELECT region, CAST(i + s AS INT) AS cell, sum(CASE s WHEN 0 THEN 1 - (pos - i) ELSE pos - i END) AS c
+            FROM (SELECT d.region, (amount - lo) / step AS pos, least(floor((amount - lo) / step), 510) AS i FROM dr d JOIN st ON st.region = d.region),
+                 (VALUES (0), (1)) two(s) GROUP BY 1, 2) cells
       JOIN st ON st.region = cells.region)
 GROUP BY region, j, n, bw, step, lo""", """
 dr AS (SELECT region, amount FROM deals WHERE amount IS NOT NULL AND year IS NOT NULL AND amount > 0 AND amount <= 320000),
@@ -410,7 +438,7 @@ st0 AS (SELECT region, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
         0.9 * CASE WHEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) > 0 THEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) WHEN stddev_samp(amount) > 0 THEN stddev_samp(amount)
                    WHEN min(amount) <> 0 THEN abs(min(amount)) ELSE 1.0 END * power(count(amount), -0.2) AS bw FROM dr GROUP BY region),
 st1 AS (SELECT * EXCLUDE (bw), avg(bw) OVER () AS bw FROM st0),
-st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step FROM st1)"""))
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 511 AS step FROM st1)"""))
 def q_grouped_density(spark, sf):
     """Kernel density of amount per region, one bandwidth for all ridgelines (0 < amount <= cap)."""
     d = cap_outliers(clean_rows_r(deals(spark, sf)), PB.density_cap, positive=True)
@@ -420,18 +448,19 @@ def q_grouped_density(spark, sf):
 
 
 @register("grouped_density_year_log10", Q.with_tagged("""
-SELECT year, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 6) AS x,
+SELECT year, CAST(j AS INT) AS grid_index, round(lo + j * step, 6) AS x,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))) / (n * bw * sqrt(2 * pi())), 9) AS density
 FROM (SELECT cells.year, cell, c, n, bw, step, lo, unnest(range(512)) AS j
-      FROM (SELECT d.year, CAST(least(floor((v - lo) / step), 511) AS INT) AS cell, count(*) AS c
-            FROM dr d JOIN st ON st.year = d.year GROUP BY 1, 2) cells
+      FROM (SELECT year, CAST(i + s AS INT) AS cell, sum(CASE s WHEN 0 THEN 1 - (pos - i) ELSE pos - i END) AS c
+            FROM (SELECT d.year, (v - lo) / step AS pos, least(floor((v - lo) / step), 510) AS i FROM dr d JOIN st ON st.year = d.year),
+                 (VALUES (0), (1)) two(s) GROUP BY 1, 2) cells
       JOIN st ON st.year = cells.year)
 GROUP BY year, j, n, bw, step, lo""", PA, """
 dr AS (SELECT year, log10(amount) AS v FROM tagged WHERE amount > 0),
 st0 AS (SELECT year, count(v) AS n, min(v) AS mn, max(v) AS mx,
         CASE WHEN stddev_samp(v) > 0 THEN stddev_samp(v) WHEN min(v) <> 0 THEN abs(min(v)) ELSE 1.0 END * power(count(v), -0.2) AS bw FROM dr GROUP BY year),
-st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step FROM st0)"""))
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 511 AS step FROM st0)"""))
 def q_grouped_density_year_log10(spark, sf):
     """T10/P5 (ridgeline variant): density of log10 amount per year by Scott's rule (positive amounts)."""
     from ..operators.clean import positive_log10
@@ -445,11 +474,12 @@ _DENS_VARS = ["subsector", "region", "month", "sector", "bri_group"]
 
 
 @register("grouped_density_r", Q.with_deals("""
-SELECT gkey, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x,
+SELECT gkey, CAST(j AS INT) AS grid_index, round(lo + j * step, 4) AS x,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight
 FROM (SELECT cells.gkey, cell, c, n, bw, step, lo, unnest(range(512)) AS j
-      FROM (SELECT d.gkey, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
-            FROM dr d JOIN st ON st.gkey = d.gkey GROUP BY 1, 2) cells
+      FROM (SELECT gkey, CAST(i + s AS INT) AS cell, sum(CASE s WHEN 0 THEN 1 - (pos - i) ELSE pos - i END) AS c
+            FROM (SELECT d.gkey, (amount - lo) / step AS pos, least(floor((amount - lo) / step), 510) AS i FROM dr d JOIN st ON st.gkey = d.gkey),
+                 (VALUES (0), (1)) two(s) GROUP BY 1, 2) cells
       JOIN st ON st.gkey = cells.gkey)
 GROUP BY gkey, j, n, bw, step, lo""", """
 base AS (SELECT amount, COALESCE(subsector, 'Unknown') AS subsector, COALESCE(region, 'Unknown') AS region,
@@ -461,7 +491,7 @@ dr AS (SELECT variable || '=' || level AS gkey, amount FROM
 st0 AS (SELECT gkey, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
         0.9 * CASE WHEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) > 0 THEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) WHEN stddev_samp(amount) > 0 THEN stddev_samp(amount)
                    WHEN min(amount) <> 0 THEN abs(min(amount)) ELSE 1.0 END * power(count(amount), -0.2) AS bw FROM dr GROUP BY gkey),
-st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step FROM st0)"""))
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 511 AS step FROM st0)"""))
 def q_grouped_density_r(spark, sf):
     """T10 (R rules, all grouping variables in one pass): rows unpivoted to
     (variable, level) keys, then one kernel density per key on 0 < amount <= cap."""
@@ -477,11 +507,12 @@ def q_grouped_density_r(spark, sf):
 
 
 @register("grouped_density_top_parties", Q.with_deals("""
-SELECT party, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x,
+SELECT party, CAST(j AS INT) AS grid_index, round(lo + j * step, 4) AS x,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight
 FROM (SELECT cells.party, cell, c, n, bw, step, lo, unnest(range(512)) AS j
-      FROM (SELECT d.party, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
-            FROM dr d JOIN st ON st.party = d.party GROUP BY 1, 2) cells
+      FROM (SELECT party, CAST(i + s AS INT) AS cell, sum(CASE s WHEN 0 THEN 1 - (pos - i) ELSE pos - i END) AS c
+            FROM (SELECT d.party, (amount - lo) / step AS pos, least(floor((amount - lo) / step), 510) AS i FROM dr d JOIN st ON st.party = d.party),
+                 (VALUES (0), (1)) two(s) GROUP BY 1, 2) cells
       JOIN st ON st.party = cells.party)
 GROUP BY party, j, n, bw, step, lo""", """
 filt AS (SELECT party, amount FROM deals WHERE amount IS NOT NULL AND year IS NOT NULL AND amount > 0 AND amount <= 320000),
@@ -490,7 +521,7 @@ dr AS (SELECT party, amount FROM filt WHERE party IN (SELECT party FROM tp)),
 st0 AS (SELECT party, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
         0.9 * CASE WHEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) > 0 THEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) WHEN stddev_samp(amount) > 0 THEN stddev_samp(amount)
                    WHEN min(amount) <> 0 THEN abs(min(amount)) ELSE 1.0 END * power(count(amount), -0.2) AS bw FROM dr GROUP BY party),
-st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step FROM st0)"""))
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 511 AS step FROM st0)"""))
 def q_grouped_density_top_parties(spark, sf):
     """T10 + P6/W8 (R rules): density of amount for the top-25 counter-parties by
     deal count (ties kept), on 0 < amount <= cap."""
@@ -502,11 +533,12 @@ def q_grouped_density_top_parties(spark, sf):
 
 
 @register("grouped_density_top_shares", Q.with_deals("""
-SELECT share_size, CAST(j AS INT) AS grid_index, round(lo + (j + 0.5) * step, 4) AS x,
+SELECT share_size, CAST(j AS INT) AS grid_index, round(lo + j * step, 4) AS x,
        round(sum(c * exp(-0.5 * power((j - cell) * step / bw, 2))), 6) AS weight
 FROM (SELECT cells.share_size, cell, c, n, bw, step, lo, unnest(range(512)) AS j
-      FROM (SELECT d.share_size, CAST(least(floor((amount - lo) / step), 511) AS INT) AS cell, count(*) AS c
-            FROM dr d JOIN st ON st.share_size = d.share_size GROUP BY 1, 2) cells
+      FROM (SELECT share_size, CAST(i + s AS INT) AS cell, sum(CASE s WHEN 0 THEN 1 - (pos - i) ELSE pos - i END) AS c
+            FROM (SELECT d.share_size, (amount - lo) / step AS pos, least(floor((amount - lo) / step), 510) AS i FROM dr d JOIN st ON st.share_size = d.share_size),
+                 (VALUES (0), (1)) two(s) GROUP BY 1, 2) cells
       JOIN st ON st.share_size = cells.share_size)
 GROUP BY share_size, j, n, bw, step, lo""", """
 filt AS (SELECT share_size, amount FROM deals WHERE amount IS NOT NULL AND year IS NOT NULL AND amount > 0 AND amount <= 320000),
@@ -516,7 +548,7 @@ dr AS (SELECT share_size, amount FROM filt WHERE share_size IN (SELECT share_siz
 st0 AS (SELECT share_size, count(amount) AS n, min(amount) AS mn, max(amount) AS mx,
         0.9 * CASE WHEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) > 0 THEN least(coalesce(stddev_samp(amount), 0), (quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25)) / 1.34) WHEN stddev_samp(amount) > 0 THEN stddev_samp(amount)
                    WHEN min(amount) <> 0 THEN abs(min(amount)) ELSE 1.0 END * power(count(amount), -0.2) AS bw FROM dr GROUP BY share_size),
-st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 512 AS step FROM st0)"""))
+st AS (SELECT *, mn - 3 * bw AS lo, (mx - mn + 6 * bw) / 511 AS step FROM st0)"""))
 def q_grouped_density_top_shares(spark, sf):
     """T10 + W8 (R rules): density of amount for the 30 most frequent share sizes
     (ties kept), on 0 < amount <= cap."""

@@ -29,7 +29,7 @@ def make_panel(seed=1):
 
 def test_ols_interaction_matches_lstsq(spark):
     pdf = make_panel()
-    res = I.ols_interaction(spark.createDataFrame(pdf), "phase", "sector").toPandas().set_index("phase")
+    res = I.ols_interaction(spark.createDataFrame(pdf), "phase", ["sector"]).toPandas().set_index("phase")
     for g, sub in pdf.groupby("phase"):
         lv = sorted(sub["sector"].unique())
         cols = [np.ones(len(sub)), sub["year"].to_numpy(float)]
@@ -50,7 +50,7 @@ def test_ols_interaction_matches_lstsq(spark):
 
 
 def test_ols_tests_run(spark):
-    t = I.ols_interaction_tests(spark.createDataFrame(make_panel()), "phase", "sector", min_rows=10).toPandas()
+    t = I.ols_interaction_tests(spark.createDataFrame(make_panel()), "phase", ["sector"], min_rows=10).toPandas()
     assert len(t) == 2 and t["f_pvalue"].between(0, 1).all()
 
 
@@ -123,3 +123,57 @@ def test_holm_adjustment(spark):
     m = len(p)
     holm = np.minimum(1, np.maximum.accumulate((m - np.arange(m)) * p))
     np.testing.assert_allclose(t["p_holm"].to_numpy(), holm)
+
+
+def test_holm_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.random(300) ** 3, [0.01] * 20, [1.0, 0.0]])
+    df = spark.createDataFrame([(i, i + 1, float(x)) for i, x in enumerate(p)] + [(900, 901, None)], "group_a int, group_b int, p_value double")
+    got = I.holm(df, rows_per_block=7).toPandas().sort_values(["p_value", "group_a"])
+    s = np.sort(p)
+    np.testing.assert_allclose(got.p_holm.to_numpy()[:len(p)], np.minimum(1, np.maximum.accumulate((len(p) - np.arange(len(p))) * s)))
+    assert np.isnan(got.p_holm.to_numpy()[-1]) and len(got) == len(p) + 1
+
+
+def test_studentized_range_known_values():
+    from ledgerline.functions.dist import range_sf, t_sf2
+    # two groups: q = t sqrt(2) of Student's t
+    t, dof = np.array([0.3, 1.0, 2.2, 5.0]), np.array([3.0, 8.0, 20.0, 400.0])
+    np.testing.assert_allclose(range_sf(t * 2 ** 0.5, np.full(4, 2), dof), t_sf2(t, dof), atol=1e-8)
+    # published 5 % points: (groups, dof) -> q
+    for (k, nu), q in {(3, 10): 3.877, (4, 20): 3.958, (5, 60): 3.977, (10, 120): 4.560}.items():
+        assert range_sf(np.array([q]), np.array([k]), np.array([nu]))[0] == pytest.approx(0.05, abs=2e-4)
+
+
+def test_density_equals_direct_sum(spark):
+    rng = np.random.default_rng(4)
+    frames = {"a": rng.lognormal(3, 1, 700), "b": np.array([5.0]), "c": np.array([2.0, 2.0, 2.0, 9.0])}
+    pdf = pd.DataFrame([(g, float(x)) for g, v in frames.items() for x in v], columns=["g", "v"])
+    got = I.grouped_density(spark.createDataFrame(pdf), "g", "v").toPandas()
+    bw = {r.g: r for r in I.bandwidths(spark.createDataFrame(pdf), "g", "v").collect()}
+    for g, v in frames.items():
+        b = bw[g].bw
+        lo, step = v.min() - 3 * b, (v.max() - v.min() + 6 * b) / 511
+        at = (v - lo) / step
+        i = np.minimum(np.floor(at), 510).astype(int)
+        c = np.zeros(512)
+        np.add.at(c, i, 1 - (at - i))
+        np.add.at(c, i + 1, at - i)
+        d = np.arange(512)
+        want = (c[None, :] * np.exp(-0.5 * ((d[:, None] - d[None, :]) * step / b) ** 2)).sum(1)
+        sub = got[got.g == g].sort_values("grid_index")
+        assert len(sub) == 512
+        np.testing.assert_allclose(sub.weight, want, atol=1e-9)
+        np.testing.assert_allclose(sub.x, lo + d * step)
+
+
+def test_interaction_far_from_zero(spark):
+    """Centred moments merge without cancellation: the fit of values near 1e9 is that of the values themselves."""
+    pdf = make_panel()
+    near = I.ols_interaction(spark.createDataFrame(pdf), "phase", ["sector"], min_rows=10).toPandas().sort_values("phase")
+    pdf["log_amount"] = pdf["log_amount"] + 1e9
+    far = I.ols_interaction(spark.createDataFrame(pdf).repartition(7), "phase", ["sector"], min_rows=10).toPandas().sort_values("phase")
+    np.testing.assert_allclose(far.r2, near.r2, rtol=1e-5)
+    two = I.ols_interaction_tests(spark.createDataFrame(make_panel()), "phase", ["sector", "phase"], min_rows=10)
+    shuffles = two._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles <= 4
