@@ -9,6 +9,7 @@ from ..config import PRESET_A
 from ..operators import reports as R
 from ..operators.clean import require_column, with_optional
 from ..operators.features import features
+from ..operators.ordered import written
 from ..session import scratch_path
 from ..sources import text as X
 from ..sources.deals import deals
@@ -59,20 +60,65 @@ def q_scan_deals_csv(spark, sf):
     """S1+S2+S4+S5: an export in another column order with surplus, short, fractional-share and month-name lines, bound
     by header name, repaired, renamed and typed."""
     raw = X.scan_export(spark, _dirty_export(spark, sf))
-    return X.type_deals(raw)
+    return X.type_deals(raw).drop("_lines", "_bad_bytes")
 
 
 @register("scan_keyless_csv", Q.with_deals(_TYPED.format(key="")))
 def q_scan_keyless_csv(spark, sf):
     """S1 without a key column: every line gets a derived id; it depends on the files' split, so it is left out here."""
     raw = X.scan_export(spark, _dirty_export(spark, sf, keyless=True))
-    return X.type_deals(raw).drop("deal_id")
+    return X.type_deals(raw).drop("deal_id", "_lines", "_bad_bytes")
+
+
+def _broken_export(spark, sf) -> str:
+    """An export whose investor field is quoted and holds a line break and quotes on every third key, and bytes that are no
+    UTF-8 on every seventh; keys and amounts that can't be read on every eleventh and thirteenth."""
+    d, k = deals(spark, sf), F.col("deal_id")
+    name = F.concat(F.col("investor"), F.when(k % 7 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise(F.lit("")))
+    quoted = F.concat(F.lit('"'), name, F.lit('\n\n""of"", '), F.col("country"), F.lit('"'))
+    cells = [F.when(k % 11 == 0, F.concat(F.lit("no "), k.cast("string"))).otherwise(k.cast("string")), F.when(k % 3 == 0, quoted).otherwise(name),
+             F.when(k % 13 == 0, F.lit("n/a")).otherwise(F.col("amount").cast("string")), F.col("year").cast("string"), F.col("sector")]
+    path = scratch_path(spark, "broken")
+    head = spark.createDataFrame([("deal_id,Investor/Contractor,Quantity in Millions,Year,Sector",)], "value string").coalesce(1)
+    head.union(d.select(F.concat_ws(",", *cells).alias("value"))).write.mode("overwrite").text(path)
+    return path
+
+
+def _broken_records(spark, sf):
+    """The export's records, read in small splits (files of this size would be one split each) and written once."""
+    conf, key = spark.conf, "spark.sql.files.maxPartitionBytes"
+    had = conf.get(key)
+    conf.set(key, "32768")
+    try:
+        raw = X.scan_export(spark, _broken_export(spark, sf))
+        return written(raw, "broken-records")
+    finally:
+        conf.set(key, had)
+
+
+_BROKEN = """SELECT CASE WHEN deal_id % 11 <> 0 THEN deal_id END AS deal_id, year, CASE WHEN deal_id % 13 <> 0 THEN amount END AS amount, sector,
+  investor || CASE WHEN deal_id % 7 = 0 THEN chr(65533) ELSE '' END || CASE WHEN deal_id % 3 = 0 THEN chr(10) || chr(10) || '"of", ' || country ELSE '' END AS investor,
+  CASE WHEN deal_id % 3 = 0 THEN 3 ELSE 1 END AS _lines, deal_id % 7 = 0 AS _bad_bytes, deal_id % 11 = 0 OR deal_id % 13 = 0 AS _rejected FROM deals"""
 
 
-@register("scan_counts", Q.with_deals("""SELECT count(*) AS lines, count(greenfield) AS folded, count(*) - count(greenfield) AS padded,
-  CAST(0 AS BIGINT) AS rejected FROM deals"""))
+@register("scan_quoted_breaks", Q.with_deals(f"SELECT deal_id, year, amount, sector, investor, CAST(_lines AS BIGINT) AS _lines, _bad_bytes FROM ({_BROKEN})"))
+def q_scan_quoted_breaks(spark, sf):
+    """S1+S2: records with quoted line breaks over the borders of splits and with undecodable bytes."""
+    raw = _broken_records(spark, sf)
+    return X.type_deals(raw).select("deal_id", "year", "amount", "sector", "investor", "_lines", "_bad_bytes")
+
+
+@register("scan_counts", Q.with_deals(f"""SELECT count(*) AS records, CAST(0 AS BIGINT) AS folded, CAST(0 AS BIGINT) AS padded, count(*) FILTER (_lines > 1) AS broken,
+  count(*) FILTER (_bad_bytes) AS undecodable, count(*) FILTER (_rejected) AS rejected FROM ({_BROKEN})"""))
 def q_scan_counts(spark, sf):
-    """How many lines were read strictly, repaired and rejected."""
+    """How many records were repaired, broken over lines, undecodable and rejected."""
+    return X.scan_counts(_broken_records(spark, sf))
+
+
+@register("scan_repairs", Q.with_deals("""SELECT count(*) AS records, count(greenfield) AS folded, count(*) - count(greenfield) AS padded,
+  CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS undecodable, CAST(0 AS BIGINT) AS rejected FROM deals"""))
+def q_scan_repairs(spark, sf):
+    """D7 on the export with surplus and short lines."""
     return X.scan_counts(X.scan_export(spark, _dirty_export(spark, sf)))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import csv
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,12 +55,60 @@ def scan_csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
             .option("mode", "PERMISSIVE").schema(all_string_schema(names)).csv(path))
 
 
+#: Lines of one record; a quoted field that runs on for more is taken for a stray quote.
+MOST_LINES = 10_000
+
+
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Physical lines in parallel: file, block (where its split starts in the file), line (ascending in a block), value with
+    undecodable bytes replaced, and bad_bytes, whether there were any."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn("line", F.monotonically_increasing_id())
+    text = F.make_valid_utf8("value")
+    return raw.select("file", "block", "line", F.when(text.endswith("\r"), text.substr(F.lit(1), F.length(text) - 1)).otherwise(text).alias("value"),
+                      (~F.is_valid_utf8("value")).alias("bad_bytes"))
+
+
+def quoted_records(lines: DataFrame, most: int = MOST_LINES) -> DataFrame:
+    """Records of a quoted export: file, block, line (of its first line), value, lines (how many), bad_bytes.
+
+    A line starts a record if an even number of quotes stands before it in its file. Quotes are counted per split, a prefix
+    parity over the splits of a file says which of them start inside a quoted field, and only splits with a line break in
+    quotes are looked at line by line; all other lines pass as they are. A record that would have more than ``most`` lines
+    is a stray quote: its lines are records of their own.
+    """
+    quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2
+    d = lines.withColumn("odd", quotes)
+    by_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = d.groupBy("file", "block").agg(F.sum("odd").alias("odds")) \
+        .withColumn("open", F.coalesce(F.sum("odds").over(by_file), F.lit(0)) % 2)
+    d = d.join(blocks, ["file", "block"])
+    plain = (F.col("odds") == 0) & (F.col("open") == 0)
+    single = d.where(plain).select("file", "block", "line", "value", F.lit(1).cast("long").alias("lines"), "bad_bytes")
+    within = Window.partitionBy("file", "block").orderBy("line")
+    before = F.col("open") + F.coalesce(F.sum("odd").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    busy = d.where(~plain).withColumn("starts", before % 2 == 0)
+    here = F.struct("block", "line")
+    busy = busy.withColumn("start", F.last(F.when(F.col("starts"), here), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = busy.groupBy("file", "block").agg(F.max(F.when(F.col("starts"), here)).alias("top")) \
+        .select("file", "block", F.last("top", ignorenulls=True).over(by_file).alias("carried"))
+    busy = busy.join(carried, ["file", "block"]).withColumn("start", F.coalesce("start", "carried", here))
+    size = busy.groupBy("file", "start").agg(F.count(F.lit(1)).alias("lines"))
+    busy = busy.join(size, ["file", "start"])
+    stray = busy.where(F.col("lines") > most).select("file", "block", "line", "value", F.lit(1).cast("long").alias("lines"), "bad_bytes")
+    whole = busy.where(F.col("lines") <= most).groupBy("file", "start", "lines").agg(
+        F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("parts"), F.bool_or("bad_bytes").alias("bad_bytes"))
+    joined = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
+    return single.unionByName(stray).unionByName(whole.select("file", "start.block", "start.line", joined.alias("value"), "lines", "bad_bytes"))
+
+
 def _split_fields(line: Column) -> Column:
-    """Fields of one line: quoted (a doubled quote stands for one) or up to the next comma, leading blanks skipped.
-    One pass over the line."""
+    """Fields of one record: quoted (a doubled quote stands for one) or up to the next comma, leading blanks skipped.
+    Records without a quote are split at commas; the others take one pass of a pattern."""
     parts = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'[ \t]*("(?:[^"]|"")*"|[^,]*),'), 1)
-    return F.transform(parts, lambda p: F.when(
+    quoted = F.transform(parts, lambda p: F.when(
         p.rlike('^"(?s:.*)"$') & (F.length(p) > 1), F.replace(p.substr(F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(F.ltrim(line, F.lit(" \t")), ",[ \t]*"))
 
 
 def _fields(lines: DataFrame, names: list[str], fold: str, *keep: str) -> DataFrame:
@@ -79,9 +127,12 @@ def _fields(lines: DataFrame, names: list[str], fold: str, *keep: str) -> DataFr
 
 
 def header_line(spark: SparkSession, path: str) -> str:
-    """The first line of the export (one tiny job)."""
-    row = spark.read.text(path).first()
-    return (row["value"] if row else "").lstrip("\ufeff")
+    """The first line of the export's first file by name that has one (tiny jobs)."""
+    for name in sorted(spark.read.text(path).inputFiles()):
+        row = spark.read.text(name).first()
+        if row:
+            return row["value"].lstrip("\ufeff")
+    return ""
 
 
 def split_header(line: str) -> list[str]:
@@ -89,8 +140,8 @@ def split_header(line: str) -> list[str]:
 
 
 def scan_ragged_csv(spark: SparkSession, path: str, names: list[str] | None = None, fold: str | None = None) -> DataFrame:
-    """One record per physical line, blank and header lines dropped. ``names`` are read from the header if absent;
-    ``fold`` is the column that takes surplus fields (default: the investor column, by whatever name it has)."""
+    """One record per line (a quoted field may hold line breaks), blank and header lines dropped, undecodable bytes
+    replaced. ``names`` are read from the header if absent; ``fold`` is the column that takes surplus fields (default: the investor column, by whatever name it has)."""
     if names is None:
         head = header_line(spark, path)
         names = split_header(head)
@@ -101,8 +152,11 @@ def scan_ragged_csv(spark: SparkSession, path: str, names: list[str] | None = No
                      or normalize_header(c).lower().startswith("investor")), None)
         if fold is None:
             raise ValueError(f"no column to fold surplus fields into: {names}")
-    lines = spark.read.text(path).where((F.trim("value") != "") & (F.ltrim(F.col("value"), F.lit("\ufeff")) != head))
-    return _fields(lines, names, fold)
+    return _fields(_data_records(spark, path, head), names, fold)
+
+
+def _data_records(spark: SparkSession, path: str, head: str) -> DataFrame:
+    return quoted_records(scan_lines(spark, path)).where((F.trim("value") != "") & (F.ltrim(F.col("value"), F.lit("\ufeff")) != head))
 
 
 def scan_export(spark: SparkSession, path: str) -> DataFrame:
@@ -111,17 +165,17 @@ def scan_export(spark: SparkSession, path: str) -> DataFrame:
     Lines with as many fields as the header are read strictly; all others go through the ragged repair and are marked
     in ``_ragged``, so nothing is dropped without a count (see scan_counts). Known headers get their canonical names,
     unknown ones keep their normalised name, absent canonical columns are NULL; the amount column is required. A file
-    without deal_id gets one from (partition, line), the same for the same files and split size. Lines end records: a
-    quoted line break isn't supported."""
-    names = [CANONICAL.get(normalize_header(c), normalize_header(c)) for c in split_header(header_line(spark, path))]
+    without deal_id gets one from (partition, line), the same for the same files and split size. A quoted field may hold
+    line breaks, also over the border of two splits; undecodable bytes are replaced. ``_lines`` and ``_bad_bytes`` say
+    which records that touched."""
+    head = header_line(spark, path)
+    names = [CANONICAL.get(normalize_header(c), normalize_header(c)) for c in split_header(head)]
     if "amount" not in names:
         raise ValueError(f"the export has no amount column: {names}")
     if len(set(names)) != len(names):
         raise ValueError(f"repeated column names: {names}")
-    head = header_line(spark, path)
-    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id()) \
-        .where((F.trim("value") != "") & (F.ltrim(F.col("value"), F.lit("\ufeff")) != head))
-    d = _fields(lines, names, "investor" if "investor" in names else names[-1], "_line")
+    lines = _data_records(spark, path, head).withColumnsRenamed({"line": "_line", "lines": "_lines", "bad_bytes": "_bad_bytes"})
+    d = _fields(lines, names, "investor" if "investor" in names else names[-1], "_line", "_lines", "_bad_bytes")
     if "deal_id" not in names:
         d = d.withColumn("deal_id", F.col("_line").cast("string"))
     absent = [c for c in CANONICAL.values() if c not in d.columns]
@@ -129,10 +183,11 @@ def scan_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_counts(raw: DataFrame) -> DataFrame:
-    """Lines read strictly, folded and padded, and lines whose key or amount can't be read."""
+    """Records, those folded, padded, of several lines and with undecodable bytes, and those whose key or amount can't be
+    read."""
     from ..functions.scalar import clean_number
-    return raw.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("_ragged") > 0).alias("folded"),
-                   F.count_if(F.col("_ragged") < 0).alias("padded"),
+    return raw.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("_ragged") > 0).alias("folded"),
+                   F.count_if(F.col("_ragged") < 0).alias("padded"), F.count_if(F.col("_lines") > 1).alias("broken"), F.count_if("_bad_bytes").alias("undecodable"),
                    F.count_if(F.col("deal_id").try_cast("long").isNull() | clean_number("amount").isNull()).alias("rejected"))
 
 
@@ -164,7 +219,7 @@ def type_deals(raw: DataFrame) -> DataFrame:
         clean_number("amount").alias("amount"),
         clean_number("share_size").alias("share_size"),
         *[txt(c) for c in ("party", "sector", "subsector", "country", "region", "bri", "greenfield")],
-        *[c for c in ("_ragged",) if c in raw.columns])
+        *[c for c in ("_ragged", "_lines", "_bad_bytes") if c in raw.columns])
 
 
 def write_csv(df: DataFrame, path: str) -> str:

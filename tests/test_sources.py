@@ -57,7 +57,7 @@ def test_surplus_field_goes_to_the_investor_by_name(spark):
     b = rows['A "B", C']
     assert (b.month, b.share_size, b._ragged) == (2, 19.5, 0)
     c = X.scan_counts(X.scan_export(spark, path)).first()
-    assert tuple(c) == (3, 1, 1, 1)
+    assert tuple(c) == (3, 1, 1, 0, 0, 1)
 
 
 def test_columns_bind_by_header_and_keyless_files_get_ids(spark):
@@ -70,3 +70,47 @@ def test_columns_bind_by_header_and_keyless_files_get_ids(spark):
     import pytest
     with pytest.raises(ValueError):
         X.scan_export(spark, _export(spark, ["a,b", "1,2"]))
+
+
+def _plain_records(raw: bytes):
+    """Records of a whole file read at once."""
+    out, held = [], []
+    for line in raw.decode("utf-8", "replace").split("\n"):
+        held.append(line.removesuffix("\r"))
+        if "\n".join(held).count('"') % 2 == 0:
+            out.append("\n".join(held))
+            held = []
+    return out
+
+
+def test_records_over_split_borders(spark, tmp_path):
+    import random
+    rng = random.Random(3)
+    for seed in range(3):
+        rows = []
+        for i in range(400):
+            cell = "".join(rng.choice(['x', ' ', '""', ',', '\n', '\r\n', 'é', '日']) for _ in range(rng.choice([0, 3, 30, 200 if i % 97 == 0 else 5])))
+            rows.append(f'{i},"{cell}",end' if rng.random() < 0.5 else f"{i},plain,end")
+        raw = "\n".join(rows).encode() + b"\n400,bad \xff\xfe bytes,end"
+        path = tmp_path / f"f{seed}.csv"
+        path.write_bytes(raw)
+        for size in ("64", "700", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            try:
+                got = X.quoted_records(X.scan_lines(spark, str(path))).collect()
+                splits = len({r.block for r in X.scan_lines(spark, str(path)).select("block").distinct().collect()})
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+            assert sorted(r.value for r in got) == sorted(_plain_records(raw))
+            assert sum(r.lines for r in got) == raw.count(b"\n") + 1 and sum(r.bad_bytes for r in got) == 1
+            assert splits > 5 or size == "100000"
+
+
+def test_a_stray_quote_does_not_swallow_the_file(spark, tmp_path):
+    path = tmp_path / "stray.csv"
+    path.write_text("\n".join(["a,b", '1,5" pipe', *[f"{i},x" for i in range(50)]]))
+    got = X.quoted_records(X.scan_lines(spark, str(path)), most=20).collect()
+    assert len(got) == 52 and all(r.lines == 1 for r in got)
+    assert X.quoted_records(X.scan_lines(spark, str(path)).limit(0)).count() == 0
