@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prep as P
+from .ordered import written
 from .shapley import Tree, credits
 
 def axes(**values) -> list[dict]:
@@ -29,18 +30,19 @@ def axes(**values) -> list[dict]:
     return [dict(zip(values, c)) for c in product(*values.values())]
 
 
-# Two values on every axis: 64 + 64 and 8 + 8 + 16 settings. Pass larger grids for wider searches.
+# Two values on every axis: 32 + 128 and 8 + 8 + 16 settings. Pass larger grids for wider searches.
 REG_GRID = {
-    "gbt": axes(maxDepth=[3, 2], maxIter=[10, 5], stepSize=[0.3, 0.1], subsamplingRate=[1.0, 0.7], featureSubsetStrategy=["all", "onethird"],
-                minInstancesPerNode=[1, 20]),
+    "gbt": axes(maxDepth=[3, 2], maxIter=[10, 5], stepSize=[0.3, 0.1], subsamplingRate=[1.0, 0.7], minInstancesPerNode=[1, 20]),
     "rf": axes(maxDepth=[6, 4], numTrees=[10, 5], subsamplingRate=[1.0, 0.7], featureSubsetStrategy=["onethird", "all"], minInstancesPerNode=[1, 20],
-               maxBins=[32, 16]),
+               maxBins=[32, 16], minInfoGain=[0.0, 0.01]),
 }
 CLF_GRID = {
     "gbt": axes(maxDepth=[3, 2], maxIter=[10, 5], stepSize=[0.3, 0.1]),
     "gbt_weighted": axes(maxDepth=[3, 2], maxIter=[10, 5], stepSize=[0.3, 0.1]),
     "rf": axes(maxDepth=[6, 4], numTrees=[10, 5], featureSubsetStrategy=["onethird", "all"], minInstancesPerNode=[1, 20]),
 }
+#: Rows of one task of a fit.
+ROWS_PER_TASK = 50_000
 #: A setting is dropped if its mean paired loss against the leader exceeds so many standard errors (one-sided 95 %).
 CLEARLY = 1.645
 
@@ -82,6 +84,13 @@ def prepared(df: DataFrame, first: DataFrame, num: list[str], cat: list[str], la
     return VectorAssembler(inputCols=[*num, *[f"{c}_ord" for c in cat]], outputCol="features").transform(t).select(*keep, "label", "features")
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` persisted with at least ROWS_PER_TASK rows a partition: fits are many short jobs, which run side by side."""
+    df = df.persist()
+    parts = -(-df.count() // ROWS_PER_TASK) or 1
+    return df if parts >= df.rdd.getNumPartitions() else df.coalesce(parts)
+
+
 def race(settings: list[tuple[str, dict]], folds: list, fit, losses, parallelism: int) -> tuple[list[dict], dict[int, list]]:
     """Races settings over folds: on each fold the leader is fitted first, then all others that are left; ``losses(model,
     leader, fold)`` gives n, the sum of the setting's loss, and sum and sum of squares of its loss minus the leader's, row
@@ -130,10 +139,12 @@ def race(settings: list[tuple[str, dict]], folds: list, fit, losses, parallelism
 
 def search_table(df: DataFrame, target: str = "log_amount", num=None, cat=None, n_splits: int = 5) -> tuple[DataFrame, list[int]]:
     """The search's one table (deal_id, test_fold, first_train_fold, label, features) and its usable folds."""
-    d = P.folds_expanding(df.where(F.col(target).isNotNull()), n_splits)
+    num, cat = num or P.ML_NUMERIC, cat or P.ML_CATEGORICAL
+    d = P.folds_expanding(df.where(F.col(target).isNotNull()).select(*dict.fromkeys(["deal_id", "year", target, *num, *cat])), n_splits)
+    d = written(d.drop("_at"), "folds")
     usable = sorted(r[0] for r in d.select("test_fold").where("test_fold IS NOT NULL").distinct().collect())
     first = d.where(F.col("first_train_fold") <= min(usable, default=0))
-    return prepared(d, first, num or P.ML_NUMERIC, cat or P.ML_CATEGORICAL, target, ["deal_id", "test_fold", "first_train_fold"]), usable
+    return prepared(d, first, num, cat, target, ["deal_id", "test_fold", "first_train_fold"]), usable
 
 
 def fold_rows(table: DataFrame, n_splits: int = 5) -> DataFrame:
@@ -150,8 +161,8 @@ def tune_regression(df: DataFrame, target: str = "log_amount", num=None, cat=Non
     and MAPE (M7) over the folds it saw; best = lowest MAPE (D3 fixed: minimised) of those that saw all. One prepared
     table with its fold columns is persisted. Returns (summary, best out-of-fold predictions)."""
     grid = grid or REG_GRID
-    d, usable = search_table(df, target, num, cat, n_splits)
-    d = d.persist()
+    table, usable = search_table(df, target, num, cat, n_splits)
+    d = few_tasks(table)
     settings = [(name, p) for name, ps in grid.items() for p in ps]
     squares: dict[int, float] = defaultdict(float)
 
@@ -172,7 +183,7 @@ def tune_regression(df: DataFrame, target: str = "log_amount", num=None, cat=Non
     try:
         return _regression_summary(df, settings, *race(settings, usable, fit, losses, parallelism), squares, usable, d)
     finally:
-        d.unpersist()
+        table.unpersist()
 
 
 def _regression_summary(df, settings, stats, left, squares, usable, d) -> tuple[DataFrame, DataFrame]:
@@ -195,9 +206,11 @@ def tune_classification(df: DataFrame, target: str = "adaptive_target", num=None
     s = P.split_stratified(df.where(F.col(target).isNotNull()), target)
     train = P.folds_stratified(s.where("is_test = 0").drop("_at"), target, k)
     d = train.select(*[c for c in s.columns if c != "_at"], "fold").unionByName(s.where("is_test = 1").drop("_at").withColumn("fold", F.lit(-1)))
+    d = written(d.select("deal_id", target, "fold", *dict.fromkeys([*num, *cat])), "classes")
     w = {r[0]: r["weight"] for r in P.class_weight(d.where("fold >= 0"), target).collect()}  # one number per class
     d = d.withColumn("weight", F.when(F.col(target) == 1, F.lit(w.get(1))).otherwise(F.lit(w.get(0))))
-    d = prepared(d, d.where("fold >= 0"), num, cat, target, ["deal_id", "fold", "weight"]).persist()
+    table = prepared(d, d.where("fold >= 0"), num, cat, target, ["deal_id", "fold", "weight"])
+    d = few_tasks(table)
     settings = [(name, p) for name, ps in grid.items() for p in ps]
 
     def score(model, data, out="score"):
@@ -233,7 +246,7 @@ def tune_classification(df: DataFrame, target: str = "adaptive_target", num=None
                                                         "accuracy double, roc_auc double, is_best boolean")
         return summary, final[best].select("deal_id", "label", "score", "prediction")
     finally:
-        d.unpersist()
+        table.unpersist()
 
 
 # ------------------------------------------------------------------ G5
@@ -334,8 +347,8 @@ def tree_tables(model) -> list[Tree]:
     node = F.col("nodeData")
     nodes = ss.read.parquet(f"{path}/data").select(
         "treeID", node["id"].alias("id"), node["prediction"].alias("value"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
-        node["split.featureIndex"].alias("feature"), node["split.leftCategoriesOrThreshold"].alias("thr"),
-        node["split.numCategories"].alias("ncat"), node["impurityStats"][0].alias("cover"))
+        node["split"]["featureIndex"].alias("feature"), node["split"]["leftCategoriesOrThreshold"].alias("thr"),
+        node["split"]["numCategories"].alias("ncat"), node["impurityStats"][0].alias("cover"))
     trees: dict[int, dict] = {}
     for n in nodes.collect():
         if n["left"] >= 0 and n["ncat"] != -1:
