@@ -52,41 +52,52 @@ ROLES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
 ROLE_STARTS = ("advert", "comment", "sidebar", "cookie", "newsletter", "breadcrumb", "sponsor", "footer", "navbar", "subscri")
 ROLE_ENDS = ("nav", "menu", "footer", "sidebar", "advert", "comments")
 ARTICLE = {"article", "main"}
+#: Names that ordinary parts of an article have too: inside one they only count for texts that the host's template has.
+DOUBTFUL = {"discussion", "more", "form", "search"}
+#: An article element is a comment or a card for another article if a class starts with one of these and none with the others.
+CARDS = {"comment", "comments", "reply", "related", "recommended", "promo", "ad", "advert", "sponsored"}
+POSTS = {"post", "entry", "story", "content", "main", "hentry", "article"}
 
 
 @functools.lru_cache(4096)
-def marks(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+def marks(name: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
     """(step of the path, whether the element is no part of an article, whether only for being a header, whether it says
-    it is the article). Names are taken apart at hyphens, underscores and inner capitals."""
-    words = {w.lower() for m in NAMES.finditer(attributes) for w in WORD.findall("".join(x or "" for x in m.groups()))} if attributes else set()
-    says = name in ARTICLE or (name in SECTIONS and bool(words & ARTICLE))
+    it is the article, whether only by doubtful names). Names are taken apart at hyphens, underscores and inner capitals."""
+    names = ["".join(x or "" for x in m.groups()) for m in NAMES.finditer(attributes)] if attributes else []
+    words = {w.lower() for n in names for w in WORD.findall(n)}
+    starts = {w[0].lower() for n in names for token in n.split() if (w := WORD.findall(token))}
+    card = bool(starts & CARDS) and not starts & POSTS
+    says = (name in ARTICLE or (name in SECTIONS and bool(words & ARTICLE))) and not card
     roles = {w for w in words if w in ROLES or w.startswith(ROLE_STARTS) or w.endswith(ROLE_ENDS)} if not says and name not in ("html", "body") else set()
     hidden = bool(attributes and HIDDEN.search(attributes))
     header = not hidden and (roles <= {"header"} if name == "header" else roles == {"header"} and name not in NO_TEXT)
-    return f">{name}" + "".join(f".{w}" for w in sorted(words)), name in NO_TEXT or bool(roles) or hidden, header, says
+    doubt = bool(roles) and roles <= DOUBTFUL and name not in NO_TEXT and not hidden
+    return f">{name}" + "".join(f".{w}" for w in sorted(words)), name in NO_TEXT or bool(roles) or hidden, header, says, doubt
 
 
 class Element:
     """An open element: its name and place in the tree."""
 
-    __slots__ = ("name", "path", "dead", "article", "inline")
+    __slots__ = ("name", "path", "dead", "article", "doubt", "inline")
 
     def __init__(self, name: str, attributes: str, above: Element | None) -> None:
         if attributes and not MARKED.search(attributes):
             attributes = ""
-        step, dead, header, says = marks(name, attributes)
+        step, dead, header, says, doubt = marks(name, attributes)
         self.name = name
         self.inline = name in INLINE
         if above is None:
-            self.path, self.dead, self.article = step, dead, says
+            self.path, self.dead, self.article, self.doubt = step, dead, says, False
         else:
             self.path = above.path + step
-            self.dead = above.dead or dead and not (header and above.article)
+            self.doubt = above.doubt or doubt and above.article
+            self.dead = above.dead or dead and not ((header or doubt) and above.article)
             self.article = above.article or says
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """A page's tokens in order: (path, text, in a part that is no article, in an element that says it is the article).
+def blocks(page: str) -> Iterator[tuple[str, str, bool, int]]:
+    """A page's tokens in order: (path, text, in a part that is no article, in an element that says it is the article: 2, or
+    1 if a doubtful name inside it says otherwise).
 
     Start tags come with an empty text, blocks of text with the path of the innermost element that is not inline. Broken
     markup is read as browsers do in the common cases: omitted end tags, stray end tags, a page that breaks off.
@@ -99,7 +110,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     def block() -> Element | None:
         return next((e for e in reversed(stack) if not e.inline), None)
 
-    def close() -> tuple[str, str, bool, bool] | None:
+    def close() -> tuple[str, str, bool, int] | None:
         """The block of text that ends here."""
         nonlocal home
         joined = "".join(text)
@@ -109,7 +120,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         text.clear()
         where, home = home, None
         if joined:
-            return (where.path if where else ""), joined, bool(where and where.dead), bool(where and where.article)
+            return (where.path if where else ""), joined, bool(where and where.dead), bool(where and where.article) * (1 if where and where.doubt else 2)
         return None
 
     def add(piece: str) -> None:
@@ -246,14 +257,15 @@ def main_text(page: str, text_tokens: set[int], slots: set[int]) -> str:
     """The blocks of the article, one a line.
 
     Blocks in parts that are marked as something else go. If an element says it is the article, its blocks are the text,
-    all of them: what near copies on one host share is no template. Else texts of the template go, and the text is the slot of the template with the most text of its own: places inside a
+    all of them: what near copies on one host share is no template. Names that parts of an article may have as well (a
+    discussion, a table form) drop only what the host's template has. Else texts of the template go, and the text is the slot of the template with the most text of its own: places inside a
     template token, among them the blocks' innermost one that holds at least half of the page's remaining text, and a heading
     right before it.
     """
     found = [(path, text, article) for path, text, dead, article in blocks(page) if text and not dead]
     if any(a for *_, a in found):
         found = [f for f in found if f[2]]
-    rest = [f for f in found if f[2] or token_id(f[0], f[1]) not in text_tokens]
+    rest = [f for f in found if f[2] == 2 or token_id(f[0], f[1]) not in text_tokens]
     # on a page that shares all its texts with its host's pages nothing would be left: then they are its article
     found = rest or found
     if found and not found[0][2]:

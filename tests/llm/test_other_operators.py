@@ -18,6 +18,10 @@ CASES = [
     ("<article><div class='entry-header'><h1>T</h1></div><p>a</p><div class='commentList'><p>no</p></div><div class='siteFooter'>no</div></article>", "T\na"),
     ("<body><div id=topNav>x y z</div><div class=w><h2>Title</h2><div class=t><section><p>one two three four</p></section><section><p>five six</p></section></div></div>",
      "Title\none two three four\nfive six"),
+    ("<article><p>a</p><section class='discussion'><p>we discuss</p></section><p class='more'>b</p><div id='search-results-analysis'><p>c</p></div>"
+     "<table class='form'><tr><td>d</table><div class='comments'><p>no</p></div><nav class=more>no</nav></article>", "a\nwe discuss\nb\nc\nd"),
+    ("<main><p>text</p></main><article class='comment'><p>first!</p></article><article class='related-card'><p>next</p></article>", "text"),
+    ("<article class='post related-on has-comments'><p>text</p><article class=comment><p>no</p></article></article>", "text"),
     ("no markup at all", "no markup at all"),
     ("", ""),
     (None, ""),
@@ -56,6 +60,13 @@ def test_a_host_of_near_copies_keeps_its_articles(spark):
     assert got == {**{i: "\n".join(["Title", *same[:2], f"Only page {i} says so.", *same[2:]]) for i in range(10)}, 10: "Another text."}
 
 
+def test_doubtful_names_drop_what_the_template_has(spark):
+    from ledgerline.llm.htmltext import extract
+    rows = [(i, f"http://d.example/{i}", f"<body><article><p>Story {i} has text.</p><div class=more>Read more stories here</div><div class=discussion><p>We discuss {i}.</p></div></article>") for i in range(8)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} has text.\nWe discuss {i}." for i in range(8)}
+
+
 def test_extraction_of_real_pages(spark):
     import html
     import re
