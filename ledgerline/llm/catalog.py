@@ -25,4 +25,5 @@ QUERIES: dict[str, Callable] = {
 
 ORACLES: dict[str, str] = {
     "op8_block_matrix_neighbours": neighbours.ORACLE,
+    "op13_butterfly_manifest": merkle.ORACLE,
 }

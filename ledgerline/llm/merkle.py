@@ -205,11 +205,39 @@ def manifest(rows: DataFrame, group: Column, order: list[str], leaf: str, carrie
     return opened(blocks, paths, names, ["subroot", "root"], height).withColumn("leaf", F.lower(F.hex("leaf")))
 
 
+def _sql_field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_PARENTS = "list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[i * 8 + 1:i * 8 + 8], '')))"
+_STEP = """k // power(8, level)::BIGINT AS own, own - own % 8 AS run, array_to_string(nodes[run + 1:own], '') AS l, array_to_string(nodes[own + 2:run + 8], '') AS r"""
+#: The trees as recursive lists of nodes, every proof from the lists, and each fold step by step; crc32 bit by bit.
+ORACLE = f"""WITH RECURSIVE raw AS (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)) AS crc FROM documents),
+d AS (SELECT row_number() OVER () AS rid, doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k,
+    sha256(concat({", ".join(map(_sql_field, ("doc_id", "source", "lang", "n_chars", "text")))})) AS leaf,
+    sha256(concat({", ".join(map(_sql_field, ("doc_id", "source", "lang", "n_chars")))}, {_sql_field("t2")})) AS claimed
+  FROM (SELECT *, CASE WHEN xor(crc, 4294967295::BIGINT) % 3 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END AS t2 FROM raw)),
+lv AS (SELECT lang, 0 AS level, list(leaf ORDER BY k) AS nodes FROM d GROUP BY lang
+  UNION ALL SELECT lang, level + 1, {_PARENTS} FROM lv WHERE len(nodes) > 1),
+tops AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM lv WHERE len(nodes) = 1),
+up AS (SELECT 0 AS level, list(subroot ORDER BY k) AS nodes FROM tops UNION ALL SELECT level + 1, {_PARENTS} FROM up WHERE len(nodes) > 1),
+steps AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY o) AS n, l, r FROM (
+  SELECT rid, level AS o, {_STEP} FROM d JOIN lv ON lv.lang IS NOT DISTINCT FROM d.lang WHERE len(nodes) > 1
+  UNION ALL SELECT rid, 1000 + level AS o, {_STEP} FROM (SELECT d.rid, tops.k FROM d JOIN tops ON tops.lang IS NOT DISTINCT FROM d.lang), up WHERE len(nodes) > 1)),
+fold AS (SELECT rid, 1 AS n, claimed AS acc FROM d UNION ALL SELECT f.rid, f.n + 1, sha256(s.l || f.acc || s.r) FROM fold f JOIN steps s ON s.rid = f.rid AND s.n = f.n)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM d JOIN tops ON tops.lang IS NOT DISTINCT FROM d.lang
+JOIN (SELECT rid, arg_max(acc, n) AS acc FROM fold GROUP BY rid) USING (rid)
+LEFT JOIN (SELECT rid, string_agg(l || r, '' ORDER BY n) AS proof FROM steps GROUP BY rid) USING (rid),
+(SELECT nodes[1] AS root FROM up WHERE len(nodes) = 1)"""
+
+
 def op13_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents, checked for rows of which every third (by crc32 of doc_id) has its text's A-Z lower-cased."""
     docs = table(spark, sf_dir, "documents")
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
     first, last = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", digest(*first, last).alias("digest"), F.unhex(digest(*first, text)).alias("claimed"))
     proofs = manifest(rows, F.col("lang"), ["doc_id"], "digest", ["doc_id", "claimed"])
