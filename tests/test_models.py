@@ -59,3 +59,61 @@ def test_residual_effect_recovers_theta(spark):
     e = MD.residual_effect(r).first()
     assert e["effect_log"] == pytest.approx(0.7, abs=0.01)
     assert e["p_value"] < 1e-6 and e["ci_low"] < 0.7 < e["ci_high"]
+
+
+def brute_shapley(trees, x, n):
+    """Shapley values by all coalitions: a split on a feature outside follows both sides by their covers."""
+    from itertools import combinations
+    from math import factorial
+
+    def value(t, inside, at=0):
+        if t.left[at] < 0:
+            return t.value[at]
+        lo, hi, f = t.left[at], t.right[at], t.feature[at]
+        if f in inside:
+            return value(t, inside, lo if x[f] <= t.threshold[at] else hi)
+        return (t.cover[lo] * value(t, inside, lo) + t.cover[hi] * value(t, inside, hi)) / t.cover[at]
+
+    phi = np.zeros(n)
+    for j in range(n):
+        rest = [f for f in range(n) if f != j]
+        for k in range(n):
+            for s in combinations(rest, k):
+                w = factorial(k) * factorial(n - 1 - k) / factorial(n)
+                phi[j] += w * sum(t.weight * (value(t, {*s, j}) - value(t, set(s))) for t in trees)
+    return phi
+
+
+@pytest.mark.parametrize("tabulated", [8, 1])
+def test_shapley_values_equal_all_coalitions(spark, monkeypatch, tabulated):
+    from pyspark.ml.regression import RandomForestRegressor
+    from ledgerline.operators import shapley as S
+    monkeypatch.setattr(S, "TABULATED", tabulated)
+    rng = np.random.default_rng(4)
+    n = 400
+    pdf = pd.DataFrame({"deal_id": np.arange(n), **{c: rng.normal(size=n) for c in "abc"}, "s": rng.choice(["x", "y", "z"], n)})
+    pdf["y"] = pdf["a"] * pdf["b"] + (pdf["s"] == "x") * pdf["c"]
+    full, = MD.design(spark.createDataFrame(pdf), [], ["a", "b", "c"], ["s"], "y", ["deal_id"])
+    x = np.array([r.features.toArray() for r in full.orderBy("deal_id").collect()])
+    for m in (GBTRegressor(maxDepth=4, maxIter=4, seed=1).fit(full), RandomForestRegressor(maxDepth=5, numTrees=3, seed=2).fit(full)):
+        trees = MD.tree_tables(m)
+        phi, base = S.credits(trees, 4)(x)
+        for i in range(0, n, 37):
+            np.testing.assert_allclose(phi[i], brute_shapley(trees, x[i], 4), atol=1e-10)
+        pred = np.array([r.prediction for r in m.transform(full).orderBy("deal_id").collect()])
+        np.testing.assert_allclose(phi.sum(1) + base, pred, atol=1e-9)
+        np.testing.assert_allclose(S.predicted(trees, x), pred, atol=1e-9)
+
+
+def test_race_drops_only_the_clearly_worse():
+    rng = np.random.default_rng(5)
+    loss = {k: rng.normal(q, 0.3, (3, 200)) + rng.normal(0, 2, (3, 200)).cumsum(0) * 0 for k, q in enumerate((1.0, 1.01, 3.0, 0.9))}
+    settings = [("a", {"k": 0}), ("a", {"k": 1}), ("b", {"k": 2}), ("b", {"k": 3})]
+
+    def losses(model, leader, fold):
+        e, d = loss[model][fold], loss[model][fold] - loss[leader][fold]
+        return len(e), e.sum(), d.sum(), (d * d).sum()
+
+    stats, left = MD.race(settings, [0, 1, 2], lambda s, fold: s[1]["k"], losses, 2)
+    assert 3 in left and 2 not in left and stats[2]["folds"] < 3 and stats[3]["folds"] == 3
+    assert min(left, key=lambda k: stats[k]["loss"]) == 3 and left[3] == [3, 3, 3]
