@@ -25,8 +25,8 @@ WIDTH = 1024
 NARROW = "<u2"
 #: Control characters that the libraries take for white space or not; one of them stands between texts.
 CONTROL = re.compile(b"[\x1c-\x1f]")
-#: Rows of one length that one ranking task takes, and pre-tokens whose ids a task remembers.
-RANK_ROWS, REMEMBERED = 1_000_000, 400_000
+#: Rows of one length and bytes of ids that one ranking task takes, and pre-tokens whose ids a task remembers.
+RANK_ROWS, RANK_BYTES, REMEMBERED = 1_000_000, 64 << 20, 400_000
 
 
 def attention_cost(length: int, width: int = WIDTH) -> float:
@@ -262,10 +262,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH
 
 # ---- assignment ------------------------------------------------------------------------------------------------
 
-def ranked(stretches: DataFrame, most: int) -> DataFrame:
-    """Adds ``rank`` among the stretches of equal length, from 0; a length with ``most`` rows is ranked by many tasks."""
-    parts = max(16, -(-most // RANK_ROWS))
-    salted = stretches.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+def ranked(stretches: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """Adds ``rank`` among the stretches of equal length, from 0. A length with many rows is ranked by many tasks, and tasks
+    grow in number with the ids."""
+    parts = max(16, -(-max(histogram.values(), default=0) // RANK_ROWS))
+    size = sum(2 * length * n for length, n in histogram.items())
+    tasks = max(int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANK_BYTES))
+    salted = stretches.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).repartition(tasks, "length", "part")
     upto = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = salted.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
     in_part = F.row_number().over(Window.partitionBy("length", "part").orderBy("row"))
@@ -308,7 +311,7 @@ def pack_balanced(docs: DataFrame, path: str | None = None, capacity: int = CAPA
         path = public_tokenizers.path("word_bpe_49k.json")
     stretches = materialize(token_stretches(docs, path, capacity, end_id), "stretches")
     histogram = {r[0]: r[1] for r in stretches.groupBy("length").count().collect()}
-    return placed(ranked(stretches, max(histogram.values(), default=0)), plan(histogram, capacity, width))
+    return placed(ranked(stretches, histogram), plan(histogram, capacity, width))
 
 
 def op12_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
