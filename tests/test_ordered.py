@@ -128,3 +128,17 @@ def test_positions_in_hot_and_missing_groups(spark):
     whole = numbered(df, [], [F.desc("k")], "p").toPandas()
     assert whole.sort_values("k", ascending=False)["p"].tolist() == list(range(3000))
     assert numbered(df.limit(0), ["g"], ["k"], "p").count() == 0
+
+
+def test_ranges_and_windows_stay_small_as_rows_grow(spark, monkeypatch):
+    from ledgerline.operators import ordered as O
+    monkeypatch.setattr(O, "ROWS_PER_PARTITION", 100)
+    df = spark.range(3000).select(F.col("id").alias("deal_id"), (F.col("id") % 7 + 2000).alias("year"), F.lit("s").alias("sector"),
+                                  F.col("id").cast("double").alias("amount"), F.lit(1).alias("post"))
+    d = in_order(df, ["year", "deal_id"])
+    sizes = [r["count"] for r in d.groupBy(O.partition_of("_at").alias("p")).count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) >= 25 and max(sizes) <= 300
+    out = ordered_features(d, "sector", "amount", "post")
+    per_task = [r["count"] for r in out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert sum(per_task) == 3000 and max(per_task) <= 300  # a task sorts one block
+    assert sorted(r[0] for r in out.select("policy_cumulative").collect()) == list(range(1, 3001))
