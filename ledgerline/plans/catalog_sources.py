@@ -84,14 +84,24 @@ def _broken_export(spark, sf) -> str:
     return path
 
 
+#: The broken export is read in so many splits, as long as they are no smaller and no larger than these bounds (bytes).
+_SPLITS, _SMALL_SPLIT, _LARGE_SPLIT = 256, 32 << 10, 128 << 20
+
+
+def _split_bytes(spark, path: str) -> int:
+    """The split size for an export: small enough that records cross splits, and a number of splits that doesn't grow with it."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return min(max(size // _SPLITS, _SMALL_SPLIT), _LARGE_SPLIT)
+
+
 def _broken_records(spark, sf):
     """The export's records, read in small splits (files of this size would be one split each) and written once."""
+    path = _broken_export(spark, sf)
     conf, key = spark.conf, "spark.sql.files.maxPartitionBytes"
     had = conf.get(key)
-    conf.set(key, "32768")
+    conf.set(key, str(_split_bytes(spark, path)))
     try:
-        raw = X.scan_export(spark, _broken_export(spark, sf))
-        return written(raw, "broken-records")
+        return written(X.scan_export(spark, path), "broken-records")
     finally:
         conf.set(key, had)
 

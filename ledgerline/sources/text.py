@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import written
+
 # Raw export headers (fixed) and their canonical names.
 RAW_HEADERS = ["deal_id", "Year", "Month", "Investor/Contractor", "Quantity in Millions", "Share Size",
                "Transaction Party", "Sector", "Subsector", "Country", "Region", "BRI", "Greenfield"]
@@ -75,31 +77,35 @@ def quoted_records(lines: DataFrame, most: int = MOST_LINES) -> DataFrame:
     A line starts a record if an even number of quotes stands before it in its file. Quotes are counted per split, a prefix
     parity over the splits of a file says which of them start inside a quoted field, and only splits with a line break in
     quotes are looked at line by line; all other lines pass as they are. A record that would have more than ``most`` lines
-    is a stray quote: its lines are records of their own.
+    is a stray quote: its lines are records of their own. Lines of busy splits are put in order and written once; the table
+    of splits is small (one row each) and broadcast, that of stray records has at most one row per ``most`` lines.
     """
     quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2
     d = lines.withColumn("odd", quotes)
     by_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = d.groupBy("file", "block").agg(F.sum("odd").alias("odds")) \
         .withColumn("open", F.coalesce(F.sum("odds").over(by_file), F.lit(0)) % 2)
-    d = d.join(blocks, ["file", "block"])
+    d = d.join(F.broadcast(blocks), ["file", "block"])
     plain = (F.col("odds") == 0) & (F.col("open") == 0)
     single = d.where(plain).select("file", "block", "line", "value", F.lit(1).cast("long").alias("lines"), "bad_bytes")
     within = Window.partitionBy("file", "block").orderBy("line")
     before = F.col("open") + F.coalesce(F.sum("odd").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    busy = d.where(~plain).withColumn("starts", before % 2 == 0)
     here = F.struct("block", "line")
-    busy = busy.withColumn("start", F.last(F.when(F.col("starts"), here), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    carried = busy.groupBy("file", "block").agg(F.max(F.when(F.col("starts"), here)).alias("top")) \
+    busy = d.where(~plain).withColumn("top", F.when(before % 2 == 0, here))
+    busy = written(busy.select("file", "block", "line", "value", "bad_bytes", "top", F.last("top", ignorenulls=True).over(
+        within.rowsBetween(Window.unboundedPreceding, 0)).alias("start")), "busy-lines")
+    carried = busy.groupBy("file", "block").agg(F.max("top").alias("top")) \
         .select("file", "block", F.last("top", ignorenulls=True).over(by_file).alias("carried"))
-    busy = busy.join(carried, ["file", "block"]).withColumn("start", F.coalesce("start", "carried", here))
-    size = busy.groupBy("file", "start").agg(F.count(F.lit(1)).alias("lines"))
-    busy = busy.join(size, ["file", "start"])
-    stray = busy.where(F.col("lines") > most).select("file", "block", "line", "value", F.lit(1).cast("long").alias("lines"), "bad_bytes")
-    whole = busy.where(F.col("lines") <= most).groupBy("file", "start", "lines").agg(
-        F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("parts"), F.bool_or("bad_bytes").alias("bad_bytes"))
+    busy = busy.drop("top").join(F.broadcast(carried), ["file", "block"]).withColumn("start", F.coalesce("start", "carried", here))
+    strays = busy.groupBy("file", "start").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") > most).select("file", "start", F.lit(True).alias("stray"))
+    # a record's lines meet once, in one task; those of a stray quote are grouped by line there
+    part = F.struct("block", "line", "value")
+    alone = F.when(F.col("stray"), F.col("line")).alias("alone")
+    whole = busy.join(strays, ["file", "start"], "left").groupBy("file", "start", alone).agg(
+        F.array_sort(F.collect_list(part)).alias("parts"), F.count(F.lit(1)).alias("lines"), F.bool_or("bad_bytes").alias("bad_bytes"))
     joined = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
-    return single.unionByName(stray).unionByName(whole.select("file", "start.block", "start.line", joined.alias("value"), "lines", "bad_bytes"))
+    return single.unionByName(whole.select("file", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["line"].alias("line"),
+                                           joined.alias("value"), "lines", "bad_bytes"))
 
 
 def _split_fields(line: Column) -> Column:

@@ -1,4 +1,6 @@
 """Ragged text scan (FIXTURES csv_rows) and header normalisation."""
+from pyspark.sql import functions as F
+
 from ledgerline.session import scratch_path
 from ledgerline.sources import text as X
 
@@ -114,3 +116,12 @@ def test_a_stray_quote_does_not_swallow_the_file(spark, tmp_path):
     got = X.quoted_records(X.scan_lines(spark, str(path)), most=20).collect()
     assert len(got) == 52 and all(r.lines == 1 for r in got)
     assert X.quoted_records(X.scan_lines(spark, str(path)).limit(0)).count() == 0
+
+
+def test_broken_export_is_read_in_a_bounded_number_of_splits(spark, tmp_path):
+    from ledgerline.plans import catalog_sources as C
+    small, large = str(tmp_path / "small"), str(tmp_path / "large")
+    spark.range(1000).select(F.lit("x" * 40).alias("value")).coalesce(1).write.text(small)
+    spark.range(500_000).select(F.lit("x" * 40).alias("value")).coalesce(1).write.text(large)
+    assert C._split_bytes(spark, small) == C._SMALL_SPLIT
+    assert C._split_bytes(spark, large) == 500_000 * 41 // C._SPLITS  # 32 KB splits would be 626
