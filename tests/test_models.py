@@ -117,3 +117,45 @@ def test_race_drops_only_the_clearly_worse():
     stats, left = MD.race(settings, [0, 1, 2], lambda s, fold: s[1]["k"], losses, 2)
     assert 3 in left and 2 not in left and stats[2]["folds"] < 3 and stats[3]["folds"] == 3
     assert min(left, key=lambda k: stats[k]["loss"]) == 3 and left[3] == [3, 3, 3]
+
+
+def test_one_fit_holds_its_smaller_settings(spark):
+    rng = np.random.default_rng(6)
+    n = 600
+    pdf = pd.DataFrame({"deal_id": np.arange(n), **{c: rng.normal(size=n) for c in "abcde"}, "s": rng.choice(["x", "y"], n)})
+    pdf["y"] = pdf["a"] * 2 + pdf["b"] * pdf["c"] + rng.normal(0, 0.3, n)
+    pdf["c01"] = (pdf["y"] > 0.4).astype(int)
+    forests = MD.axes(maxDepth=[5, 3], numTrees=[4], featureSubsetStrategy=["onethird", "all"], minInfoGain=[0.0, 0.05])
+    boosted = MD.axes(maxDepth=[2], maxIter=[6, 2], stepSize=[0.3], subsamplingRate=[0.7])
+    for label, make, kinds, fewest in (("y", MD._regressor, ("gbt", "rf"), 4), ("c01", MD._classifier, ("gbt", "gbt_weighted", "rf"), 5)):
+        full, = MD.design(spark.createDataFrame(pdf), [], list("abcde"), ["s"], label, ["deal_id"])
+        full = full.withColumn("weight", F.col("label") + 1).coalesce(1).persist()
+        x = np.array([r.features.toArray() for r in full.orderBy("deal_id").collect()])
+        settings = [(kind, p) for kind in kinds for p in (forests if kind == "rf" else boosted)]
+        fits = MD.Fits(settings, lambda i: full, make, 4)
+        models = fits.models(settings, 0)
+        assert len(fits.done) == fewest  # boosting by family; forests: drawn features keep their least gain apart
+        for setting, m in zip(settings, models):
+            alone = make(*setting).fit(full).transform(full).orderBy("deal_id")
+            if label == "c01":
+                alone = alone.withColumn("prediction", MD.vector_to_array("probability")[1])
+            score, = MD.scored([m], x)
+            np.testing.assert_allclose(score, [r.prediction for r in alone.collect()], atol=1e-9, err_msg=str(setting))
+        fits.end()
+
+
+def test_losses_of_many_models_in_one_pass(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"deal_id": np.arange(300), "a": rng.normal(size=300), "b": rng.normal(size=300), "s": "x"})
+    pdf["y"] = pdf["a"] - pdf["b"]
+    full, = MD.design(spark.createDataFrame(pdf), [], ["a", "b"], ["s"], "y", ["deal_id"])
+    one, two = (MD.ensemble(GBTRegressor(maxDepth=2, maxIter=k, seed=1).fit(full)) for k in (2, 5))
+    x = np.array([r.features.toArray() for r in full.orderBy("deal_id").collect()])
+    y = pdf["y"].to_numpy()
+    a, b = MD.scored([one, two], x)
+    own, other = MD.paired_losses(full.repartition(3), [one, two], two, lambda y, p: np.abs(y - p))
+    d = np.abs(y - a) - np.abs(y - b)
+    np.testing.assert_allclose(own, [300, np.abs(y - a).sum(), d.sum(), (d * d).sum(), ((y - a) ** 2).sum()])
+    assert other[:1] == (300,) and other[2:4] == (0.0, 0.0)
+    rows = {(r.setting, r.deal_id): r.score for r in MD.scores(full, {4: one, 9: two}, [("deal_id", "long")]).collect()}
+    assert len(rows) == 600 and all(rows[4, i] == pytest.approx(a[i]) and rows[9, i] == pytest.approx(b[i]) for i in range(300))
