@@ -4,7 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators.ordered import before, block_start, exact_quantiles, in_order, key_value, numbered, order_key, order_statistics, ordered_features
+from ledgerline.operators import ordered
+from ledgerline.operators.ordered import before, block_start, coarse_key, exact_quantiles, in_order, key_value, numbered, order_key, order_statistics, ordered_features
 
 
 def brute_rolling(pdf, k):
@@ -142,3 +143,26 @@ def test_ranges_and_windows_stay_small_as_rows_grow(spark, monkeypatch):
     per_task = [r["count"] for r in out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
     assert sum(per_task) == 3000 and max(per_task) <= 300  # a task sorts one block
     assert sorted(r[0] for r in out.select("policy_cumulative").collect()) == list(range(1, 3001))
+
+
+def test_coarse_keys_keep_the_order_of_doubles(spark):
+    rng = np.random.default_rng(5)
+    near = np.nextafter(2.0 ** np.arange(-1000, 1000, 7.0), 0)
+    vals = np.concatenate([[0.0, 5e-324, np.finfo(float).max, np.inf], near, 2.0 ** np.arange(-1000, 1000, 7.0),
+                           rng.integers(1, 0x7FF0000000000000, 3000).view(np.float64), 1 + rng.random(2000)])
+    vals = np.unique(np.concatenate([vals, -vals]))
+    got = spark.createDataFrame(pd.DataFrame({"v": vals})).select("v", coarse_key(F.col("v")).alias("k")).toPandas().sort_values("v")["k"].to_numpy()
+    assert (got[1:] >= got[:-1]).all()
+    assert 500 < len(np.unique(got[(vals >= 1) & (vals < 2)])) < 1000
+
+
+def test_quantiles_take_order_keys_of_few_rows_only(spark, monkeypatch):
+    """Keys are written for the cells that hold a wanted rank, not for every row, and equal values need none at all."""
+    seen = []
+    monkeypatch.setattr(ordered, "written", lambda df, tag, real=ordered.written: seen.append((tag, real(df, tag))) or seen[-1][1])
+    vals = np.random.default_rng(6).uniform(1000, 500_000, 20_000)
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "v": vals})).unionByName(spark.createDataFrame([("b", 7.0)] * 5000, "g string, v double"))
+    got = {r.g: (r.q, r.m) for r in exact_quantiles(df, ["g"], "v", {"q": 0.25, "m": 0.5}).collect()}
+    assert got["a"] == (pytest.approx(np.quantile(vals, 0.25), rel=1e-12), pytest.approx(np.quantile(vals, 0.5), rel=1e-12)) and got["b"] == (7.0, 7.0)
+    keys = [df.groupBy("g").count().collect() for tag, df in seen if tag == "keys"]
+    assert len(keys) == 1 and [r.g for r in keys[0]] == ["a"] and keys[0][0]["count"] < 500
