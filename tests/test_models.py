@@ -159,3 +159,38 @@ def test_losses_of_many_models_in_one_pass(spark):
     assert other[:1] == (300,) and other[2:4] == (0.0, 0.0)
     rows = {(r.setting, r.deal_id): r.score for r in MD.scores(full, {4: one, 9: two}, [("deal_id", "long")]).collect()}
     assert len(rows) == 600 and all(rows[4, i] == pytest.approx(a[i]) and rows[9, i] == pytest.approx(b[i]) for i in range(300))
+
+
+def test_predictions_follow_each_row_to_its_leaf():
+    """A lone leaf, a chain of 20 splits and a wide tree, on rows with infinities and missing values, against a walk row by row."""
+    from ledgerline.operators import shapley as S
+    rng = np.random.default_rng(8)
+
+    def grown(depth, one_sided):
+        left, right, feature, threshold, value = [], [], [], [], []
+
+        def add(d):
+            me = len(left)
+            for a, v in zip((left, right, feature, threshold, value), (-1, -1, -1, 0.0, rng.normal())):
+                a.append(v)
+            if d:
+                feature[me], threshold[me] = int(rng.integers(4)), float(rng.normal())
+                left[me], right[me] = add(0 if one_sided else d - 1), add(d - 1)
+            return me
+
+        add(depth)
+        return S.Tree(0.5, left, right, feature, threshold, value, [])
+
+    trees = [grown(0, False), grown(20, True), grown(5, False)]
+    x = rng.normal(size=(300, 4))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[0], x[1] = np.inf, -np.inf
+
+    def walked(t, row):
+        at = 0
+        while t.left[at] >= 0:
+            at = t.left[at] if row[t.feature[at]] <= t.threshold[at] else t.right[at]
+        return t.weight * t.value[at]
+
+    np.testing.assert_allclose(S.predicted(trees, x), [sum(walked(t, row) for t in trees) for row in x], rtol=1e-12)
+    assert S.predicted(trees, x[:0]).shape == (0,)
