@@ -166,3 +166,41 @@ def test_quantiles_take_order_keys_of_few_rows_only(spark, monkeypatch):
     assert got["a"] == (pytest.approx(np.quantile(vals, 0.25), rel=1e-12), pytest.approx(np.quantile(vals, 0.5), rel=1e-12)) and got["b"] == (7.0, 7.0)
     keys = [df.groupBy("g").count().collect() for tag, df in seen if tag == "keys"]
     assert len(keys) == 1 and [r.g for r in keys[0]] == ["a"] and keys[0][0]["count"] < 500
+
+
+def test_feature_rows_are_not_shuffled_by_category(spark):
+    """Of all joins of the wide rows none may shuffle them by a sector or year: that is one task per level, whatever the cluster."""
+    from ledgerline.config import PRESET_A
+    from ledgerline.operators.features import build_features
+    level = lambda c, n: F.concat(F.lit(c), F.col("id") % n).alias(c)
+    deals = spark.range(30_000).select(
+        F.col("id").alias("deal_id"), (F.col("id") % 7 + 1995).cast("int").alias("year"), F.lit(1).alias("month"), level("investor", 900),
+        (F.col("id") % 997 + 1.5).alias("amount"), F.lit(5).alias("share_size"), level("party", 50), level("sector", 5), level("subsector", 4),
+        level("country", 20), level("region", 3), F.lit("").alias("bri"), F.lit("G").alias("greenfield"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        built = build_features(deals, PRESET_A)
+        plan = built._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+        assert "hashpartitioning" not in plan
+        assert plan.count("shufflepartitionidpassthrough") == 1
+        got = built.toPandas().sort_values(["year", "deal_id"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(got) == 30_000 and (got["sector_code"] == got["sector"].str[-1].astype(int)).all()
+    np.testing.assert_allclose(got["sector_blend"], 0.7 * got.groupby("sector")["log_amount"].transform("mean") + 0.3 * got["log_amount"].mean())
+    np.testing.assert_array_equal(got["policy_cumulative"], got["post_policy"].cumsum())
+    np.testing.assert_array_equal(got["adaptive_target"], got["amount"] > got.groupby("year")["amount"].transform(lambda s: s.quantile(0.7)))
+
+
+def test_windows_look_over_blocks_without_the_group(spark):
+    rows = [(i, 2000 + i // 20, "rare" if i in (3, 41, 88, 89) else None if i % 9 == 4 else "often", float(i) if i % 10 else None, i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "deal_id long, year int, sector string, amount double, post int")
+    got = ordered_features(df, "sector", "amount", "post", rows_per_block=5).toPandas().sort_values("deal_id")
+    assert got["policy_cumulative"].tolist() == np.cumsum([r[4] for r in rows]).tolist() and len(got) == 100
+    for _, sub in got.groupby("sector", dropna=False):
+        for k in (2, 3):
+            last = sub["amount"].rolling(k, min_periods=1)
+            for name, want in (("mean", last.mean()), ("lag_mean", sub["amount"].shift(1).rolling(k, min_periods=1).mean())):
+                np.testing.assert_allclose(sub[f"roll_{name}_{k}"].to_numpy(float), want.to_numpy(float), equal_nan=True)
