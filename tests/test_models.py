@@ -194,3 +194,25 @@ def test_predictions_follow_each_row_to_its_leaf():
 
     np.testing.assert_allclose(S.predicted(trees, x), [sum(walked(t, row) for t in trees) for row in x], rtol=1e-12)
     assert S.predicted(trees, x[:0]).shape == (0,)
+
+
+def _search_rows(spark, n=600):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"deal_id": np.arange(n), "year": 1995 + np.arange(n) // 100, "a": rng.normal(size=n), "b": rng.normal(size=n), "s": rng.choice(["x", "y"], n)})
+    pdf["y"] = 3 + 2 * pdf["a"] - pdf["b"] + rng.normal(0, 0.1, n)
+    pdf["c01"] = (pdf["y"] > 3.5).astype(int)
+    return spark.createDataFrame(pdf)
+
+
+def test_regression_search_scores_every_setting_on_every_fold(spark):
+    """Settings that are far worse on the first fold are fitted and scored on all others too."""
+    grid = {"gbt": MD.axes(maxDepth=[3], maxIter=[10, 1], stepSize=[0.3, 0.01]), "rf": MD.axes(maxDepth=[4, 1], numTrees=[3])}
+    summary, preds = MD.tune_regression(_search_rows(spark), "y", ["a", "b"], ["s"], 3, grid)
+    rows = summary.collect()
+    assert len(rows) == 6 and [(r.folds_seen, r.n_oof) for r in rows] == [(3, 450)] * 6
+    assert all(r.rmse_log > 0 for r in rows) and max(r.mape for r in rows) > 1.5 * min(r.mape for r in rows)
+    best, = [r for r in rows if r.is_best]
+    assert best.mape == min(r.mape for r in rows)
+    p = preds.toPandas()
+    assert sorted(p["fold"].unique()) == [0, 1, 2] and p["deal_id"].is_unique and len(p) == 450
+    assert ((p["label"] - p["prediction"]) ** 2).mean() ** 0.5 == pytest.approx(best.rmse_log)
