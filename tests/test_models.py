@@ -216,3 +216,38 @@ def test_regression_search_scores_every_setting_on_every_fold(spark):
     p = preds.toPandas()
     assert sorted(p["fold"].unique()) == [0, 1, 2] and p["deal_id"].is_unique and len(p) == 450
     assert ((p["label"] - p["prediction"]) ** 2).mean() ** 0.5 == pytest.approx(best.rmse_log)
+
+
+def test_classification_search_scores_every_setting_on_every_fold(spark):
+    grid = {"gbt": MD.axes(maxDepth=[3, 1], maxIter=[8, 1], stepSize=[0.3]), "rf": MD.axes(maxDepth=[4, 1], numTrees=[3])}
+    summary, preds = MD.tune_classification(_search_rows(spark), "c01", ["a", "b"], ["s"], 3, grid)
+    rows = summary.collect()
+    assert len(rows) == 6 and {r.folds_seen for r in rows} == {3} and len({r.n_oof for r in rows}) == 1 and 400 < rows[0].n_oof < 440
+    assert all(0.5 < r.cv_auc <= 1 and r.squared_error > 0 for r in rows) and max(r.cv_auc for r in rows) > min(r.cv_auc for r in rows) + 0.05
+    refitted = [r for r in rows if r.accuracy is not None]
+    assert sorted(r.model for r in refitted) == ["gbt", "rf"]
+    assert all(r.cv_auc == max(o.cv_auc for o in rows if o.model == r.model) for r in refitted)
+    best, = [r for r in rows if r.is_best]
+    p = preds.toPandas()
+    assert best.roc_auc == max(r.roc_auc for r in refitted) and len(p) + best.n_oof == 600
+    assert (p["label"] == p["prediction"]).mean() == pytest.approx(best.accuracy)
+
+
+@pytest.mark.parametrize("rows_per_range", [200_000, 7])
+def test_ranked_counts_every_pair(spark, monkeypatch, rows_per_range):
+    """AUC and squared error of several models, with many ties, against all pairs; ranges of any size give the same."""
+    monkeypatch.setattr(MD, "ROWS_PER_RANGE", rows_per_range)
+    monkeypatch.setattr(MD, "BOUND_ROWS", 30)
+    df = _search_rows(spark, 200)
+    full, = MD.design(df, [], ["a", "b"], ["s"], "c01", ["deal_id"])
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    models = [MD.ensemble(m.fit(full)) for m in (GBTClassifier(maxDepth=3, maxIter=4, seed=1), GBTClassifier(maxDepth=1, maxIter=1, seed=1),
+                                                 RandomForestClassifier(maxDepth=2, numTrees=3, seed=1))]
+    rows = full.orderBy("deal_id").collect()
+    x, y = np.array([r.features.toArray() for r in rows]), np.array([r.label for r in rows])
+    for (n, square, auc), p in zip(MD.ranked(full.repartition(3), models), MD.scored(models, x)):
+        d = p[y == 1][:, None] - p[y == 0][None, :]
+        assert n == 200 and square == pytest.approx(((p - y) ** 2).sum())
+        assert auc == pytest.approx(((d > 0) + (d == 0) / 2).mean(), abs=1e-12)
+    assert [r[2] for r in MD.ranked(full.where("label = 1"), models)] == [None] * 3
+    assert MD.ranked(full.where("label = 9"), models) == [(0, 0.0, None)] * 3
