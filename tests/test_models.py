@@ -251,3 +251,33 @@ def test_ranked_counts_every_pair(spark, monkeypatch, rows_per_range):
         assert auc == pytest.approx(((d > 0) + (d == 0) / 2).mean(), abs=1e-12)
     assert [r[2] for r in MD.ranked(full.where("label = 1"), models)] == [None] * 3
     assert MD.ranked(full.where("label = 9"), models) == [(0, 0.0, None)] * 3
+
+
+def test_fits_keep_no_more_copies_than_the_cores_need(spark, monkeypatch):
+    """Every running fit holds a copy of its rows: on many partitions one runs at a time, on one partition several do."""
+    import threading
+    import time
+    monkeypatch.setattr(MD, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(MD, "ensemble", lambda model, spark: MD.Ensemble([]))
+    settings = [("gbt", {"maxDepth": d}) for d in range(1, 7)]
+    for parts, fewest, most in ((16, 1, 1), (1, 2, 4)):
+        rows = spark.range(0, 10 * parts, 1, parts).persist()
+        rows.count()
+        running, seen, lock, cached = [0], [], threading.Lock(), []
+
+        class Estimator:
+            def fit(self, df):
+                with lock:
+                    running[0] += 1
+                    seen.append(running[0])
+                    cached.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+                time.sleep(0.2)
+                with lock:
+                    running[0] -= 1
+
+        before = spark.sparkContext._jsc.getPersistentRDDs().size()
+        fits = MD.Fits(settings, lambda i: rows, lambda *s: Estimator(), 4)
+        assert len(fits.models(settings, 0)) == 6 and fewest <= max(seen) <= most
+        assert set(cached) == {before}  # the table is persisted, its folds are not
+        fits.end()
+        rows.unpersist()
