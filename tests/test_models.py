@@ -281,3 +281,35 @@ def test_fits_keep_no_more_copies_than_the_cores_need(spark, monkeypatch):
         assert set(cached) == {before}  # the table is persisted, its folds are not
         fits.end()
         rows.unpersist()
+
+
+def test_fits_whose_splits_no_limit_bars_are_shared(spark):
+    """Settings under stricter limits get the looser fit only where it is what their own fit gives, and a lower number of fits."""
+    rng = np.random.default_rng(10)
+    n = 800
+    pdf = pd.DataFrame({"deal_id": np.arange(n), **{c: rng.normal(size=n) for c in "abcde"}, "s": rng.choice(["x", "y"], n)})
+    pdf["y"] = pdf["a"] * 2 + pdf["b"] * pdf["c"] + rng.normal(0, 0.3, n)
+    pdf["c01"] = (pdf["y"] > 0.4).astype(int)
+    boosted = MD.axes(maxDepth=[2], maxIter=[4], minInstancesPerNode=[1, 3, 200])
+    forests = MD.axes(maxDepth=[3, 2], numTrees=[3], featureSubsetStrategy=["onethird", "all"], minInstancesPerNode=[1, 3, 150], minInfoGain=[0.0, 0.0001, 0.3])
+    for label, make, kinds in (("y", MD._regressor, ("gbt", "rf")), ("c01", MD._classifier, ("gbt", "rf"))):
+        full, = MD.design(spark.createDataFrame(pdf), [], list("abcde"), ["s"], label, ["deal_id"])
+        full = full.coalesce(1).persist()
+        x = np.array([r.features.toArray() for r in full.orderBy("deal_id").collect()])
+        settings = [(kind, p) for kind in kinds for p in (forests if kind == "rf" else boosted)]
+        asked = []
+        fits = MD.Fits(settings, lambda i: full, lambda *s: asked.append(s) or make(*s), 4)
+        models = fits.models(settings, 0)
+        assert len(fits.done) == 3 + 3 + 9  # boosted; forests of all features hold their least gain; drawn features
+        assert len(asked) < len(fits.done) - 2 if label == "y" else len(asked) == 2 + 3 + 9
+        for setting, m in zip(settings, models):
+            alone = make(*setting).fit(full).transform(full).orderBy("deal_id")
+            if label == "c01":
+                alone = alone.withColumn("prediction", MD.vector_to_array("probability")[1])
+            score, = MD.scored([m], x)
+            np.testing.assert_allclose(score, [r.prediction for r in alone.collect()], atol=1e-9, err_msg=str(setting))
+        if label == "y":
+            losses = MD.paired_losses(full, models, None, lambda y, p: np.abs(y - p))
+            assert len(losses) == len(models) and all(
+                r[1] == pytest.approx(np.abs(pdf["y"] - next(MD.scored([m], x))).sum()) for r, m in zip(losses, models))
+        fits.end()
